@@ -26,7 +26,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, new_folder, parts, remove, slices, strings
+from .common import cut, new_folder, remove, slices, strings
 from .tokencounts import opened
 
 ORDER, CALIBRATE, QUANTILE, FEW = 4, 5, 0.995, 50
@@ -168,8 +168,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     good = marks.where("good = 1 and coalesce(bad, 0) = 0 and marked_id is not null").select("marked_id")
     fold = F.pmod(F.xxhash64("marked_id"), F.lit(CALIBRATE))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = max(parts(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    model = build(texts.repartition(n, "doc_id").join(good.where(fold != 0), F.col("doc_id") == F.col("marked_id"), "left_semi"))
+    trained = good.where(fold != 0).hint("shuffle_hash")  # the texts move once at any size, and are not sorted
+    model = build(texts.join(trained, F.col("doc_id") == F.col("marked_id"), "left_semi"))
     rows = cut(scored(docs, model))
     if model:
         remove(docs.sparkSession, model[0])
