@@ -109,44 +109,40 @@ def blocks_of(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
     return out
 
 
-def _pass(sent, spans: str, items: str):
-    """One block over all texts; what earlier blocks found is in the two columns."""
+def _pass(sent, spans: str, items: str, words: str):
+    """One block over all texts; what earlier blocks found is in the first two columns, the third counts words."""
 
     def each(batches):
         machine = automaton(sent.value)
         for batch in batches:
-            found_spans, found_items = [], []
+            found_spans, found_items, n_words = [], [], []
             for text, a, b in zip(strings(batch.column("text")), batch.column(spans).to_pylist(), batch.column(items).to_pylist(), strict=True):
-                _, s, who = scan(text, machine)
+                n, s, who = scan(text, machine)
+                n_words.append(n)
                 pairs = merged_spans([*zip(a[::2], a[1::2], strict=True), *s])
                 found_spans.append([x for p in pairs for x in p])
                 found_items.append(sorted({*b, *who}))
-            i, j = (batch.schema.get_field_index(c) for c in (spans, items))
-            batch = batch.set_column(i, spans, pa.array(found_spans, pa.list_(pa.int64())))
-            yield batch.set_column(j, items, pa.array(found_items, pa.list_(pa.string())))
+            for name, values, kind in ((spans, found_spans, pa.list_(pa.int64())), (items, found_items, pa.list_(pa.string())), (words, n_words, pa.int64())):
+                batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(values, kind))
+            yield batch
 
     return each
 
 
 def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows with _spans (merged word ranges, flat) and _items (sorted as strings). No shuffle."""
+    """The rows with _spans (merged word ranges, flat), _items (sorted as strings) and _n_words. No shuffle."""
     context = docs.sparkSession.sparkContext
-    rows = docs.withColumn("_spans", F.array().cast("array<long>")).withColumn("_items", F.array().cast("array<string>"))
+    rows = docs.withColumn("_spans", F.array().cast("array<long>")).withColumn("_items", F.array().cast("array<string>")).withColumn("_n_words", F.lit(0).cast("long"))
     for block in blocks_of(benchmark):
-        rows = rows.mapInArrow(_pass(context.broadcast(block), "_spans", "_items"), rows.schema)
+        rows = rows.mapInArrow(_pass(context.broadcast(block), "_spans", "_items", "_n_words"), rows.schema)
     return rows
 
 
-def _n_words(text: F.Column) -> F.Column:
-    """Words of a text, counted in the JVM: a separator run or the start, then a word."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-
-
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows with n_words, n_hit, items and contaminated."""
     rows = mark(docs, benchmark)
     hit = F.aggregate(F.transform(F.col("_spans"), lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = rows.withColumn("_n_hit", hit).withColumn("_n_words", _n_words(F.col("text")))
+    rows = rows.withColumn("_n_hit", hit)
     return rows.withColumn("_contaminated", (F.col("_n_hit") > 0) & (SHARE * F.col("_n_hit") >= F.col("_n_words")))
 
 
