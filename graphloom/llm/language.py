@@ -27,6 +27,8 @@ TABLE, LEXICON = 1 << 15, 4000
 WORD = re.compile(r"[^\W\d_]+")
 KINDS = 8  # prefixes and suffixes of 1 to 3 characters, bigrams, trigrams
 CACHE = 200_000
+#: a filter rejects documents without letters, and those whose words are this unlikely to be of the language found
+LEAST = 0.4
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +253,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(each, "doc_id long, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+def recognised(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
     """The rows, with all their columns, whose language is found with a mean word probability of at least `least`."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

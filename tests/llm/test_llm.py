@@ -443,7 +443,7 @@ def test_pipeline(spark, odd, tmp_path):
     want = docs
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     own = language.Labeller(language.learn(docs))
-    some = [(i, t) for i, t in sorted(texts.items()) if (x := own.documents([t])[0])[0] != "und" and x[1] >= 0.5]
+    some = [(i, t) for i, t in sorted(texts.items()) if (x := own.documents([t])[0])[0] != "und" and x[1] >= language.LEAST]
     some = [(i, t) for i, _, _, t in plain_lines(some)]
     comps = plain_components([i for i, _ in some], [plain_fingerprint(t) for _, t in some])
     some = [(i, t) for (i, t), c in zip(some, comps) if i == c]
