@@ -32,6 +32,14 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def settle(store: fs.FileSystem, draft: str, final: str) -> None:
+    """Gives a whole file its name, unless another attempt of the same task was first."""
+    if store.get_file_info(final).type == fs.FileType.NotFound:
+        store.move(draft, final)
+    else:
+        store.delete_file(draft)
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, eod: int = EOD) -> DataFrame:
     """Each task writes one flat file; returns (file, ordinal, doc_id).
 
@@ -54,7 +62,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, eod: int = EOD) -
                     k = b - a
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(k, part, np.int64)), pa.array(np.arange(n, n + k)), batch.column("doc_id")[a:b]], names=["file", "ordinal", "doc_id"])
                     n += k
-        store.move(draft, final)
+        settle(store, draft, final)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cut(rows.mapInArrow(each, "file long, ordinal long, doc_id long"))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, new_folder, remove
-from .tokencounts import opened
+from .tokencounts import opened, settle
 
 REVISIT_FROM, READ = 100, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -159,7 +159,7 @@ def write_archives(pages: DataFrame, folder: str) -> None:
                     n += 1
             out.close()
         if n:
-            store.move(draft, f"{path}/part-{part:06d}.wacz")
+            settle(store, draft, f"{path}/part-{part:06d}.wacz")
         else:
             store.delete_file(draft)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
