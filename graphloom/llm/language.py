@@ -221,7 +221,7 @@ class Labeller:
         out = [("und", 0.0)] * len(texts)
         if not self.model:
             return out
-        for a, b in slices([len(t) for t in texts], 4 << 20):
+        for a, b in slices([len(t) for t in texts], 2 << 20):
             words, sizes, which = [], [], []
             for i in range(a, b):
                 if found := WORD.findall(texts[i].lower()):
