@@ -27,6 +27,7 @@ TABLE, LEXICON = 1 << 15, 4000
 WORD = re.compile(r"[^\W\d_]+")
 KINDS = 8  # prefixes and suffixes of 1 to 3 characters, bigrams, trigrams
 CACHE = 200_000
+SLICE, NEW = 1 << 20, 1 << 17  # characters: of texts labelled together, of words whose scores are found together
 #: a filter rejects documents without letters, and those whose words are this unlikely to be of the language found
 LEAST = 0.4
 
@@ -183,8 +184,8 @@ def learn(docs: DataFrame, learnable=None) -> Model | None:
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], min(1.0, 1.3 * PER_LANG / r["count"])).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where((draw < share) & (F.length("text") <= LONGEST)).select("lang", draw.alias("draw"), "text").collect()
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)  # the text too: rows without an id are drawn one by one
+    sample = rows.where((draw < share) & (F.length("text") <= LONGEST)).select("lang", draw.alias("draw"), "text").distinct().collect()
     sample.sort(key=lambda r: (r["lang"], r["draw"], r["text"]))
     taken: dict[str, int] = {}
     kept = [r for r in sample if taken.setdefault(r["lang"], 0) < PER_LANG and not taken.update({r["lang"]: taken[r["lang"]] + 1})]
@@ -206,7 +207,7 @@ class Labeller:
         if new:
             new = list(new)
             self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, *(self.model.emissions(new[a:b]) for a, b in slices([len(w) + 2 for w in new], 1 << 19))])
+            self.scores = np.concatenate([self.scores, *(self.model.emissions(new[a:b]) for a, b in slices([len(w) + 2 for w in new], NEW))])
         return self.scores[np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))]
 
     def words(self, text: str) -> list[tuple[str, str, float]]:
@@ -221,9 +222,10 @@ class Labeller:
         out = [("und", 0.0)] * len(texts)
         if not self.model:
             return out
-        for a, b in slices([len(t) for t in texts], 4 << 20):
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))  # texts that take about as many steps go together
+        for a, b in slices([len(texts[i]) for i in order], SLICE):
             words, sizes, which = [], [], []
-            for i in range(a, b):
+            for i in order[a:b]:
                 if found := WORD.findall(texts[i].lower()):
                     words += found
                     sizes.append(len(found))
