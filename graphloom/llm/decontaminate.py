@@ -5,8 +5,10 @@ joined by single spaces, and so do the benchmark's windows of WINDOW consecutive
 one window); the automaton holds every distinct window with a space at either end. One scan of a text finds all
 windows, and the places found are mapped to word numbers and to offsets of the original text.
 
-The automaton is sent to the executors, so its size is checked: items are taken in blocks of at most BLOCK
-characters, and each block is another pass of the same task over the text, which no shuffle precedes.
+An automaton takes about 450 bytes for each character of its items, so items are taken in blocks of at most BLOCK
+characters (a longer item is alone), whose items, not automata, are sent to the executors, SENT characters at most in
+one broadcast. With one block, a worker keeps its automaton; with more, it gathers texts of HELD characters and takes
+them past one block's automaton after the other, so one automaton is in memory at a time. No shuffle precedes.
 
 Defined results: null has no words; a text without words has no hits; an item without words has no window; items
 that share an id count once, an item without an id has the id "null". Texts of any length are scanned whole.
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import strings
 
-WINDOW, BLOCK, SHARE = 13, 8 << 20, 20
+WINDOW, SHARE = 13, 20
+BLOCK, SENT, HELD = 1 << 19, 32 << 20, 16 << 20
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: a byte of the UTF-8 form is a character of the automaton
 _CODE = "latin-1"
@@ -51,12 +54,12 @@ def automaton(items: list[tuple[str, str]]) -> ahocorasick.Automaton | None:
     """The process keeps the automaton of the last block that it used."""
     name = hashlib.sha256(repr(items).encode()).hexdigest()
     if name not in _built:
+        _built.clear()
         made = ahocorasick.Automaton()
         for window, value in windows_of(items).items():
             made.add_word(window, value)
         if len(made):
             made.make_automaton()
-        _built.clear()
         _built[name] = made
     return _built[name] if len(_built[name]) else None
 
@@ -96,35 +99,64 @@ def original_offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int,
     return [(int(points[starts[a]]), int(points[ends[b - 1]])) for a, b in spans]
 
 
-def blocks_of(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    """The items, fetched one by one, in blocks of at most BLOCK characters."""
-    out, total = [[]], 0
+def blocks_of(benchmark: DataFrame):
+    """The items, fetched one by one, in blocks of at most BLOCK characters, and those in lists of at most SENT."""
+    sent, block, total, size = [], [], 0, 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).orderBy("i", "t").toLocalIterator():
         text = r["t"] or ""
-        if out[-1] and total + len(text) > BLOCK:
-            out.append([])
-            total = 0
-        out[-1].append((r["i"] if r["i"] is not None else "null", text))
+        if block and size + len(text) > BLOCK:
+            sent.append(block)
+            block, size = [], 0
+        if sent and total + len(text) > SENT:
+            yield sent
+            sent, total = [], 0
+        block.append((r["i"] if r["i"] is not None else "null", text))
+        size += len(text)
         total += len(text)
-    return out
+    yield [*sent, block]
+
+
+def _gathered(batches, least: int):
+    """Lists of batches whose texts have `least` bytes or more."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.column("text").nbytes
+        if size >= least:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def _pass(sent, spans: str, items: str, words: str):
-    """One block over all texts; what earlier blocks found is in the first two columns, the third counts words."""
+    """The blocks over all texts; what an earlier broadcast found is in the first two columns, the third counts words."""
 
     def each(batches):
-        machine = automaton(sent.value)
-        for batch in batches:
-            found_spans, found_items, n_words = [], [], []
-            for text, a, b in zip(strings(batch.column("text")), batch.column(spans).to_pylist(), batch.column(items).to_pylist(), strict=True):
-                n, s, who = scan(text, machine)
-                n_words.append(n)
-                pairs = merged_spans([*zip(a[::2], a[1::2], strict=True), *s])
-                found_spans.append([x for p in pairs for x in p])
-                found_items.append(sorted({*b, *who}))
-            for name, values, kind in ((spans, found_spans, pa.list_(pa.int64())), (items, found_items, pa.list_(pa.string())), (words, n_words, pa.int64())):
-                batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(values, kind))
-            yield batch
+        blocks = sent.value
+        for some in _gathered(batches, HELD if len(blocks) > 1 else 0):
+            texts = [t for batch in some for t in strings(batch.column("text"))]
+            found_spans = [[*zip(a[::2], a[1::2], strict=True)] for batch in some for a in batch.column(spans).to_pylist()]
+            found_items = [set(b) for batch in some for b in batch.column(items).to_pylist()]
+            n_words = [0] * len(texts)
+            for block in blocks:
+                machine = automaton(block)
+                for i, text in enumerate(texts):
+                    n_words[i], s, who = scan(text, machine)
+                    if s:
+                        found_spans[i] = merged_spans([*found_spans[i], *s])
+                        found_items[i] |= who
+            at = 0
+            for batch in some:
+                end = at + batch.num_rows
+                for name, values, kind in (
+                    (spans, [[x for p in pairs for x in p] for pairs in found_spans[at:end]], pa.list_(pa.int64())),
+                    (items, [sorted(who) for who in found_items[at:end]], pa.list_(pa.string())),
+                    (words, n_words[at:end], pa.int64()),
+                ):
+                    batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(values, kind))
+                yield batch
+                at = end
 
     return each
 
@@ -133,8 +165,8 @@ def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows with _spans (merged word ranges, flat), _items (sorted as strings) and _n_words. No shuffle."""
     context = docs.sparkSession.sparkContext
     rows = docs.withColumn("_spans", F.array().cast("array<long>")).withColumn("_items", F.array().cast("array<string>")).withColumn("_n_words", F.lit(0).cast("long"))
-    for block in blocks_of(benchmark):
-        rows = rows.mapInArrow(_pass(context.broadcast(block), "_spans", "_items", "_n_words"), rows.schema)
+    for blocks in blocks_of(benchmark):
+        rows = rows.mapInArrow(_pass(context.broadcast(blocks), "_spans", "_items", "_n_words"), rows.schema)
     return rows
 
 

@@ -272,8 +272,8 @@ def test_line_runs(spark, empty):
 ITEMS = [(1, " ".join(f"Alpha{i}" for i in range(20))), (1, "repeated id " * 10), (2, "short item"), (3, None), (4, "..."), (None, "no id here")]
 
 
-@pytest.mark.parametrize("block", [8 << 20, 50])
-def test_decontamination(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "sent"), [(1 << 19, 32 << 20), (50, 32 << 20), (50, 150)])
+def test_decontamination(spark, monkeypatch, block, sent):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     long = " ".join(f"alpha{i}" for i in range(3, 18))
     some = [*ODD, (60, f"x, y; {long}-end"), (61, "A short--ITEM and Short Item"), (62, "shorty items"), (63, "filler " * 900 + "no id here"), (64, "é short item é")]
@@ -292,6 +292,7 @@ def test_decontamination(spark, monkeypatch, block):
                     items |= who
         want.append((i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     monkeypatch.setattr(decontaminate, "BLOCK", block)
+    monkeypatch.setattr(decontaminate, "SENT", sent)
     bench = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id long, text string, _items string")
     found = decontaminate.report(rows(spark, some), bench)
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in found.collect())
