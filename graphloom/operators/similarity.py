@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import word_set
 from ..schema import Graph, live
 
-BLOCK = 2048
+BLOCK, ROWS = 2048, 512
 
 
 def _packed(emb: DataFrame, name: str, n: int) -> DataFrame:
@@ -50,9 +50,36 @@ def pairs_at_least(left: DataFrame, right: DataFrame, least: float, block: int =
     return one.join(two, ["i", "j"]).select("ids_a", "flat_a", "ids_b", "flat_b").mapInArrow(_multiply(least), "a string, b string, sim double")
 
 
-def cosine_pairs(emb: DataFrame, least: float, below: float = 2.0) -> DataFrame:
-    """Each unordered pair (a < b) with least <= cosine < below."""
-    return pairs_at_least(emb, emb, least).where((F.col("a") < F.col("b")) & (F.col("sim") < below))
+def _multiply_once(least: float, below: float):
+    """Of two different blocks every pair, the smaller id first; of a block with itself the pairs in that order."""
+
+    def each(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                sims = _unit(r["flat_a"], len(r["ids_a"])) @ _unit(r["flat_b"], len(r["ids_b"])).T
+                a, b = np.array(r["ids_a"], str), np.array(r["ids_b"], str)
+                for at in range(0, len(a), ROWS):
+                    some = sims[at : at + ROWS]
+                    i, j = np.nonzero((some >= least) & (some < below))
+                    x, y, sim = a[at + i], b[j], some[i, j]
+                    first = x < y
+                    if r["i"] == r["j"]:
+                        x, y, sim = x[first], y[first], sim[first]
+                    else:
+                        x, y = np.where(first, x, y), np.where(first, y, x)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(sim)], names=["a", "b", "sim"])
+
+    return each
+
+
+def cosine_pairs(emb: DataFrame, least: float, below: float = 2.0, block: int = BLOCK) -> DataFrame:
+    """Each unordered pair (a < b) with least <= cosine < below. Two blocks meet once, not in either order."""
+    n = max(1, math.ceil(emb.count() / block))
+    packed = _packed(emb, "k", n)
+    one = packed.select(F.col("k").alias("i"), F.explode(F.sequence("k", F.lit(n - 1).cast("long"))).alias("j"), F.col("ids").alias("ids_a"), F.col("flat").alias("flat_a"))
+    two = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), "k")).alias("i"), F.col("k").alias("j"), F.col("ids").alias("ids_b"), F.col("flat").alias("flat_b"))
+    both = one.join(two, ["i", "j"]).select("i", "j", "ids_a", "flat_a", "ids_b", "flat_b")
+    return both.mapInArrow(_multiply_once(least, below), "a string, b string, sim double")
 
 
 def live_vectors(graph: Graph) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom import config, schema
 from graphloom.functions import clock, text as tx
-from graphloom.operators import consolidate, ingest, lifecycle, lineage, search, stats, walk
+from graphloom.operators import consolidate, ingest, lifecycle, lineage, search, similarity, stats, walk
 from graphloom.plans import retrieve, sleep
 from graphloom.schema import Graph
 from graphloom.sources import files
@@ -224,3 +224,14 @@ def test_access_and_pins(spark, lines):
     assert lifecycle.touched(lines.nodes, hit, F.lit(NOW)).where("access_count = 1").count() == 1
     assert lifecycle.pinned(lines.nodes, ["seed1"]).where("permanent = 2").count() == 1
     assert retrieve.context_text([{"node_type": "fact", "content": "abc", "score": 0.5}, {"node_type": "fact", "content": "x" * 9000, "score": 0.4}]) == "[fact] abc (0.500)"
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_cosine_pairs_meet_once(spark, block):
+    r = random.Random(5)
+    vectors = [(f"n{i}", [r.gauss(0, 1) for _ in range(4)]) for i in range(40)] + [("zero", [0.0] * 4)]
+    emb = spark.createDataFrame(vectors, "node_id string, vector array<double>")
+    size = lambda v: sum(x * x for x in v) ** 0.5 or 1.0
+    sims = {(a, b): sum(x * y for x, y in zip(v, w, strict=True)) / size(v) / size(w) for a, v in vectors for b, w in vectors if a < b}
+    want = sorted((a, b, round(s, 6)) for (a, b), s in sims.items() if 0.2 <= s < 0.9)
+    assert sorted((x.a, x.b, round(x.sim, 6)) for x in similarity.cosine_pairs(emb, 0.2, 0.9, block).collect()) == want
