@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,10 @@ from .common import slices, strings
 
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE, LONG = 300_000, 200
+#: The same for text without other characters, for the faster library.
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
+CACHE, LONG, SHORT = 300_000, 200, 48
+NEVER = 1 << 62
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -51,29 +55,46 @@ class Codec:
         for t, i in self.special.items():
             self.token[i] = t.encode()
         self.single = [self.ids[bytes([b])] for b in range(256)]
-        self.merge: dict[int, tuple[int, int]] = {}
+        self.merge: dict[int, int] = {}  # a pair's rank * size + what it becomes
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merge[vocab[a] * self.size + vocab[b]] = (rank, vocab[a + b])
+            self.merge[vocab[a] * self.size + vocab[b]] = rank * self.size + vocab[a + b]
         self.prefix = {t[:n] for t in self.ids for n in range(1, len(t) + 1)}
         self.own = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.words = regex.compile(PATTERN)
+        self.words, self.ascii_words = regex.compile(PATTERN), re.compile(ASCII_PATTERN)
         self.known: dict[str, bytes] = {}
         self.pairs, self.verdicts = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def exact(self, word: bytes) -> list[int]:
         """Merges the adjacent pair of lowest rank, the leftmost of equals, until none is left."""
         ids = [self.single[b] for b in word]
+        return self._exact_short(ids) if len(ids) <= SHORT else self._exact_long(ids)
+
+    def _exact_short(self, ids: list[int]) -> list[int]:
+        """Looks through all pairs for each merge, which takes less time than a queue in a word of few pairs."""
+        size, found = self.size, self.merge.get
+        pairs = [found(a * size + b, NEVER) for a, b in zip(ids, ids[1:])]
+        while pairs and (best := min(pairs)) != NEVER:
+            i = pairs.index(best)
+            ids[i] = best % size
+            del ids[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = found(ids[i] * size + ids[i + 1], NEVER)
+            if i:
+                pairs[i - 1] = found(ids[i - 1] * size + ids[i], NEVER)
+        return ids
+
+    def _exact_long(self, ids: list[int]) -> list[int]:
         n, size, merge = len(ids), self.size, self.merge
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = []
         for i in range(n - 1):
             if found := merge.get(ids[i] * size + ids[i + 1]):
-                queue.append((found[0], i, ids[i], ids[i + 1], found[1]))
+                queue.append((found, i, ids[i], ids[i + 1]))
         heapq.heapify(queue)
         while queue:
-            _, i, a, b, new = heapq.heappop(queue)
-            j = after[i]
+            best, i, a, b = heapq.heappop(queue)
+            j, new = after[i], best % size
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
             ids[i], ids[j] = new, -1
@@ -81,10 +102,10 @@ class Codec:
             if k < n:
                 before[k] = i
                 if found := merge.get(new * size + ids[k]):
-                    heapq.heappush(queue, (found[0], i, new, ids[k], found[1]))
+                    heapq.heappush(queue, (found, i, new, ids[k]))
             h = before[i]
             if h >= 0 and (found := merge.get(ids[h] * size + new)):
-                heapq.heappush(queue, (found[0], h, ids[h], new, found[1]))
+                heapq.heappush(queue, (found, h, ids[h], new))
         return [i for i in ids if i >= 0]
 
     def speculate(self, word: bytes) -> list[int]:
@@ -144,30 +165,32 @@ class Codec:
 
     def encode(self, texts: list[str], special: bool = True) -> list[bytes]:
         """special: strings of special tokens become those tokens, else they are ordinary text."""
-        cut, words = [], self.words.findall
+        cut = []
         for text in texts:
+            words = self.ascii_words.findall if text.isascii() else self.words.findall
             if special and self.own and any(s in text for s in self.special):
                 parts = self.own.split(text)
                 cut.append([w for i, p in enumerate(parts) for w in ([(p,)] if i % 2 else words(p))])
             else:
                 cut.append(words(text))
         known = self.known
-        new = list({w for some in cut for w in some if not isinstance(w, tuple)} - known.keys())
+        seen = set().union(*cut)
+        seen.difference_update([(t,) for t in self.special])
+        new = list(seen.difference(known))
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = list({w for some in cut for w in some if not isinstance(w, tuple)})
+            new = list(seen)
         known.update(zip(new, self.encode_words(new), strict=True))
         for t, i in self.special.items():
             known[(t,)] = np.array([i], "<u4").tobytes()
-        out = [b"".join([known[w] for w in some]) for some in cut]
+        out = [b"".join(map(known.__getitem__, some)) for some in cut]
         for w in new:
             if len(w) > LONG:
                 del known[w]
         return out
 
     def decode(self, ids: bytes) -> str:
-        token = self.token
-        return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
 _codecs: dict[str, Codec] = {}

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on odd rows."""
 
 import hashlib
+import random
 import re
 import struct
 import zipfile
@@ -466,3 +467,13 @@ def test_pipeline(spark, odd, tmp_path):
             now = stage(spark, now, str(tmp_path))
             assert now.columns == frame.columns
         assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == now.count()
+
+
+def test_bpe_paths_agree():
+    own, r = bpe.Codec(VOCABULARY), random.Random(3)
+    some = [chr(i) for i in range(128)] + list("  \n\t'strevmld") * 4
+    for _ in range(3000):
+        text = "".join(r.choices(some, k=r.randint(0, 60)))
+        assert own.words.findall(text) == own.ascii_words.findall(text)
+        ids = [own.single[b] for b in text.encode()]
+        assert own._exact_short(list(ids)) == own._exact_long(list(ids))
