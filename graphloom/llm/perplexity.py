@@ -1,14 +1,17 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over symbols, the UTF-16 code units of the lower-cased text, ORDER at a time; a document is led by
-ORDER - 1 start symbols and closed by an end symbol. Trusted documents are those labelled good and not toxic. All
-trusted documents count: each task sums its n-grams, a shuffle adds them up, lower orders count distinct left
-neighbours, and discounts, context masses and lower-order probabilities are joined to the counts, all as tables.
+classify() uses the word model of wordgrams.py. build(), Scorer and scored() here are a model over symbols, whose
+table hardly grows with the corpus; classify() does not use them.
+
+The symbols are the UTF-16 code units of the lower-cased text, ORDER at a time; a document is led by ORDER - 1 start
+symbols and closed by an end symbol. Each task sums its n-grams, a shuffle adds them up, lower orders count distinct
+left neighbours, and discounts, context masses and lower-order probabilities are joined to the counts, all as tables.
 What results (ln p of each seen n-gram, ln of the back-off mass of each seen context) is written in shards sorted by
 n-gram. To score, a task gathers the distinct n-grams of some documents and merge-joins them with one shard after
 the other, so neither texts nor n-grams of documents are shuffled and no shard must fit with another.
 
-One trusted document in CALIBRATE does not train: of these, the QUANTILE of each language's perplexities is the
+Trusted documents are those labelled good and not toxic; all of them count. One in CALIBRATE does not train: of
+these, the QUANTILE of each language's perplexities is the
 language's threshold (where a language has fewer than FEW of them, that of all languages). A document is kept if
 its perplexity is at most the threshold.
 
@@ -26,7 +29,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, new_folder, remove, slices, strings
+from .common import cut, new_folder, slices, strings
 from .tokencounts import opened
 
 ORDER, CALIBRATE, QUANTILE, FEW = 4, 5, 0.995, 50
@@ -164,15 +167,15 @@ def scored(docs: DataFrame, model: tuple[str, float] | None) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, perplexity, threshold and keep of every row."""
+    from . import wordgrams  # which takes the discounts from here
+
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("marked_id")).agg(F.min("quality").alias("good"), F.max("toxic").alias("bad"))
     good = marks.where("good = 1 and coalesce(bad, 0) = 0 and marked_id is not null").select("marked_id")
     fold = F.pmod(F.xxhash64("marked_id"), F.lit(CALIBRATE))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     trained = good.where(fold != 0).hint("shuffle_hash")  # the texts move once at any size, and are not sorted
-    model = build(texts.join(trained, F.col("doc_id") == F.col("marked_id"), "left_semi"))
-    rows = cut(scored(docs, model))
-    if model:
-        remove(docs.sparkSession, model[0])
+    model = wordgrams.build(texts.join(trained, F.col("doc_id") == F.col("marked_id"), "left_semi"))
+    rows = cut(wordgrams.scored(docs, model))
     held = rows.join(good.where(fold == 0), F.col("doc_id") == F.col("marked_id"), "left_semi").where("chars > 0")
     pick = F.percentile_approx("perplexity", quantile, 10_000).alias("limit")
     every = held.agg(pick).select(F.col("limit").alias("general"))
