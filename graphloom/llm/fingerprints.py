@@ -2,12 +2,12 @@
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so sketches of documents of any
 length can be merged and compared. Shingles are windows of SHINGLE bytes of the UTF-8 text; a shorter text is one
-shingle. The fraction is 1/32; a text with too few shingles for that has the largest of 1, 1/2, ... 1/16 that
-leaves it about FEW hashes. Two sketches are compared at the smaller of their fractions: the hashes of the finer
+shingle. The fraction is the smallest of 1, 1/2, ... 1/32 that leaves FEW distinct hashes, or 1 where none does;
+repeats do not count, so no text that isn't empty has an empty sketch. Two sketches are compared at the smaller of their fractions: the hashes of the finer
 one that lie below it are just what the coarser fraction would have kept.
 
 Defined results: a null text counts as empty; an empty text has an empty sketch ("1:"); equal sketches have
-likeness 1, and a sketch without hashes has likeness 0 with any other. Rows without an id come first, and rows
+likeness 1, and a sketch without hashes at the common fraction has likeness 0 with any other. Rows without an id come first, and rows
 that share an id follow in the order of their texts. Other columns are ignored.
 """
 
@@ -25,6 +25,7 @@ SHINGLE, FEW, COARSEST = 16, 64, 5
 STEP = 1 << 20
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, within_edited double, within_next double"
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LIMITS = np.uint64(2**64 - 1) >> np.arange(COARSEST + 1, dtype=np.uint64)
 Sketch = tuple[int, np.ndarray]
 
 
@@ -37,14 +38,30 @@ def window_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _distinct(text: np.ndarray) -> np.ndarray:
+    """All distinct hashes of a text, in ascending order."""
+    found = np.zeros(0, np.uint64)
+    for at in range(0, len(text) - SHINGLE + 1, STEP):
+        found = np.union1d(found, window_hashes(text[at : at + STEP + SHINGLE - 1]))
+    return found
+
+
+def _scaled(hashes: np.ndarray, power: int) -> Sketch:
+    """The coarsest sketch with FEW of the hashes, which are all below the fraction of `power`."""
+    while power < COARSEST and np.searchsorted(hashes, _LIMITS[power + 1], "right") >= FEW:
+        power += 1
+    return power, hashes[: np.searchsorted(hashes, _LIMITS[power], "right")]
+
+
 def sketch_all(texts: list[bytes]) -> list[Sketch]:
     """(power of the fraction, sorted hashes) of each text."""
     ends = np.cumsum([len(t) for t in texts])
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     sizes = ends - starts
     windows = np.maximum(sizes - SHINGLE + 1, 0)
-    power = np.clip(np.log2(np.maximum(windows, 1) / FEW).astype(int), 0, COARSEST)
-    limit = np.uint64(2**64 - 1) >> power.astype(np.uint64)
+    # the fraction to begin with leaves twice FEW, were all windows distinct
+    power = np.clip(np.log2(np.maximum(windows, 1) / (2 * FEW)).astype(int), 0, COARSEST)
+    limit = _LIMITS[power]
     data = np.frombuffer(b"".join(texts), np.uint8)
     owners, kept = [], []
     for at in range(0, max(0, len(data) - SHINGLE + 1), STEP):
@@ -64,7 +81,12 @@ def sketch_all(texts: list[bytes]) -> list[Sketch]:
     new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
     owner, hashes = owner[new], hashes[new]
     cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-    out = [(int(power[i]), hashes[cuts[i] : cuts[i + 1]]) for i in range(len(texts))]
+    out = []
+    for i in range(len(texts)):
+        own, begin = hashes[cuts[i] : cuts[i + 1]], int(power[i])
+        if begin and len(own) < FEW:
+            own, begin = _distinct(data[starts[i] : ends[i]]), 0
+        out.append(_scaled(own, begin))
     for i in np.nonzero((sizes > 0) & (sizes < SHINGLE))[0]:
         out[i] = (0, np.frombuffer(hashlib.sha256(texts[i]).digest()[:8], ">u8").astype(np.uint64))
     return out
@@ -96,7 +118,7 @@ def compared(a: Sketch, b: Sketch) -> tuple[float, float]:
     """(likeness, share of the first that the second contains)."""
     power, x, y = _level(a, b)
     if not len(x) or not len(y):
-        same = float(a[0] == b[0] and np.array_equal(a[1], b[1]))
+        same = float(power == 0 and len(x) == len(y))
         return same, same
     both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
     return both / (len(x) + len(y) - both), both / len(x)
