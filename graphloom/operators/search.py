@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import keywords, relevance
 from ..functions.vector import cosine, literal, norm
 from ..schema import Graph, live
-from .similarity import pairs_at_least
+from .similarity import best_at_least, pairs_at_least
 
 
 def scored(emb: DataFrame, query: list[float]) -> DataFrame:
@@ -23,7 +23,7 @@ def top_k(graph: Graph, query: list[float], k: int, include_decayed: bool = Fals
 def novelty(graph: Graph, candidates: DataFrame, threshold: float) -> DataFrame:
     """For (cand_id, vector): nearest live node, its cosine (0 at least) and whether the candidate is new."""
     own = live(graph.nodes).select("id").join(graph.emb, F.col("id") == F.col("node_id")).select("node_id", "vector")
-    near = pairs_at_least(candidates.select(F.col("cand_id").alias("node_id"), "vector"), own, 0.0)
+    near = best_at_least(candidates.select(F.col("cand_id").alias("node_id"), "vector"), own, 0.0)
     best = near.groupBy("a").agg(F.max(F.struct("sim", "b")).alias("m"))
     out = candidates.join(best, F.col("cand_id") == F.col("a"), "left")
     return out.select("cand_id", F.coalesce("m.sim", F.lit(0.0)).alias("max_sim"), F.col("m.b").alias("nearest"), (F.coalesce("m.sim", F.lit(0.0)) < threshold).alias("is_novel"))

@@ -42,12 +42,40 @@ def _multiply(least: float):
     return each
 
 
-def pairs_at_least(left: DataFrame, right: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, sim) for all pairs of a row of each side with a cosine of at least `least`."""
+def _best(least: float):
+    """Of each row of the left block the largest cosine, if it is at least `least`; of equal ones the last id."""
+
+    def each(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                one, two = _unit(r["flat_a"], len(r["ids_a"])), _unit(r["flat_b"], len(r["ids_b"]))
+                a, b = np.array(r["ids_a"], str), np.array(r["ids_b"], str)
+                order = np.argsort(b)[::-1]
+                for at in range(0, len(a), ROWS):
+                    sims = one[at : at + ROWS] @ two[order].T
+                    k = sims.argmax(1)
+                    sim = sims[np.arange(len(k)), k]
+                    some = sim >= least
+                    yield pa.RecordBatch.from_arrays([pa.array(a[at : at + ROWS][some], pa.string()), pa.array(b[order][k][some], pa.string()), pa.array(sim[some])], names=["a", "b", "sim"])
+
+    return each
+
+
+def _met(left: DataFrame, right: DataFrame, block: int, multiply) -> DataFrame:
     n, m = (max(1, math.ceil(d.count() / block)) for d in (left, right))
     one = _packed(left, "i", n).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("i", "j", F.col("ids").alias("ids_a"), F.col("flat").alias("flat_a"))
     two = _packed(right, "j", m).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("i", "j", F.col("ids").alias("ids_b"), F.col("flat").alias("flat_b"))
-    return one.join(two, ["i", "j"]).select("ids_a", "flat_a", "ids_b", "flat_b").mapInArrow(_multiply(least), "a string, b string, sim double")
+    return one.join(two, ["i", "j"]).select("ids_a", "flat_a", "ids_b", "flat_b").mapInArrow(multiply, "a string, b string, sim double")
+
+
+def pairs_at_least(left: DataFrame, right: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, sim) for all pairs of a row of each side with a cosine of at least `least`."""
+    return _met(left, right, block, _multiply(least))
+
+
+def best_at_least(left: DataFrame, right: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, sim): of those pairs, each left row's best in each block of the right side."""
+    return _met(left, right, block, _best(least))
 
 
 def _multiply_once(least: float, below: float):

@@ -198,6 +198,13 @@ def novelty_check(g):
     return search.novelty(g, cand, P.novelty).select("cand_id", F.round("max_sim", 6).alias("max_sim"), "is_novel")
 
 
+@query()
+def novelty_every(g):
+    """As novelty_check, but every embedding is a candidate."""
+    cand = g.emb.select(F.col("node_id").alias("cand_id"), "vector")
+    return search.novelty(g, cand, P.novelty).select("cand_id", F.round("max_sim", 6).alias("max_sim"), "is_novel")
+
+
 @query(_SIMS + "SELECT node_id, round(max(sim), 6) AS max_sim FROM (SELECT a AS node_id, sim FROM sims UNION ALL SELECT b, sim FROM sims) GROUP BY 1")
 def nn_per_node(g):
     return search.nearest(g.emb).select("node_id", F.round("max_sim", 6).alias("max_sim"))
