@@ -4,8 +4,8 @@ Each word (a run of letters, lower-cased) has prefix, suffix, character n-gram a
 neighbouring words are tied by learned transitions, and forward-backward gives every word's label distribution, so
 code-switched text is labelled word by word. The document's language has the largest mean probability.
 
-Fitting takes a bounded sample on the driver: at most MOST_LANGS languages (the most frequent) and about PER_LANG
-texts of each, of at most LONGEST characters. Training sequences splice pieces of several texts, so that
+Fitting takes a bounded sample on the driver: about PER_LANG texts of every language; texts over LONGEST characters
+are drawn as pieces of that length. Training sequences splice pieces of several texts, so that
 transitions see switches. Prediction covers every word of every text in bounded memory.
 
 Defined results: null text, empty text or text without letters gives `und` with score 0; with nothing to learn
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import mix64, slices, strings
 
-MOST_LANGS, PER_LANG, LONGEST = 32, 300, 50_000
+PER_LANG, LONGEST = 300, 50_000
 TABLE, LEXICON = 1 << 15, 4000
 WORD = re.compile(r"[^\W\d_]+")
 KINDS = 8  # prefixes and suffixes of 1 to 3 characters, bigrams, trigrams
@@ -178,14 +178,15 @@ def learn(docs: DataFrame, learnable=None) -> Model | None:
     """Fits on a bounded sample of the rows that `learnable` allows and whose lang is known."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (learnable if learnable is not None else F.lit(True)))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    size = F.length("text")
+    counts = rows.groupBy("lang").agg(F.sum(F.greatest(F.lit(1), F.ceil(size / LONGEST))).alias("n")).collect()
     if not counts:
         return None
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, 1.3 * PER_LANG / r["count"])).otherwise(share)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.3 * PER_LANG / r["n"]))])[F.col("lang")]
+    pieces = F.transform(F.sequence(F.lit(1), size, F.lit(LONGEST)), lambda at: F.substring("text", at, F.lit(LONGEST)))
+    rows = rows.where("text is not null").withColumn("text", F.explode(F.when(size <= LONGEST, F.array("text")).otherwise(pieces)))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)  # the text too: rows without an id are drawn one by one
-    sample = rows.where((draw < share) & (F.length("text") <= LONGEST)).select("lang", draw.alias("draw"), "text").distinct().collect()
+    sample = rows.where(draw < share).select("lang", draw.alias("draw"), "text").distinct().collect()
     sample.sort(key=lambda r: (r["lang"], r["draw"], r["text"]))
     taken: dict[str, int] = {}
     kept = [r for r in sample if taken.setdefault(r["lang"], 0) < PER_LANG and not taken.update({r["lang"]: taken[r["lang"]] + 1})]
@@ -243,7 +244,7 @@ class Labeller:
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of every row; only the text decides. No shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by TABLE, LEXICON and MOST_LANGS
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by TABLE, LEXICON and the number of languages
 
     def each(batches):
         labeller = Labeller(sent.value)

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from graphloom.llm import fingerprints, perplexity, wordgrams
+from graphloom.llm import fingerprints, language, perplexity, wordgrams
 
 
 def plain_word_model(texts):
@@ -74,3 +74,10 @@ def test_repetitive_texts_have_sketches():
         for j, b in enumerate(found):
             assert (fingerprints.compared(a, b)[0] == 1) == (i == j)
     assert fingerprints.compared(fingerprints.parsed("32:"), fingerprints.parsed("32:"))[0] == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(100 * k + i, f"l{k:02d}", " ".join(chr(97 + k % 26) + chr(97 + k // 26) + w for w in ("one", "two", "three") * 4)) for k in range(40) for i in range(2 if k else 1)]
+    rows.append((9000, "long", "quaxz quuxz " * (language.LONGEST // 6)))
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert model.langs == sorted({r[1] for r in rows})
