@@ -28,7 +28,7 @@ WORD = re.compile(r"[^\W\d_]+")
 KINDS = 8  # prefixes and suffixes of 1 to 3 characters, bigrams, trigrams
 CACHE = 200_000
 SLICE, NEW = 1 << 20, 1 << 17  # characters: of texts labelled together, of words whose scores are found together
-#: a filter rejects documents without letters, and those whose words are this unlikely to be of the language found
+#: a filter rejects documents without letters, and those whose words are this unlikely to be of the languages found for them
 LEAST = 0.4
 
 
@@ -220,7 +220,12 @@ class Labeller:
         return [(w, self.model.langs[k], float(p[i, k])) for i, (w, k) in enumerate(zip(words, best, strict=True))]
 
     def documents(self, texts: list[str]) -> list[tuple[str, float]]:
-        out = [("und", 0.0)] * len(texts)
+        """The language of each text and its mean probability."""
+        return [(lang, score) for lang, score, _ in self.judged(texts)]
+
+    def judged(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """As documents(), and the mean over the words of the probability of each word's own best language."""
+        out = [("und", 0.0, 0.0)] * len(texts)
         if not self.model:
             return out
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))  # texts that take about as many steps go together
@@ -235,10 +240,12 @@ class Labeller:
                 continue
             sizes = np.array(sizes)
             p, _ = forward_backward(self._known(words), sizes, self.model.moves, self.model.first)
-            mean = np.add.reduceat(p, np.cumsum(sizes) - sizes, dtype=np.float64) / sizes[:, None]
+            starts = np.cumsum(sizes) - sizes
+            mean = np.add.reduceat(p, starts, dtype=np.float64) / sizes[:, None]
+            sure = np.add.reduceat(p.max(1), starts, dtype=np.float64) / sizes
             best = mean.argmax(1)
-            for i, k, m in zip(which, best, mean, strict=True):
-                out[i] = (self.model.langs[k], min(1.0, float(m[k])))
+            for i, k, m, s in zip(which, best, mean, sure, strict=True):
+                out[i] = (self.model.langs[k], min(1.0, float(m[k])), min(1.0, float(s)))
         return out
 
 
@@ -257,13 +264,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def recognised(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
-    """The rows, with all their columns, whose language is found with a mean word probability of at least `least`."""
+    """The rows, with all their columns, whose words are of some language each with a mean probability of at least `least`."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):
         labeller = Labeller(sent.value)
         for batch in batches:
-            got = labeller.documents(strings(batch.column("text")))
-            yield batch.filter(pa.array([x != "und" and p >= least for x, p in got], pa.bool_()))
+            got = labeller.judged(strings(batch.column("text")))
+            yield batch.filter(pa.array([x != "und" and p >= least for x, _, p in got], pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)

@@ -81,3 +81,13 @@ def test_every_language_is_learned(spark):
     rows.append((9000, "long", "quaxz quuxz " * (language.LONGEST // 6)))
     model = language.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
     assert model.langs == sorted({r[1] for r in rows})
+
+
+def test_a_text_in_three_languages_is_recognised(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.learn(docs)
+    by = {k: " ".join(r["text"] for r in docs.where(f"lang = '{k}' and n_chars > 800").orderBy("doc_id").limit(12).collect()).split() for k in ("de", "es", "fr")}
+    mixed = [" ".join(w for n in range(3) for k in by for w in by[k][300 * i + 50 * n : 300 * i + 50 * n + 50]) for i in range(5)]
+    assert min(s for _, s in language.Labeller(model).documents(mixed)) < language.LEAST
+    frame = spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")
+    assert language.recognised(frame, model).count() == len(mixed)
