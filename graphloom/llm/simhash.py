@@ -206,26 +206,42 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(small.where("u <> v").distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and component_id of every row."""
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, root, component_id) of every fingerprint."""
     fps = cut(fingerprints(docs))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     roots = components(links(classes))
     placed = classes.join(roots, classes["fp"] == roots["u"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = cut(placed.join(least, "root").select("fp", "component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps, cut(placed.join(least, "root").select("fp", "root", "component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row."""
+    fps, named = _placed(docs)
+    return fps.join(named.select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row, with all its columns, of each component: that of the smallest id; of equal ids, the smallest text.
 
-    Where no row of a component has an id, all its rows stay.
+    Where no row of a component has an id, all its rows stay. Rows that share an id can be of several components,
+    each of which keeps one: for such ids (and no others) the rows' fingerprints are found anew.
     """
-    found = near_duplicates(docs)
-    kept = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("_kept_id")).distinct()
-    loose = found.where(F.col("component_id").isNull()).limit(1).count()
-    names = docs.columns
-    one = docs.join(kept, docs["doc_id"] == kept["_kept_id"]).withColumn("_kept_row", F.row_number().over(Window.partitionBy("_kept_id").orderBy(F.xxhash64("text"), "text")))
+    fps, named = _placed(docs)
+    several = cut(fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select(F.col("doc_id").alias("_kept_id")))
+    kept = named.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("_kept_id")).distinct()
+    loose = named.where(F.col("component_id").isNull()).limit(1).count()
+    names, shared = docs.columns, several.limit(1).count()
+    if shared:
+        kept = kept.join(several, "_kept_id", "left_anti")
+    order = [F.xxhash64("text"), F.col("text")]
+    one = docs.join(kept, docs["doc_id"] == kept["_kept_id"]).withColumn("_kept_row", F.row_number().over(Window.partitionBy("_kept_id").orderBy(*order)))
     one = one.where("_kept_row = 1").select(*[docs[c] for c in names])
+    if shared:
+        rows = docs.join(several, docs["doc_id"] == several["_kept_id"], "left_semi").withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+        own = fingerprints(rows.select(F.col("_key").alias("doc_id"), "text")).distinct().join(named, "fp")
+        rows = rows.join(own.select(F.col("doc_id").alias("_key"), "root", "component_id"), "_key").where("doc_id = component_id")
+        rows = rows.withColumn("_kept_row", F.row_number().over(Window.partitionBy("root").orderBy(*order))).where("_kept_row = 1")
+        one = one.unionByName(rows.select(*names))
     return one.unionByName(docs.where("doc_id is null")) if loose else one

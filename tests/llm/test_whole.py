@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from graphloom.llm import fingerprints, language, perplexity, wordgrams
+from graphloom.llm import fingerprints, language, perplexity, simhash, wordgrams
 
 
 def plain_word_model(texts):
@@ -91,3 +91,10 @@ def test_a_text_in_three_languages_is_recognised(spark):
     assert min(s for _, s in language.Labeller(model).documents(mixed)) < language.LEAST
     frame = spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")
     assert language.recognised(frame, model).count() == len(mixed)
+
+
+def test_every_group_keeps_a_row_where_ids_repeat(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in ("apple", "berry", "cherry"))
+    some = [(1, a), (1, b), (1, b), (2, a), (3, b), (4, c)]
+    kept = simhash.representatives(spark.createDataFrame(some, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(1, a), (1, b), (4, c)]
