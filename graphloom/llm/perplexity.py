@@ -11,9 +11,9 @@ n-gram. To score, a task gathers the distinct n-grams of some documents and merg
 the other, so neither texts nor n-grams of documents are shuffled and no shard must fit with another.
 
 Trusted documents are those labelled good and not toxic; all of them count. One in CALIBRATE does not train: of
-these, the QUANTILE of each language's perplexities is the
-language's threshold (where a language has fewer than FEW of them, that of all languages). A document is kept if
-its perplexity is at most the threshold.
+these, the threshold of a language is the QUANTILE of its perplexities, drawn towards that of all languages as if FEW
+documents had it (the mean of the logarithms), so it moves little by little as the table grows; a language without any
+has that of all. A document is kept if its perplexity is at most the threshold.
 
 Defined results: null or empty text is only its end symbol and is not kept; a null language is "und"; a doc_id with
 several labels is trusted if all of them are good; without trusted text, perplexity and threshold are null and
@@ -179,7 +179,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     held = rows.join(good.where(fold == 0), F.col("doc_id") == F.col("marked_id"), "left_semi").where("chars > 0")
     pick = F.percentile_approx("perplexity", quantile, 10_000).alias("limit")
     every = held.agg(pick).select(F.col("limit").alias("general"))
-    own = held.groupBy("lang").agg(pick, F.count("*").alias("n")).where(F.col("n") >= FEW).select("lang", "limit")
-    out = rows.join(F.broadcast(every), how="left").join(own, "lang", "left").withColumn("threshold", F.coalesce("limit", "general"))
+    own = held.groupBy("lang").agg(pick, F.count("*").alias("n"))
+    drawn = F.exp((F.col("n") * F.log("limit") + FEW * F.log("general")) / (F.col("n") + FEW))
+    out = rows.join(F.broadcast(every), how="left").join(own, "lang", "left").withColumn("threshold", F.coalesce(drawn, "general"))
     keep = (F.col("chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select("doc_id", "lang", "perplexity", "threshold", keep.alias("keep"))

@@ -98,3 +98,16 @@ def test_every_group_keeps_a_row_where_ids_repeat(spark):
     some = [(1, a), (1, b), (1, b), (2, a), (3, b), (4, c)]
     kept = simhash.representatives(spark.createDataFrame(some, "doc_id long, text string"))
     assert sorted(map(tuple, kept.collect())) == [(1, a), (1, b), (4, c)]
+
+
+def test_thresholds_of_small_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = perplexity.classify(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")).collect()
+    folds = {r[0] for r in docs.where(f"pmod(xxhash64(doc_id), {perplexity.CALIBRATE}) = 0").select("doc_id").collect()}
+    held = [r for r in found if r["doc_id"] in folds]
+    general = max(r["perplexity"] for r in held)
+    for k in {r["lang"] for r in held}:
+        own = [r["perplexity"] for r in held if r["lang"] == k]
+        assert len(own) < perplexity.FEW
+        want = np.exp((len(own) * np.log(max(own)) + perplexity.FEW * np.log(general)) / (len(own) + perplexity.FEW))
+        assert all(r["threshold"] == pytest.approx(want) for r in found if r["lang"] == k)
