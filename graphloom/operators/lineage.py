@@ -83,7 +83,7 @@ def cyclic(graph: Graph) -> DataFrame:
         edges = cut(kept.join(kept.select(F.col("parent_id").alias("y")), F.col("child_id") == F.col("y"), "left_semi"))
         if edges.count() == n:
             break
-    return ancestors(edges).where("id = ancestor").select("id").distinct()
+    return ancestors(edges, None).where("id = ancestor").select("id").distinct()
 
 
 def parent_chain(graph: Graph, steps: int = 3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vector import cosine, literal
@@ -20,16 +22,16 @@ def khop(graph: Graph, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def ancestors(edges: DataFrame, most: int = 50, nodes: DataFrame | None = None) -> DataFrame:
+def ancestors(edges: DataFrame, most: int | None = 50, nodes: DataFrame | None = None) -> DataFrame:
     """(id, ancestor, hops): every proper or cyclic ancestor with its least distance.
 
-    A frontier loop; a pair that is known is not followed again, so cycles end.
+    A frontier loop; a pair that is known is not followed again, so cycles end. Without `most` it goes on to the end.
     """
     up = cut(edges.where("parent_id is not null and child_id is not null").select("child_id", "parent_id").distinct())
     start = up if nodes is None else up.join(nodes.select(F.col("id").alias("child_id")), "child_id", "left_semi")
     frontier = cut(start.select(F.col("child_id").alias("id"), F.col("parent_id").alias("ancestor"), F.lit(1).alias("hops")))
     seen = frontier
-    for hop in range(2, most + 1):
+    for hop in count(2) if most is None else range(2, most + 1):
         further = frontier.join(up, F.col("ancestor") == F.col("child_id")).select("id", F.col("parent_id").alias("ancestor")).distinct()
         frontier = cut(further.join(seen, ["id", "ancestor"], "left_anti").withColumn("hops", F.lit(hop)))
         if not frontier.take(1):

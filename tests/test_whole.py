@@ -1,8 +1,11 @@
 """What a review found to be less than the whole job, in the graph operators."""
 
+import dataclasses
+
 import numpy as np
 
 from graphloom import fixtures, queries
+from graphloom.operators import lineage
 from graphloom.schema import live
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +24,9 @@ def test_novelty_of_every_embedding(spark):
         assert abs(found[r["node_id"]]["max_sim"] - s) < 1e-5 and found[r["node_id"]]["is_novel"] == (s < queries.P.novelty)
     few = queries.QUERIES["novelty_check"](spark, SF).collect()
     assert few and all(found[r["cand_id"]] == r for r in few)
+
+
+def test_long_cycles_are_found(spark):
+    g = fixtures.graph(spark, SF)
+    ring = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 53}") for i in range(53)], "parent_id string, child_id string")
+    assert lineage.cyclic(dataclasses.replace(g, edges=ring)).count() == 53
