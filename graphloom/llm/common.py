@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LOWEST = -(2**63)
 
@@ -17,12 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where that is unset (tests), a temporary one is set."""
+    """The folder that spark.checkpoint.dir names. Where that is unset, a local session (tests) gets a temporary one and a cluster an error:
+    a folder on one machine would lose what executors elsewhere write.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
     return context.getCheckpointDir()
 
@@ -49,10 +54,42 @@ def size_hint(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
-def parts(df: DataFrame, target: int = 8 << 20, most: int = 8192) -> int:
-    """Partitions of about `target` stored bytes; never fewer than half the shuffle partitions."""
-    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-    return int(min(most, max(least, -(-size_hint(df) // target))))
+def parts(df: DataFrame, target: int = 8 << 20, many: int = 8192, largest: int = 512 << 20) -> int:
+    """Partitions of about `target` stored bytes; never fewer than half the shuffle partitions.
+    Past `many` of them partitions grow, but to no more than `largest` bytes.
+    """
+    least, size = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2), size_hint(df)
+    return int(max(least, min(-(-size // target), max(many, -(-size // largest)))))
+
+
+def free_name(wanted: str, taken) -> str:
+    """The name, with underscores behind it as long as a column has it (in any case)."""
+    own = {t.lower() for t in taken}
+    while wanted.lower() in own:
+        wanted += "_"
+    return wanted
+
+
+def sortable(*columns) -> Column:
+    """Longs as one string of fixed width that sorts as they do."""
+    return F.concat(*[F.lpad(F.hex(c.bitwiseXOR(F.lit(LOWEST))), 16, "0") for c in columns])
+
+
+def sortable_text(*values: int) -> str:
+    return "".join(f"{v - LOWEST:016X}" for v in values)
+
+
+def range_number(key: Column, bounds: list[str]) -> Column:
+    """How many of the ascending bounds lie below the key: found in two steps, each over about sqrt(len(bounds)) of them."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    listed = lambda some: F.split(F.lit(",".join(some)), ",")
+    below = lambda some: F.size(F.filter(some, lambda b: b < key))
+    if len(bounds) <= step:
+        return below(listed(bounds))
+    coarse = below(listed(bounds[step - 1 :: step]))
+    return coarse * step + below(F.slice(listed(bounds), coarse * step + 1, F.lit(step)))
 
 
 def strings(column: pa.Array) -> list[str]:

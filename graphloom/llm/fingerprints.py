@@ -1,32 +1,35 @@
 """Document fingerprints: threshold-scaled sketches.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, so sketches of documents of any
-length can be merged and compared. Shingles are windows of SHINGLE bytes of the UTF-8 text; a shorter text is one
-shingle. The fraction is the smallest of 1, 1/2, ... 1/32 that leaves FEW distinct hashes, or 1 where none does;
-repeats do not count, so no text that isn't empty has an empty sketch. Two sketches are compared at the smaller of their fractions: the hashes of the finer
-one that lie below it are just what the coarser fraction would have kept.
-
-Defined results: a null text counts as empty; an empty text has an empty sketch ("1:"); equal sketches have
-likeness 1, and a sketch without hashes at the common fraction has likeness 0 with any other. Rows without an id come first, and rows
-that share an id follow in the order of their texts. Other columns are ignored.
+A sketch keeps every shingle hash below a fixed fraction of the hash range, 1/FRACTION for every document, so sketches
+of documents of any length can be merged and compared, a short one with what a very long one contains. Shingles are
+windows of SHINGLE bytes of the UTF-8 text; a shorter text is one shingle. Hashes have BITS bits. A text none of
+whose hashes is below the fraction keeps its smallest one, so only an empty text has an empty sketch; in a merge this
+hash goes as soon as there is one below the fraction, and else the smaller one stays.
+
+Error: an estimate from n hashes of the union has a standard deviation of sqrt(J (1 - J) / n); n is about an eighth of
+the bytes. Repetitive texts have few distinct shingles and are compared by the few hashes that they have.
+
+Defined results: a null text counts as empty; an empty text has an empty sketch ("8:"), whose likeness is 1 to another
+empty one and 0 to any other. Rows without an id come first, and rows that share an id follow in the order of the
+XXH64 hashes of their texts. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, order_key, parts, slices, strings
+from .common import LOWEST, mix64, order_key, parts, range_number, slices, sortable, sortable_text, strings
 
-SHINGLE, FEW, COARSEST = 16, 64, 5
+SHINGLE, BITS, FRACTION = 16, 48, 8
+LIMIT = np.uint64(2**BITS // FRACTION)
 STEP = 1 << 20
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, within_edited double, within_next double"
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_LIMITS = np.uint64(2**64 - 1) >> np.arange(COARSEST + 1, dtype=np.uint64)
-Sketch = tuple[int, np.ndarray]
 
 
 def window_hashes(data: np.ndarray) -> np.ndarray:
@@ -35,46 +38,26 @@ def window_hashes(data: np.ndarray) -> np.ndarray:
     while width < SHINGLE:
         h = mix64(h[:-width] * np.uint64(0xD6E8FEB86659FD93) + h[width:])
         width *= 2
-    return h
+    return h >> np.uint64(64 - BITS)
 
 
-def _distinct(text: np.ndarray) -> np.ndarray:
-    """All distinct hashes of a text, in ascending order."""
-    found = np.zeros(0, np.uint64)
-    for at in range(0, len(text) - SHINGLE + 1, STEP):
-        found = np.union1d(found, window_hashes(text[at : at + STEP + SHINGLE - 1]))
-    return found
+def _smallest(text: np.ndarray) -> np.ndarray:
+    return min(window_hashes(text[at : at + STEP + SHINGLE - 1]).min() for at in range(0, len(text) - SHINGLE + 1, STEP)).reshape(1)
 
 
-def _scaled(hashes: np.ndarray, power: int) -> Sketch:
-    """The coarsest sketch with FEW of the hashes, which are all below the fraction of `power`."""
-    while power < COARSEST and np.searchsorted(hashes, _LIMITS[power + 1], "right") >= FEW:
-        power += 1
-    return power, hashes[: np.searchsorted(hashes, _LIMITS[power], "right")]
-
-
-def sketch_all(texts: list[bytes]) -> list[Sketch]:
-    """(power of the fraction, sorted hashes) of each text."""
-    ends = np.cumsum([len(t) for t in texts])
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    sizes = ends - starts
-    windows = np.maximum(sizes - SHINGLE + 1, 0)
-    # the fraction to begin with leaves twice FEW, were all windows distinct
-    power = np.clip(np.log2(np.maximum(windows, 1) / (2 * FEW)).astype(int), 0, COARSEST)
-    limit = _LIMITS[power]
+def sketch_all(texts: list[bytes]) -> list[np.ndarray]:
+    """The ascending hashes that each text's sketch keeps. The texts are hashed as one string, STEP bytes at a time."""
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    owners, kept = [], []
+    owners, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for at in range(0, max(0, len(data) - SHINGLE + 1), STEP):
         h = window_hashes(data[at : at + STEP + SHINGLE - 1])
-        first, last = np.searchsorted(ends, [at, at + len(h) - 1], "right")
-        inside = np.minimum(ends[first : last + 1], at + len(h)) - np.maximum(starts[first : last + 1], at)
-        pos = np.nonzero(h <= np.repeat(limit[first : last + 1], inside))[0]
+        pos = np.nonzero(h < LIMIT)[0]
         owner = np.searchsorted(ends, pos + at, "right")
         whole = pos + at + SHINGLE <= ends[owner]
         owners.append(owner[whole])
         kept.append(h[pos[whole]])
-    owner = np.concatenate([*owners, np.zeros(0, np.int64)])
-    hashes = np.concatenate([*kept, np.zeros(0, np.uint64)])
+    owner, hashes = np.concatenate(owners), np.concatenate(kept)
     order = np.lexsort((hashes, owner))
     owner, hashes = owner[order], hashes[order]
     new = np.ones(len(owner), bool)
@@ -82,49 +65,47 @@ def sketch_all(texts: list[bytes]) -> list[Sketch]:
     owner, hashes = owner[new], hashes[new]
     cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
     out = []
-    for i in range(len(texts)):
-        own, begin = hashes[cuts[i] : cuts[i + 1]], int(power[i])
-        if begin and len(own) < FEW:
-            own, begin = _distinct(data[starts[i] : ends[i]]), 0
-        out.append(_scaled(own, begin))
-    for i in np.nonzero((sizes > 0) & (sizes < SHINGLE))[0]:
-        out[i] = (0, np.frombuffer(hashlib.sha256(texts[i]).digest()[:8], ">u8").astype(np.uint64))
+    for i, text in enumerate(texts):
+        own = hashes[cuts[i] : cuts[i + 1]]
+        if not len(own) and text:
+            if len(text) < SHINGLE:
+                own = np.frombuffer(hashlib.sha256(text).digest()[:8], ">u8").astype(np.uint64) >> np.uint64(64 - BITS)
+            else:
+                own = _smallest(np.frombuffer(text, np.uint8))
+        out.append(own)
     return out
 
 
-def written(sketch: Sketch) -> str:
-    """1/fraction in decimal, a colon, the hashes in ascending order as 16 hex digits each."""
-    return f"{1 << sketch[0]}:{sketch[1].astype('>u8').tobytes().hex()}"
+def written(sketch: np.ndarray) -> str:
+    """FRACTION in decimal, a colon, and the ascending hashes, six bytes each and the highest first, in Base64."""
+    return f"{FRACTION}:{base64.b64encode(sketch.astype('>u8').view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()}"
 
 
-def parsed(text: str) -> Sketch:
+def parsed(text: str) -> np.ndarray:
     scale, _, body = text.partition(":")
-    return int(scale).bit_length() - 1, np.frombuffer(bytes.fromhex(body), ">u8").astype(np.uint64)
-
-
-def _level(a: Sketch, b: Sketch) -> tuple[int, np.ndarray, np.ndarray]:
-    power = max(a[0], b[0])
-    limit = np.uint64(2**64 - 1) >> np.uint64(power)
-    return power, *(x[1] if x[0] == power else x[1][: np.searchsorted(x[1], limit, "right")] for x in (a, b))
+    if int(scale) != FRACTION:
+        raise ValueError(f"a sketch of another fraction: 1/{scale}")
+    raw = np.frombuffer(base64.b64decode(body), np.uint8).reshape(-1, 6)
+    return np.pad(raw, ((0, 0), (2, 0))).reshape(-1).view(">u8").astype(np.uint64)
 
 
-def merged(a: Sketch, b: Sketch) -> Sketch:
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of two documents taken as one set of shingles."""
-    power, x, y = _level(a, b)
-    return power, np.union1d(x, y)
+    both = np.union1d(a, b)
+    below = int(np.searchsorted(both, LIMIT))
+    return both[: below or 1]
 
 
-def compared(a: Sketch, b: Sketch) -> tuple[float, float]:
+def compared(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     """(likeness, share of the first that the second contains)."""
-    power, x, y = _level(a, b)
-    if not len(x) or not len(y):
-        same = float(power == 0 and len(x) == len(y))
+    if not len(a) or not len(b):
+        same = float(len(a) == len(b))
         return same, same
-    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-    return both / (len(x) + len(y) - both), both / len(x)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both), both / len(a)
 
 
-def _row(doc_id, text: str, edited: bytes, own: Sketch, changed: Sketch, following: Sketch) -> tuple:
+def _row(doc_id, text: str, edited: bytes, own: np.ndarray, changed: np.ndarray, following: np.ndarray) -> tuple:
     near_edited, within_edited = compared(own, changed)
     near_next, within_next = compared(own, following)
     return doc_id, len(text), hashlib.sha256(edited).hexdigest(), written(own), written(changed), near_edited, near_next, within_edited, within_next
@@ -137,50 +118,53 @@ def _answer(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _with_next(batches):
-    """Rows of a bucket arrive in order, the copy of the next bucket's first row after them."""
+    """Rows of a range arrive in order, the copy of the next range's first row after them."""
     held = None  # the last row, which waits for the one after it
     for batch in batches:
         table = batch.to_pydict()
-        rows = list(zip(table["bucket"], table["doc_id"], table["copy"], (t or "" for t in table["text"]), strict=True))
+        rows = list(zip(table["place"], table["doc_id"], table["copy"], (t or "" for t in table["text"]), strict=True))
         for a, b in slices([len(r[3]) for r in rows], 2 << 20):
             some = ([held] if held else []) + rows[a:b]
             held = some[-1]
-            pairs = [(x, y) for x, y in zip(some, some[1:]) if not x[2] and x[0] == y[0]]
-            texts = [r[3].encode() for r in some]
-            own = dict(zip(map(id, some), sketch_all(texts), strict=True))
+            pairs = [(i, x, some[i + 1]) for i, x in enumerate(some[:-1]) if not x[2] and x[0] == some[i + 1][0]]
+            own = sketch_all([r[3].encode() for r in some])
             edits = []
-            for x, y in pairs:
+            for _, x, y in pairs:
                 n = len(x[3])
                 edits.append((x[3][: n - n // 2] + y[3][: n // 2]).encode())
-            changed = sketch_all(edits) if edits else []
-            yield _answer([_row(x[1], x[3], e, own[id(x)], c, own[id(y)]) for (x, y), e, c in zip(pairs, edits, changed, strict=True)])
+            yield _answer([_row(x[1], x[3], e, own[i], c, own[i + 1]) for (i, x, _), e, c in zip(pairs, edits, sketch_all(edits), strict=True)])
+
+
+def _bounds(rows: DataFrame, n: int) -> list[str]:
+    """Bounds of about n ranges by (id, text hash): n approximate quantiles of the ids; an id that is several of them, so has
+    the rows of several ranges, is cut by text hash.
+    """
+    found = rows.agg(F.percentile_approx("at", [(i + 1) / n for i in range(n - 1)] or [0.5], 20 * n)).first()[0] if n > 1 else []
+    times: dict[int, int] = {}
+    for x in found or []:
+        times[x] = times.get(x, 0) + 1
+    return [sortable_text(x, LOWEST + (j << 64) // m - 1) for x, m in sorted(times.items()) for j in range(1, m + 1)]
 
 
 def fingerprint_with_next(docs: DataFrame) -> DataFrame:
     """Sketches of each document, of its edited text, and their likeness to it and to the next document.
 
-    One shuffle moves each text once: ids are cut into contiguous ranges at approximate quantiles (as many numbers
-    on the driver as there are ranges), and each range also gets a copy of the row that follows it.
+    One shuffle moves each text once: rows are cut into contiguous ranges (the driver has as many bounds as there are
+    ranges), and each range also gets a copy of the row that follows it. The table of these rows' keys is broadcast; it has
+    one row for each range.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("at", order_key())
-    n = parts(docs)
-    found = rows.agg(F.percentile_approx("at", [(i + 1) / n for i in range(n - 1)] or [0.5], 20 * n)).first()[0]
-    bounds = sorted(set(found or []))
-    if n == 1:
-        bounds = []
-    ranges = F.array(*[F.lit(b).cast("long") for b in bounds])
-    place = F.size(F.filter(ranges, lambda b: b < F.col("at"))) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", place)
-    firsts = {r["bucket"]: r["first"] for r in rows.groupBy("bucket").agg(F.min("at").alias("first")).collect()}
-    used = sorted(firsts)
-    before = {firsts[b]: used[i - 1] for i, b in enumerate(used)}
-    copies = rows.where(F.col("at").isin(list(before)))
-    if before:
-        to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-        copies = copies.withColumn("bucket", to[F.col("at")].cast("int"))
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("at", order_key()).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    bounds = _bounds(rows, parts(docs))
+    rows = rows.withColumn("place", range_number(sortable(F.col("at"), F.col("h")), bounds).cast("int"))
+    firsts = rows.groupBy("place").agg(F.min(F.struct("at", "h")).alias("first")).orderBy("place").select("place", "first.*").collect()
+    to = [(r["at"], r["h"], firsts[i - 1]["place"]) for i, r in enumerate(firsts)]
+    keys = spark.createDataFrame(to, "at long, h long, before int")
+    copies = rows.drop("place").join(F.broadcast(keys), ["at", "h"]).withColumnRenamed("before", "place")
     every = rows.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
-    dealt = every.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "copy", "at", "text")
-    return dealt.select("bucket", "doc_id", "copy", "text").mapInArrow(_with_next, SCHEMA)
+    dealt = every.repartitionById(len(bounds) + 1, F.col("place")).sortWithinPartitions("place", "copy", "at", "h", "text")
+    return dealt.select("place", "doc_id", "copy", "text").mapInArrow(_with_next, SCHEMA)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

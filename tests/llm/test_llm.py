@@ -56,38 +56,96 @@ def docs(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
 
 
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def plain_window(w):
+    if len(w) == 1:
+        return plain_mix((w[0] + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    half = len(w) // 2
+    return plain_mix((plain_window(w[:half]) * 0xD6E8FEB86659FD93 + plain_window(w[half:])) % 2**64)
+
+
+def plain_sketch(text):
+    """The hashes of a text's 16-byte windows below an eighth of the range, else the smallest, one window at a time."""
+    if len(text) < 16:
+        hashes = {int.from_bytes(hashlib.sha256(text).digest()[:6], "big")} if text else set()
+    else:
+        hashes = {plain_window(w) >> 16 for w in {text[i : i + 16] for i in range(len(text) - 15)}}
+    return {h for h in hashes if h < 2**45} or set(sorted(hashes)[:1])
+
+
+def plain_likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def written_set(s):
+    import base64
+
+    return "8:" + base64.b64encode(b"".join(h.to_bytes(6, "big") for h in sorted(s))).decode()
+
+
 def next_of(some):
-    order = sorted(some, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    order = sorted(some, key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode(), 42) + 2**63 & 2**64 - 1))
     return [(a, b) for a, b in zip(order, order[1:] + order[:1])]
 
 
-@pytest.mark.parametrize("which", ["odd", "docs"])
-def test_fingerprint_rows(spark, which, odd, docs):
-    some = ODD if which == "odd" else [(r["doc_id"], r["text"]) for r in docs.collect()]
-    found = fingerprints.fingerprint_with_next(odd if which == "odd" else docs).collect()
-    want = []
+@pytest.mark.parametrize("which", ["odd", "docs", "hot"])
+def test_fingerprint_rows(spark, monkeypatch, which, odd, docs):
+    """Every column against sketches made window by window; `hot`: some rows share an id, most lack one, in 16 ranges."""
+    if which == "hot":
+        monkeypatch.setattr(fingerprints, "parts", lambda _: 16)
+    hot = [(None if i % 3 else 7, f"{i} text of its own") for i in range(60)] + [(i, "x" * i) for i in range(20)]
+    some = {"odd": ODD, "hot": hot}.get(which) or [(r["doc_id"], r["text"]) for r in docs.where("doc_id < 40").collect()]
+    frame = {"odd": odd, "hot": rows(spark, hot)}.get(which) or docs.where("doc_id < 40")
+    found = fingerprints.fingerprint_with_next(frame).collect()
+    made, want = {}, []
+    sketch = lambda b: made.setdefault(b, plain_sketch(b))
     for (i, t), (_, u) in next_of(some):
         t, u = t or "", u or ""
         edited = (t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()
-        a, b, c = (fingerprints.sketch_all([x])[0] for x in (t.encode(), edited, u.encode()))
-        want.append((i, len(t), hashlib.sha256(edited).hexdigest(), fingerprints.written(a), fingerprints.written(b), fingerprints.compared(a, b)[0], fingerprints.compared(a, c)[0]))
+        a, b, c = sketch(t.encode()), sketch(edited), sketch(u.encode())
+        want.append((i, len(t), hashlib.sha256(edited).hexdigest(), written_set(a), written_set(b), plain_likeness(a, b), plain_likeness(a, c)))
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:7]) for r in found)
 
 
-def test_sketch_estimates():
+def test_fingerprints_of_an_empty_table(empty, odd):
+    assert fingerprints.fingerprint_with_next(empty).count() == 0 and fingerprints.fingerprints(empty).count() == 0
+    assert {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(odd).collect()}[7] == "8:"
+
+
+def test_sketch_errors():
+    """Estimates of likeness and containment lie about the true values of the shingle sets, with the error the docstring states."""
     rng = np.random.default_rng(3)
-    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(4000)]
-    text = " ".join(words).encode()
-    half, whole = fingerprints.sketch_all([text[: len(text) // 4], text])
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
     grams = lambda x: {x[i : i + 16] for i in range(len(x) - 15)}
-    true = len(grams(text[: len(text) // 4])) / len(grams(text))
-    assert abs(fingerprints.compared(half, whole)[0] - true) < 0.06
-    assert fingerprints.compared(half, whole)[1] > 0.95
-    assert fingerprints.parsed(fingerprints.written(whole))[1].tolist() == whole[1].tolist()
-    rest = fingerprints.sketch_all([text[len(text) // 4 - 15 :]])[0]
-    both = fingerprints.merged(half, rest)
-    assert set(both[1].tolist()) == set(fingerprints.sketch_all([text])[0][1].tolist())
-    assert fingerprints.sketch_all([b""])[0][1].size == 0
+    scores = []
+    for size in (60, 60, 60, 400, 400, 3000):
+        long = " ".join(word() for _ in range(size * 8)).encode()
+        short = long[: size * 3] + " ".join(word() for _ in range(size // 2)).encode()
+        a, b = fingerprints.sketch_all([short, long])
+        likeness, within = fingerprints.compared(a, b)
+        x, y = grams(short), grams(long)
+        for got_, true, n in ((likeness, len(x & y) / len(x | y), len(x | y) / 8), (within, len(x & y) / len(x), len(x) / 8)):
+            scores.append((got_ - true) / (true * (1 - true) / n) ** 0.5)
+        assert fingerprints.parsed(fingerprints.written(b)).tolist() == b.tolist()
+        assert fingerprints.merged(a, b).tolist() == sorted(set(a.tolist()) | set(b.tolist()))
+    assert max(map(abs, scores)) < 4 and np.sqrt(np.mean(np.square(scores))) < 1.6
+
+
+def test_sketches_of_repetitive_texts():
+    texts = [*((w + " ").encode() * 40_000 for w in ("word", "Der", "The", "is")), b"x" * 5000, b"y" * 5000, b"tiny", b""]
+    found = fingerprints.sketch_all(texts)
+    for t, own in zip(texts, found):
+        assert set(own.tolist()) == plain_sketch(t[:400] if len(t) > 4000 else t) and bool(t) == bool(len(own))
+    for i, a in enumerate(found):
+        for j, b in enumerate(found):
+            assert (fingerprints.compared(a, b)[0] == 1) == (i == j)
+    alone = [np.array([x], np.uint64) for x in (2**46, 2**47, 5)]
+    assert fingerprints.merged(*alone[:2]).tolist() == [2**46] and fingerprints.merged(*alone[1:]).tolist() == [5]
 
 
 def test_language_held_out(spark):

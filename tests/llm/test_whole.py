@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from graphloom.llm import fingerprints, language, perplexity, simhash, wordgrams
+from graphloom.llm import language, perplexity, simhash, wordgrams
 
 
 def plain_word_model(texts):
@@ -59,23 +59,6 @@ def test_quality_is_judged_by_words(spark, monkeypatch, heavy):
     assert [x for _, x in found] == pytest.approx([x for _, x in want], rel=1e-9)
 
 
-def test_repetitive_texts_have_sketches():
-    rng = np.random.default_rng(4)
-    prose = " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)).encode()
-    texts = [*((w + " ").encode() * 40_000 for w in ("word", "Der", "The", "is")), b"x" * 5000, b"y" * 5000, prose, prose[:700], b"tiny", b""]
-    found = fingerprints.sketch_all(texts)
-    for t, (power, hashes) in zip(texts, found):
-        grams = {t[i : i + 16] for i in range(len(t) - 15)}
-        every = np.unique(fingerprints.window_hashes(np.frombuffer(b"".join(sorted(grams)), np.uint8))[::16]) if grams else hashes
-        counts = [np.searchsorted(every, (1 << 64 - p) - 1, "right") for p in range(6)]
-        assert power == max([p for p in range(6) if counts[p] >= fingerprints.FEW], default=0)
-        assert hashes.tolist() == every[: counts[power]].tolist() and bool(t) == bool(len(hashes))
-    for i, a in enumerate(found):
-        for j, b in enumerate(found):
-            assert (fingerprints.compared(a, b)[0] == 1) == (i == j)
-    assert fingerprints.compared(fingerprints.parsed("32:"), fingerprints.parsed("32:"))[0] == 0
-
-
 def test_every_language_is_learned(spark):
     rows = [(100 * k + i, f"l{k:02d}", " ".join(chr(97 + k % 26) + chr(97 + k // 26) + w for w in ("one", "two", "three") * 4)) for k in range(40) for i in range(2 if k else 1)]
     rows.append((9000, "long", "quaxz quuxz " * (language.LONGEST // 6)))
