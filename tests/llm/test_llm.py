@@ -17,7 +17,8 @@ from graphloom.llm import bpe, decontaminate, fingerprints, language, lines, per
 from graphloom.llm.queries import QUERIES, fold
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, at string, shard string, bucket string, gram string, file string"
+CLASHING = "fp at shard bucket gram file _at _lost n_lines n_dropped _items _spans _n_words _n_hit k1 k2 place copy row bits".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 LINE = "this very common line has more than forty characters in it"
 ODD = [
     (5, None),
@@ -34,7 +35,7 @@ ODD = [
 
 
 def rows(spark, some):
-    return spark.createDataFrame([(i, t, "en" if i and i % 2 else None, "s", None, "x", "x", "x", "x", "x", "x") for i, t in some], SCHEMA)
+    return spark.createDataFrame([(i, t, "en" if i and i % 2 else None, "s", None, *["mine"] * len(CLASHING)) for i, t in some], SCHEMA)
 
 
 def got(df, *keys):
@@ -229,42 +230,85 @@ def test_simhash(which, odd, docs):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in simhash.near_duplicates(odd if which == "odd" else docs).collect())
 
 
-def test_simhash_groups_of_any_size():
+@pytest.mark.parametrize("size", [12, 900])
+def test_simhash_groups_of_any_size(size):
+    """Within a bucket (equal in the chain's first segment) the groups are those of all pairs that keep the chain and the limit."""
     rng = np.random.default_rng(5)
-    heads = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    fps = set(heads.tolist())
-    for _ in range(900):
-        x = int(rng.choice(heads))
-        for b in rng.integers(0, 64, rng.integers(0, 9)):
-            x ^= 1 << int(b)
-        fps.add(x)
-    fps = np.array(sorted(fps), np.uint64)
-    want = plain_components(list(range(len(fps))), fps.tolist())
-    assert simhash.groups(fps, 0).tolist() != list(range(len(fps)))
-    same = {}
-    assert all(same.setdefault(a, b) == b for a, b in zip(simhash.groups(fps, 0).tolist(), want)) and len(same) == len(set(want))
-
-
-def test_simhash_links_lose_nothing(spark):
+    for start in range(5):
+        mask = ((1 << simhash.WIDTHS[start]) - 1) << simhash.OFFSETS[start]
+        fps = set()
+        heads = [int(x) & ~mask | 5 << simhash.OFFSETS[start] for x in rng.integers(0, 2**63, size // 20 + 1, dtype=np.uint64)]
+        while len(fps) < size:
+            x = heads[int(rng.integers(len(heads)))]
+            for b in rng.integers(0, 64, rng.integers(0, 7)):
+                x ^= (1 << int(b)) & ~mask
+            fps.add(x)
+        fps = sorted(fps)
+
+        def holds(x):
+            total, ok = 0, True
+            for step, budget in enumerate([0, 1, 2, 3, 4]):
+                k = (start + step) % 5
+                total += (x >> simhash.OFFSETS[k] & (1 << simhash.WIDTHS[k]) - 1).bit_count()
+                ok &= total <= budget
+            return ok
+
+        near = [[j for j in range(i) if holds(fps[i] ^ fps[j])] for i in range(size)]
+        parent = list(range(size))
+
+        def root(a):
+            while parent[a] != a:
+                a = parent[a]
+            return a
+
+        for i, some in enumerate(near):
+            for j in some:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+        assert simhash.groups(np.array(fps, np.uint64), start).tolist() == [root(i) for i in range(size)]
+
+
+@pytest.mark.parametrize("block", [1 << 14, 7, 1])
+def test_simhash_links_lose_nothing(spark, block):
+    """Also where buckets are taken apart into blocks of 7 fingerprints, or of one."""
     rng = np.random.default_rng(6)
     fps = []
     for x in rng.integers(0, 2**63, 300, dtype=np.uint64).tolist():
         fps.append(x)
+        if len(fps) == 1:  # one large group, whose buckets are the largest
+            fps += [x ^ sum(1 << int(b) for b in rng.choice(64, 2, replace=False)) for _ in range(90)]
         for n in (1, 4, 4, 5):
             fps.append(x ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False)))
     fps = sorted(set(fps))
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     frame = spark.createDataFrame([(f,) for f in signed], "fp long")
-    roots = {r["u"]: r["root"] for r in simhash.components(simhash.links(frame)).collect()}
+    roots = {r["u"]: r["root"] for r in simhash.components(simhash.links(frame, block)).collect()}
     names = [roots.get(f, f) for f in signed]
     want = plain_components(list(range(len(fps))), fps)
     pairs = set(zip(names, want))
     assert len(pairs) == len(set(want)) == len(set(names))
 
 
-def test_representatives(odd, empty):
-    kept = simhash.representatives(odd)
-    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == sorted({r["component_id"] for r in simhash.near_duplicates(odd).collect()} - {None})
+def plain_representatives(some):
+    """One (id, text) of each component: of the smallest id, by brute force; of ids that are equal or missing any."""
+    comps = {}
+    fps = [plain_fingerprint(t) for _, t in some]
+    for i, label in enumerate(plain_components(list(range(len(some))), fps)):
+        comps.setdefault(label, []).append(some[i])
+    return [min((i for i, _ in own if i is not None), default=None) for own in comps.values()], list(comps.values())
+
+
+def test_representatives(spark, odd, empty):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in ("apple", "berry", "cherry"))
+    shared = [(5, a), (5, b), (None, a), (None, a), (None, c), (None, c), (6, b), (6, b)]
+    for some, frame in ((ODD, odd), (shared, rows(spark, shared))):
+        kept = simhash.representatives(frame)
+        found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        ids, comps = plain_representatives(some)
+        assert kept.columns == frame.columns and len(found) == len(comps)
+        for want, own in zip(ids, comps):
+            (one,) = [r for r in found if r in own]
+            assert one[0] == want
     assert simhash.representatives(empty).count() == 0
 
 
