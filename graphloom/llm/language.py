@@ -1,12 +1,15 @@
 """Language ID: a linear-chain conditional random field over the words of a text.
 
-Each word (a run of letters, lower-cased) has prefix, suffix, character n-gram and lexicon features; the labels of
+Each word (a run of letters with the marks that combine with them, lower-cased) has prefix, suffix, character n-gram and lexicon features; the labels of
 neighbouring words are tied by learned transitions, and forward-backward gives every word's label distribution, so
 code-switched text is labelled word by word. The document's language has the largest mean probability.
 
 Fitting takes a bounded sample on the driver: about PER_LANG texts of every language; texts over LONGEST characters
 are drawn as pieces of that length. Training sequences splice pieces of several texts, so that
-transitions see switches. Prediction covers every word of every text in bounded memory.
+transitions see switches. Prediction covers every word of every text. Texts of up to LONG characters are labelled in
+lockstep; a longer one CHUNK words at a time: one pass forward keeps the state before each chunk, one backward reads the
+chunks again. In a chunk, about sqrt(words) segments go in lockstep, once for the products of their steps, which
+give each segment the states at its ends, and once for its words. So beside the text itself memory is bounded.
 
 Defined results: null text, empty text or text without letters gives `und` with score 0; with nothing to learn
 from every text is `und`. Repeated rows are labelled alike; other columns are ignored.
@@ -15,23 +18,35 @@ from every text is `und`. Repeated rows are labelled alike; other columns are ig
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import mix64, slices, strings
 
 PER_LANG, LONGEST = 300, 50_000
 TABLE, LEXICON = 1 << 15, 4000
-WORD = re.compile(r"[^\W\d_]+")
+WORD, ASCII_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*"), re.compile("[a-z]+")
 KINDS = 8  # prefixes and suffixes of 1 to 3 characters, bigrams, trigrams
 CACHE = 200_000
+LONG, CHUNK = 1 << 15, 1 << 16  # characters, words
 SLICE, NEW = 1 << 20, 1 << 17  # characters: of texts labelled together, of words whose scores are found together
 #: a filter rejects documents without letters, and those whose words are this unlikely to be of the languages found for them
 LEAST = 0.4
 
 
+def _pattern(lower: str):
+    return ASCII_WORD if lower.isascii() else WORD
+
+
+def words_of(text: str) -> list[str]:
+    lower = text.lower()
+    return _pattern(lower).findall(lower)
+
+
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word number, row of the weight table) of every affix and n-gram."""
     codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -116,9 +131,58 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray, f
     return p[place], pairs
 
 
+def _even(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(-1, keepdims=True)
+
+
+def chunk_products(e: np.ndarray, step: np.ndarray, opens: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's words (rows of exponentiated scores) cut into segments: the scores by place and segment, where there are
+    words, and of each segment the product of its steps. `opens`: no step leads to the first word.
+    """
+    n, k = e.shape
+    size = int(np.ceil(np.sqrt(n)))
+    parts = -(-n // size)
+    laid = np.ones((parts * size, k))
+    laid[:n] = e
+    laid, there = laid.reshape(parts, size, k).swapaxes(0, 1), (np.arange(parts * size) < n).reshape(parts, size).T
+    product = np.broadcast_to(np.eye(k), (parts, k, k)).copy()
+    for t in range(size):
+        moved = product @ step
+        if opens and t == 0:
+            moved[0] = product[0]
+        moved *= laid[t][:, None, :]
+        product[there[t]] = (moved / moved.sum((1, 2), keepdims=True))[there[t]]
+    return laid, there, product
+
+
+def chunk_labels(e: np.ndarray, step: np.ndarray, opens: bool, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Label distribution of a chunk's words between the forward state before it and the backward state behind it; and
+    the backward state before it.
+    """
+    laid, there, product = chunk_products(e, step, opens)
+    size, parts, k = laid.shape
+    now, then = np.empty((parts, k)), np.empty((parts, k))
+    now[0], then[-1] = before, after
+    for i in range(1, parts):
+        now[i] = _even(now[i - 1] @ product[i - 1])
+        then[-1 - i] = _even(product[-i] @ then[-i])
+    first = _even(product[0] @ then[0])
+    ahead = np.empty_like(laid)
+    for t in range(size):
+        moved = now @ step
+        if opens and t == 0:
+            moved[0] = now[0]
+        now = np.where(there[t][:, None], _even(moved * laid[t]), now)
+        ahead[t] = now
+    for t in range(size - 1, -1, -1):
+        ahead[t] = _even(ahead[t] * then)
+        then = np.where(there[t][:, None], _even((laid[t] * then) @ step.T), then)
+    return ahead.swapaxes(0, 1).reshape(-1, k)[: len(e)], first
+
+
 def fit(texts: list[str], labels: list[str], seed: int = 7, sequences: int = 4000, length: int = 40, rate: float = 0.5) -> Model | None:
     """Maximises the likelihood of the labels of spliced sequences by AdaGrad steps."""
-    docs = [(w, y) for t, y in zip(texts, labels, strict=True) if (w := WORD.findall(t.lower()))]
+    docs = [(w, y) for t, y in zip(texts, labels, strict=True) if (w := words_of(t))]
     if not docs:
         return None
     langs = sorted({y for _, y in docs})
@@ -196,8 +260,8 @@ def learn(docs: DataFrame, learnable=None) -> Model | None:
 class Labeller:
     """A model with the scores of the words met so far, up to CACHE of them."""
 
-    def __init__(self, model: Model | None):
-        self.model = model
+    def __init__(self, model: Model | None, long: int = LONG, chunk: int = CHUNK):
+        self.model, self.long, self.chunk = model, long, chunk
         self.ids: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.langs) if model else 0), np.float32)
 
@@ -213,12 +277,37 @@ class Labeller:
 
     def words(self, text: str) -> list[tuple[str, str, float]]:
         """Each word with its own language and that language's probability."""
-        if not (words := WORD.findall(text.lower())) or not self.model:
+        if not (words := words_of(text)) or not self.model:
             return []
         p, _ = forward_backward(self._known(words), np.array([len(words)]), self.model.moves, self.model.first)
         best = p.argmax(1)
         return [(w, self.model.langs[k], float(p[i, k])) for i, (w, k) in enumerate(zip(words, best, strict=True))]
 
+    def _scores(self, words: list[str]) -> np.ndarray:
+        e = self._known(words).astype(np.float64)
+        return np.exp(e - e.max(1, keepdims=True))
+
+    def long_sums(self, text: str) -> tuple[int, np.ndarray, float]:
+        """Number of words, the sums of their distributions and of their best probabilities, a chunk at a time."""
+        lower = text.lower()
+        pattern, step, k = _pattern(lower), np.exp(self.model.moves.astype(np.float64)), len(self.model.langs)
+
+        def words_from(at):
+            found = [(m.group(), m.end()) for m in islice(pattern.finditer(lower, at), self.chunk)]
+            return [w for w, _ in found], found[-1][1] if found else at
+
+        begun, at, state = [], 0, _even(np.exp(self.model.first.astype(np.float64)))
+        while (some := words_from(at))[0]:
+            begun.append((at, state))
+            for product in chunk_products(self._scores(some[0]), step, not at)[2]:
+                state = _even(state @ product)
+            at = some[1]
+        n, sums, sure, state = 0, np.zeros(k), 0.0, np.full(k, 1 / k)
+        for at, before in reversed(begun):
+            p, state = chunk_labels(self._scores(words_from(at)[0]), step, not at, before, state)
+            n, sums, sure = n + len(p), sums + p.sum(0), sure + float(p.max(1).sum())
+        return n, sums, sure
+
     def documents(self, texts: list[str]) -> list[tuple[str, float]]:
         """The language of each text and its mean probability."""
         return [(lang, score) for lang, score, _ in self.judged(texts)]
@@ -228,11 +317,20 @@ class Labeller:
         out = [("und", 0.0, 0.0)] * len(texts)
         if not self.model:
             return out
-        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))  # texts that take about as many steps go together
+        short = []
+        for i, text in enumerate(texts):
+            if len(text) <= self.long:
+                short.append(i)
+            else:
+                n, sums, sure = self.long_sums(text)
+                if n:
+                    k = int(sums.argmax())
+                    out[i] = (self.model.langs[k], min(1.0, float(sums[k] / n)), min(1.0, sure / n))
+        order = sorted(short, key=lambda i: len(texts[i]))  # texts that take about as many steps go together
         for a, b in slices([len(texts[i]) for i in order], SLICE):
             words, sizes, which = [], [], []
             for i in order[a:b]:
-                if found := WORD.findall(texts[i].lower()):
+                if found := words_of(texts[i]):
                     words += found
                     sizes.append(len(found))
                     which.append(i)

@@ -188,6 +188,24 @@ def test_forward_backward_is_exact():
     assert np.allclose(pairs, want_pairs)
 
 
+def test_long_texts_are_labelled_alike(docs):
+    """By chunks of any number of words, a text gets what one pass over all its words gives."""
+    model = language.learn(docs)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(12).collect()]
+    texts += [" ".join(texts), "\n".join(reversed(texts)), "one", "2 3", "", "½ ² Ⅷ"]
+    want = language.Labeller(model, long=1 << 40).judged(texts)
+    for chunk in (1, 2, 7, 100, 1000, 1 << 16):
+        found = language.Labeller(model, long=-1, chunk=chunk).judged(texts)
+        assert [x[0] for x in found] == [x[0] for x in want]
+        assert np.allclose([x[1:] for x in found], [x[1:] for x in want], atol=1e-5)
+    assert want[-3:] == [("und", 0.0, 0.0)] * 3
+
+
+def test_words_are_letters_with_their_marks():
+    assert language.words_of("Don't हिन्दी ½x² Ⅷ Éa1b_c İx") == ["don", "t", "हिन्दी", "x", "éa", "b", "c", "i̇x"]
+    assert language.words_of("Ab 1c_D") == ["ab", "c", "d"]
+
+
 def test_language_odd(odd, empty):
     model = language.fit(["the cat and the dog " * 30, "der hund und die katze " * 30], ["en", "de"])
     found = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language.predict(odd, model).collect()]
