@@ -44,8 +44,27 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder through Hadoop's file system, so any store will do."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path, store = _file_system(spark, folder)
+    store.delete(path, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made, made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a short text into a file, in place of what was there."""
+    made, store = _file_system(spark, path)
+    out = store.create(made, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
 def size_hint(df: DataFrame) -> int:

@@ -376,17 +376,52 @@ def plain_lines(some):
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_lines(which, odd, docs):
     some = ODD if which == "odd" else [(r["doc_id"], r["text"]) for r in docs.collect()]
-    found = lines.drop_repeated_lines(odd if which == "odd" else docs).collect()
-    assert sorted(map(repr, plain_lines(some))) == sorted(repr((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "")) for r in found)
+    frame = odd if which == "odd" else docs
+    found = lines.drop_repeated_lines(frame)
+    a, b = lines.counts_of(frame)
+    assert found.columns == [*frame.columns, a, b]
+    found = found.collect()
+    assert sorted(map(repr, plain_lines(some))) == sorted(repr((r["doc_id"], r[a], r[b], r["text"] or "")) for r in found)
+    if which == "odd":
+        assert {(r["n_lines"], r["_at"], r["_lost"]) for r in found} == {("mine",) * 3}
+
+
+def test_lines_of_rows_without_an_id(spark):
+    """Rows that have no id lose their own frequent lines only, each by its own text."""
+    some = [(None, f"{LINE}\nand row {i} has a line of its own {'x' * 30}") for i in range(12)] + [(3, LINE)]
+    found = lines.drop_repeated_lines(rows(spark, some)).collect()
+    assert sorted(map(repr, plain_lines(some))) == sorted(repr((r["doc_id"], r["n_lines_"], r["n_dropped_"], r["text"] or "")) for r in found)
 
 
 def test_line_runs(spark, empty):
     assert lines.drop_repeated_lines(empty).count() == 0
     runs = lines.LineRuns(spark)
+    hashes = "h1 long, h2 long, n long, owner long"
     for batch in ([(1, 1, 3, 90), (2, 2, 1, 80)], [(1, 1, 2, 70), (3, 3, 1, 60)], [(3, 3, 9, 50), (4, 4, 1, 40)]):
-        runs.add(spark.createDataFrame(batch, "h1 long, h2 long, n long, owner long"))
-    assert sorted(map(tuple, runs.compacted().collect())) == [(1, 1, 5, 90), (2, 2, 1, 80), (3, 3, 10, 60), (4, 4, 1, 40)]
-    assert sorted(map(tuple, runs.unseen(spark.createDataFrame([(1, 1), (5, 5)], "h1 long, h2 long")).collect())) == [(5, 5)]
+        runs.add(spark.createDataFrame(batch, hashes))
+    assert [len(level) for level in runs.levels] == [1, 1]
+    asked = spark.createDataFrame([(1, 1), (5, 5)], "h1 long, h2 long")
+    assert sorted(map(tuple, runs.unseen(asked).collect())) == [(5, 5)]
+    runs.close(keep=True)
+    again = lines.LineRuns.reopened(spark, runs.folder)
+    again.add(spark.createDataFrame([(4, 4, 2, 30), (6, 6, 1, 20)], hashes))
+    assert sorted(map(tuple, again.unseen(asked.union(spark.createDataFrame([(6, 6)], "h1 long, h2 long"))).collect())) == [(5, 5)]
+    assert sorted(map(tuple, again.compacted().collect())) == [(1, 1, 5, 90), (2, 2, 1, 80), (3, 3, 10, 60), (4, 4, 3, 40), (6, 6, 1, 20)]
+    again.close()
+
+
+def test_runs_are_merged_in_order(spark):
+    """Neither the anti-join with runs nor the merge of two runs shuffles or sorts a run."""
+    runs = lines.LineRuns(spark)
+    for k in range(3):
+        runs.add(spark.createDataFrame([(i * 7919 % 1009, i, 1, k) for i in range(100 * k, 100 * k + 150)], "h1 long, h2 long, n long, owner long"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    with lines.in_order(spark):
+        a, b = runs.runs()
+        two = plan(runs.merged(a, b))
+        one = plan(runs.unseen(spark.range(10).selectExpr("id AS h1", "id AS h2").repartition(runs.buckets, "h1", "h2")))
+    assert two.count("SortMergeJoin") == 1 and two.count("Sort [") == two.count("Exchange") == 0
+    assert one.count("SortMergeJoin") == 2 and one.count("Sort [") == one.count("Exchange hash") == 1
     runs.close()
 
 
