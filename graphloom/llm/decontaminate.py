@@ -1,82 +1,89 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Words are the runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters. A text becomes its words
-joined by single spaces, and so do the benchmark's windows of WINDOW consecutive words (an item with fewer words is
-one window); the automaton holds every distinct window with a space at either end. One scan of a text finds all
-windows, and the places found are mapped to word numbers and to offsets of the original text.
+Words are the runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters. The automaton's alphabet is the
+benchmark's own words, one symbol each, and it holds every distinct window of WINDOW consecutive words of an item (an item
+with fewer words is one window). A text becomes one symbol for each word, with one symbol for all words that the benchmark
+does not have, and is scanned once; the places found are word ranges, which are mapped to offsets of the original text.
 
-An automaton takes about 450 bytes for each character of its items, so items are taken in blocks of at most BLOCK
-characters (a longer item is alone), whose items, not automata, are sent to the executors, SENT characters at most in
-one broadcast. With one block, a worker keeps its automaton; with more, it gathers texts of HELD characters and takes
-them past one block's automaton after the other, so one automaton is in memory at a time. No shuffle precedes.
+A word of an item takes about 0.8 KB of automaton, so an automaton is built from at most BLOCK words and BLOCK_BYTES bytes.
+The benchmark's size is looked at first: up to that bound, which real test sets of any usual size keep, its items come to
+the driver and are broadcast, a worker process builds the automaton once, and no shuffle precedes. A larger benchmark is cut into pieces that overlap by WINDOW - 1
+words and dealt over blocks by hash; each block is a scan of its own over all texts, builds its automaton once in a
+process and writes what it hits, by text hash; the hits are joined with the texts at the end. Both ways find the same.
 
 Defined results: null has no words; a text without words has no hits; an item without words has no window; items
-that share an id count once, an item without an id has the id "null". Texts of any length are scanned whole.
+that share an id count once, an item without an id has the id "null". Texts of any length are scanned whole. Columns that
+are added get underscores behind their names where the caller has such columns.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import strings
+from .common import cut, free_name, new_folder, strings
 
 WINDOW, SHARE = 13, 20
-BLOCK, SENT, HELD = 1 << 19, 32 << 20, 16 << 20
+BLOCK, BLOCK_BYTES, PIECE = 1 << 18, 16 << 20, 2048
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-#: a byte of the UTF-8 form is a character of the automaton
-_CODE = "latin-1"
+FIRST, SURROGATES = 0x100, (0xD800, 0xE000)
+OTHER = "\x01"
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_WORDS).split()
 
 
-def windows_of(items: list[tuple[str, str]]) -> dict[str, tuple[int, frozenset[str]]]:
-    """Each distinct window as the automaton takes it: its number of words and the items that have it."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
+def pieces_of(words: list[bytes], size: int = PIECE) -> list[list[bytes]]:
+    """Parts of an item that have all its windows between them, each of them in one."""
+    return [words[at : at + size + WINDOW - 1] for at in range(0, max(1, len(words) - WINDOW + 1), size)] if words else []
+
+
+class Machine:
+    """The automaton of (item, words joined by spaces) rows."""
+
+    def __init__(self, pieces: list[tuple[str, bytes]]):
+        self.symbols: dict[bytes, str] = {}
+        self.sizes: list[int] = []
+        self.items: list[tuple[str, ...]] = []
+        numbers: dict[str, int] = {}
+        for item, piece in sorted(set(pieces)):
+            words = piece.split()
+            text = "".join(map(self._symbol, words))
+            for i in range(max(1, len(words) - WINDOW + 1)):
+                window = text[i : i + WINDOW]
+                n = numbers.setdefault(window, len(numbers))
+                if n == len(self.items):
+                    self.items.append((item,))
+                    self.sizes.append(len(window))
+                elif self.items[n][-1] != item:  # rows come in order of their items
+                    self.items[n] += (item,)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for window, n in numbers.items():
+            self.automaton.add_word(window, n)
+        if numbers:
+            self.automaton.make_automaton()
+
+    def _symbol(self, word: bytes) -> str:
+        if word not in self.symbols:
+            n = FIRST + len(self.symbols)
+            self.symbols[word] = chr(n if n < SURROGATES[0] else n + SURROGATES[1] - SURROGATES[0])
+        return self.symbols[word]
+
+    def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Number of words; (first word, one past the last) of every merged range of hit words; items found."""
         words = words_of(text)
-        for i in range(max(1, len(words) - WINDOW + 1) if words else 0):
-            some = words[i : i + WINDOW]
-            found.setdefault(f" {b' '.join(some).decode(_CODE)} ", (len(some), set()))[1].add(item)
-    return {k: (n, frozenset(s)) for k, (n, s) in found.items()}
-
-
-_built: dict[str, ahocorasick.Automaton] = {}
-
-
-def automaton(items: list[tuple[str, str]]) -> ahocorasick.Automaton | None:
-    """The process keeps the automaton of the last block that it used."""
-    name = hashlib.sha256(repr(items).encode()).hexdigest()
-    if name not in _built:
-        _built.clear()
-        made = ahocorasick.Automaton()
-        for window, value in windows_of(items).items():
-            made.add_word(window, value)
-        if len(made):
-            made.make_automaton()
-        _built[name] = made
-    return _built[name] if len(_built[name]) else None
-
-
-def scan(text: str, machine) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words; (first word, one past the last) of every window found; items found."""
-    words = words_of(text)
-    spans, items = [], set()
-    if words and machine is not None:
-        hits = list(machine.iter(f" {b' '.join(words).decode(_CODE)} "))
-        if hits:
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # the place of the space after a word
-            last = np.searchsorted(ends, [at for at, _ in hits])
-            for w, (_, (n, who)) in zip(last.tolist(), hits, strict=True):
-                spans.append((w - n + 1, w + 1))
-                items |= who
-    return len(words), spans, items
+        spans, items = [], set()
+        if words and self.sizes:
+            for last, n in self.automaton.iter("".join(map(self.symbols.get, words, repeat(OTHER)))):
+                spans.append((last + 1 - self.sizes[n], last + 1))
+                items.update(self.items[n])
+        return len(words), merged_spans(spans), items
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -89,107 +96,165 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def original_offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Code point ranges of the original text that the word ranges cover."""
+def word_offsets(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends in the original text, in code points."""
     raw = text.encode()
     inside = np.frombuffer(raw.translate(_WORDS), np.uint8) != 32
     edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
-    starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
     points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-    return [(int(points[starts[a]]), int(points[ends[b - 1]])) for a, b in spans]
-
-
-def blocks_of(benchmark: DataFrame):
-    """The items, fetched one by one, in blocks of at most BLOCK characters, and those in lists of at most SENT."""
-    sent, block, total, size = [], [], 0, 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).orderBy("i", "t").toLocalIterator():
-        text = r["t"] or ""
-        if block and size + len(text) > BLOCK:
-            sent.append(block)
-            block, size = [], 0
-        if sent and total + len(text) > SENT:
-            yield sent
-            sent, total = [], 0
-        block.append((r["i"] if r["i"] is not None else "null", text))
-        size += len(text)
-        total += len(text)
-    yield [*sent, block]
-
-
-def _gathered(batches, least: int):
-    """Lists of batches whose texts have `least` bytes or more."""
-    some, size = [], 0
+    return points[np.nonzero(edge == 1)[0]], points[np.nonzero(edge == -1)[0]]
+
+
+def original_offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Code point ranges of the original text that the word ranges cover."""
+    starts, ends = word_offsets(text)
+    return [(int(starts[a]), int(ends[b - 1])) for a, b in spans]
+
+
+_kept: dict[str, Machine] = {}
+
+
+def _machine(sent) -> Machine:
+    """The process keeps the automaton that it used last."""
+    name, pieces = sent
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Machine(pieces)
+    return _kept[name]
+
+
+def _cut_up(batches):
     for batch in batches:
-        some.append(batch)
-        size += batch.column("text").nbytes
-        if size >= least:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+        found = [(i, b" ".join(p), len(p)) for i, text in zip(batch.column("item").to_pylist(), strings(batch.column("text")), strict=True) for p in pieces_of(words_of(text))]
+        columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.binary(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["item", "piece", "n"])
+
+
+SPAN = "array<struct<start:bigint,stop:bigint>>"
+_NUMBERS = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+_ADDED = (("n_words", "bigint"), ("n_hit", "bigint"), ("hit_chars", "bigint"), ("items", "array<string>"), ("spans", SPAN))
 
 
-def _pass(sent, spans: str, items: str, words: str):
-    """The blocks over all texts; what an earlier broadcast found is in the first two columns, the third counts words."""
+def _findings(text: str, n_words: int, spans: list[tuple[int, int]], items) -> tuple:
+    """A row of _ADDED: hit_chars and spans are in code points of the original text."""
+    if not spans:
+        return n_words, 0, 0, [], []
+    starts, ends = word_offsets(text)
+    hit = sum(b - a for a, b in spans)
+    chars = sum(int((ends[a:b] - starts[a:b]).sum()) for a, b in spans)
+    return n_words, hit, chars, sorted(items), [{"start": int(starts[a]), "stop": int(ends[b - 1])} for a, b in spans]
+
+
+def _appended(batch, rows: list[tuple], names: list[str], keep: int):
+    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_NUMBERS)]
+    return pa.RecordBatch.from_arrays([*batch.columns[:keep], *columns], names=[*batch.schema.names[:keep], *names])
+
+
+def _scanned(sent, names: list[str]):
+    def each(batches):
+        machine = _machine(sent.value)
+        for batch in batches:
+            rows = [_findings(t, *machine.scan(t)) for t in strings(batch.column("text"))]
+            yield _appended(batch, rows, names, batch.num_columns)
+
+    return each
+
+
+def _hits(sent):
+    """k1, k2, spans (word ranges, flat) and items of the texts that a block hits."""
 
     def each(batches):
-        blocks = sent.value
-        for some in _gathered(batches, HELD if len(blocks) > 1 else 0):
-            texts = [t for batch in some for t in strings(batch.column("text"))]
-            found_spans = [[*zip(a[::2], a[1::2], strict=True)] for batch in some for a in batch.column(spans).to_pylist()]
-            found_items = [set(b) for batch in some for b in batch.column(items).to_pylist()]
-            n_words = [0] * len(texts)
-            for block in blocks:
-                machine = automaton(block)
-                for i, text in enumerate(texts):
-                    n_words[i], s, who = scan(text, machine)
-                    if s:
-                        found_spans[i] = merged_spans([*found_spans[i], *s])
-                        found_items[i] |= who
-            at = 0
-            for batch in some:
-                end = at + batch.num_rows
-                for name, values, kind in (
-                    (spans, [[x for p in pairs for x in p] for pairs in found_spans[at:end]], pa.list_(pa.int64())),
-                    (items, [sorted(who) for who in found_items[at:end]], pa.list_(pa.string())),
-                    (words, n_words[at:end], pa.int64()),
-                ):
-                    batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(values, kind))
-                yield batch
-                at = end
+        machine = _machine(sent.value)
+        for batch in batches:
+            found = [(i, s, w) for i, (_, s, w) in enumerate(map(machine.scan, strings(batch.column("text")))) if s]
+            at = pa.array([f[0] for f in found], pa.int64())
+            spans = pa.array([[x for s in f[1] for x in s] for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("k1").take(at), batch.column("k2").take(at), spans, pa.array([sorted(f[2]) for f in found], pa.list_(pa.string()))], names=["k1", "k2", "spans", "items"])
 
     return each
 
 
-def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows with _spans (merged word ranges, flat), _items (sorted as strings) and _n_words. No shuffle."""
-    context = docs.sparkSession.sparkContext
-    rows = docs.withColumn("_spans", F.array().cast("array<long>")).withColumn("_items", F.array().cast("array<string>")).withColumn("_n_words", F.lit(0).cast("long"))
-    for blocks in blocks_of(benchmark):
-        rows = rows.mapInArrow(_pass(context.broadcast(blocks), "_spans", "_items", "_n_words"), rows.schema)
-    return rows
+def _joined(names: list[str], keep: int, spans: str, items: str):
+    def each(batches):
+        for batch in batches:
+            rows = []
+            for text, flat, who in zip(strings(batch.column("text")), batch.column(spans).to_pylist(), batch.column(items).to_pylist(), strict=True):
+                found = merged_spans(list(zip((flat or [])[::2], (flat or [])[1::2], strict=True)))
+                rows.append(_findings(text, len(words_of(text)), found, set(who or ())))
+            yield _appended(batch, rows, names, keep)
 
+    return each
 
-def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows with n_words, n_hit, items and contaminated."""
-    rows = mark(docs, benchmark)
-    hit = F.aggregate(F.transform(F.col("_spans"), lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = rows.withColumn("_n_hit", hit)
-    return rows.withColumn("_contaminated", (F.col("_n_hit") > 0) & (SHARE * F.col("_n_hit") >= F.col("_n_words")))
+
+def judged(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with n_words, n_hit, hit_chars (of the hit words), items (sorted as strings), spans (hit ranges of the
+    original text in code points) and contaminated; and the names that these columns have got.
+    """
+    spark = docs.sparkSession
+    names = {n: free_name(n, docs.columns) for n, _ in _ADDED} | {"contaminated": free_name("contaminated", docs.columns)}
+    added = [names[n] for n, _ in _ADDED]
+    made = spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in _ADDED)).schema
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(names[f.name], f.dataType) for f in made.fields)])
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
+    pieces = cut(items.mapInArrow(_cut_up, "item string, piece binary, n long"))
+    size = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()
+    blocks = max(-(-size[0] // block), -(-size[1] // block_bytes), 1)
+
+    def sent(rows: DataFrame):
+        return spark.sparkContext.broadcast((uuid.uuid4().hex, [(r["item"], bytes(r["piece"])) for r in rows.select("item", "piece").collect()]))
+
+    if blocks == 1:
+        out = docs.mapInArrow(_scanned(sent(pieces), added), schema)
+    else:
+        out = _by_blocks(docs, pieces, 2 * blocks, sent).mapInArrow(_joined(added, len(docs.columns), *_spare(docs)[2:]), schema)
+    hit, words = F.col(names["n_hit"]), F.col(names["n_words"])
+    return out.withColumn(names["contaminated"], (hit > 0) & (SHARE * hit >= words)), names
+
+
+def _spare(docs: DataFrame) -> list[str]:
+    return [free_name(n, docs.columns) for n in ("text_key", "text_key_2", "found_spans", "found_items")]
+
+
+def _by_blocks(docs: DataFrame, pieces: DataFrame, blocks: int, sent) -> DataFrame:
+    """The rows with the word ranges and items that all blocks found. `blocks` is twice what fits exactly, so that hashing
+    leaves no block over its size.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    k1, k2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    dealt = cut(pieces.withColumn("block", F.pmod(F.xxhash64("piece"), F.lit(blocks))))
+    folder = new_folder(spark, "benchmark-hits")
+    for k in range(blocks):
+        some = sent(dealt.where(F.col("block") == k))
+        rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
+        rows.mapInArrow(_hits(some), "k1 long, k2 long, spans array<long>, items array<string>").dropDuplicates(["k1", "k2"]).write.mode("append").parquet(folder)
+        some.destroy()
+    every = spark.read.parquet(folder).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i"))
+    a, b, spans, items = _spare(docs)
+    return docs.withColumns({a: k1, b: k2}).join(cut(every).toDF(a, b, spans, items), [a, b], "left").select(*[F.col(f"`{c}`") for c in docs.columns], spans, items)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark)
+    rows, _ = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark)
     return rows.select(
         "doc_id",
-        F.col("_n_words").alias("n_words"),
-        F.col("_n_hit").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
-        F.col("_contaminated").alias("contaminated"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+        "hit_chars",
     )
 
 
+def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, start, stop and passage (as the original text has it) of every range of hit words."""
+    rows, _ = judged(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark)
+    each = rows.select("doc_id", "text", F.explode("spans").alias("s"))
+    return each.select("doc_id", "s.start", "s.stop", F.col("text").substr(F.col("s.start").cast("int") + 1, (F.col("s.stop") - F.col("s.start")).cast("int")).alias("passage"))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, with their own columns, that are not contaminated."""
-    return judged(docs, benchmark).where(~F.col("_contaminated")).select(*docs.columns)
+    rows, names = judged(docs, benchmark)
+    return rows.where(~F.col(names["contaminated"])).select(*[F.col(f"`{c}`") for c in docs.columns])

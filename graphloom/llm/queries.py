@@ -90,10 +90,12 @@ dwin AS (
   SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s
   FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM dw, sizes WHERE len(w) >= n)),
 hits AS (SELECT d.doc_id, d.i, d.n, w.item_id FROM dwin d JOIN win w ON d.s = w.s AND d.n = w.n),
-hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id),
+hp AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits),
+hw AS (SELECT doc_id, count(*) AS n_hit, CAST(sum(length(w[p])) AS BIGINT) AS hit_chars FROM hp JOIN dw USING (doc_id) GROUP BY doc_id),
 hi AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM hits) GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, coalesce(hw.n_hit, 0) AS n_hit, coalesce(hi.n_items, 0) AS n_items,
-       sha256(coalesce(hi.items, '')) AS items_sha256, coalesce(hw.n_hit, 0) > 0 AND 20 * coalesce(hw.n_hit, 0) >= len(dw.w) AS contaminated
+       sha256(coalesce(hi.items, '')) AS items_sha256, coalesce(hw.n_hit, 0) > 0 AND 20 * coalesce(hw.n_hit, 0) >= len(dw.w) AS contaminated,
+       coalesce(hw.hit_chars, 0) AS hit_chars
 FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
     "op7_shards": f"""
 WITH r AS (

@@ -428,31 +428,56 @@ def test_runs_are_merged_in_order(spark):
 ITEMS = [(1, " ".join(f"Alpha{i}" for i in range(20))), (1, "repeated id " * 10), (2, "short item"), (3, None), (4, "..."), (None, "no id here")]
 
 
-@pytest.mark.parametrize(("block", "sent"), [(1 << 19, 32 << 20), (50, 32 << 20), (50, 150)])
-def test_decontamination(spark, monkeypatch, block, sent):
+def plain_windows(items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    long = " ".join(f"alpha{i}" for i in range(3, 18))
-    some = [*ODD, (60, f"x, y; {long}-end"), (61, "A short--ITEM and Short Item"), (62, "shorty items"), (63, "filler " * 900 + "no id here"), (64, "é short item é")]
     windows = {}
-    for i, t in ITEMS:
+    for i, t in items:
         w = words(t)
         for at in range(max(1, len(w) - 12) if w else 0):
             windows.setdefault(tuple(w[at : at + 13]), set()).add("null" if i is None else str(i))
+    return words, windows
+
+
+def plain_contamination(some, items):
+    """(id, n_words, n_hit, n_items, items' hash, contaminated, hit_chars) of each text, window by window."""
+    words, windows = plain_windows(items)
     want = []
     for i, t in some:
-        w, hit, items = words(t), set(), set()
+        w, hit, found = words(t), set(), set()
         for k, who in windows.items():
             for at in range(len(w) - len(k) + 1):
                 if tuple(w[at : at + len(k)]) == k:
                     hit |= set(range(at, at + len(k)))
-                    items |= who
-        want.append((i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    monkeypatch.setattr(decontaminate, "BLOCK", block)
-    monkeypatch.setattr(decontaminate, "SENT", sent)
+                    found |= who
+        want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), sum(len(w[k]) for k in hit)))
+    return want
+
+
+@pytest.mark.parametrize("block", [1 << 18, 30, 5])
+def test_decontamination(spark, monkeypatch, block):
+    """With one automaton, and with the items dealt over several blocks."""
+    long = " ".join(f"alpha{i}" for i in range(3, 18))
+    some = [*ODD, (60, f"x, y; {long}-end"), (60, f"x, y; {long}-end"), (61, "A short--ITEM and Short Item"), (62, "shorty items"), (63, "filler " * 900 + "no id here"), (64, "é short item é"), (None, "short item")]
+    judged = decontaminate.judged
+    monkeypatch.setattr(decontaminate, "judged", lambda docs, bench: judged(docs, bench, block))
     bench = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id long, text string, _items string")
     found = decontaminate.report(rows(spark, some), bench)
-    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in found.collect())
-    assert decontaminate.clean(rows(spark, some), bench).columns == rows(spark, some).columns
+    assert sorted(map(repr, plain_contamination(some, ITEMS))) == sorted(repr(tuple(r)) for r in found.collect())
+    kept = decontaminate.clean(rows(spark, some), bench)
+    want = [repr((i, t, "mine", "mine")) for (i, t), w in zip(some, plain_contamination(some, ITEMS)) if not w[5]]
+    assert kept.columns == rows(spark, some).columns and sorted(want) == sorted(repr(tuple(r)) for r in kept.select("doc_id", "text", "_items", "_n_hit").collect())
+    if block > 30:
+        where = {(r["doc_id"], r["passage"]) for r in decontaminate.passages(rows(spark, some), bench).collect()}
+        assert {(60, long), (61, "short--ITEM"), (61, "Short Item"), (64, "short item"), (63, "no id here")} <= where
+        assert decontaminate.report(rows(spark, some), bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_pieces_have_all_windows():
+    w = [str(i).encode() for i in range(40)]
+    for n in (1, 12, 13, 14, 25, 40):
+        some = decontaminate.pieces_of(w[:n], 5)
+        assert sorted(tuple(p[i : i + 13]) for p in some for i in range(max(1, len(p) - 12))) == sorted(tuple(w[i : min(n, i + 13)]) for i in range(max(1, n - 12)))
+    assert decontaminate.pieces_of([]) == []
 
 
 def test_decontamination_offsets():
@@ -460,6 +485,13 @@ def test_decontamination_offsets():
     assert [text[a:b] for a, b in decontaminate.original_offsets(text, [(2, 4), (0, 1)])] == ["one-Two", "Ä"]
 
 
+def test_symbols_are_distinct():
+    words = [str(i).encode() for i in range(60_000)]  # past the code points that no text may have
+    machine = decontaminate.Machine([("a", b" ".join(words))])
+    assert len(set(machine.symbols.values())) == 60_000 and not any(0xD800 <= ord(c) < 0xE000 for c in machine.symbols.values())
+    assert machine.scan("x " + " ".join(str(i) for i in range(59_980, 60_000)))[:2] == (21, [(1, 21)])
+
+
 @pytest.mark.parametrize("limit", [40, 2000, 1 << 20])
 def test_sharding(odd, docs, limit):
     for frame in (odd, docs):
