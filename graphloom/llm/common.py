@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LOWEST = -(2**63)
@@ -67,6 +69,28 @@ def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
+def make_folder(spark: SparkSession, path: str) -> str:
+    made, store = _file_system(spark, path)
+    store.mkdirs(made)
+    return path
+
+
+def files_of(spark: SparkSession, folder: str, ending: str) -> DataFrame:
+    """(path, bytes) of a folder's files with an ending. Spark's own reader lists them; their contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ending}").load(folder)
+    return found.select("path", F.col("length").alias("bytes"))
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store and the path in it; Hadoop's names for S3 mean the same store as s3."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
+def dealt_evenly(rows: DataFrame, total_bytes: int, target: int = 64 << 20) -> DataFrame:
+    """Rows that each stand for bytes to be read, one by one over tasks of about `target` bytes; never fewer than the shuffle partitions."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // target)))
+
+
 def size_hint(df: DataFrame) -> int:
     """Bytes that the optimizer expects, from file sizes; no job runs. 0 where it knows nothing."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -29,8 +29,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, new_folder, slices, strings
-from .tokencounts import opened
+from .common import cut, new_folder, opened, slices, strings
 
 ORDER, CALIBRATE, QUANTILE, FEW = 4, 5, 0.995, 50
 START, END, SYMBOLS = 2, 3, 1 << 16

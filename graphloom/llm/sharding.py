@@ -16,9 +16,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 LIMIT, ROUND, BITS = 16 << 20, 8, 60
+ROW = "shard_row_number"
 
 
 def _bits(column) -> F.Column:
@@ -27,9 +28,13 @@ def _bits(column) -> F.Column:
 
 def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, shard (the address bits of its bucket), depth, shard_docs, shard_bytes."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    left = cut(rows.select("doc_id", "n_bytes", F.concat(_bits(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), _bits(F.col("row"))).alias("bits")))
+    return _assigned(docs.withColumn(ROW, F.monotonically_increasing_id()), ROW, limit).drop("row")
+
+
+def _assigned(docs: DataFrame, row: str, limit: int) -> DataFrame:
+    """What assign() gives, and each row's number."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"), F.col(row).alias("row"))
+    left = cut(rows.select("row", "doc_id", "n_bytes", F.concat(_bits(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), _bits(F.col("row"))).alias("bits")))
     done = []
     for base in range(0, 2 * BITS, ROUND):
         end = min(base + ROUND, 2 * BITS)
@@ -41,7 +46,7 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         fits = fits.where((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1) | (F.col("depth") == 2 * BITS))
         leaf = every.join(fits, ["depth", "shard"]).groupBy("cell").agg(F.min(F.struct("depth", "shard", "shard_bytes", "shard_docs")).alias("leaf"))
         leaf = cut(leaf)
-        done.append(keyed.join(leaf, "cell").select("doc_id", "n_bytes", "leaf.shard", "leaf.depth", "leaf.shard_docs", "leaf.shard_bytes"))
+        done.append(keyed.join(leaf, "cell").select("row", "doc_id", "n_bytes", "leaf.shard", "leaf.depth", "leaf.shard_docs", "leaf.shard_bytes"))
         over = cells.join(leaf, "cell", "left_anti").select("cell")
         if not over.take(1):
             break
@@ -50,8 +55,15 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, folder: str, limit: int = LIMIT) -> DataFrame:
-    """Writes the rows below `folder`, one directory for each shard, and returns the assignment (one id, one row)."""
-    placed = cut(assign(docs, limit))
-    dealt = docs.join(placed.select("doc_id", "shard"), "doc_id").withColumn("shard", F.concat(F.lit("b"), "shard"))
-    dealt.repartition("shard").write.partitionBy("shard").parquet(folder)
-    return placed
+    """Writes every row with all its columns below `folder`, one directory for each shard, and returns the assignment.
+
+    The rows are numbered and written once to the shared folder, so that both the assignment and the copy see the same
+    numbers; rows without an id and rows that share one are told apart by them. The directories are named shard=b...,
+    with underscores behind `shard` where the caller has such a column.
+    """
+    row, shard = free_name(ROW, docs.columns), free_name("shard", docs.columns)
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    placed = cut(_assigned(numbered, row, limit))
+    names = placed.select(F.col("row").alias(row), F.concat(F.lit("b"), "shard").alias(shard))
+    numbered.join(names, row).drop(row).repartition(shard).write.partitionBy(shard).parquet(folder)
+    return placed.drop("row")

@@ -1,19 +1,18 @@
 """Token counts of flat token files by a separator scan.
 
 A file is nothing but token identifiers (16 bits, little-endian); a document ends with the end-of-document
-identifier. Files are read in blocks of BLOCK bytes, each its own row for the executors. In a block, one vectorised
+identifier. Files are read in blocks of BLOCK bytes, each its own row for the executors, made from the files' sizes there. In a block, one vectorised
 comparison finds all separators; documents between two of them are counted at once. What a block has before its
 first and after its last separator is stitched by a prefix scan over the blocks of a file: separators before a
 block give its documents their numbers, and the tokens since the last separator are added to the first one.
 
 Defined results: an empty text is a document of 0 tokens; an empty file has no documents; tokens after the last
 separator of a file are a last document that has not ended. Null texts are written as empty; other columns are
-ignored; repeated rows are documents of their own.
+ignored; repeated rows are documents of their own. A document that the scan does not find is an error, not a lost row.
 """
 
 from __future__ import annotations
 
-import hashlib
 import os
 
 import numpy as np
@@ -23,15 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .bpe import codec
-from .common import cut, new_folder, remove, slices, strings
+from .common import cut, dealt_evenly, files_of, make_folder, new_folder, opened, remove, slices, strings
 
 EOD, BLOCK = 50256, 4 << 20
 
 
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
-
-
 def settle(store: fs.FileSystem, draft: str, final: str) -> None:
     """Gives a whole file its name, unless another attempt of the same task was first."""
     if store.get_file_info(final).type == fs.FileType.NotFound:
@@ -40,8 +35,8 @@ def settle(store: fs.FileSystem, draft: str, final: str) -> None:
         store.delete_file(draft)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, eod: int = EOD) -> DataFrame:
-    """Each task writes one flat file; returns (file, ordinal, doc_id).
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, eod: int = EOD) -> tuple[DataFrame, DataFrame]:
+    """Each task writes one flat file. Returns (file, ordinal, doc_id) of every document and (file, path, bytes) of every file.
 
     A file gets its name only when it is whole, and a task that runs again writes the same bytes to the same name.
     """
@@ -52,43 +47,54 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, eod: int = EOD) -
         store.create_dir(path)
         part = task.partitionId()
         final, draft = f"{path}/part-{part:06d}.tok", f"{path}/_draft-{part}-{task.taskAttemptId()}-{os.getpid()}"
-        n, end = 0, np.array([eod], "<u4").tobytes()
+        n, end, size = 0, np.array([eod], "<u4").tobytes(), 0
+
+        def told(ordinals, ids, sizes):
+            k = len(ordinals)
+            columns = [pa.array(np.full(k, part, np.int64)), pa.array(ordinals, pa.int64()), ids, sizes]
+            return pa.RecordBatch.from_arrays(columns, names=["file", "ordinal", "doc_id", "bytes"])
+
         with store.open_output_stream(draft) as out:
             for batch in batches:
                 texts = strings(batch.column("text"))
                 for a, b in slices([len(t) for t in texts], 1 << 20):
                     ids = own.encode(texts[a:b], special=False)
-                    out.write(np.frombuffer(end.join([*ids, b""]), "<u4").astype("<u2").tobytes())
-                    k = b - a
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, part, np.int64)), pa.array(np.arange(n, n + k)), batch.column("doc_id")[a:b]], names=["file", "ordinal", "doc_id"])
-                    n += k
+                    data = np.frombuffer(end.join([*ids, b""]), "<u4").astype("<u2").tobytes()
+                    out.write(data)
+                    size += len(data)
+                    yield told(np.arange(n, n + b - a), batch.column("doc_id")[a:b], pa.nulls(b - a, pa.int64()))
+                    n += b - a
         settle(store, draft, final)
+        yield told([None], pa.nulls(1, pa.int64()), pa.array([size], pa.int64()))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cut(rows.mapInArrow(each, "file long, ordinal long, doc_id long"))
+    found = cut(rows.mapInArrow(each, "file long, ordinal long, doc_id long, bytes long"))
+    files = found.where("bytes is not null").select("file", F.concat(F.lit(f"{folder}/part-"), F.lpad(F.col("file").cast("string"), 6, "0"), F.lit(".tok")).alias("path"), "bytes")
+    return found.where("bytes is null").select("file", "ordinal", "doc_id"), files
+
 
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, path, bytes) of a folder's token files; a file's number is in its name."""
+    return files_of(spark, folder, ".tok").select(F.regexp_extract("path", r"(\d+)\.tok$", 1).cast("long").alias("file"), "path", "bytes")
 
-def blocks(spark: SparkSession, folder: str, size: int = BLOCK) -> DataFrame:
-    """(path, file, block, at, bytes) for every block of every token file; the files' sizes are all that is looked up."""
-    store, path = opened(folder)
-    rows = []
-    for info in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
-        if info.path.endswith(".tok"):
-            number = int(os.path.basename(info.path)[5:-4])
-            rows += [(os.path.basename(info.path), number, k, at, min(size, info.size - at)) for k, at in enumerate(range(0, info.size, size))]
-    schema = "name string, file long, block long, at long, bytes long"
-    made = spark.createDataFrame(rows, schema)
-    return made.repartition(max(1, min(len(rows), 4096)))
 
+def blocks(files: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(path, file, block, at, bytes) for every block of every file, made and dealt out where the rows are."""
+    total = files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    last = F.floor((F.col("bytes") - 1) / size).cast("long")
+    each = files.where("bytes > 0").select("path", "file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    at = F.col("block") * size
+    return dealt_evenly(each.select("path", "file", "block", at.alias("at"), F.least(F.lit(size).cast("long"), F.col("bytes") - at).alias("bytes")), total)
 
-def _scan(folder: str, eod: int):
+
+def _scan(eod: int):
     """kind 0: document inside a block; 1: first to end in a block; 2: the block's separators (k) and last tokens (n)."""
 
     def each(batches):
-        store, path = opened(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                with store.open_input_file(f"{path}/{r['name']}") as f:
+                store, path = opened(r["path"])
+                with store.open_input_file(path) as f:
                     f.seek(r["at"])
                     tokens = np.frombuffer(f.read(r["bytes"]), "<u2")
                 ends = np.nonzero(tokens == eod)[0]
@@ -104,9 +110,9 @@ def _scan(folder: str, eod: int):
     return each
 
 
-def count_tokens(spark: SparkSession, folder: str, eod: int = EOD, size: int = BLOCK) -> DataFrame:
-    """(file, ordinal, n_tokens, ended) of every document of the folder's token files."""
-    found = blocks(spark, folder, size).mapInArrow(_scan(folder, eod), "file long, block long, kind int, k long, n long")
+def count_tokens(files: DataFrame, eod: int = EOD, size: int = BLOCK) -> DataFrame:
+    """(file, ordinal, n_tokens, ended) of every document of token files (file, path, bytes)."""
+    found = blocks(files, size).mapInArrow(_scan(eod), "file long, block long, kind int, k long, n long")
     found = cut(found)
     line = Window.partitionBy("file").orderBy("block")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
@@ -124,12 +130,11 @@ def count_tokens(spark: SparkSession, folder: str, eod: int = EOD, size: int = B
 def documents_token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes the texts as flat token files, scans those and gives each document its count."""
     spark = docs.sparkSession
-    folder = new_folder(spark, "tokens")
-    names = write_tokens(docs, folder, tokenizer)
-    counts = cut(count_tokens(spark, folder))
-    remove(spark, folder)
-    return names.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
-
-
-def digest(tokens: np.ndarray) -> str:
-    return hashlib.sha256(tokens.astype("<u2").tobytes()).hexdigest()
+    folder = make_folder(spark, new_folder(spark, "tokens"))
+    try:
+        names, files = write_tokens(docs, folder, tokenizer)
+        counts = cut(count_tokens(files))
+    finally:
+        remove(spark, folder)
+    lost = F.raise_error(F.concat(F.lit("no tokens found of document "), F.col("ordinal"), F.lit(" of file "), F.col("file"))).cast("long")
+    return names.join(counts, ["file", "ordinal"], "left").select("doc_id", F.coalesce("n_tokens", lost).alias("n_tokens"))

@@ -28,8 +28,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, new_folder, remove
-from .tokencounts import opened, settle
+from .common import cut, dealt_evenly, files_of, make_folder, new_folder, opened, remove
+from .tokencounts import settle
 
 REVISIT_FROM, READ = 100, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -188,14 +188,14 @@ class _Forward(io.RawIOBase):
         pass
 
 
-def _locate(folder: str):
+def _locate():
     """Runs of records that lie side by side: (name, at, sizes)."""
 
     def each(batches):
-        store, path = opened(folder)
         for batch in batches:
-            for name, size in zip(batch.column("name").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                with store.open_input_file(f"{path}/{name}") as f:
+            for name, size in zip(batch.column("path").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+                store, path = opened(name)
+                with store.open_input_file(path) as f:
                     members = stored_members(f, size)
                     at, n = members["indexes/index.cdxj"]
                     f.seek(at)
@@ -213,12 +213,12 @@ def _locate(folder: str):
     return each
 
 
-def _read(folder: str):
+def _read():
     def each(batches):
-        store, path = opened(folder)
         for batch in batches:
             for name, at, sizes in zip(*(batch.column(c).to_pylist() for c in ("name", "at", "sizes")), strict=True):
-                with store.open_input_file(f"{path}/{name}") as f:
+                store, path = opened(name)
+                with store.open_input_file(path) as f:
                     f.seek(at)
                     data = f.read(sum(sizes))
                 ends = np.cumsum(sizes).tolist()
@@ -231,29 +231,30 @@ def _read(folder: str):
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each record of the folder's archives; runs of records are dealt out over the executors."""
-    store, path = opened(folder)
-    found = [(os.path.basename(x.path), x.size) for x in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.path.endswith(".wacz")]
-    files = spark.createDataFrame(found, "name string, bytes long").repartition(max(1, min(len(found), 4096)))
-    runs = files.mapInArrow(_locate(folder), "name string, at long, sizes array<long>")
-    return runs.repartition(max(1, min(4 * len(found), 8192))).mapInArrow(_read(folder), SCHEMA)
+    files = files_of(spark, folder, ".wacz")
+    total = files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    runs = dealt_evenly(files, total, 1 << 30).mapInArrow(_locate(), "name string, at long, sizes array<long>")
+    return dealt_evenly(runs, total, 32 << 20).mapInArrow(_read(), SCHEMA)
 
 
 def through_archives(pages: DataFrame) -> DataFrame:
     """Writes a record for every row and reads all of them back."""
     spark = pages.sparkSession
-    folder, small = new_folder(spark, "wacz"), new_folder(spark, "digests")
+    folder, small = make_folder(spark, new_folder(spark, "wacz")), new_folder(spark, "digests")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows.where(F.octet_length(payload) >= REVISIT_FROM).select("page_id", F.sha2(payload, 256).alias("digest")).write.parquet(f"{small}/all")
-    digests = spark.read.parquet(f"{small}/all")
-    firsts = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    twice = digests.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
-    twice.select("page_id", "digest", "first").distinct().write.parquet(f"{small}/twice")
-    again = spark.read.parquet(f"{small}/twice")
-    # a page's own digest is needed only where a page_id has several payloads
-    known = rows.join(again.withColumnRenamed("page_id", "again_id"), rows["page_id"].eqNullSafe(F.col("again_id")) & (F.sha2(payload, 256) == F.col("digest")), "left")
-    write_archives(known.select("page_id", "url", "html", "first", F.col("first").isNotNull().alias("revisit")), folder)
-    out = cut(read_archives(spark, folder))
-    remove(spark, folder)
-    remove(spark, small)
-    return out
+    try:
+        rows.where(F.octet_length(payload) >= REVISIT_FROM).select("page_id", F.sha2(payload, 256).alias("digest")).write.parquet(f"{small}/all")
+        digests = spark.read.parquet(f"{small}/all")
+        # written before the join, so that the skew join can split a payload that very many pages have
+        firsts = cut(digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"))
+        twice = digests.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+        twice.select("page_id", "digest", "first").distinct().write.parquet(f"{small}/twice")
+        again = spark.read.parquet(f"{small}/twice")
+        # a page's own digest is needed only where a page_id has several payloads
+        known = rows.join(again.withColumnRenamed("page_id", "again_id"), rows["page_id"].eqNullSafe(F.col("again_id")) & (F.sha2(payload, 256) == F.col("digest")), "left")
+        write_archives(known.select("page_id", "url", "html", "first", F.col("first").isNotNull().alias("revisit")), folder)
+        return cut(read_archives(spark, folder))
+    finally:
+        remove(spark, folder)
+        remove(spark, small)

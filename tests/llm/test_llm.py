@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontaminate, fingerprints, language, lines, perplexity, sharding, simhash, tokencounts, warc
 from graphloom.llm.queries import QUERIES, fold
@@ -509,10 +510,20 @@ def test_sharding(odd, docs, limit):
                 assert sum(r["n_bytes"] for r in sibling) > limit
 
 
-def test_write_shards(spark, docs, tmp_path):
-    placed = sharding.write_shards(docs, str(tmp_path / "out"), 50_000)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == docs.count() and back.select("shard").distinct().count() == placed.select("shard").distinct().count()
+def test_write_shards(spark, docs, odd, empty, tmp_path):
+    """Every row is written once, also those without an id and those that share one, with the caller's own `shard`."""
+    for name, frame, limit in (("docs", docs, 50_000), ("odd", odd, 300), ("empty", empty, 300)):
+        placed = sharding.write_shards(frame, str(tmp_path / name), limit)
+        assert placed.columns == sharding.assign(frame, limit).columns
+        if name == "empty":
+            assert placed.count() == 0
+            continue
+        back = spark.read.parquet(str(tmp_path / name))
+        of = {"docs": "shard", "odd": "shard_"}[name]
+        assert sorted(map(repr, (tuple(r) for r in back.select(frame.columns).collect()))) == sorted(map(repr, map(tuple, frame.collect())))
+        sizes = {r[of][1:]: (r["n"], r["b"]) for r in back.groupBy(of).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b")).collect()}
+        assert sizes == {r["shard"]: (r["shard_docs"], r["shard_bytes"]) for r in placed.collect()}
+        assert all(b <= limit or n == 1 for n, b in sizes.values())
 
 
 @pytest.mark.parametrize("size", [2, 6, 64, 4 << 20])
@@ -526,14 +537,21 @@ def test_separator_scan(spark, tmp_path, size):
         if (rest := len(tokens) - 1 - (at[-1] if len(at) else -1)) > 0:
             want.append((part, len(at), int(rest), False))
     (tmp_path / "part-000009.tok").write_bytes(b"")
-    found = [tuple(r) for r in tokencounts.count_tokens(spark, str(tmp_path), size=size).collect()]
+    found = [tuple(r) for r in tokencounts.count_tokens(tokencounts.token_files(spark, str(tmp_path)), size=size).collect()]
     assert sorted(found) == sorted(want)
 
 
-def test_token_counts(odd, empty):
-    own = bpe.Codec(VOCABULARY)
-    want = [(i, len(own.encode([t or ""], special=False)[0]) // 4) for i, t in ODD]
-    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in tokencounts.documents_token_counts(odd, VOCABULARY).collect())
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_token_counts(which, odd, docs, empty):
+    """Counts of the library, which is told to take the strings of special tokens for ordinary text."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(VOCABULARY)
+    library.no_padding(), library.no_truncation()
+    library.encode_special_tokens = True
+    some = ODD if which == "odd" else [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = [(i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in some]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in tokencounts.documents_token_counts(odd if which == "odd" else docs, VOCABULARY).collect())
     assert tokencounts.documents_token_counts(empty, VOCABULARY).count() == 0
 
 
