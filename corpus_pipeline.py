@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over `documents`.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; run() writes each stage's rows as
-Parquet in the shared folder and reads them again for the next.
+Parquet in the shared folder, reads them again for the next and then removes what the stage before wrote.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.llm import bpe, decontaminate, language, lines, simhash
-from graphloom.llm.common import new_folder, table
+from graphloom.llm.common import new_folder, remove, table
 from graphloom.llm.queries import vocabulary
 
 
@@ -20,10 +20,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that many documents share; n_chars follows the text."""
-    rows = lines.drop_repeated_lines(docs)
+    rows, (_, n_dropped) = lines.drop_repeated_lines(docs), lines.counts_of(docs)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(F.col(n_dropped) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline")
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+    docs, folder, done = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline"), False
+    try:
+        for i, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                remove(spark, f"{folder}/{i - 1}")
+        done = True
+    finally:
+        if not done:
+            remove(spark, folder)
     return docs
