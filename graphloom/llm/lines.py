@@ -120,17 +120,17 @@ class LineRuns:
         return rows
 
     def marked(self, rows: DataFrame) -> DataFrame:
-        """The rows dealt by hash, with an owner only where no run has the hash."""
-        dealt = rows.select("h1", "h2", "n", "owner").repartition(self.buckets, "h1", "h2")
-        if not self.runs():
-            return dealt
-        fresh = self.unseen(dealt.sortWithinPartitions("h1", "h2")).select("h1", "h2", F.lit(True).alias("fresh"))
-        both = dealt.join(fresh.hint("merge"), ["h1", "h2"], "left")
-        return both.select("h1", "h2", "n", F.when(F.col("fresh"), F.col("owner")).alias("owner"))
+        """The rows dealt by hash, with an owner only where no run has the hash: the merge-anti-join, which keeps the others too."""
+        both, flags = rows.select("h1", "h2", "n", "owner").repartition(self.buckets, "h1", "h2"), []
+        for k, name in enumerate(self.runs()):
+            flags.append(f"in_{k}")
+            both = both.join(self._hashes(name).withColumn(flags[-1], F.lit(True)), ["h1", "h2"], "left")
+        owner = F.when(F.coalesce(*flags).isNull(), F.col("owner")) if flags else F.col("owner")
+        return both.select("h1", "h2", "n", owner.alias("owner"))
 
     def add(self, rows: DataFrame) -> None:
         with in_order(self.spark):
-            self.levels[0].append(self._write(self.marked(cut(rows))))
+            self.levels[0].append(self._write(self.marked(rows)))
         level, done = 0, []
         while len(self.levels[level]) >= FANOUT:
             if level + 1 == len(self.levels):
@@ -199,7 +199,7 @@ def doomed(docs: DataFrame, runs: LineRuns | None = None) -> DataFrame:
     bounds = sorted(set(bounds))
     number = range_number(sortable(F.col("at")), [sortable_text(b) for b in bounds])
     folder, own_runs = new_folder(spark, "long-lines"), runs is None
-    runs = runs or LineRuns(spark, parts(docs, 64 << 20, largest=2 << 30))
+    runs = runs or LineRuns(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts(docs, 64 << 20, largest=2 << 30)))
     try:
         rows.mapInArrow(_long_lines, "at long, t long, h1 long, h2 long").withColumn("batch", number).write.partitionBy("batch").parquet(folder)
         kept = spark.read.schema("at long, t long, h1 long, h2 long, batch int").parquet(folder)
