@@ -1,11 +1,12 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Words are the runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters. The automaton's alphabet is the
-benchmark's own words, one symbol each, and it holds every distinct window of WINDOW consecutive words of an item (an item
-with fewer words is one window). A text becomes one symbol for each word, with one symbol for all words that the benchmark
-does not have, and is scanned once; the places found are word ranges, which are mapped to offsets of the original text.
+Words are the runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters. Each of the benchmark's own words
+has a number, written with BASE digits of one alphabet for each place, so no match can begin inside a word and no node has
+more than BASE edges; all other words are one symbol. The automaton holds every distinct window of WINDOW consecutive words
+of an item (an item with fewer words is one window). A text is written in these symbols and scanned once; the places found
+are mapped to word ranges, and these to offsets of the original text.
 
-A word of an item takes about 0.8 KB of automaton, so an automaton is built from at most BLOCK words and BLOCK_BYTES bytes.
+A word of an item takes about 2 KB of automaton, so an automaton is built from at most BLOCK words and BLOCK_BYTES bytes.
 The benchmark's size is looked at first: up to that bound, which real test sets of any usual size keep, its items come to
 the driver and are broadcast, a worker process builds the automaton once, and no shuffle precedes. A larger benchmark is cut into pieces that overlap by WINDOW - 1
 words and dealt over blocks by hash; each block is a scan of its own over all texts, builds its automaton once in a
@@ -29,10 +30,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import cut, free_name, new_folder, strings
 
 WINDOW, SHARE = 13, 20
-BLOCK, BLOCK_BYTES, PIECE = 1 << 18, 16 << 20, 2048
+BLOCK, BLOCK_BYTES, PIECE = 1 << 17, 8 << 20, 2048
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-FIRST, SURROGATES = 0x100, (0xD800, 0xE000)
-OTHER = "\x01"
+BASE, OTHER = 64, "\x01"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -48,20 +48,24 @@ class Machine:
     """The automaton of (item, words joined by spaces) rows."""
 
     def __init__(self, pieces: list[tuple[str, bytes]]):
-        self.symbols: dict[bytes, str] = {}
+        cut_up = [(item, piece.split()) for item, piece in sorted(set(pieces))]  # by item
+        known = sorted({w for _, words in cut_up for w in words})
+        self.width = 1
+        while BASE**self.width < len(known):
+            self.width += 1
+        self.symbols = {w: self._symbol(n) for n, w in enumerate(known)}
         self.sizes: list[int] = []
         self.items: list[tuple[str, ...]] = []
         numbers: dict[str, int] = {}
-        for item, piece in sorted(set(pieces)):
-            words = piece.split()
-            text = "".join(map(self._symbol, words))
+        for item, words in cut_up:
+            text = "".join(map(self.symbols.__getitem__, words))
             for i in range(max(1, len(words) - WINDOW + 1)):
-                window = text[i : i + WINDOW]
+                window = text[i * self.width : (i + WINDOW) * self.width]
                 n = numbers.setdefault(window, len(numbers))
                 if n == len(self.items):
                     self.items.append((item,))
-                    self.sizes.append(len(window))
-                elif self.items[n][-1] != item:  # rows come in order of their items
+                    self.sizes.append(len(window) // self.width)
+                elif self.items[n][-1] != item:
                     self.items[n] += (item,)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for window, n in numbers.items():
@@ -69,20 +73,24 @@ class Machine:
         if numbers:
             self.automaton.make_automaton()
 
-    def _symbol(self, word: bytes) -> str:
-        if word not in self.symbols:
-            n = FIRST + len(self.symbols)
-            self.symbols[word] = chr(n if n < SURROGATES[0] else n + SURROGATES[1] - SURROGATES[0])
-        return self.symbols[word]
+    def _symbol(self, n: int) -> str:
+        """The digits of n, the one of the highest place from the first alphabet, which begins at BASE."""
+        return "".join(chr(BASE * (k + 1) + n // BASE ** (self.width - 1 - k) % BASE) for k in range(self.width))
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words; (first word, one past the last) of every merged range of hit words; items found."""
         words = words_of(text)
         spans, items = [], set()
         if words and self.sizes:
-            for last, n in self.automaton.iter("".join(map(self.symbols.get, words, repeat(OTHER)))):
-                spans.append((last + 1 - self.sizes[n], last + 1))
-                items.update(self.items[n])
+            symbols = "".join(map(self.symbols.get, words, repeat(OTHER)))
+            hits = list(self.automaton.iter(symbols))
+            if hits:
+                codes = np.frombuffer(symbols.encode("utf-32-le"), np.uint32)
+                word = np.cumsum((codes < 2 * BASE)) - 1  # a word begins with a digit of the first alphabet or is OTHER
+                for at, n in hits:
+                    last = int(word[at])
+                    spans.append((last + 1 - self.sizes[n], last + 1))
+                    items.update(self.items[n])
         return len(words), merged_spans(spans), items
 
 
