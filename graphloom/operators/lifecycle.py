@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.clock import age_days
-from ..functions.text import summary
 from ..schema import Graph, either_way, is_live, live
 from ..shared import cut
 
-REASONS = ("direct", "cascade", "gc", "dedup")
-
-
 def _spared() -> F.Column:
     return F.coalesce("permanent", F.lit(0)) == 0
 
@@ -72,12 +68,6 @@ def auto_decay(graph: Graph, as_of, days: int = 14, cascading: bool = True) -> t
     return decayed(graph, log), log
 
 
-def audit_rows(graph: Graph, log: DataFrame, as_of) -> DataFrame:
-    """The audit log's rows for (id, reason)."""
-    n = graph.nodes.join(log, "id")
-    return n.select(F.col("id").alias("node_id"), summary("content").alias("content_summary"), F.col("reason").alias("decay_reason"), F.col("access_count").alias("access_count_at_decay"), "source_file", "domain", "node_type", F.lit(as_of).alias("decay_timestamp"), "metadata")
-
-
 def promotion_candidates(graph: Graph, at: int = 10) -> DataFrame:
     return live(graph.nodes).where(_spared() & (F.col("access_count") >= at)).select("id")
 
@@ -97,11 +87,15 @@ def fitness(graph: Graph) -> DataFrame:
     return both.withColumn("fitness", F.col("branching") + 0.5 * F.col("cross_links"))
 
 
-def gc_candidates(graph: Graph, as_of, threshold: float = 0.05, grace_days: int = 7, penalty: float = 1.5) -> DataFrame:
+def gc_candidates(graph: Graph, as_of, threshold: float = 0.05, grace_days: int = 7, penalty: float = 1.5, probes: int | None = None, seed: int = 0) -> DataFrame:
+    """(id, fitness, threshold) of live nodes that are not permanent, were not accessed within the grace period (one that never was has
+    no grace) and are not fit enough; of these `probes` by the order of a seeded hash, or all.
+    """
     limit = F.when(F.coalesce("source_file", F.lit("")).contains("think_cycle"), threshold * penalty).otherwise(threshold)
-    seen = F.coalesce("last_accessed", "ts") if "last_accessed" in graph.nodes.columns else F.col("ts")
-    old = graph.nodes.where(_spared() & (age_days(seen, as_of) > grace_days))
-    return old.join(fitness(graph), "id").where(F.col("fitness") < limit).select("id", "fitness")
+    seen = age_days("last_accessed", as_of) if "last_accessed" in graph.nodes.columns else F.lit(None).cast("double")
+    old = live(graph.nodes).where(_spared() & (F.coalesce(seen, F.lit(float("inf"))) >= grace_days)).withColumn("threshold", limit)
+    found = old.join(fitness(graph), "id").where(F.col("fitness") < F.col("threshold")).select("id", "fitness", "threshold")
+    return found if probes is None else found.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(probes)
 
 
 def collected(graph: Graph, ids: DataFrame, mode: str = "soft") -> Graph:
@@ -133,7 +127,24 @@ def with_core_memories(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     return both.withColumn("permanent", F.when(F.coalesce(up, F.lit(False)) & (F.coalesce("permanent", F.lit(0)) == 0), 1).otherwise(F.col("permanent"))).select(*nodes.columns)
 
 
-def audit_rollup(graph: Graph) -> DataFrame:
+def fitness_with_depth(graph: Graph, depth: DataFrame) -> DataFrame:
+    """fitness() with a tenth of each node's derivation depth (id, depth) added."""
+    both = fitness(graph).join(depth.toDF("deep", "depth"), F.col("id") == F.col("deep"), "left")
+    d = F.coalesce("depth", F.lit(0))
+    return both.select("id", "branching", "cross_links", d.alias("depth"), (F.col("fitness") + 0.1 * d).alias("fitness"))
+
+
+def decayed_by_type(graph: Graph) -> DataFrame:
     """Decayed nodes by type with their share of all that decayed."""
     by = graph.nodes.where(~is_live()).groupBy("node_type").agg(F.count("*").alias("n"))
     return by.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+def permanent_nodes(nodes: DataFrame) -> DataFrame:
+    """(id, node_type, access_count, level) of pinned and promoted live nodes."""
+    return live(nodes).where(F.coalesce("permanent", F.lit(0)) > 0).select("id", "node_type", "access_count", F.when(F.col("permanent") == 2, "pinned").otherwise("promoted").alias("level"))
+
+
+def prunable(graph: Graph, as_of, days: int = 14) -> DataFrame:
+    """(id, reason) of what auto_decay() would flag, without flagging it."""
+    return auto_decay(graph, as_of, days)[1]

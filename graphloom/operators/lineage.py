@@ -74,16 +74,83 @@ def depth(graph: Graph, most: int = 20) -> DataFrame:
     return best.groupBy("id").agg(F.max("depth").alias("depth"))
 
 
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The edges that are left when nodes without a parent or without a child have gone, as long as there are any."""
+    edges, n = cut(edges.where("parent_id is not null and child_id is not null").select("parent_id", "child_id").distinct()), -1
+    while n != (n := edges.count()):
+        kept = edges.join(edges.select(F.col("child_id").alias("x")).distinct(), F.col("parent_id") == F.col("x"), "left_semi")
+        edges = cut(kept.join(kept.select(F.col("parent_id").alias("y")).distinct(), F.col("child_id") == F.col("y"), "left_semi"))
+    return edges
+
+
 def cyclic(graph: Graph) -> DataFrame:
-    """Nodes on a cycle: those that are their own ancestor, after nodes without a parent or child have been trimmed away."""
-    edges = cut(graph.edges.select("parent_id", "child_id"))
-    while True:
-        n = edges.count()
-        kept = edges.join(edges.select(F.col("child_id").alias("x")), F.col("parent_id") == F.col("x"), "left_semi")
-        edges = cut(kept.join(kept.select(F.col("parent_id").alias("y")), F.col("child_id") == F.col("y"), "left_semi"))
-        if edges.count() == n:
-            break
-    return ancestors(edges, None).where("id = ancestor").select("id").distinct()
+    """Nodes on a cycle: those of strongly connected components of two or more nodes, and those with an edge to themselves.
+
+    What trimming leaves is coloured: the largest id spreads along the edges, and a node that keeps its own colour leads a
+    component, which is what reaches it within its colour. These go, and the rest is trimmed and coloured again. Rounds follow
+    distances; nothing grows with the square of the nodes.
+    """
+    edges = trimmed(graph.edges)
+    found = edges.where("parent_id = child_id").select(F.col("parent_id").alias("id"))
+    edges = trimmed(edges.where("parent_id <> child_id"))
+    while edges.take(1):
+        colour = cut(endpoints(edges).distinct().withColumn("c", F.col("id")))
+        while True:
+            above = edges.join(colour, F.col("parent_id") == F.col("id")).groupBy("child_id").agg(F.max("c").alias("up"))
+            spread = cut(colour.join(above, F.col("id") == F.col("child_id"), "left").select("id", F.greatest("c", "up").alias("c")))
+            moved = spread.join(colour, ["id", "c"], "left_anti").take(1)
+            colour = spread
+            if not moved:
+                break
+        inside = cut(edges.join(colour.toDF("parent_id", "cp"), "parent_id").join(colour.toDF("child_id", "cc"), "child_id").where("cp = cc").select("parent_id", "child_id", F.col("cp").alias("c")))
+        frontier = reached = cut(colour.where("id = c").select("id", "c"))
+        while True:
+            back = inside.join(frontier.toDF("child_id", "c"), ["child_id", "c"]).select(F.col("parent_id").alias("id"), "c").distinct()
+            frontier = cut(back.join(reached, ["id", "c"], "left_anti"))
+            if not frontier.take(1):
+                break
+            reached = cut(reached.unionByName(frontier))
+        several = cut(reached.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"))
+        found = found.unionByName(reached.join(several, "c").select("id"))
+        done = reached.select("id")
+        rest = edges.join(done.toDF("parent_id"), "parent_id", "left_anti").join(done.toDF("child_id"), "child_id", "left_anti")
+        edges = trimmed(rest)
+    return found.distinct()
+
+
+def cycle_paths(graph: Graph, most_edges: int = 100_000) -> list[list[str]]:
+    """One cycle for each edge back to a node on the path of a depth-first walk, ids in ascending order: [a, b, ..., a].
+
+    The walk is sequential; what trimming leaves of the graph comes to the driver, and is an error if it has more edges than that.
+    """
+    rows = trimmed(graph.edges).limit(most_edges + 1).collect()
+    if len(rows) > most_edges:
+        raise ValueError(f"cycles are spread over more than {most_edges} edges; cyclic() names their nodes")
+    near: dict[str, list[str]] = {}
+    for p, c in sorted((r["parent_id"], r["child_id"]) for r in rows):
+        near.setdefault(p, []).append(c)
+    found, done = [], set()
+    for start in sorted(near):
+        path, waiting = [], [(start, iter(near[start]))] if start not in done else []
+        place: dict[str, int] = {}
+        if waiting:
+            done.add(start)
+            place[start] = 0
+            path.append(start)
+        while waiting:
+            node, children = waiting[-1]
+            child = next(children, None)
+            if child is None:
+                waiting.pop()
+                del place[path.pop()]
+            elif child in place:
+                found.append([*path[place[child] :], child])
+            elif child not in done:
+                done.add(child)
+                place[child] = len(path)
+                path.append(child)
+                waiting.append((child, iter(near.get(child, []))))
+    return found
 
 
 def parent_chain(graph: Graph, steps: int = 3) -> DataFrame:

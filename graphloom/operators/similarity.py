@@ -1,147 +1,279 @@
 """Similarity self-joins.
 
 Cosine: vectors are packed into blocks, each pair of blocks meets once by an equi-join on its name, and one matrix
-product per pair gives the pairs over the threshold; the shuffle grows with the number of blocks, not of pairs.
-Jaccard: prefix filtering over words ordered from rare to frequent, then the exact test.
+product per pair is reduced to what the operator asks for (pairs over a threshold, each row's best, a count, the k
+lowest scores) before anything leaves the worker. All vectors have to meet, so the shuffle has as many copies of a block as there are blocks;
+a block holds BLOCK vectors to keep these few. Vectors of another dimension, with NaN or infinite values or without a
+norm take no part.
+
+Jaccard: equal word sets are folded into one class first; then prefix filtering over words ordered from rare to
+frequent with length and position filters, then the exact test.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import word_set
+from ..functions.vector import sound
 from ..schema import Graph, live
+from ..shared import cut
 
-BLOCK, ROWS = 2048, 512
+BLOCK, ROWS = 4096, 512
+PAIRS = "a string, b string, sim double"
 
 
-def _packed(emb: DataFrame, name: str, n: int) -> DataFrame:
-    placed = emb.select("node_id", F.col("vector").cast("array<double>").alias("vector")).withColumn(name, F.pmod(F.xxhash64("node_id"), F.lit(n)))
-    return placed.groupBy(name).agg(F.collect_list("node_id").alias("ids"), F.flatten(F.collect_list("vector")).alias("flat"))
+def _packed(emb: DataFrame, name: str, n: int, labels: tuple[str, ...] = ()) -> DataFrame:
+    placed = emb.select("node_id", F.col("vector").cast("array<double>").alias("vector"), *labels).withColumn(name, F.pmod(F.xxhash64("node_id"), F.lit(n)))
+    return placed.groupBy(name).agg(F.collect_list("node_id").alias("ids"), F.flatten(F.collect_list("vector")).alias("flat"), *[F.collect_list(c).alias(c) for c in labels])
 
 
-def _unit(flat, n: int) -> np.ndarray:
-    m = np.asarray(flat, np.float64).reshape(n, -1)
-    size = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+def _part(batch: pa.RecordBatch, name: str, row: int) -> pa.Array:
+    """A row's list as an array, without a copy."""
+    column = batch.column(name)
+    return column.values.slice(column.offsets[row].as_py(), column.offsets[row + 1].as_py() - column.offsets[row].as_py())
 
 
-def _multiply(least: float):
-    def each(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                sims = _unit(r["flat_a"], len(r["ids_a"])) @ _unit(r["flat_b"], len(r["ids_b"])).T
-                i, j = np.nonzero(sims >= least)
-                a, b = np.array(r["ids_a"], object), np.array(r["ids_b"], object)
-                yield pa.RecordBatch.from_arrays([pa.array(a[i], pa.string()), pa.array(b[j], pa.string()), pa.array(sims[i, j])], names=["a", "b", "sim"])
+def _unit(batch: pa.RecordBatch, name: str, row: int, n: int) -> np.ndarray:
+    m = _part(batch, name, row).to_numpy(zero_copy_only=False).reshape(n, -1)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _strips(batch: pa.RecordBatch, r: int) -> tuple[pa.Array, pa.Array, Iterator[tuple[int, np.ndarray]]]:
+    """The ids of both sides, and the products of ROWS rows of the left side with all of the right one."""
+    a, b = _part(batch, "ids_a", r), _part(batch, "ids_b", r)
+    one, two = _unit(batch, "flat_a", r, len(a)), _unit(batch, "flat_b", r, len(b))
+    return a, b, ((at, one[at : at + ROWS] @ two.T) for at in range(0, len(a), ROWS))
+
+
+def _same(batch: pa.RecordBatch, r: int) -> bool:
+    return batch.column("i")[r].as_py() == batch.column("j")[r].as_py()
 
-    return each
 
+def _upper(sims: np.ndarray, at: int, same: bool) -> np.ndarray:
+    """Which cells stand for a pair: of a block with itself those above the diagonal."""
+    return np.arange(sims.shape[1])[None, :] > np.arange(at, at + len(sims))[:, None] if same else np.ones(sims.shape, bool)
 
-def _best(least: float):
-    """Of each row of the left block the largest cosine, if it is at least `least`; of equal ones the last id."""
 
-    def each(batches):
+def _each(f: Callable[[pa.RecordBatch, int], Iterator[pa.RecordBatch]]):
+    def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                one, two = _unit(r["flat_a"], len(r["ids_a"])), _unit(r["flat_b"], len(r["ids_b"]))
-                a, b = np.array(r["ids_a"], str), np.array(r["ids_b"], str)
-                order = np.argsort(b)[::-1]
-                for at in range(0, len(a), ROWS):
-                    sims = one[at : at + ROWS] @ two[order].T
-                    k = sims.argmax(1)
-                    sim = sims[np.arange(len(k)), k]
-                    some = sim >= least
-                    yield pa.RecordBatch.from_arrays([pa.array(a[at : at + ROWS][some], pa.string()), pa.array(b[order][k][some], pa.string()), pa.array(sim[some])], names=["a", "b", "sim"])
+            for r in range(batch.num_rows):
+                yield from f(batch, r)
 
-    return each
+    return run
 
 
-def _met(left: DataFrame, right: DataFrame, block: int, multiply) -> DataFrame:
-    n, m = (max(1, math.ceil(d.count() / block)) for d in (left, right))
-    one = _packed(left, "i", n).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("i", "j", F.col("ids").alias("ids_a"), F.col("flat").alias("flat_a"))
-    two = _packed(right, "j", m).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("i", "j", F.col("ids").alias("ids_b"), F.col("flat").alias("flat_b"))
-    return one.join(two, ["i", "j"]).select("ids_a", "flat_a", "ids_b", "flat_b").mapInArrow(multiply, "a string, b string, sim double")
+def _ordered(x: pa.Array, y: pa.Array, sim: np.ndarray) -> pa.RecordBatch:
+    first = pc.less(x, y)
+    return pa.RecordBatch.from_arrays([pc.if_else(first, x, y).cast(pa.string()), pc.if_else(first, y, x).cast(pa.string()), pa.array(sim)], names=["a", "b", "sim"])
 
 
-def pairs_at_least(left: DataFrame, right: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, sim) for all pairs of a row of each side with a cosine of at least `least`."""
-    return _met(left, right, block, _multiply(least))
+def _pairs(least: float, below: float):
+    def one(batch, r):
+        a, b, strips = _strips(batch, r)
+        for at, sims in strips:
+            i, j = np.nonzero((sims >= least) & (sims < below) & _upper(sims, at, _same(batch, r)))
+            yield _ordered(a.take(pa.array(at + i)), b.take(pa.array(j)), sims[i, j])
 
+    return _each(one)
 
-def best_at_least(left: DataFrame, right: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, sim): of those pairs, each left row's best in each block of the right side."""
-    return _met(left, right, block, _best(least))
 
+def _number(least: float):
+    """How many pairs of two blocks are over `least`."""
 
-def _multiply_once(least: float, below: float):
-    """Of two different blocks every pair, the smaller id first; of a block with itself the pairs in that order."""
+    def one(batch, r):
+        _, _, strips = _strips(batch, r)
+        n = sum(int(((sims > least) & _upper(sims, at, _same(batch, r))).sum()) for at, sims in strips)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    def each(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                sims = _unit(r["flat_a"], len(r["ids_a"])) @ _unit(r["flat_b"], len(r["ids_b"])).T
-                a, b = np.array(r["ids_a"], str), np.array(r["ids_b"], str)
-                for at in range(0, len(a), ROWS):
-                    some = sims[at : at + ROWS]
-                    i, j = np.nonzero((some >= least) & (some < below))
-                    x, y, sim = a[at + i], b[j], some[i, j]
-                    first = x < y
-                    if r["i"] == r["j"]:
-                        x, y, sim = x[first], y[first], sim[first]
-                    else:
-                        x, y = np.where(first, x, y), np.where(first, y, x)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(sim)], names=["a", "b", "sim"])
-
-    return each
-
-
-def cosine_pairs(emb: DataFrame, least: float, below: float = 2.0, block: int = BLOCK) -> DataFrame:
-    """Each unordered pair (a < b) with least <= cosine < below. Two blocks meet once, not in either order."""
-    n = max(1, math.ceil(emb.count() / block))
-    packed = _packed(emb, "k", n)
-    one = packed.select(F.col("k").alias("i"), F.explode(F.sequence("k", F.lit(n - 1).cast("long"))).alias("j"), F.col("ids").alias("ids_a"), F.col("flat").alias("flat_a"))
-    two = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), "k")).alias("i"), F.col("k").alias("j"), F.col("ids").alias("ids_b"), F.col("flat").alias("flat_b"))
-    both = one.join(two, ["i", "j"]).select("i", "j", "ids_a", "flat_a", "ids_b", "flat_b")
-    return both.mapInArrow(_multiply_once(least, below), "a string, b string, sim double")
+    return _each(one)
+
+
+def _best(least: float, others: bool):
+    """Of each row of the left block the largest cosine, if it is at least `least`; of equal ones the last id. `others`: not its own."""
+
+    def one(batch, r):
+        a, b, strips = _strips(batch, r)
+        place = pc.array_sort_indices(b, order="descending").to_numpy()
+        own = {x: k for k, x in enumerate(b.to_pylist())} if others else {}
+        for at, sims in strips:
+            if others:
+                for i, x in enumerate(a.slice(at, len(sims)).to_pylist()):
+                    if x in own:
+                        sims[i, own[x]] = -2.0
+            k = place[sims[:, place].argmax(1)]
+            sim = sims[np.arange(len(k)), k]
+            some = np.nonzero(sim >= least)[0]
+            yield pa.RecordBatch.from_arrays([a.take(pa.array(at + some)).cast(pa.string()), b.take(pa.array(k[some])).cast(pa.string()), pa.array(sim[some])], names=["a", "b", "sim"])
+
+    return _each(one)
+
+
+def _lowest(low: float, high: float, k: int, bonus: float):
+    """The pairs with the k lowest scores in the band, and those that equal the last of them."""
+
+    def one(batch, r):
+        a, b, strips = _strips(batch, r)
+        codes = []
+        for label in ("kind", "domain"):
+            x = pa.concat_arrays([_part(batch, f"{label}_a", r), _part(batch, f"{label}_b", r)]).dictionary_encode().indices.to_numpy()
+            codes.append((x[: len(a)], x[len(a) :]))
+        for at, sims in strips:
+            score = -np.abs(sims - 0.5)
+            for x, y in codes:
+                score = score + bonus * (x[at : at + len(sims), None] != y[None, :])
+            score[~((sims >= low) & (sims <= high) & _upper(sims, at, _same(batch, r)))] = np.inf
+            found = np.isfinite(score).sum()
+            if found:
+                last = np.partition(score, min(k, found) - 1, axis=None)[min(k, found) - 1]
+                i, j = np.nonzero(score <= last + 1e-6)
+                pairs = _ordered(a.take(pa.array(at + i)), b.take(pa.array(j)), sims[i, j])
+                yield pa.RecordBatch.from_arrays([*pairs.columns, pa.array(score[i, j])], names=["a", "b", "sim", "score"])
+
+    return _each(one)
+
+
+def _blocks(rows: DataFrame, block: int) -> int:
+    return max(1, math.ceil(rows.count() / block))
+
+
+def _met(left: DataFrame, right: DataFrame, block: int, reduce, schema: str) -> DataFrame:
+    """Every block of one side with every block of the other."""
+    n, m = _blocks(left, block), _blocks(right, block)
+    one = _packed(left, "i", n).select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("j"), F.col("ids").alias("ids_a"), F.col("flat").alias("flat_a"))
+    two = _packed(right, "j", m).select("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"), F.col("ids").alias("ids_b"), F.col("flat").alias("flat_b"))
+    return one.join(two, ["i", "j"]).select("i", "j", "ids_a", "flat_a", "ids_b", "flat_b").mapInArrow(reduce, schema)
+
+
+def _met_once(rows: DataFrame, block: int, reduce, schema: str, labels: tuple[str, ...] = ()) -> DataFrame:
+    """Every unordered pair of blocks of a table, a block with itself too."""
+    n = _blocks(rows, block)
+    packed = _packed(rows, "k", n, labels)
+    parts = ("ids", "flat", *labels)
+    one = packed.select(F.col("k").alias("i"), F.explode(F.sequence("k", F.lit(n - 1).cast("long"))).alias("j"), *[F.col(c).alias(f"{c}_a") for c in parts])
+    two = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), "k")).alias("i"), F.col("k").alias("j"), *[F.col(c).alias(f"{c}_b") for c in parts])
+    return one.join(two, ["i", "j"]).mapInArrow(reduce, schema)
+
+
+def best_at_least(left: DataFrame, right: DataFrame, least: float, dim: int | None = None, others: bool = False, block: int = BLOCK) -> DataFrame:
+    """(a, b, sim): each left row's best row of the right side, of equal ones the last id, if its cosine is at least `least`."""
+    near = _met(sound(left, dim), sound(right, dim), block, _best(least, others), PAIRS)
+    return near.groupBy("a").agg(F.max(F.struct("sim", "b")).alias("m")).select("a", "m.b", "m.sim")
+
+
+def _top(least: float, k: int):
+    """Of each row of the left block the k largest cosines of at least `least` to rows with another id; of equal ones all."""
+
+    def one(batch, r):
+        a, b, strips = _strips(batch, r)
+        own = {x: i for i, x in enumerate(b.to_pylist())}
+        for at, sims in strips:
+            for i, x in enumerate(a.slice(at, len(sims)).to_pylist()):
+                if x in own:
+                    sims[i, own[x]] = -2.0
+            m = min(k, sims.shape[1])
+            last = np.partition(sims, -m, axis=1)[:, -m]
+            i, j = np.nonzero((sims >= last[:, None] - 1e-12) & (sims >= least))
+            yield pa.RecordBatch.from_arrays([a.take(pa.array(at + i)).cast(pa.string()), b.take(pa.array(j)).cast(pa.string()), pa.array(sims[i, j])], names=["a", "b", "sim"])
+
+    return _each(one)
+
+
+def top_each(left: DataFrame, right: DataFrame, k: int, least: float, dim: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, sim): each left row's k best other rows of the right side with at least that cosine, of equal ones the smaller ids."""
+    near = _met(sound(left, dim), sound(right, dim), block, _top(least, k), PAIRS)
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= k).drop("r")
+
+
+def cosine_pairs(emb: DataFrame, least: float, below: float = 2.0, dim: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Each unordered pair (a < b) with least <= cosine < below."""
+    return _met_once(sound(emb, dim), block, _pairs(least, below), PAIRS)
+
+
+def pair_count(emb: DataFrame, least: float, dim: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(n): the number of pairs with a cosine over `least`."""
+    return _met_once(sound(emb, dim), block, _number(least), "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def banded(pairs: DataFrame, cross_link: float, dedup: float) -> DataFrame:
+    """Pairs with what is to be done with them: link or merge."""
+    return pairs.withColumn("action", F.when(F.col("sim") >= dedup, "merge").when(F.col("sim") >= cross_link, "link")).where("action is not null")
 
 
 def live_vectors(graph: Graph) -> DataFrame:
     return graph.emb.join(live(graph.nodes), F.col("node_id") == F.col("id"), "left_semi").select("node_id", "vector")
 
 
-def tension_pairs(graph: Graph, low: float = 0.30, high: float = 0.70, k: int = 10) -> DataFrame:
+def tension_pairs(graph: Graph, low: float = 0.30, high: float = 0.70, k: int = 10, block: int = BLOCK) -> DataFrame:
     """Pairs of moderate similarity, lowest score first; another type or domain adds to the score."""
-    n = graph.nodes.select("id", "node_type", F.coalesce(F.get_json_object("metadata", "$.domain"), F.lit("unknown")).alias("domain"))
-    p = cosine_pairs(live_vectors(graph), low).where(F.col("sim") <= high)
-    p = p.join(n.toDF("a", "type_a", "domain_a"), "a").join(n.toDF("b", "type_b", "domain_b"), "b")
-    bonus = F.when(F.col("type_a") != F.col("type_b"), 0.05).otherwise(0.0) + F.when(F.col("domain_a") != F.col("domain_b"), 0.05).otherwise(0.0)
-    return p.select("a", "b", F.round("sim", 6).alias("sim"), F.round(bonus - F.abs(F.col("sim") - 0.5), 6).alias("score")).orderBy("score", "a", "b").limit(k)
+    n = live(graph.nodes).select("id", F.col("node_type").alias("kind"), F.coalesce(F.get_json_object("metadata", "$.domain"), F.lit("unknown")).alias("domain"))
+    rows = sound(graph.emb).join(n, F.col("node_id") == F.col("id")).select("node_id", "vector", F.coalesce("kind", F.lit("")).alias("kind"), "domain")
+    found = _met_once(rows, block, _lowest(low, high, k, 0.05), f"{PAIRS}, score double", ("kind", "domain"))
+    return found.select("a", "b", F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score")).orderBy("score", "a", "b").limit(k)
+
+
+def word_classes(docs: DataFrame) -> DataFrame:
+    """(id, class): rows with equal word sets are in one class, named by its smallest id; rows without words are in none."""
+    named = _word_keys(docs)
+    least = cut(named.groupBy("k1", "k2").agg(F.min("id").alias("class")))
+    return named.join(least, ["k1", "k2"]).select("id", "class")
+
+
+def _word_keys(docs: DataFrame) -> DataFrame:
+    sets = docs.select("id", F.array_sort(word_set("content")).alias("words")).where(F.size("words") > 0)
+    return sets.select("id", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"))
 
 
 def jaccard_pairs(docs: DataFrame, least: float) -> DataFrame:
-    """(a, b, sim) for a < b of (id, content) whose word sets are that alike. Exact."""
-    sets = docs.select("id", word_set("content").alias("words")).where(F.size("words") > 0)
-    words = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    freq = words.groupBy("word").agg(F.count("*").alias("df"))
+    """(a, b, sim) for a < b, of (id, content): the classes of word_classes() whose word sets are that alike. Exact.
+
+    A class is its smallest id; its copies are not expanded. Words are 64-bit hashes. A word of very many prefixes makes a
+    hot key of a plain join of two scans, which Spark's skew join splits.
+    """
+    reps = _word_keys(docs).groupBy("k1", "k2").agg(F.min("id").alias("id")).select("id")
+    sets = docs.join(reps, "id", "left_semi").select("id", F.transform(word_set("content"), lambda w: F.xxhash64(w)).alias("words"))
+    words = cut(sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word")))
+    freq = cut(words.groupBy("word").agg(F.count("*").alias("df")))
     ranked = words.join(freq, "word").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
-    ranked = ranked.select("id", "n", F.col("w.word").alias("w"))
+    ranked = cut(ranked.select("id", "n", F.col("w.word").alias("w")))
     prefix = F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
-    keys = ranked.select("id", "n", F.explode(prefix).alias("word"))
-    a, b = keys.toDF("a", "na", "word"), keys.toDF("b", "nb", "word")
-    alike = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
-    found = a.join(b, "word").where(alike).select("a", "b").distinct()
+    keys = ranked.select("id", "n", F.posexplode(prefix).alias("p", "word"))
+    a, b = keys.toDF("a", "na", "pa", "word"), keys.toDF("b", "nb", "pb", "word")
+    size = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
+    # from the first common word on, at most this many are common
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9
+    first = a.join(b, "word").where((F.col("a") < F.col("b")) & size).groupBy("a", "b").agg(F.min(F.struct("pa", "pb", "na", "nb")).alias("m")).select("a", "b", "m.*")
+    found = first.where(reach).select("a", "b")
     full = ranked.select("id", "w")
     both = found.join(full.toDF("a", "wa"), "a").join(full.toDF("b", "wb"), "b")
-    return both.select("a", "b", (F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))).alias("sim")).where(F.col("sim") >= least)
-
-
-def calibration(emb: DataFrame) -> DataFrame:
-    """Quantiles of the cosines of all pairs."""
-    p = cosine_pairs(emb, -1.0)
-    q = F.percentile("sim", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return p.agg(F.count("*").alias("pairs"), F.round(F.avg("sim"), 6).alias("mean"), q.alias("q")).select("pairs", "mean", *[F.round(F.col("q")[i], 6).alias(f"p{n}") for i, n in enumerate((50, 95, 99))])
+    common = F.size(F.array_intersect("wa", "wb"))
+    return both.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("sim")).where(F.col("sim") >= least)
+
+
+def calibration(emb: DataFrame, pairs: int = 40_000, queries: int = 2_000, seed: str = "0", dim: int | None = None) -> DataFrame:
+    """One row: quantiles of the cosines of about `pairs` pairs, those of as many nodes by the order of a seeded hash as have
+    that many pairs; quantiles of the largest cosine to another node, of at most `queries` nodes against all; and the
+    thresholds that follow. Both samples are parameters, so the driver and any one task see a bounded number of values.
+    """
+    emb = sound(emb, dim).select("node_id", "vector")
+    order = [F.md5(F.concat(F.lit(seed), "node_id")), F.col("node_id")]
+    some = cut(emb.orderBy(*order).limit(math.isqrt(2 * pairs) + 1))
+    asked = cut(emb.orderBy(*order).limit(queries))
+    q = lambda *at: F.percentile("sim", F.array(*map(F.lit, at)))
+    unrelated = cosine_pairs(some, -2.0, dim=dim).agg(F.count("*").alias("pairs"), F.round(F.avg("sim"), 3).alias("mean"), q(0.5, 0.95, 0.99).alias("q"))
+    nearest = best_at_least(asked, emb, -1.5, dim, True).agg(q(0.25, 0.5, 0.9, 0.99).alias("nn"))
+    r3 = lambda c, i: F.round(F.col(c)[i], 3)
+    row = unrelated.join(nearest).select(  # two single rows
+        "pairs", "mean", r3("q", 0).alias("p50"), r3("q", 1).alias("p95"), r3("q", 2).alias("p99"),
+        r3("nn", 0).alias("nn_p25"), r3("nn", 1).alias("nn_p50"), r3("nn", 2).alias("nn_p90"), r3("nn", 3).alias("nn_p99"),
+    )
+    cross = F.greatest(F.round(F.col("p99") + 0.03, 2), F.round(F.col("p95") + 0.05, 2))
+    row = row.withColumn("cross_link", cross).withColumn("dedup", F.round(F.col("cross_link") + 0.04, 2))
+    return row.withColumn("novelty", F.round(F.greatest(F.col("dedup") + 0.01, F.col("nn_p50") + 0.03), 2))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import reason_bucket, tag_list
+from ..functions.text import cluster_colour, reason_bucket, tag_list
 from ..functions.vector import fault
 from ..schema import Graph, domain_of, is_live, live
 
@@ -87,6 +87,14 @@ def permanence_integrity(graph: Graph) -> DataFrame:
     return graph.nodes.agg(_count((p > 0) & ~is_live()).alias("permanent_decayed"), _count(~p.isin(0, 1, 2)).alias("odd_value"), _count((p == 1) & (F.col("access_count") < 10)).alias("permanent_low_access"))
 
 
+def integrity_ids(graph: Graph, dim: int) -> DataFrame:
+    """(state, id) of what integrity() counts, the sound vectors aside."""
+    bad = graph.emb.select(F.col("node_id").alias("id"), fault("vector", dim).alias("state")).where("state is not null").select("state", "id")
+    lost = graph.emb.join(graph.nodes.select("id"), F.col("node_id") == F.col("id"), "left_anti").select(F.lit("without_node").alias("state"), F.col("node_id").alias("id"))
+    bare = live(graph.nodes).select("id").join(graph.emb, F.col("node_id") == F.col("id"), "left_anti").select(F.lit("without_embedding").alias("state"), "id")
+    return bad.union(lost).union(bare)
+
+
 def embedding_stats(graph: Graph) -> DataFrame:
     return graph.emb.groupBy("model").agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("dim_low"), F.max(F.size("vector")).alias("dim_high"))
 
@@ -111,6 +119,44 @@ def reasoning_buckets(graph: Graph) -> DataFrame:
     return graph.edges.groupBy(reason_bucket().alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("weight"), 6).alias("mean_weight"))
 
 
+def cluster_members(graph: Graph) -> DataFrame:
+    """(source_file, node_type, id, colour): the members of source_clusters(), a row each, with the colour of their cluster."""
+    return graph.nodes.select(F.coalesce("source_file", F.lit("unknown")).alias("source_file"), "node_type", "id", cluster_colour(F.col("node_type")).alias("colour"))
+
+
+def source_counts(graph: Graph) -> DataFrame:
+    return graph.nodes.groupBy(F.coalesce("source_file", F.lit("unknown")).alias("source_file")).agg(F.count("*").alias("n"))
+
+
+def node_detail(graph: Graph, node: str) -> DataFrame:
+    """(relation, id, content, weight): what a node is derived from and what it leads to, heaviest first."""
+    up = graph.edges.where(F.col("child_id") == node).select(F.lit("derived_from").alias("relation"), F.col("parent_id").alias("other"), "weight")
+    down = graph.edges.where(F.col("parent_id") == node).select(F.lit("leads_to").alias("relation"), F.col("child_id").alias("other"), "weight")
+    both = up.union(down).join(graph.nodes.select("id", "content"), F.col("other") == F.col("id"))
+    return both.select("relation", "id", "content", "weight").orderBy("relation", F.desc("weight"), "id")
+
+
+def of_types(graph: Graph, types: list[str], with_decayed: bool = False) -> Graph:
+    """The nodes of some types and the edges between them."""
+    n = (graph.nodes if with_decayed else live(graph.nodes)).where(F.col("node_type").isin(types))
+    ids = n.select("id")
+    e = graph.edges.join(ids.toDF("parent_id"), "parent_id", "left_semi").join(ids.toDF("child_id"), "child_id", "left_semi")
+    return graph.with_(nodes=n, edges=e.select(*graph.edges.columns))
+
+
+def brain_stats(graph: Graph, hotspot: str = "hotspot", near: float = 0.82) -> DataFrame:
+    """One row: live nodes, edges, share with a vector, hotspots, orphans and pairs that are nearly the same."""
+    from .similarity import live_vectors, pair_count
+
+    n = live(graph.nodes).agg(F.count("*").alias("nodes"), _count(F.col("node_type") == hotspot).alias("hotspots"))
+    e = graph.edges.agg(F.count("*").alias("edges"))
+    m = live_vectors(graph).agg(F.count("*").alias("embedded"))
+    o = orphans(graph).agg(F.count("*").alias("orphans"))
+    d = pair_count(live_vectors(graph), near).select(F.col("n").alias("near_duplicates"))
+    share = F.round(F.col("embedded") / F.greatest(F.lit(1), "nodes"), 4)
+    return n.join(e).join(m).join(o).join(d).withColumn("coverage", share).drop("embedded")  # five single rows
+
+
 def source_clusters(graph: Graph) -> DataFrame:
     return graph.nodes.groupBy("source_file", "node_type").agg(F.count("*").alias("size"), F.min("id").alias("first_id"))
 
@@ -131,31 +177,3 @@ def underrepresented_domains(graph: Graph, as_of, days: int = 30, k: int = 3) ->
 
 def recent_count(graph: Graph, as_of, days: int = 7) -> DataFrame:
     return graph.nodes.agg(_count(F.col("ts") > as_of - F.expr(f"INTERVAL {days} DAYS")).alias("n"))
-
-
-def metrics_by_type(metrics: DataFrame) -> DataFrame:
-    r = lambda f: F.round(f("duration_ms"), 2)
-    return metrics.groupBy("metric_type").agg(F.count("*").alias("n"), r(F.avg).alias("mean_ms"), r(F.min).alias("low_ms"), r(F.max).alias("high_ms"))
-
-
-def metrics_series(metrics: DataFrame, kind: str, hours: int = 1) -> DataFrame:
-    start = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / (3600 * hours)) * (3600 * hours))
-    return metrics.where(F.col("metric_type") == kind).groupBy(start.alias("start")).agg(F.count("*").alias("n"), F.round(F.sum("duration_ms"), 4).alias("total_ms"))
-
-
-def json_averages(metrics: DataFrame, kind: str, keys: list[str]) -> DataFrame:
-    """Each field's mean over the rows that have it."""
-    return metrics.where(F.col("metric_type") == kind).agg(F.count("*").alias("n"), *[F.round(F.avg(F.get_json_object("metadata", f"$.{k}").cast("double")), 6).alias(f"mean_{k}") for k in keys])
-
-
-def token_usage(metrics: DataFrame, key: str = "k") -> DataFrame:
-    rows = metrics.where(F.col("metric_type").startswith("token_usage:"))
-    return rows.groupBy("metric_type").agg(F.sum(F.get_json_object("metadata", f"$.{key}").cast("long")).alias("tokens"))
-
-
-def trend(metrics: DataFrame) -> DataFrame:
-    """Relative change between the first and the last row of each type."""
-    order = F.struct("ts", "id")
-    t = metrics.groupBy("metric_type").agg(F.min_by("duration_ms", order).alias("first_ms"), F.max_by("duration_ms", order).alias("last_ms"), F.count("*").alias("n"))
-    change = F.when(F.col("first_ms") != 0, (F.col("last_ms") - F.col("first_ms")) / F.col("first_ms"))
-    return t.where("n >= 2").withColumn("change", F.round(change, 6)).withColumn("anomaly", F.coalesce(F.abs("change") > 0.3, F.lit(False)))

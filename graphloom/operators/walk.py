@@ -1,24 +1,66 @@
-"""Walks over the graph: k hops from many seeds, closures, shortest path, beam search."""
+"""Walks over the graph: k hops from many seeds, closures, shortest path, beam search.
+
+Walks from few nodes start at the frontier: edges are filtered by it in either direction before anything else, so a hop
+is a scan of the edges with a broadcast of the frontier, whose size is known then, and not a shuffle of all edges. A frontier of more than
+WIDE nodes is joined by shuffle instead.
+"""
 
 from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.vector import cosine, literal
-from ..schema import Graph, either_way, live, live_edges
+from ..functions.vector import cosine, fault, literal
+from ..schema import Graph, live
 from ..shared import cut
 
+WIDE = 100_000
+
+
+def _listed(spark, ids: list[str], name: str = "id") -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(i,) for i in ids], f"{name} string"))
+
 
-def khop(graph: Graph, seeds: DataFrame, depth: int) -> DataFrame:
+def steps(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(at, to, weight, reasoning, direction) for every edge at a node of the frontier (id), in either direction."""
+    columns = [c for c in ("weight", "reasoning") if c in edges.columns]
+    out = edges.join(frontier, F.col("parent_id") == F.col("id"), "left_semi").select(F.col("parent_id").alias("at"), F.col("child_id").alias("to"), *columns, F.lit("outgoing").alias("direction"))
+    into = edges.join(frontier, F.col("child_id") == F.col("id"), "left_semi").select(F.col("child_id").alias("at"), F.col("parent_id").alias("to"), *columns, F.lit("incoming").alias("direction"))
+    return out.union(into).where("to is not null")
+
+
+def khop(graph: Graph, seeds: DataFrame, depth: int, wide: int = WIDE) -> DataFrame:
     """(id, hops): least number of hops from any seed over live edges, either way; seeds must be live."""
-    links = cut(either_way(live_edges(graph)))
-    seen = frontier = cut(seeds.select("id").join(live(graph.nodes), "id", "left_semi").distinct().withColumn("hops", F.lit(0)))
+    spark, alive = graph.nodes.sparkSession, live(graph.nodes).select("id")
+    start = seeds.select("id").distinct()
+    if start.limit(wide + 1).count() > wide:
+        return _khop_wide(graph, alive.join(start, "id", "left_semi"), [], depth)
+    here = [r["id"] for r in start.collect() if r["id"] is not None]
+    here = [r["id"] for r in alive.join(_listed(spark, here), "id", "left_semi").collect()]
+    found, met = [(i, 0) for i in here], set(here)
     for hop in range(1, depth + 1):
-        reached = links.join(frontier, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct()
-        frontier = cut(reached.join(seen, "id", "left_anti").withColumn("hops", F.lit(hop)))
-        seen = seen.unionByName(frontier)
+        if not here:
+            break
+        reached = steps(graph.edges, _listed(spark, here)).select(F.col("to").alias("id")).distinct().limit(wide + len(met) + 1).collect()
+        near = [r["id"] for r in reached if r["id"] not in met]
+        if len(near) > wide:
+            return _khop_wide(graph, spark.createDataFrame([(i,) for i, h in found if h == hop - 1], "id string"), found, depth, hop)
+        here = [r["id"] for r in alive.join(_listed(spark, near), "id", "left_semi").collect()] if near else []
+        found += [(i, hop) for i in here]
+        met |= set(here)
+    return spark.createDataFrame(found, "id string, hops int")
+
+
+def _khop_wide(graph: Graph, frontier: DataFrame, found: list, depth: int, hop: int = 1) -> DataFrame:
+    """The walk from a frontier of any size, by shuffles."""
+    alive = live(graph.nodes).select("id")
+    frontier = cut(frontier.withColumn("hops", F.lit(hop - 1)))
+    seen = graph.nodes.sparkSession.createDataFrame(found, "id string, hops int") if found else frontier
+    for n in range(hop, depth + 1):
+        reached = steps(graph.edges, frontier.select("id")).select(F.col("to").alias("id")).distinct().join(alive, "id", "left_semi")
+        frontier = cut(reached.join(seen, "id", "left_anti").withColumn("hops", F.lit(n)))
+        seen = cut(seen.unionByName(frontier))
     return seen
 
 
@@ -40,77 +82,78 @@ def ancestors(edges: DataFrame, most: int | None = 50, nodes: DataFrame | None =
     return seen
 
 
-def distance(graph: Graph, a: str, b: str, most: int = 50) -> DataFrame:
-    """(hops): the shortest undirected path between two nodes, decayed ones included; no row if there is none."""
+def _layers(graph: Graph, a: str, b: str, most: int) -> list[DataFrame]:
+    """(to, at, weight, reasoning, direction) of each layer of nodes around a, until b is in one; [] if it never is. Each node
+    has the neighbour of the smallest id in the layer before and the heaviest edge to it.
+    """
     spark = graph.nodes.sparkSession
-    if a == b:
-        return spark.createDataFrame([(0,)], "hops int")
-    links = cut(either_way(graph.edges))
-    seen = frontier = spark.createDataFrame([(a,)], "id string")
-    for hop in range(1, most + 1):
-        reached = links.join(frontier, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct()
-        frontier = cut(reached.join(seen, "id", "left_anti"))
-        if frontier.where(F.col("id") == b).take(1):
-            return spark.createDataFrame([(hop,)], "hops int")
+    layers: list[DataFrame] = []
+    frontier = known = spark.createDataFrame([(a,)], "id string")
+    for _ in range(most):
+        first = F.struct("at", (-F.coalesce("weight", F.lit(0.0))).alias("order"), "direction", "weight", "reasoning")
+        step = steps(graph.edges, frontier).groupBy("to").agg(F.min(first).alias("m")).select("to", "m.at", "m.weight", "m.reasoning", "m.direction")
+        layers.append(cut(step.join(known, F.col("to") == F.col("id"), "left_anti")))
+        if layers[-1].where(F.col("to") == b).take(1):
+            return layers
+        frontier = layers[-1].select(F.col("to").alias("id"))
         if not frontier.take(1):
             break
-        seen = cut(seen.unionByName(frontier))
-    return spark.createDataFrame([], "hops int")
-
-
-def how(graph: Graph, a: str, b: str, most: int = 50) -> list[str]:
-    """The nodes of a shortest path from a to b, in order; of several, the one whose ids come first. Empty if none."""
-    links = cut(either_way(graph.edges))
-    layers, seen = [], {a}
-    frontier = graph.nodes.sparkSession.createDataFrame([(a,)], "id string")
-    known = frontier
-    if a == b:
-        return [a]
-    for _ in range(most):
-        step = links.join(frontier, F.col("a") == F.col("id")).select("a", "b").groupBy("b").agg(F.min("a").alias("via"))
-        layer = cut(step.join(known, F.col("b") == F.col("id"), "left_anti"))
-        layers.append(layer)
-        if layer.where(F.col("b") == b).take(1):
-            path = [b]
-            for one in reversed(layers):
-                path.append(one.where(F.col("b") == path[-1]).first()["via"])
-            return path[::-1]
-        if not layer.take(1):
-            return []
-        frontier = layer.select(F.col("b").alias("id"))
         known = cut(known.unionByName(frontier))
     return []
 
 
+def distance(graph: Graph, a: str, b: str, most: int = 50) -> DataFrame:
+    """(hops): the shortest undirected path between two nodes, decayed ones included; no row if there is none."""
+    spark = graph.nodes.sparkSession
+    hops = 0 if a == b else len(_layers(graph, a, b, most)) or None
+    return spark.createDataFrame([] if hops is None else [(hops,)], "hops int")
+
+
+def how(graph: Graph, a: str, b: str, most: int = 50) -> DataFrame:
+    """(distance, id, content, node_type, weight, reasoning, direction): the nodes of a shortest path from a to b, each with the
+    edge that leads to it; of several paths the one whose nodes, from the end, have the smallest ids. Empty if there is none.
+    """
+    spark = graph.nodes.sparkSession
+    layers = [] if a == b else _layers(graph, a, b, most)
+    path, at = [], b
+    for d in range(len(layers), 0, -1):
+        r = layers[d - 1].where(F.col("to") == at).first()
+        path.append((d, at, r["weight"], r["reasoning"], r["direction"]))
+        at = r["at"]
+    if layers or a == b:
+        path.append((0, a, None, None, None))
+    rows = spark.createDataFrame(path, "distance int, id string, weight double, reasoning string, direction string")
+    named = graph.nodes.select("id", "content", "node_type")
+    return F.broadcast(rows).join(named, "id").select("distance", "id", "content", "node_type", "weight", "reasoning", "direction").orderBy("distance")
+
+
 def beam_events(graph: Graph, query: list[float], seeds: list[tuple[str, float]], picks: int = 3, hops: int = 3):
     """Yields (level, id, sim, from) as nodes are taken: seeds at level 0, then each frontier node's best new neighbours.
 
     Frontier nodes choose in order, so a neighbour taken by one is gone for the next. Of a frontier node's neighbours
     only the first picks * (place + 1) can ever be chosen; these few rows (at most picks ** 2 * frontier ** 2) come to
-    the driver for the choice. Ties go to the smaller id.
+    the driver for the choice. A node without a sound vector has similarity 0. Ties go to the smaller id.
     """
     spark = graph.nodes.sparkSession
-    links, taken = either_way(graph.edges), {i: s for i, s in seeds}
+    taken = dict(seeds)
     frontier = [i for i, _ in seeds]
     for i, s in seeds:
         yield 0, i, s, None
+    vectors = graph.emb.select("node_id", F.when(fault("vector", len(query)).isNull(), cosine(F.col("vector"), literal(query))).alias("cos"))
     for level in range(1, hops + 1):
         if not frontier:
             return
-        places = spark.createDataFrame([(i, p) for p, i in enumerate(frontier)], "f string, place int")
-        used = spark.createDataFrame([(i,) for i in taken], "u string")
-        near = links.join(F.broadcast(places), F.col("a") == F.col("f")).join(F.broadcast(used), F.col("b") == F.col("u"), "left_anti")
-        near = near.join(graph.emb, F.col("b") == F.col("node_id"), "left")
-        near = near.select("place", "b", F.coalesce(cosine(F.col("vector"), literal(query)), F.lit(0.0)).alias("sim"))
-        from pyspark.sql import Window
-
-        rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("sim"), "b"))
+        places = F.broadcast(spark.createDataFrame([(i, p) for p, i in enumerate(frontier)], "at string, place int"))
+        near = steps(graph.edges.select("parent_id", "child_id"), places.withColumnRenamed("at", "id").select("id"))
+        near = near.select("at", "to").join(places, "at").join(_listed(spark, list(taken), "u"), F.col("to") == F.col("u"), "left_anti").select("place", "to").distinct()
+        near = near.join(vectors, F.col("to") == F.col("node_id"), "left").select("place", "to", F.coalesce("cos", F.lit(0.0)).alias("sim"))
+        rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("sim"), "to"))
         rows = near.withColumn("rank", rank).where(F.col("rank") <= picks * (F.col("place") + 1)).orderBy("place", "rank").collect()
         chosen: list[str] = []
         for place, name in enumerate(frontier):
-            free = [r for r in rows if r["place"] == place and r["b"] not in taken][:picks]
+            free = [r for r in rows if r["place"] == place and r["to"] not in taken][:picks]
             for r in free:
-                taken[r["b"]] = r["sim"]
-                chosen.append(r["b"])
-                yield level, r["b"], r["sim"], name
+                taken[r["to"]] = r["sim"]
+                chosen.append(r["to"])
+                yield level, r["to"], r["sim"], name
         frontier = chosen

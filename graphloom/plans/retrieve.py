@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import Knobs
 from ..functions.clock import event_clock, recency_weight
 from ..functions.text import tag_any, tag_none
-from ..functions.vector import cosine, literal
 from ..operators.search import top_k
 from ..operators.walk import beam_events, khop
 from ..schema import Graph, domain_of, live
@@ -23,6 +22,13 @@ def _filtered(nodes: DataFrame, domain=None, tags=None, exclude_tags=None) -> Da
     return out.where(tag_none(exclude_tags)) if exclude_tags else out
 
 
+def details(graph: Graph, ids: list[str], domain=None, tags=None, exclude_tags=None) -> DataFrame:
+    """The live nodes of a list that pass the filters, with their domain from the column or else from the metadata."""
+    rows = graph.nodes.sparkSession.createDataFrame([(i,) for i in ids], "id string")
+    told = F.coalesce(F.col("domain"), F.get_json_object("metadata", "$.domain") if domain is None and "domain" not in graph.nodes.columns else F.lit(None), F.lit("unknown"))
+    return _filtered(graph.nodes, domain, tags, exclude_tags).join(F.broadcast(rows), "id", "left_semi").withColumn("domain", told)
+
+
 def hybrid(graph: Graph, query: list[float], as_of, k: int = 10, depth: int = 2, domain=None, exclude_tags=None) -> DataFrame:
     """Top k by (0.5 similarity + 0.5 / path length) * recency over 2k seeds and what lies within `depth` hops of them."""
     hits = cut(top_k(graph, query, 2 * k))
@@ -41,31 +47,3 @@ def beam(graph: Graph, query: list[float], k: int = 10, knobs: Knobs = Knobs(),
     rows = spark.createDataFrame(taken, "id string, sim double, level int").orderBy(F.desc("sim"), "id").limit(3 * k)
     keep = _filtered(graph.nodes, domain, tags, exclude_tags)
     return keep.join(F.broadcast(rows), "id").select("id", "node_type", "level", F.round("sim", 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
-
-
-def explain(graph: Graph, query: list[float], as_of, k: int = 10, depth: int = 2) -> dict:
-    """Counts of what each stage of the hybrid plan sees."""
-    hits = cut(top_k(graph, query, 2 * k))
-    walked = khop(graph, hits.select(F.col("node_id").alias("id")), depth)
-    by = {r["hops"]: r["n"] for r in walked.groupBy("hops").agg(F.count("*").alias("n")).collect()}
-    return {"seeds": hits.count(), "walked_by_hops": by, "results": hybrid(graph, query, as_of, k, depth).count()}
-
-
-def context_text(rows: list, budget: int = 1000) -> str:
-    """Lines of ranked rows (content, node_type, score) until the first that overflows the budget."""
-    out, used = [], 0
-    for r in rows:
-        line = f"[{r['node_type']}] {r['content']} ({r['score']:.3f})"
-        used += len(line) // 3
-        if used > budget:
-            break
-        out.append(line)
-    return "\n".join(out)
-
-
-def similar_to(graph: Graph, query: list[float], k: int = 3, least: float = 0.3) -> DataFrame:
-    """The links that a new node gets: the best three of its ten nearest."""
-    return top_k(graph, query, 10).where(F.col("sim") >= least).orderBy(F.desc("sim"), "node_id").limit(k)
-
-
-__all__ = ["beam", "context_text", "cosine", "explain", "hybrid", "literal", "similar_to"]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import fixtures as fx
 from .config import profile
 from .functions import text as tx
-from .operators import consolidate, ingest, lifecycle, lineage, search, similarity, stats, walk
+from .operators import audit, consolidate, ingest, lifecycle, lineage, metrics, recover, search, similarity, stats, walk
 from .plans import retrieve
 from .schema import domain_of, live
 
@@ -142,31 +144,66 @@ def recent_count(g):
 
 # Metrics
 
+_MAS = f"TIMESTAMP '{fx.METRICS_AS_OF_TEXT}'"
+_AS = f"TIMESTAMP '{fx.AS_OF_TEXT}'"
+
 
 @query("SELECT metric_type, count(*) AS n, round(avg(duration_ms), 2) AS mean_ms, round(min(duration_ms), 2) AS low_ms, round(max(duration_ms), 2) AS high_ms FROM metrics GROUP BY 1")
 def metrics_by_type(g):
-    return stats.metrics_by_type(g.metrics)
+    return metrics.by_type(g.metrics)
+
+
+@query(f"SELECT metric_type, count(*) AS n, round(avg(duration_ms), 2) AS mean_ms, round(min(duration_ms), 2) AS low_ms, round(max(duration_ms), 2) AS high_ms FROM metrics WHERE ts >= {_MAS} - to_hours(72) GROUP BY 1")
+def metrics_by_type_recent(g):
+    return metrics.by_type(g.metrics, fx.metrics_as_of(), 72)
+
+
+@query(f"""SELECT total_queries, avg_retrieval_time, recent_queries_1h, node_count, edge_count, round(v / greatest(1, node_count), 2) AS vec_sync_ratio FROM
+ (SELECT count(*) AS total_queries, coalesce(round(avg(duration_ms) FILTER (metric_type = 'retrieval'), 2), 0) AS avg_retrieval_time, count(*) FILTER (metric_type = 'retrieval' AND ts >= {_MAS} - to_hours(1)) AS recent_queries_1h
+  FROM metrics WHERE ts >= {_MAS} - to_hours(48)), (SELECT count(*) AS node_count FROM live), (SELECT count(*) AS edge_count FROM edges), (SELECT count(*) AS v FROM emb)""")
+def metrics_summary(g):
+    return metrics.summary(g, fx.metrics_as_of(), 48)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, count(*) AS n, round(sum(duration_ms), 4) AS total_ms FROM metrics WHERE metric_type = 'retrieval' GROUP BY 1")
 def metrics_timeseries(g):
-    return stats.metrics_series(g.metrics, "retrieval")
+    return metrics.hourly(g.metrics, "retrieval")
 
 
-@query("SELECT count(*) AS n, round(avg(CAST(json_extract_string(metadata, '$.k') AS DOUBLE)), 6) AS mean_k FROM metrics WHERE metric_type = 'retrieval'")
+@query(f"SELECT ts, duration_ms FROM metrics WHERE metric_type = 'search' AND ts >= {_MAS} - to_hours(24)")
+def metrics_points(g):
+    return metrics.series(g.metrics, "search", fx.metrics_as_of(), 24).select("ts", "duration_ms")
+
+
+@query(f"""SELECT {', '.join(f"round(coalesce(avg({f}), 0)::DOUBLE, 2) AS {n}" for f, n in metrics.RETRIEVAL_FIELDS.items())},
+ round(coalesce(avg(greatest(0, bfs_explored - seeds_found)) FILTER (bfs_explored <> 0 AND seeds_found <> 0), 0)::DOUBLE, 2) AS bfs_bonus FROM metrics WHERE metric_type = 'retrieval' AND ts >= {_MAS} - to_hours(240)""")
 def retrieval_stats(g):
-    return stats.json_averages(g.metrics, "retrieval", ["k"])
+    return metrics.retrieval_breakdown(g.metrics, fx.metrics_as_of(), 240)
 
 
-@query("SELECT metric_type, CAST(sum(CAST(json_extract_string(metadata, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM metrics WHERE metric_type LIKE 'token_usage:%' GROUP BY 1")
+@query("SELECT metric_type, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM metrics WHERE metric_type LIKE 'token_usage:%' GROUP BY 1")
 def token_usage(g):
-    return stats.token_usage(g.metrics)
+    return metrics.token_usage(g.metrics)
+
+
+_DAYS = """, h AS (SELECT date_trunc('day', ts) AS ts, round(avg(results_returned) FILTER (metric_type = 'retrieval'), 6) AS avg_nodes, round(avg(input_tokens) FILTER (metric_type = 'retrieval'), 6) AS avg_tokens,
+ round(avg(duration_ms) FILTER (metric_type = 'retrieval'), 6) AS avg_latency_ms, count(*) FILTER (metric_type = 'search')::DOUBLE AS orphan_count FROM metrics GROUP BY 1) """
+
+
+@query(_DAYS + f"""SELECT series, points, "first", "last", round(change * 100, 1) AS change_pct,
+ CASE series WHEN 'avg_nodes' THEN abs(change) > 0.3 WHEN 'avg_latency_ms' THEN abs(change) > 0.5 WHEN 'orphan_count' THEN abs(change) > 0.3 ELSE false END AS anomaly,
+ CASE series WHEN 'avg_nodes' THEN change < -0.15 WHEN 'avg_latency_ms' THEN change > 0.3 WHEN 'orphan_count' THEN change > 0.2 ELSE false END AS concern
+ FROM (SELECT series, count(*) AS points, arg_min(value, ts) AS "first", arg_max(value, ts) AS "last", CASE WHEN arg_min(value, ts) <> 0 THEN (arg_max(value, ts) - arg_min(value, ts)) / arg_min(value, ts) ELSE 0 END AS change
+  FROM (UNPIVOT (SELECT * FROM h WHERE ts > {_MAS} - to_days(7)) ON avg_nodes, avg_tokens, avg_latency_ms, orphan_count INTO NAME series VALUE value) GROUP BY 1 HAVING count(*) >= 2)""")
+def trends(g):
+    return metrics.trends(metrics.daily_history(g.metrics), fx.metrics_as_of(), 7)
 
 
-@query("""SELECT metric_type, first_ms, last_ms, n, round((last_ms - first_ms) / first_ms, 6) AS change, abs(round((last_ms - first_ms) / first_ms, 6)) > 0.3 AS anomaly FROM
- (SELECT metric_type, arg_min(duration_ms, (ts, id)) AS first_ms, arg_max(duration_ms, (ts, id)) AS last_ms, count(*) AS n FROM metrics GROUP BY 1) WHERE n >= 2""")
-def trend(g):
-    return stats.trend(g.metrics)
+@query(_DAYS + """SELECT count(*) AS runs, count(*) FILTER (ok) AS succeeded, coalesce(round(avg(avg_nodes) FILTER (ok), 6), 0) AS avg_nodes, coalesce(round(avg(avg_tokens) FILTER (ok), 6), 0) AS avg_tokens,
+ coalesce(round(avg(avg_latency_ms) FILTER (ok), 6), 0) AS avg_latency_ms, coalesce(max(avg_latency_ms) FILTER (ok), 0) AS max_latency_ms FROM (SELECT *, orphan_count < 60 AS ok FROM h)""")
+def query_runs(g):
+    runs = metrics.daily_history(g.metrics).select((F.col("orphan_count") < 60).alias("success"), F.col("avg_nodes").alias("nodes"), F.col("avg_tokens").alias("tokens"), F.col("avg_latency_ms").alias("latency_ms"))
+    return metrics.run_rollup(runs)
 
 
 @query("SELECT id, metric_type, duration_ms FROM metrics ORDER BY id DESC LIMIT 20")
@@ -174,6 +211,38 @@ def recent_metrics(g):
     return g.metrics.select("id", "metric_type", "duration_ms").orderBy(F.desc("id")).limit(20)
 
 
+# The log of what decayed
+
+_LOG = f", log AS (SELECT *, decay_timestamp::DATE = {_AS}::DATE AS today FROM audit WHERE decay_timestamp >= {_AS} - to_days(7)) "
+
+
+@query(_LOG + """, c AS (SELECT 'reason' AS measure, coalesce(decay_reason, '(none)') AS key, count(*)::DOUBLE AS n FROM log GROUP BY 2
+ UNION ALL SELECT 'node_type', coalesce(node_type, '(none)'), count(*) FROM log GROUP BY 2 UNION ALL SELECT 'source_file', coalesce(source_file, '(none)'), count(*) FROM log GROUP BY 2),
+ t AS (SELECT count(*) AS total, count(*) FILTER (today) AS today FROM log)
+ SELECT measure, key, n FROM c QUALIFY row_number() OVER (PARTITION BY measure ORDER BY n DESC, key) <= 5 OR measure = 'reason'
+ UNION ALL SELECT 'total', 'events', total FROM t UNION ALL SELECT 'total', 'today', today FROM t UNION ALL SELECT 'total', 'daily_mean', round(total / 7, 2) FROM t
+ UNION ALL SELECT 'total', 'anomaly', (today > 2 * total / 7 AND total >= 5)::INT FROM t""", raw=True)
+def decay_audit_rollup(spark, sf_dir):
+    return audit.rollup(fx.audit(spark, sf_dir), fx.as_of(), 7)
+
+
+@query(f"SELECT node_id, decay_reason FROM audit WHERE decay_timestamp >= {_AS} - to_days(3)", raw=True)
+def decay_audit_retained(spark, sf_dir):
+    return audit.kept(fx.audit(spark, sf_dir), fx.as_of(), 3).select("node_id", "decay_reason")
+
+
+@query("SELECT node_id, decay_reason, decay_timestamp FROM audit ORDER BY decay_timestamp DESC, node_id LIMIT 20", raw=True)
+def decay_audit_recent(spark, sf_dir):
+    return audit.recent(fx.audit(spark, sf_dir)).select("node_id", "decay_reason", "decay_timestamp")
+
+
+@query(f"""SELECT id AS node_id, substr(replace(trim(content), chr(10), ' '), 1, 80) AS content_summary, 'direct' AS decay_reason, access_count AS access_count_at_decay, coalesce(domain, '-') AS domain FROM live
+ WHERE permanent = 0 AND access_count = 0 AND ts < {_AS} - to_days(14) AND id NOT IN (SELECT a FROM sym WHERE b IN (SELECT id FROM live))""")
+def decay_audit_rows(g):
+    log = lifecycle.decay_candidates(g, fx.as_of()).withColumn("reason", F.lit("direct"))
+    return audit.rows(g, log, fx.as_of()).select("node_id", "content_summary", "decay_reason", "access_count_at_decay", F.coalesce("domain", F.lit("-")).alias("domain"))
+
+
 # Search
 
 
@@ -190,19 +259,30 @@ def vector_topk_live(spark, sf_dir):
 _SIMS = ", sims AS (SELECT a.node_id AS a, b.node_id AS b, list_cosine_similarity(a.vector, b.vector) AS sim FROM emb a JOIN emb b ON a.node_id < b.node_id) , lsims AS (SELECT * FROM sims WHERE a IN (SELECT id FROM live) AND b IN (SELECT id FROM live)) "
 
 
-@query(""", c AS (SELECT e.node_id AS cand_id, e.vector FROM emb e WHERE CAST(substr(e.node_id, 2) AS INT) % 50 = 7)
- SELECT cand_id, round(greatest(max(s), 0), 6) AS max_sim, greatest(max(s), 0) < 0.45 AS is_novel FROM
- (SELECT cand_id, list_cosine_similarity(c.vector, e.vector) AS s FROM c JOIN emb e ON e.node_id IN (SELECT id FROM live)) GROUP BY 1""")
+@query("""SELECT cand_id, round(greatest(max(s), 0), 6) AS max_sim, greatest(max(s), 0) < 0.45 AS is_novel FROM
+ (SELECT c.node_id AS cand_id, list_cosine_similarity(c.vector, e.vector) AS s FROM emb c JOIN emb e ON e.node_id IN (SELECT id FROM live)) GROUP BY 1""")
 def novelty_check(g):
-    cand = g.emb.where("cast(substr(node_id, 2) AS INT) % 50 = 7").select(F.col("node_id").alias("cand_id"), "vector")
+    cand = g.emb.select(F.col("node_id").alias("cand_id"), "vector")
     return search.novelty(g, cand, P.novelty).select("cand_id", F.round("max_sim", 6).alias("max_sim"), "is_novel")
 
 
-@query()
-def novelty_every(g):
-    """As novelty_check, but every embedding is a candidate."""
-    cand = g.emb.select(F.col("node_id").alias("cand_id"), "vector")
-    return search.novelty(g, cand, P.novelty).select("cand_id", F.round("max_sim", 6).alias("max_sim"), "is_novel")
+_ASKED = """, asked AS (SELECT a.node_id AS a, b.node_id AS b, list_cosine_similarity(a.vector, b.vector) AS sim FROM emb a JOIN emb b ON a.node_id <> b.node_id
+ WHERE CAST(substr(a.node_id, 2) AS INT) % 20 = 0 AND b.node_id IN (SELECT id FROM live)) """
+
+
+def _queries(g):
+    """The rows that a search is asked with: ids divisible by 20."""
+    return g.emb.where("cast(substr(node_id, 2) AS INT) % 20 = 0")
+
+
+@query(_ASKED + "SELECT a, b, round(sim, 6) AS sim FROM asked WHERE sim >= 0.3 QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 3")
+def extraction_links(g):
+    return search.similar_links(g, _queries(g)).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query(_ASKED + "SELECT a AS cand_id FROM asked GROUP BY 1 HAVING max(sim) <= 0.38")
+def diversity_gate(g):
+    return search.diverse(g, _queries(g).select(F.col("node_id").alias("cand_id"), "vector"), 0.38).select("cand_id")
 
 
 @query(_SIMS + "SELECT node_id, round(max(sim), 6) AS max_sim FROM (SELECT a AS node_id, sim FROM sims UNION ALL SELECT b, sim FROM sims) GROUP BY 1")
@@ -274,6 +354,21 @@ def beam_bfs(spark, sf_dir):
     return retrieve.beam(fx.graph(spark, sf_dir), fx.query_vector(spark, sf_dir))
 
 
+@query(""", d AS (SELECT * FROM nodes WHERE id IN ('d3', 'd40', 'd41', 'd77', 'd9999999')) SELECT id, node_type, coalesce(domain, 'unknown') AS domain FROM d WHERE coalesce(decayed, 0) = 0 AND (tags IS NULL OR tags NOT ILIKE '%private%')""")
+def node_details(g):
+    return retrieve.details(g, ["d3", "d40", "d41", "d77", "d9999999"], exclude_tags=["private"]).select("id", "node_type", "domain")
+
+
+@query(f"SELECT id, ts FROM live WHERE tags ILIKE '%vault:private%' AND ts < {_AS} - to_days(30)")
+def private_candidates(g):
+    return search.private_candidates(g, fx.as_of(), 30).select("id", "ts")
+
+
+@query(f"SELECT id, content FROM live WHERE source_file = 'system_generated' AND ts > {_AS} - to_days(14)")
+def saturated_themes(g):
+    return search.saturated_themes(g, fx.as_of()).select("id", "content")
+
+
 # Lineage
 
 
@@ -326,7 +421,10 @@ def parent_chain(g):
     return lineage.parent_chain(g)
 
 
-@query()
+_ROUND = ", up AS (SELECT child_id AS id, parent_id AS anc FROM ring UNION SELECT u.id, e.parent_id FROM up u JOIN ring e ON e.child_id = u.anc) "
+
+
+@query(", ring AS (SELECT parent_id, child_id FROM edges UNION ALL VALUES ('d9', 'd1'), ('d40', 'd4'))" + _ROUND + "SELECT DISTINCT id FROM up WHERE id = anc", recursive=True)
 def cycles(g):
     extra = g.nodes.sparkSession.createDataFrame([("d9", "d1"), ("d40", "d4")], "parent_id string, child_id string")
     return lineage.cyclic(g.with_(edges=g.edges.unionByName(extra, allowMissingColumns=True)))
@@ -347,7 +445,12 @@ def dedup_pairs(g):
 
 @query(_SIMS + "SELECT count(*) AS n FROM lsims WHERE sim > 0.4")
 def near_duplicate_count(g):
-    return similarity.cosine_pairs(similarity.live_vectors(g), 0.4).where("sim > 0.4").agg(F.count("*").alias("n"))
+    return similarity.pair_count(similarity.live_vectors(g), 0.4)
+
+
+@query(_SIMS + "SELECT a, b, CASE WHEN sim >= 0.45 THEN 'merge' ELSE 'link' END AS action FROM lsims WHERE sim >= 0.35")
+def labelled_pairs(g):
+    return similarity.banded(similarity.cosine_pairs(similarity.live_vectors(g), P.cross_link), P.cross_link, P.dedup).select("a", "b", "action")
 
 
 @query(_SIMS + """SELECT a, b, round(sim, 6) AS sim, round(CASE WHEN x.node_type <> y.node_type THEN 0.05 ELSE 0 END + CASE WHEN x.meta_domain <> y.meta_domain THEN 0.05 ELSE 0 END - abs(sim - 0.5), 6) AS score
@@ -359,13 +462,25 @@ def tension_pairs(g):
 _WORDS = f""", sets AS (SELECT id, list_filter(list_distinct(regexp_split_to_array(lower(content), '\\s+')), lambda w: w <> '' AND NOT list_contains({list(tx.SIMILARITY_STOPWORDS)}, w)) AS w FROM nodes) """
 
 
-@query(_WORDS + """SELECT a, b, round(sim, 6) AS sim FROM (SELECT x.id AS a, y.id AS b, len(list_intersect(x.w, y.w)) AS i, len(x.w) AS m, len(y.w) AS n, i / (m + n - i) AS sim FROM sets x JOIN sets y ON x.id < y.id
- WHERE least(len(x.w), len(y.w)) >= 0.82 * greatest(len(x.w), len(y.w)) AND len(x.w) > 0) WHERE sim >= 0.82""")
+@query(_WORDS + """, reps AS (SELECT min(id) AS id, list_sort(w) AS w FROM sets WHERE len(w) > 0 GROUP BY 2)
+ SELECT a, b, round(sim, 6) AS sim FROM (SELECT x.id AS a, y.id AS b, len(list_intersect(x.w, y.w)) AS i, len(x.w) AS m, len(y.w) AS n, i / (m + n - i) AS sim FROM reps x JOIN reps y ON x.id < y.id
+ WHERE least(len(x.w), len(y.w)) >= 0.82 * greatest(len(x.w), len(y.w))) WHERE sim >= 0.82""")
 def jaccard_pairs(g):
     return similarity.jaccard_pairs(g.nodes, 0.82).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query(_SIMS + "SELECT count(*) AS pairs, round(avg(sim), 6) AS mean, round(quantile_cont(sim, 0.5), 6) AS p50, round(quantile_cont(sim, 0.95), 6) AS p95, round(quantile_cont(sim, 0.99), 6) AS p99 FROM sims")
+@query(_WORDS + 'SELECT id, min(id) OVER (PARTITION BY list_sort(w)) AS "class" FROM sets WHERE len(w) > 0')
+def word_classes(g):
+    return similarity.word_classes(g.nodes)
+
+
+@query(""", o AS (SELECT node_id, vector, row_number() OVER (ORDER BY md5('0' || node_id), node_id) AS k FROM emb),
+ s AS (SELECT list_cosine_similarity(a.vector, b.vector) AS sim FROM o a JOIN o b ON a.node_id < b.node_id WHERE a.k <= 283 AND b.k <= 283),
+ n AS (SELECT a.node_id, max(list_cosine_similarity(a.vector, b.vector)) AS sim FROM o a JOIN o b ON a.node_id <> b.node_id WHERE a.k <= 2000 GROUP BY 1),
+ r AS (SELECT *, greatest(round(p99 + 0.03, 2), round(p95 + 0.05, 2)) AS cross_link FROM
+  (SELECT count(*) AS pairs, round(avg(sim), 3) AS mean, round(quantile_cont(sim, 0.5), 3) AS p50, round(quantile_cont(sim, 0.95), 3) AS p95, round(quantile_cont(sim, 0.99), 3) AS p99 FROM s),
+  (SELECT round(quantile_cont(sim, 0.25), 3) AS nn_p25, round(quantile_cont(sim, 0.5), 3) AS nn_p50, round(quantile_cont(sim, 0.9), 3) AS nn_p90, round(quantile_cont(sim, 0.99), 3) AS nn_p99 FROM n))
+ SELECT *, round(cross_link + 0.04, 2) AS dedup, round(greatest(round(cross_link + 0.04, 2) + 0.01, nn_p50 + 0.03), 2) AS novelty FROM r""")
 def calibration(g):
     return similarity.calibration(g.emb)
 
@@ -382,7 +497,14 @@ def fitness(g):
     return lifecycle.fitness(g)
 
 
-@query(_FIT + f"""SELECT id, CAST(fitness AS DOUBLE) AS fitness FROM fit JOIN nodes USING (id) WHERE permanent = 0 AND ts < TIMESTAMP '{fx.AS_OF_TEXT}' - to_days(7)
+@query(_FIT + ", deep AS (" + """WITH RECURSIVE w AS (SELECT id, 0 AS depth FROM nodes WHERE id NOT IN (SELECT child_id FROM edges) UNION SELECT child_id, depth + 1 FROM w JOIN edges ON parent_id = id WHERE depth < 20)
+ SELECT id, CAST(max(depth) AS INT) AS depth FROM w GROUP BY 1) SELECT id, branching, cross_links, coalesce(depth, 0) AS depth, round(CAST(fitness AS DOUBLE) + 0.1 * coalesce(depth, 0), 6) AS fitness FROM fit LEFT JOIN deep USING (id)""", recursive=True)
+def fitness_with_depth(g):
+    return lifecycle.fitness_with_depth(g, lineage.depth(g)).withColumn("fitness", F.round("fitness", 6))
+
+
+@query(_FIT + f"""SELECT id, CAST(fitness AS DOUBLE) AS fitness, CASE WHEN contains(source_file, 'think_cycle') THEN 0.075::DOUBLE ELSE 0.05::DOUBLE END AS threshold FROM fit JOIN nodes USING (id)
+ WHERE permanent = 0 AND (last_accessed IS NULL OR last_accessed <= TIMESTAMP '{fx.AS_OF_TEXT}' - to_days(7))
  AND fitness < CASE WHEN contains(source_file, 'think_cycle') THEN 0.075 ELSE 0.05 END""")
 def gc_candidates(g):
     return lifecycle.gc_candidates(g, fx.as_of())
@@ -404,21 +526,51 @@ def decay_candidates(g):
     return lifecycle.decay_candidates(g, fx.as_of())
 
 
-@query()
+def _cascade_sql(rounds: int) -> str:
+    """The rounds one by one; the last one has to be empty."""
+    sql = f""", start AS (SELECT id FROM nodes WHERE coalesce(decayed, 0) <> 0 OR domain = 'en'),
+ may AS (SELECT id FROM live WHERE permanent = 0 AND access_count = 0 AND ts <= {_AS} - to_days(30) AND id NOT IN (SELECT id FROM start)), r0 AS (SELECT id FROM start) """
+    for n in range(1, rounds + 1):
+        gone = " UNION ALL ".join(f"SELECT id FROM r{k}" for k in range(n))
+        sql += f""", r{n} AS (SELECT id FROM may WHERE id NOT IN ({gone}) AND id IN (SELECT child_id FROM edges JOIN r{n - 1} ON parent_id = id)
+ AND id NOT IN (SELECT child_id FROM edges WHERE parent_id IN (SELECT id FROM nodes) AND parent_id NOT IN ({gone}))) """
+    return sql + " UNION ALL ".join(f"SELECT id, {n} AS round FROM r{n}" for n in range(1, rounds + 1))
+
+
+@query(_cascade_sql(6))
 def cascade_decay(g):
-    return lifecycle.cascade(g, g.nodes.where("coalesce(decayed, 0) <> 0").select("id"), fx.as_of())
+    """What goes when, beside the decayed nodes, a whole domain does."""
+    return lifecycle.cascade(g, g.nodes.where("coalesce(decayed, 0) <> 0 OR domain = 'en'").select("id"), fx.as_of())
 
 
 @query("SELECT node_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM nodes WHERE decayed = 1), 6) AS share FROM nodes WHERE decayed = 1 GROUP BY 1")
-def decay_audit_rollup(g):
-    return lifecycle.audit_rollup(g)
+def decayed_by_type(g):
+    return lifecycle.decayed_by_type(g)
+
+
+@query("SELECT id, node_type, access_count, CASE WHEN permanent = 2 THEN 'pinned' ELSE 'promoted' END AS level FROM live WHERE permanent > 0")
+def permanent_nodes(g):
+    return lifecycle.permanent_nodes(g.nodes)
 
 
 @query()
 def dedup_clusters(g):
+    """Maximal cliques over the merge threshold; tests/test_oracles.py has them from a sequential version."""
+    return consolidate.cliques(similarity.cosine_pairs(similarity.live_vectors(g), P.dedup))
+
+
+@query()
+def link_clusters(g):
+    """The same over the link threshold, where cliques are larger and overlap."""
     return consolidate.cliques(similarity.cosine_pairs(similarity.live_vectors(g), P.cross_link))
 
 
+@query(", w AS (SELECT DISTINCT parent_id, child_id FROM (SELECT parent_id, child_id FROM edges UNION ALL SELECT child_id, parent_id FROM edges)) SELECT parent_id, child_id, 0.8::DOUBLE AS weight, 'extracted_from - both ways' AS reasoning FROM w WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.parent_id = w.parent_id AND e.child_id = w.child_id)")
+def new_edges(g):
+    wanted = g.edges.select("parent_id", "child_id").union(g.edges.select("child_id", "parent_id")).withColumn("reasoning", F.lit("both ways"))
+    return ingest.new_edges(wanted, g.edges)
+
+
 _MAP = ", m AS (SELECT id, 'd' || (CAST(substr(id, 2) AS INT) // 10 * 10) AS keeper FROM nodes WHERE CAST(substr(id, 2) AS INT) % 10 < 3) "
 
 
@@ -449,16 +601,99 @@ def paragraphs(g):
     return g.nodes.select("id", F.explode(tx.paragraphs("content")).alias("p"))
 
 
-@query()
+def _re2(pattern: str) -> str:
+    return re.sub(r"^\(\?(i?)U\)", lambda m: "(?i)" if m[1] else "", pattern).replace("'", "''")
+
+
+_FOUND = " UNION ALL ".join(f"SELECT id, trim(lower(unnest(regexp_extract_all(content, '{_re2(p)}')))) AS x FROM nodes" for p in tx.ANCHORS)
+
+
+@query(f", found AS ({_FOUND}) SELECT id, CAST(count(DISTINCT x) AS INT) AS n FROM nodes LEFT JOIN found USING (id) GROUP BY 1")
 def temporal_anchors(g):
     return g.nodes.select("id", F.size(tx.anchors("content")).alias("n"))
 
 
-@query()
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_TOLD = [f"SELECT id, {k} AS p, generate_subscripts(m, 1) AS i, 'Decision: ' || unnest(m) AS content, 'decision' AS node_type FROM (SELECT id, regexp_extract_all(content, '{_re2(x)}', 1) AS m FROM nodes)" for k, x in enumerate(tx.DECISIONS)]
+_TOLD += [f"SELECT id, {4 + k}, generate_subscripts(m, 1), 'Belief: ' || unnest(m), 'belief' FROM (SELECT id, regexp_extract_all(content, '{_re2(x)}', {n}) AS m FROM nodes)" for k, (x, n) in enumerate(tx.BELIEFS)]
+_TOLD += [f"SELECT id, 6, i, 'Observation: ' || x, 'observation' FROM (SELECT id, generate_subscripts(m, 1) AS i, trim(unnest(m), {_BLANKS}) AS x FROM (SELECT id, string_split(content, '.') AS m FROM nodes)) WHERE length(x) > 20 AND length(x) < 100 AND regexp_matches(x, '[A-Z][a-z]+')"]
+
+
+@query(f", told AS ({' UNION ALL '.join(_TOLD)}) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY p, i) - 1 AS INT) AS place, content, node_type FROM told QUALIFY row_number() OVER (PARTITION BY id ORDER BY p, i) <= 5")
 def heuristic_extract(g):
     return g.nodes.select("id", F.posexplode(tx.extracted("content")).alias("place", "x")).select("id", "place", "x.content", "x.node_type")
 
 
+def _any_of(marks) -> str:
+    return " OR ".join(f"contains(lower(content), '{m}')" for m in marks)
+
+
+def _kinds_sql(kinds) -> str:
+    return "CASE " + " ".join(f"WHEN {_any_of(marks)} THEN '{kind}'" for kind, marks in kinds) + " ELSE 'observation' END"
+
+
+@query(f"SELECT id, {_kinds_sql(tx.PARAGRAPH_KINDS)} AS kind FROM nodes")
+def paragraph_kinds(g):
+    return g.nodes.select("id", tx.paragraph_kind(F.col("content")).alias("kind"))
+
+
+@query(f"SELECT id, CASE WHEN {_any_of(('est', 'est must', *tx.ASSISTANT_SIGNALS))} THEN 'est' ELSE 'user' END AS domain FROM nodes")
+def inferred_domains(g):
+    return g.nodes.select("id", tx.domain_of_text(F.col("content"), "user", "est").alias("domain"))
+
+
+@query("SELECT id, CASE domain WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' ELSE domain END AS domain FROM nodes")
+def mapped_domains(g):
+    return g.nodes.select("id", tx.mapped_domain(F.col("domain"), {"en": "english", "de": "german"}).alias("domain"))
+
+
+@query("SELECT id, array_to_string(list_filter(list_transform(string_split(tags, ','), lambda t: trim(t)), lambda t: t <> '' AND t <> 'vault:private'), ',') AS tags FROM nodes WHERE tags IS NOT NULL")
+def declassified(g):
+    return g.nodes.where("tags is not null").select("id", tx.without_tag("vault:private").alias("tags"))
+
+
+@query("SELECT id, source_file, node_type, CASE node_type WHEN 'core_memory' THEN '#FFD93D' WHEN 'belief' THEN '#51CF66' ELSE '#ADB5BD' END AS colour FROM nodes")
+def cluster_members(g):
+    return stats.cluster_members(g)
+
+
+_TIMES = ", m AS (SELECT id, CASE WHEN n % 4 = 1 THEN '2023-0' || (n % 9 + 1) || '-1' || (n % 10) || 'T06:00:00' || CASE WHEN n % 8 = 1 THEN '+02:00' ELSE '' END END AS told, CASE WHEN n % 3 = 0 THEN 'notes/2022-1' || (n % 4) || '-0' || (n % 10) || '.md' ELSE 'notes/x.md' END AS source_file FROM (SELECT *, CAST(substr(id, 2) AS INT) AS n FROM nodes WHERE referent_ts IS NULL)) "
+
+
+@query(_TIMES + """SELECT id, coalesce(t, d) AS time, CASE WHEN t IS NOT NULL THEN 'metadata' WHEN d IS NOT NULL THEN 'source_file_date' ELSE 'none' END AS origin FROM
+ (SELECT id, CASE WHEN told LIKE '%+02:00' THEN CAST(CAST(told AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS TIMESTAMP) END AS t, TRY_CAST(nullif(regexp_extract(source_file, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '') AS TIMESTAMP) AS d FROM m)""")
+def event_time_recovery(g):
+    n = F.expr("cast(substr(id, 2) AS INT)")
+    told = F.when(n % 4 == 1, F.concat(F.lit("2023-0"), n % 9 + 1, F.lit("-1"), n % 10, F.lit("T06:00:00"), F.when(n % 8 == 1, "+02:00").otherwise("")))
+    file = F.when(n % 3 == 0, F.concat(F.lit("notes/2022-1"), n % 4, F.lit("-0"), n % 10, F.lit(".md"))).otherwise("notes/x.md")
+    return recover.recovered(g.nodes.withColumns({"metadata": F.to_json(F.struct(told.alias("occurred_at"))), "source_file": file}))
+
+
+@query("""SELECT relation, id, content, weight FROM (SELECT 'derived_from' AS relation, parent_id AS id, weight FROM edges WHERE child_id = 'd4' UNION ALL SELECT 'leads_to', child_id, weight FROM edges WHERE parent_id = 'd4') JOIN nodes USING (id)""")
+def node_detail(g):
+    return stats.node_detail(g, "d4")
+
+
+@query("SELECT parent_id, child_id, weight FROM edges WHERE parent_id IN (SELECT id FROM live WHERE node_type IN ('fact', 'belief')) AND child_id IN (SELECT id FROM live WHERE node_type IN ('fact', 'belief'))")
+def edges_of_types(g):
+    return stats.of_types(g, ["fact", "belief"]).edges.select("parent_id", "child_id", "weight")
+
+
+@query("SELECT source_file, count(*) AS n FROM nodes GROUP BY 1")
+def source_counts(g):
+    return stats.source_counts(g)
+
+
+@query(_SIMS + "SELECT (SELECT count(*) FROM live) AS nodes, (SELECT count(*) FROM live WHERE node_type = 'insight') AS hotspots, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM live WHERE id NOT IN (SELECT a FROM sym)) AS orphans, (SELECT count(*) FROM lsims WHERE sim > 0.38) AS near_duplicates, round((SELECT count(*) FROM emb WHERE node_id IN (SELECT id FROM live)) / greatest(1, (SELECT count(*) FROM live)), 4) AS coverage")
+def brain_stats(g):
+    return stats.brain_stats(g, "insight", 0.38)
+
+
+@query("SELECT 'without_embedding' AS state, id FROM live WHERE id NOT IN (SELECT node_id FROM emb)")
+def integrity_ids(g):
+    return stats.integrity_ids(g, 64)
+
+
 @query("SELECT id, CASE WHEN contains(lower(content), 'decided') OR contains(lower(content), 'will') OR contains(lower(content), 'going to') OR contains(lower(content), 'plan to') OR contains(lower(content), 'agreed') THEN 'decision' WHEN contains(lower(content), 'learned') OR contains(lower(content), 'realized') OR contains(lower(content), 'discovered') OR contains(lower(content), 'found that') THEN 'insight' WHEN contains(lower(content), 'commit') OR contains(lower(content), 'promise') OR contains(lower(content), 'deadline') OR contains(lower(content), 'due') OR contains(lower(content), 'by') THEN 'commitment' ELSE 'observation' END AS kind FROM nodes")
 def statement_kinds(g):
     return g.nodes.select("id", tx.statement_kind(F.col("content")).alias("kind"))
@@ -471,7 +706,7 @@ def export_edges(g):
     return live_edges(g).select("parent_id", "child_id", tx.relation().alias("relation"))
 
 
-@query("SELECT conv_id, turn, role || ': ' || text AS content FROM conversations WHERE role IN ('user', 'assistant') AND length(text) >= 100 AND NOT starts_with(ltrim(text), '{')", raw=True)
+@query("SELECT conv_id, turn, role || ': ' || text AS content FROM (SELECT conv_id, turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM conversations) WHERE role IN ('user', 'assistant') AND length(text) >= 100 AND NOT starts_with(text, '{')", raw=True)
 def session_turns(spark, sf_dir):
     return ingest.simple_session(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 

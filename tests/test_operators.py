@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom import config, schema
 from graphloom.functions import clock, text as tx
-from graphloom.operators import consolidate, ingest, lifecycle, lineage, search, similarity, stats, walk
+from graphloom.operators import audit, consolidate, ingest, lifecycle, lineage, search, similarity, stats, walk
 from graphloom.plans import retrieve, sleep
 from graphloom.schema import Graph
 from graphloom.sources import files
@@ -48,7 +48,10 @@ def test_lineage(lines):
     assert lineage.why(lines, "orphan1").count() == 0
     assert ids(lineage.weak_chains(lines)) == [("weak1", 0.1)]
     assert ids(lineage.audit_orphans(lines)) == ["orphan1"] and lineage.contradictions(lines).count() == 1
-    assert walk.how(lines, "seed1", "derived2") == ["seed1", "belief1", "derived2"] and walk.how(lines, "seed1", "orphan1") == []
+    found = walk.how(lines, "seed1", "derived2").collect()
+    assert [(r["distance"], r["id"], r["weight"], r["direction"]) for r in found] == [(0, "seed1", None, None), (1, "belief1", 0.9, "outgoing"), (2, "derived2", 0.5, "outgoing")]
+    assert walk.how(lines, "derived2", "seed1").collect()[1]["direction"] == "incoming" and walk.how(lines, "seed1", "orphan1").count() == 0
+    assert walk.how(lines, "seed1", "seed1").first()["distance"] == 0
     assert walk.distance(lines, "seed1", "derived2").first()["hops"] == 2 and walk.distance(lines, "seed1", "orphan1").count() == 0
     tree = lineage.why_tree(lines, "derived2")
     assert [p["node"]["id"] for p in tree["parents"]] == ["question1", "belief1"] and tree["parents"][1]["node"]["cycle_detected"]
@@ -79,7 +82,7 @@ def test_decay(spark):
     assert ids(lifecycle.decay_candidates(g, now)) == ["isolated_old"]
     after, log = lifecycle.auto_decay(g, now)
     assert ids(log) == [("isolated_old", "direct")] and ids(after.nodes.where("decayed = 1"), "id") == ["isolated_old"]
-    assert lifecycle.audit_rows(g, log, NOW).count() == 1
+    assert audit.rows(g, log, NOW).count() == 1
     dead = g.nodes.where("id = 'root'").select("id")
     assert ids(lifecycle.cascade(lifecycle.decayed(g, dead), dead, now), "id") == ["child1", "child2", "grandchild2"]
 
@@ -173,7 +176,26 @@ def test_stats_odd(spark):
     assert stats.graph_summary(empty).first()["active_nodes"] == 0 and stats.recommended_threshold(empty).first()[0] == 10
     g = graph(spark, ["a", "b", "c"], [], [("a", [1, 0]), ("b", [0, 0]), ("c", [float("nan"), 1]), ("z", [1])])
     assert dict(ids(stats.integrity(g, 2))) == {"sound": 1, "zero_norm": 1, "not_finite": 1, "wrong_dim": 1, "without_node": 1}
-    assert ids(search.top_k(g.with_(emb=g.emb.where("node_id < 'c'")), [1.0, 0.0], 5), "node_id") == ["a"]
+    assert ids(search.top_k(g, [1.0, 0.0], 5), "node_id") == ["a"]
+    assert ids(stats.integrity_ids(g, 2)) == [("not_finite", "c"), ("without_node", "z"), ("wrong_dim", "z"), ("zero_norm", "b")]
+
+
+def test_bad_vectors_take_no_part(spark):
+    """NaN, infinite, zero and wrong-dimension vectors are left in: searches and joins see the sound ones only."""
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", [1, 0]), ("b", [0.9, 0.1]), ("c", [1]), ("d", [nan, 1]), ("e", [0, 0]), ("f", [inf, 1]), ("g", [0, 1, 1]), ("h", [0, 1])]
+    g = graph(spark, [i for i, _ in rows], [], rows)
+    assert ids(search.top_k(g, [1.0, 0.0], 9), "node_id") == ["a", "b", "h"]
+    assert ids(similarity.cosine_pairs(g.emb, 0.5), "a", "b") == [("a", "b")]
+    assert similarity.pair_count(g.emb, 0.5).first()[0] == 1
+    assert {r["node_id"]: round(r["max_sim"], 3) for r in search.nearest(g.emb).collect()} == {"a": 0.994, "b": 0.994, "h": 0.11}
+    cand = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [nan, 1.0]), ("z", [1.0])], "cand_id string, vector array<double>")
+    found = {r["cand_id"]: (r["nearest"], r["is_novel"]) for r in search.novelty(g, cand, 0.9).collect()}
+    assert found == {"x": ("a", False), "y": (None, True), "z": (None, True)}
+    assert ids(search.similar_links(g, g.emb.where("node_id in ('a', 'd')"), 3, 0.0), "a", "b") == [("a", "b"), ("a", "h")]
+    assert similarity.calibration(g.emb).first()["pairs"] == 3
+    events = list(walk.beam_events(g.with_(edges=spark.createDataFrame([("a", "d", 1.0, None), ("a", "b", 1.0, None)], EDGE)), [1.0, 0.0], [("a", 1.0)]))
+    assert [(i, round(s, 3)) for _, i, s, _ in events] == [("a", 1.0), ("b", 0.994), ("d", 0.0)]
 
 
 def test_schema_versions(spark):
@@ -223,7 +245,6 @@ def test_access_and_pins(spark, lines):
     hit = lines.nodes.where("id = 'seed1'").select("id")
     assert lifecycle.touched(lines.nodes, hit, F.lit(NOW)).where("access_count = 1").count() == 1
     assert lifecycle.pinned(lines.nodes, ["seed1"]).where("permanent = 2").count() == 1
-    assert retrieve.context_text([{"node_type": "fact", "content": "abc", "score": 0.5}, {"node_type": "fact", "content": "x" * 9000, "score": 0.4}]) == "[fact] abc (0.500)"
 
 
 @pytest.mark.parametrize("block", [2048, 7])
@@ -234,4 +255,4 @@ def test_cosine_pairs_meet_once(spark, block):
     size = lambda v: sum(x * x for x in v) ** 0.5 or 1.0
     sims = {(a, b): sum(x * y for x, y in zip(v, w, strict=True)) / size(v) / size(w) for a, v in vectors for b, w in vectors if a < b}
     want = sorted((a, b, round(s, 6)) for (a, b), s in sims.items() if 0.2 <= s < 0.9)
-    assert sorted((x.a, x.b, round(x.sim, 6)) for x in similarity.cosine_pairs(emb, 0.2, 0.9, block).collect()) == want
+    assert sorted((x.a, x.b, round(x.sim, 6)) for x in similarity.cosine_pairs(emb, 0.2, 0.9, block=block).collect()) == want
