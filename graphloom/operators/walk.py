@@ -1,52 +1,67 @@
 """Walks over the graph: k hops from many seeds, closures, shortest path, beam search.
 
-Walks from few nodes start at the frontier: edges are filtered by it in either direction before anything else, so a hop
-is a scan of the edges with a broadcast of the frontier, whose size is known then, and not a shuffle of all edges. A frontier of more than
-WIDE nodes is joined by shuffle instead.
+Walks from few nodes start at the frontier: it is a literal set by which the scan of the edges is filtered at either end, so
+a hop is a scan and not a shuffle of all edges. A frontier of more than WIDE nodes is joined instead.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vector import cosine, fault, literal
 from ..schema import Graph, live
 from ..shared import cut
 
-WIDE = 100_000
+WIDE = 20_000
 
 
-def _listed(spark, ids: list[str], name: str = "id") -> DataFrame:
-    return F.broadcast(spark.createDataFrame([(i,) for i in ids], f"{name} string"))
+def among(column: Column, ids: list[str]) -> Column:
+    """Whether a column is one of a driver's ids: a literal set, which reaches the scan as a filter."""
+    return column.isin(ids)
+
+
+def _turned(rows: DataFrame, at: Column) -> DataFrame:
+    """(at, to, weight, reasoning, direction): each edge from its ends that `at` (a test of an end's column) lets through."""
+    rest = [F.col(c).alias(c) for c in ("weight", "reasoning") if c in rows.columns]
+    ends = F.array(*[F.struct(F.col(a).alias("at"), F.col(b).alias("to"), *rest, F.lit(d).alias("direction")) for a, b, d in (("parent_id", "child_id", "outgoing"), ("child_id", "parent_id", "incoming"))])
+    return rows.select(F.explode(ends).alias("s")).select("s.*").where(at & F.col("to").isNotNull())
+
+
+def steps_from(edges: DataFrame, ids: list[str]) -> DataFrame:
+    """The steps from a driver's list of nodes: one scan of the edges, no join."""
+    return _turned(edges.where(among(F.col("parent_id"), ids) | among(F.col("child_id"), ids)), among(F.col("at"), ids))
 
 
 def steps(edges: DataFrame, frontier: DataFrame) -> DataFrame:
-    """(at, to, weight, reasoning, direction) for every edge at a node of the frontier (id), in either direction."""
-    columns = [c for c in ("weight", "reasoning") if c in edges.columns]
-    out = edges.join(frontier, F.col("parent_id") == F.col("id"), "left_semi").select(F.col("parent_id").alias("at"), F.col("child_id").alias("to"), *columns, F.lit("outgoing").alias("direction"))
-    into = edges.join(frontier, F.col("child_id") == F.col("id"), "left_semi").select(F.col("child_id").alias("at"), F.col("parent_id").alias("to"), *columns, F.lit("incoming").alias("direction"))
-    return out.union(into).where("to is not null")
+    """The same from a frontier (id) of any size, by two semi-joins."""
+    ends = [edges.join(frontier, F.col(c) == F.col("id"), "left_semi") for c in ("parent_id", "child_id")]
+    rest = [c for c in ("weight", "reasoning") if c in edges.columns]
+    out = ends[0].select(F.col("parent_id").alias("at"), F.col("child_id").alias("to"), *rest, F.lit("outgoing").alias("direction"))
+    return out.union(ends[1].select("child_id", "parent_id", *rest, F.lit("incoming"))).where("to is not null")
 
 
 def khop(graph: Graph, seeds: DataFrame, depth: int, wide: int = WIDE) -> DataFrame:
     """(id, hops): least number of hops from any seed over live edges, either way; seeds must be live."""
-    spark, alive = graph.nodes.sparkSession, live(graph.nodes).select("id")
-    start = seeds.select("id").distinct()
-    if start.limit(wide + 1).count() > wide:
-        return _khop_wide(graph, alive.join(start, "id", "left_semi"), [], depth)
-    here = [r["id"] for r in start.collect() if r["id"] is not None]
-    here = [r["id"] for r in alive.join(_listed(spark, here), "id", "left_semi").collect()]
+    start = [r["id"] for r in live(graph.nodes).select("id").join(seeds.select("id").distinct(), "id", "left_semi").limit(wide + 1).collect()]
+    if len(start) > wide:
+        return _khop_wide(graph, live(graph.nodes).select("id").join(seeds.select("id").distinct(), "id", "left_semi"), [], depth)
+    return khop_from(graph, start, depth, wide)
+
+
+def khop_from(graph: Graph, here: list[str], depth: int, wide: int = WIDE) -> DataFrame:
+    """The same from a driver's list of live nodes. A hop is a scan of the edges and one of the nodes' ids."""
+    spark, nodes = graph.nodes.sparkSession, live(graph.nodes).select("id")
     found, met = [(i, 0) for i in here], set(here)
     for hop in range(1, depth + 1):
         if not here:
             break
-        reached = steps(graph.edges, _listed(spark, here)).select(F.col("to").alias("id")).distinct().limit(wide + len(met) + 1).collect()
-        near = [r["id"] for r in reached if r["id"] not in met]
+        reached = steps_from(graph.edges.select("parent_id", "child_id"), here).select("to").distinct().limit(wide + len(met) + 1).collect()
+        near = [r["to"] for r in reached if r["to"] not in met]
         if len(near) > wide:
-            return _khop_wide(graph, spark.createDataFrame([(i,) for i, h in found if h == hop - 1], "id string"), found, depth, hop)
-        here = [r["id"] for r in alive.join(_listed(spark, near), "id", "left_semi").collect()] if near else []
+            return _khop_wide(graph, spark.createDataFrame([(i,) for i in here], "id string"), found, depth, hop)
+        here = [r["id"] for r in nodes.where(among(F.col("id"), near)).collect()] if near else []
         found += [(i, hop) for i in here]
         met |= set(here)
     return spark.createDataFrame(found, "id string, hops int")
@@ -127,33 +142,51 @@ def how(graph: Graph, a: str, b: str, most: int = 50) -> DataFrame:
     return F.broadcast(rows).join(named, "id").select("distance", "id", "content", "node_type", "weight", "reasoning", "direction").orderBy("distance")
 
 
-def beam_events(graph: Graph, query: list[float], seeds: list[tuple[str, float]], picks: int = 3, hops: int = 3):
+def beam_events(graph: Graph, query: list[float], seeds: list[tuple[str, float]], picks: int = 3, hops: int = 3, wide: int = WIDE):
     """Yields (level, id, sim, from) as nodes are taken: seeds at level 0, then each frontier node's best new neighbours.
 
-    Frontier nodes choose in order, so a neighbour taken by one is gone for the next. Of a frontier node's neighbours
-    only the first picks * (place + 1) can ever be chosen; these few rows (at most picks ** 2 * frontier ** 2) come to
-    the driver for the choice. A node without a sound vector has similarity 0. Ties go to the smaller id.
+    Frontier nodes choose in order, so a neighbour taken by one is gone for the next. The frontier's neighbours come to the driver
+    with their cosines, up to `wide` of them; beyond, they are ranked where they are. A node without a sound vector has similarity 0. Ties go to the smaller id.
     """
     spark = graph.nodes.sparkSession
     taken = dict(seeds)
     frontier = [i for i, _ in seeds]
     for i, s in seeds:
         yield 0, i, s, None
-    vectors = graph.emb.select("node_id", F.when(fault("vector", len(query)).isNull(), cosine(F.col("vector"), literal(query))).alias("cos"))
+    sound = fault("vector", len(query)).isNull()
+    vectors = graph.emb.select("node_id", F.when(sound, cosine(F.col("vector"), literal(query))).alias("cos"))
+    edges = graph.edges.select("parent_id", "child_id")
     for level in range(1, hops + 1):
         if not frontier:
             return
-        places = F.broadcast(spark.createDataFrame([(i, p) for p, i in enumerate(frontier)], "at string, place int"))
-        near = steps(graph.edges.select("parent_id", "child_id"), places.withColumnRenamed("at", "id").select("id"))
-        near = near.select("at", "to").join(places, "at").join(_listed(spark, list(taken), "u"), F.col("to") == F.col("u"), "left_anti").select("place", "to").distinct()
-        near = near.join(vectors, F.col("to") == F.col("node_id"), "left").select("place", "to", F.coalesce("cos", F.lit(0.0)).alias("sim"))
-        rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("sim"), "to"))
-        rows = near.withColumn("rank", rank).where(F.col("rank") <= picks * (F.col("place") + 1)).orderBy("place", "rank").collect()
+        pairs = steps_from(edges, frontier).select("at", "to").where(~among(F.col("to"), list(taken))).distinct()
+        few = pairs.limit(wide + 1).collect()
+        if len(few) <= wide:
+            near: dict[str, list[str]] = {}
+            for r in few:
+                near.setdefault(r["at"], []).append(r["to"])
+            asked = sorted({r["to"] for r in few})
+            cos = {r["node_id"]: r["cos"] for r in vectors.where(among(F.col("node_id"), asked)).collect() if r["cos"] is not None} if asked else {}
+            ranked = {at: sorted(((cos.get(i, 0.0), i) for i in some), key=lambda x: (-x[0], x[1])) for at, some in near.items()}
+        else:
+            ranked = _ranked_wide(pairs, vectors, frontier, picks)
         chosen: list[str] = []
-        for place, name in enumerate(frontier):
-            free = [r for r in rows if r["place"] == place and r["to"] not in taken][:picks]
-            for r in free:
-                taken[r["to"]] = r["sim"]
-                chosen.append(r["to"])
-                yield level, r["to"], r["sim"], name
+        for name in frontier:
+            for sim, i in [x for x in ranked.get(name, []) if x[1] not in taken][:picks]:
+                taken[i] = sim
+                chosen.append(i)
+                yield level, i, sim, name
         frontier = chosen
+
+
+def _ranked_wide(pairs: DataFrame, vectors: DataFrame, frontier: list[str], picks: int) -> dict[str, list[tuple[float, str]]]:
+    """The neighbours of each frontier node that can be chosen, best first, where there are too many to rank on the driver: of the node at
+    a place only the first picks * (place + 1), so at most picks ** 2 * frontier ** 2 rows come to the driver.
+    """
+    place = F.broadcast(pairs.sparkSession.createDataFrame([(i, p) for p, i in enumerate(frontier)], "at string, place int"))
+    near = pairs.join(vectors, F.col("to") == F.col("node_id"), "left").join(place, "at").select("at", "place", "to", F.coalesce("cos", F.lit(0.0)).alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("sim"), "to"))
+    out: dict[str, list[tuple[float, str]]] = {}
+    for r in near.withColumn("rank", rank).where(F.col("rank") <= picks * (F.col("place") + 1)).orderBy("at", "rank").collect():
+        out.setdefault(r["at"], []).append((r["sim"], r["to"]))
+    return out

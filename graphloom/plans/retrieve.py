@@ -8,9 +8,8 @@ from ..config import Knobs
 from ..functions.clock import event_clock, recency_weight
 from ..functions.text import tag_any, tag_none
 from ..operators.search import top_k
-from ..operators.walk import beam_events, khop
+from ..operators.walk import beam_events, khop_from
 from ..schema import Graph, domain_of, live
-from ..shared import cut
 
 
 def _filtered(nodes: DataFrame, domain=None, tags=None, exclude_tags=None) -> DataFrame:
@@ -31,9 +30,10 @@ def details(graph: Graph, ids: list[str], domain=None, tags=None, exclude_tags=N
 
 def hybrid(graph: Graph, query: list[float], as_of, k: int = 10, depth: int = 2, domain=None, exclude_tags=None) -> DataFrame:
     """Top k by (0.5 similarity + 0.5 / path length) * recency over 2k seeds and what lies within `depth` hops of them."""
-    hits = cut(top_k(graph, query, 2 * k))
-    walked = khop(graph, hits.select(F.col("node_id").alias("id")), depth)
-    every = walked.join(hits, F.col("id") == F.col("node_id"), "left").select("id", "hops", F.coalesce("sim", F.lit(0.0)).alias("sim"))
+    hits = [(r["node_id"], r["sim"]) for r in top_k(graph, query, 2 * k).collect()]
+    walked = khop_from(graph, [i for i, _ in hits], depth)
+    named = F.broadcast(graph.nodes.sparkSession.createDataFrame(hits, "node_id string, sim double"))  # 2k rows
+    every = walked.join(named, F.col("id") == F.col("node_id"), "left").select("id", "hops", F.coalesce("sim", F.lit(0.0)).alias("sim"))
     rows = _filtered(graph.nodes, domain, None, exclude_tags).join(every, "id")
     score = (0.5 * F.col("sim") + 0.5 / (F.col("hops") + 1)) * recency_weight(event_clock(), as_of)
     return rows.select("id", "node_type", domain_of().alias("domain"), "hops", F.round("sim", 6).alias("sim"), F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Knobs, Profile
 from ..functions.text import content_id
 from ..operators import consolidate as c, lifecycle as life
-from ..operators.similarity import cosine_pairs, live_vectors
-from ..schema import Graph
+from ..operators.audit import kept, rows
+from ..operators.embed import Encoder, encoded, unembedded
+from ..operators.similarity import cosine_pairs, jaccard_pairs, word_classes
+from ..schema import Graph, live
 from ..shared import cut
 
 
@@ -18,20 +20,33 @@ def _settled(graph: Graph) -> Graph:
     return graph.with_(nodes=cut(graph.nodes), edges=cut(graph.edges))
 
 
-def cycle(graph: Graph, profile: Profile, as_of, knobs: Knobs = Knobs(), gc_mode: str = "soft", cross_source_only: bool = False, most_links: int | None = None, model_fn: Callable[[str], str] | None = None) -> tuple[Graph, dict]:
-    """The new state and what was done. A second cycle on the result links and merges nothing new."""
-    links = cut(c.new_links(graph, profile, cross_source_only, most_links))
-    report = {"links": links.count()}
+def cycle(
+    graph: Graph, profile: Profile, as_of, knobs: Knobs = Knobs(), gc_mode: str = "soft", cross_source_only: bool = False, most_links: int | None = None,
+    model_fn: Callable[[str], str] | None = None, encoder: Encoder | None = None, model: str = "hashing", audit: DataFrame | None = None, limit: int | None = None, probes: int | None = None,
+) -> tuple[Graph, dict]:
+    """The new state and what was done. A second cycle on the result links and merges nothing new.
+
+    Phases: link, merge, score, collect, promote, core memories, dream, vectors for what has none (with an encoder). The report's
+    `audit` is the log given, within its retention, with a row for each node that a merge or the collection flagged. `limit`: only
+    the oldest nodes are linked and merged.
+    """
+    vectors = cut(c.oldest_vectors(graph, limit))
+    report = {"nodes_selected": vectors.count()}
+    links = cut(c.new_links(graph, profile, cross_source_only, most_links, vectors))
+    report["links"] = links.count()
     graph = _settled(c.linked(graph, links))
-    pairs = cut(cosine_pairs(live_vectors(graph), profile.dedup))
+    pairs = cut(cosine_pairs(vectors, profile.dedup))
     clusters = cut(c.cliques(pairs))
     report["clusters"] = clusters.select("cluster").distinct().count()
     graph, losers = c.merged(graph, c.keepers(graph, clusters))
     report["merged"] = losers.count()
+    log = cut(rows(graph, losers.withColumn("reason", F.lit("dedup_merge")), as_of))
     graph = _settled(graph)
     core = cut(life.core_memory(graph))
-    gone = cut(life.gc_candidates(graph, as_of, knobs.gc_threshold, knobs.grace_days, knobs.think_penalty))
+    gone = cut(life.gc_candidates(graph, as_of, knobs.gc_threshold, knobs.grace_days, knobs.think_penalty, probes))
     report["collected"] = 0 if gc_mode == "off" else gone.count()
+    if gc_mode != "off":
+        log = cut(log.unionByName(rows(graph, gone.select("id", F.lit("gc_fitness").alias("reason")), as_of)))
     graph = _settled(life.collected(graph, gone, gc_mode))
     up = cut(life.promotion_candidates(graph, knobs.promote_at))
     report["permanent"] = up.count()
@@ -41,9 +56,42 @@ def cycle(graph: Graph, profile: Profile, as_of, knobs: Knobs = Knobs(), gc_mode
     report["core"] = {r["change"]: r["n"] for r in core.groupBy("change").agg(F.count("*").alias("n")).collect()}
     graph = _settled(graph.with_(nodes=life.with_core_memories(graph.nodes, core)))
     graph, report["dream"] = dream(graph, links, as_of, model_fn)
+    if encoder:
+        new = cut(encoded(unembedded(graph), encoder, model))
+        report["embedded"] = new.count()
+        graph = graph.with_(emb=graph.emb.select("node_id", "vector", "model").unionByName(new))
+    report["audit"] = log if audit is None else cut(kept(audit, F.lit(as_of)).unionByName(log, allowMissingColumns=True))
     return graph, report
 
 
+def cycle_by_words(graph: Graph, as_of, link: float = 0.3, merge: float = 0.82, knobs: Knobs = Knobs()) -> tuple[Graph, dict]:
+    """The cycle of a graph without vectors: the word sets of its live nodes take their place. Equal texts are merged by class."""
+    alive = live(graph.nodes).select("id", "content")
+    classes = cut(word_classes(alive))
+    pairs = cut(jaccard_pairs(alive, link))
+    known = graph.edges.select(F.least("parent_id", "child_id").alias("a"), F.greatest("parent_id", "child_id").alias("b")).distinct()
+    links = cut(pairs.where(F.col("sim") < merge).join(known, ["a", "b"], "left_anti"))
+    graph = _settled(c.linked(graph, links))
+    alike = c.cliques(pairs.where(F.col("sim") >= merge))
+    named = classes.join(alike.toDF("cluster", "class"), "class", "left").select(F.coalesce("cluster", "class").alias("cluster"), "id")
+    several = cut(named.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster"))
+    graph, losers = c.merged(graph, c.keepers(graph, named.join(several, "cluster")))
+    gone = cut(life.gc_candidates(graph, as_of, knobs.gc_threshold, knobs.grace_days, knobs.think_penalty))
+    graph = _settled(life.collected(graph, gone))
+    return graph, {"links": links.count(), "merged": losers.count(), "collected": gone.count()}
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    """(event, n) of a cycle's log (event, details)."""
+    return events.groupBy("event").agg(F.count("*").alias("n"))
+
+
+def events_of(spark: SparkSession, report: dict) -> DataFrame:
+    """A cycle's report as a log: a row for each phase and its number."""
+    rows = [(k, int(v)) for k, v in report.items() if isinstance(v, int)] + [(f"core_{k}", int(n)) for k, n in report.get("core", {}).items()]
+    return spark.createDataFrame(rows, "event string, n long")
+
+
 def dream(graph: Graph, links, as_of, model_fn: Callable[[str], str] | None = None) -> tuple[Graph, str | None]:
     """A node made from the strongest pair of two sources, with an edge from each; without a model, from a template."""
     best = c.dream_pair(graph, links).first()

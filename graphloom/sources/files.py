@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import fnmatch
+import re
+from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.text import paragraphs, relation, wikilinks
+from ..functions.text import paragraphs, relation, wikilinks, without_front_matter
+from ..operators import metrics, stats
 from ..operators.ingest import archive_turns
 from ..schema import Graph, live, live_edges
 
@@ -38,6 +42,41 @@ def notes(spark: SparkSession, folder: str, ignore: list[str] = (), seen: DataFr
     return out
 
 
+def front_matter(text: str) -> dict:
+    """The fields between the first two rules of a note: as YAML where its library is there, else lines of `key: value` and lists."""
+    found = re.match(r"\A---(.*?)\n---\s*\n", text or "", re.S)
+    if not found:
+        return {}
+    try:
+        import yaml
+
+        told = yaml.safe_load(found[1])
+        return told if isinstance(told, dict) else {}
+    except ImportError:
+        pass
+    except Exception:  # what can't be read is no front matter
+        return {}
+    out, key = {}, None
+    for line in found[1].split("\n"):
+        if (item := re.match(r"\s+-\s+(.*)", line)) and key:
+            out[key] = [*(out[key] if isinstance(out[key], list) else []), item[1].strip()]
+        elif pair := re.match(r"([\w-]+):\s*(.*)", line):
+            key, value = pair[1], pair[2].strip()
+            out[key] = [x.strip() for x in value[1:-1].split(",") if x.strip()] if value.startswith("[") and value.endswith("]") else value.strip("\"'")
+    return out
+
+
+def with_front_matter(found: DataFrame) -> DataFrame:
+    """The notes with `fields`, a map of their front matter (lists joined by commas), and the text without it."""
+
+    @F.pandas_udf("map<string,string>")
+    def fields(texts: pd.Series) -> pd.Series:
+        joined = lambda v: ",".join(map(str, v)) if isinstance(v, list) else str(v)
+        return texts.map(lambda t: {str(k): joined(v) for k, v in front_matter(t).items() if v is not None})
+
+    return found.withColumn("fields", fields("text")).withColumn("text", without_front_matter("text"))
+
+
 def note_paragraphs(found: DataFrame, prefix: str = "extractor") -> DataFrame:
     """(content, domain, source_file) of each paragraph."""
     return found.select(F.explode(paragraphs("text")).alias("content"), "domain", F.concat(F.lit(f"{prefix}:"), "path").alias("source_file"))
@@ -52,10 +91,21 @@ def wikilink_edges(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return one.unionByName(one.withColumns({"parent_id": F.col("child_id"), "child_id": F.col("parent_id")})).dropDuplicates(["parent_id", "child_id"])
 
 
-def session_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, role, content, timestamp) of JSON lines; lines that are no objects are dropped."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", MESSAGE).alias("m"))
-    return raw.select("path", "m.*").where("role is not null")
+def session_lines(spark: SparkSession, folder: str, seen: DataFrame | None = None) -> DataFrame:
+    """(path, line, role, content, timestamp) of JSON line files, from the line on that `seen` (path, lines) has for each; lines that are no objects are
+    dropped. A file is one row until its lines are numbered, so one that grows without end belongs to the stream of streaming.ingest.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    each = raw.select("path", F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    if seen is not None:
+        each = each.join(seen.toDF("_p", "_n"), F.col("path") == F.col("_p"), "left").where("_n is null or line >= _n").drop("_p", "_n")
+    return each.select("path", "line", F.from_json("value", MESSAGE).alias("m")).select("path", "line", "m.*").where("role is not null")
+
+
+def session_state(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, lines): how many lines each file has, to be kept once what was read is stored."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return raw.select("path", F.size(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("lines"))
 
 
 def chat_archive(spark: SparkSession, path: str, state: DataFrame | None = None) -> DataFrame:
@@ -73,6 +123,23 @@ def export_json(graph: Graph, folder: str) -> None:
     live_edges(graph).withColumn("relation", relation()).write.mode("overwrite").json(f"{folder}/edges")
 
 
+def export_full(graph: Graph, folder: str, as_of) -> None:
+    """All nodes and edges, the statistics and the members of clusters with their colours, each as JSON lines, and a row about the export."""
+    parts = {"nodes": graph.nodes, "edges": graph.edges, "degrees": stats.degree_stats(graph), "types": graph.nodes.groupBy("node_type").agg(F.count("*").alias("n")), "reasons": stats.reasoning_buckets(graph)}
+    parts |= {"sources": stats.source_counts(graph), "hubs": stats.hubs(graph), "clusters": stats.source_clusters(graph), "cluster_members": stats.cluster_members(graph)}
+    parts["about"] = graph.nodes.sparkSession.range(1).select(F.lit("1.0").alias("version"), F.lit(as_of).cast("timestamp").alias("exported"))
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").json(f"{folder}/{name}")
+
+
+def export_metrics(graph: Graph, folder: str, as_of, hours: int = 24) -> None:
+    """What a dashboard shows: summary, types, hourly retrievals and the last rows."""
+    parts = {"summary": metrics.summary(graph, as_of, hours), "by_type": metrics.by_type(graph.metrics, as_of, hours), "series": metrics.hourly(metrics.within(graph.metrics, as_of, hours), "retrieval")}
+    parts["recent"] = graph.metrics.orderBy(F.desc("id")).limit(50)
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").json(f"{folder}/{name}")
+
+
 def snapshot(graph: Graph, folder: str, stamp: str) -> None:
     """A full copy under a stamp."""
     for name in ("nodes", "edges", "emb"):
@@ -86,3 +153,24 @@ def restored(spark: SparkSession, folder: str, stamp: str) -> Graph:
 def expired(stamps: list[str], keep: int) -> list[str]:
     """Snapshots beyond the `keep` newest; stamps sort by time."""
     return sorted(stamps)[: max(0, len(stamps) - keep)]
+
+
+def backup_due(stamps: list[str], now: str, hours: int) -> bool:
+    """Whether the newest snapshot is older than the interval; stamps are ISO times."""
+    return not stamps or (datetime.fromisoformat(now) - datetime.fromisoformat(max(stamps))).total_seconds() >= hours * 3600
+
+
+def backup(graph: Graph, folder: str, now: str, hours: int = 6, keep_hours: int = 168) -> tuple[bool, list[str]]:
+    """Writes a snapshot if one is due; whether it did, and the stamps that are past their retention. They are listed, and removed here."""
+    spark = graph.nodes.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = {x.getPath().getName() for x in store.listStatus(path)} if store.exists(path) else set()
+    stamps = sorted(n.replace("_", ":") for n in names if re.fullmatch(r"\d{4}-\d{2}-\d{2}T\d{2}_\d{2}_\d{2}", n))
+    made = backup_due(stamps, now, hours)
+    if made:
+        snapshot(graph, folder, now.replace(":", "_"))
+    old = [s for s in stamps if (datetime.fromisoformat(now) - datetime.fromisoformat(s)).total_seconds() > keep_hours * 3600]
+    for s in old:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{s.replace(':', '_')}"), True)
+    return made, old

@@ -5,28 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import content_id
+from ..operators.ingest import relevant_turns
 from ..sources.files import MESSAGE
 
 
 def session_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages of JSON line files as they arrive; the checkpoint remembers the files."""
+    """Messages of JSON line files as they arrive, by the rule of the batch source; the checkpoint remembers the files."""
     raw = spark.readStream.text(folder).select(F.from_json("value", MESSAGE).alias("m")).select("m.*")
-    return raw.where(F.col("role").isin("user", "assistant") & (F.length("content") >= 50) & ~F.startswith("content", F.lit("{")))
+    return relevant_turns(raw, text="content")
 
 
-def ingest(stream: DataFrame, nodes_path: str, checkpoint: str):
-    """Appends contents that no node has; a batch that runs again adds nothing."""
+def ingest(stream: DataFrame, nodes_path: str, checkpoint: str, buckets: int = 256):
+    """Appends contents that no node has, in folders by the first bits of their ids; a batch looks only into those that its own ids
+    are in, and one that runs again adds nothing.
+    """
+    schema = "id string, content string, bucket int"
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.select("content").distinct().withColumn("id", content_id("content"))
+        fresh = batch.select("content").distinct().withColumn("id", content_id("content")).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+        fresh = fresh.persist()
         try:
-            fresh = fresh.join(spark.read.parquet(nodes_path).select("id"), "id", "left_anti")
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        fresh.select("id", "content").write.mode("append").parquet(nodes_path)
-
+            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
+            known = spark.read.schema(schema).parquet(nodes_path).where(F.col("bucket").isin(touched)).select("id", "bucket")
+            fresh.join(known, ["id", "bucket"], "left_anti").select("id", "content", "bucket").write.mode("append").partitionBy("bucket").parquet(nodes_path)
+        finally:
+            fresh.unpersist()
+
+    spark = stream.sparkSession
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("bucket").parquet(nodes_path)  # the folder is there from now on
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

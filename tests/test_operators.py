@@ -71,6 +71,9 @@ def test_walk(spark):
     assert ids(walk.khop(g, seeds, 1), "id") == ["health2", "weather1", "weather2"]
     assert ids(walk.khop(g, seeds, 2), "id") == ["health1", "health2", "mood1", "weather1", "weather2"]
     assert ids(walk.khop(g, seeds, 0), "id") == ["weather1"]
+    both = g.nodes.where("id in ('weather1', 'decayed1', 'mood2')")
+    for wide in (0, 1, 2, 3, 100):  # the frontier is a literal set, or becomes a table at some hop, or is one from the start
+        assert ids(walk.khop(g, both, 2, wide)) == [("health1", 2), ("health2", 1), ("mood1", 1), ("mood2", 0), ("weather1", 0), ("weather2", 1)]
 
 
 def test_decay(spark):
@@ -109,7 +112,8 @@ def test_beam_is_sequential(spark):
                 taken.append(i)
                 level.append(i)
         frontier = level
-    assert [i for _, i, _, _ in walk.beam_events(g, q, seeds, 2, 3)] == taken
+    for wide in (0, 4, 1000):  # neighbours are ranked where they are, or on the driver
+        assert [i for _, i, _, _ in walk.beam_events(g, q, seeds, 2, 3, wide)] == taken
     assert retrieve.beam(g, q, 5).count() == 5
 
 
