@@ -1,173 +1,27 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
-
-classify() uses the word model of wordgrams.py. build(), Scorer and scored() here are a model over symbols, whose
-table hardly grows with the corpus; classify() does not use them.
-
-The symbols are the UTF-16 code units of the lower-cased text, ORDER at a time; a document is led by ORDER - 1 start
-symbols and closed by an end symbol. Each task sums its n-grams, a shuffle adds them up, lower orders count distinct
-left neighbours, and discounts, context masses and lower-order probabilities are joined to the counts, all as tables.
-What results (ln p of each seen n-gram, ln of the back-off mass of each seen context) is written in shards sorted by
-n-gram. To score, a task gathers the distinct n-grams of some documents and merge-joins them with one shard after
-the other, so neither texts nor n-grams of documents are shuffled and no shard must fit with another.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text, the word trigrams of wordgrams.py.
 
 Trusted documents are those labelled good and not toxic; all of them count. One in CALIBRATE does not train: of
 these, the threshold of a language is the QUANTILE of its perplexities, drawn towards that of all languages as if FEW
 documents had it (the mean of the logarithms), so it moves little by little as the table grows; a language without any
 has that of all. A document is kept if its perplexity is at most the threshold.
 
-Defined results: null or empty text is only its end symbol and is not kept; a null language is "und"; a doc_id with
+Defined results: null or empty text is only its end word and is not kept; a null language is "und"; a doc_id with
 several labels is trusted if all of them are good; without trusted text, perplexity and threshold are null and
 nothing is rejected. Other columns are ignored; repeated rows are scored alike.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, new_folder, opened, slices, strings
-
-ORDER, CALIBRATE, QUANTILE, FEW = 4, 5, 0.995, 50
-START, END, SYMBOLS = 2, 3, 1 << 16
-STEP, IN_MEMORY = 2 << 20, 4_000_000
-SHARD_ROWS = 4_000_000
-
-
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER-grams of the texts, packed in 64 bits each, and how many each text has."""
-    lead = "\x02" * (ORDER - 1)
-    codes = np.frombuffer("".join(f"{lead}{t.lower()}\x03" for t in texts).encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint64)
-    sizes = np.fromiter((len(t.lower().encode("utf-16-le", "surrogatepass")) // 2 + 1 for t in texts), np.int64, len(texts))
-    grams = codes[: 1 - ORDER]
-    for k in range(1, ORDER):
-        grams = (grams << np.uint64(16)) | codes[k : len(codes) - ORDER + 1 + k]
-    begin = np.repeat(np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1) - (np.cumsum(sizes) - sizes), sizes)
-    return grams[np.arange(sizes.sum()) + begin].view(np.int64), sizes
-
-
-def _counted(batches):
-    for batch in batches:
-        texts = strings(batch.column("text"))
-        for a, b in slices([len(t) for t in texts], STEP):
-            codes, found = pd.factorize(ngrams(texts[a:b])[0])
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(codes, minlength=len(found)))], names=["gram", "n"])
-
-
-def _discounts(counts: DataFrame) -> list[float]:
-    """The three discounts, from the numbers of n-grams seen once to four times; half a count where those say nothing."""
-    r = counts.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n = [r[f"n{k}"] or 0 for k in (1, 2, 3, 4)]
-    if not all(n):
-        return [0.5, 0.5, 0.5]
-    y = n[0] / (n[0] + 2 * n[1])
-    return [min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.05), k + 0.95) for k in range(3)]
-
-
-def _suffix(bits: int) -> F.Column:
-    return F.col("gram").bitwiseAND((1 << bits) - 1)
-
+from . import wordgrams
+from .common import cut
 
-def build(trusted: DataFrame) -> tuple[str, float] | None:
-    """The model's folder and ln p of a symbol that was never seen; None if there is no text."""
-    spark = trusted.sparkSession
-    counts = cut(trusted.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    if not counts.take(1):
-        return None
-    tables = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        tables[k] = cut(tables[k + 1].groupBy(_suffix(16 * k).alias("gram")).agg(F.count("*").alias("n")))
-    rows, lower, base = [], None, 0.0
-    for k in range(1, ORDER + 1):
-        d = _discounts(tables[k])
-        seen, off = tables[k], F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        seen = seen.withColumn("off", off)
-        if k == 1:
-            total, mass = seen.agg(F.sum("n"), F.sum("off")).first()
-            base = float(mass) / float(total) / SYMBOLS
-            lower = seen.select("gram", ((F.col("n") - F.col("off")) / float(total) + base).alias("p"))
-        else:
-            seen = seen.withColumn("context", F.shiftrightunsigned("gram", 16))
-            mass = cut(seen.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("spare")))
-            own = seen.join(mass, "context").withColumn("short", _suffix(16 * (k - 1)))
-            own = own.join(lower.select(F.col("gram").alias("short"), F.col("p").alias("below")), "short")
-            lower = own.select("gram", ((F.col("n") - F.col("off") + F.col("spare") * F.col("below")) / F.col("total")).alias("p"))
-            rows.append(mass.select(F.lit(10 + k).alias("kind"), F.col("context").alias("gram"), F.log(F.col("spare") / F.col("total")).alias("value")))
-        lower = cut(lower)
-        rows.append(lower.select(F.lit(k).alias("kind"), "gram", F.log("p").alias("value")))
-    every = rows[0]
-    for r in rows[1:]:
-        every = every.unionByName(r)
-    folder = new_folder(spark, "ngrams")
-    shards = max(1, every.count() // SHARD_ROWS)
-    every.withColumn("value", F.col("value").cast("float")).repartitionByRange(shards, "kind", "gram").sortWithinPartitions("kind", "gram").write.parquet(folder)
-    return folder, float(np.log(base))
-
-
-class Scorer:
-    """Merge-joins requests with the shards; keeps them if all are small together."""
-
-    def __init__(self, folder: str, unseen: float):
-        self.store, self.path = opened(folder)
-        infos = self.store.get_file_info(fs.FileSelector(self.path))
-        self.files = sorted(x.path for x in infos if x.path.endswith(".parquet"))
-        rows = sum(pq.read_metadata(f, filesystem=self.store).num_rows for f in self.files)
-        self.kept = [self._load(f) for f in self.files] if rows <= IN_MEMORY else None
-        self.unseen = unseen
-
-    def _load(self, file: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        t = pq.read_table(file, filesystem=self.store)
-        kind, gram, value = (t.column(c).to_numpy() for c in ("kind", "gram", "value"))
-        return {int(k): (gram[kind == k], value[kind == k]) for k in np.unique(kind)}
-
-    def logs(self, grams: np.ndarray) -> np.ndarray:
-        """ln p of each distinct ORDER-gram."""
-        wide = grams.view(np.uint64)
-        ask = {k: (wide & np.uint64(2 ** (16 * k) - 1)) for k in range(1, ORDER + 1)}
-        ask |= {10 + k: ask[k] >> np.uint64(16) for k in range(2, ORDER + 1)}
-        got = {k: np.full(len(grams), np.nan) for k in ask}
-        for shard in self.kept if self.kept is not None else map(self._load, self.files):
-            for kind, (gram, value) in shard.items():
-                want = ask[kind].view(np.int64)
-                at = np.minimum(np.searchsorted(gram, want), len(gram) - 1)
-                hit = gram[at] == want
-                got[kind][hit] = value[at[hit]]
-        out = np.where(np.isnan(got[1]), self.unseen, got[1])
-        for k in range(2, ORDER + 1):
-            back = np.where(np.isnan(got[10 + k]), 0.0, got[10 + k])
-            out = np.where(np.isnan(got[k]), out + back, got[k])
-        return out
-
-    def perplexities(self, texts: list[str]) -> np.ndarray:
-        grams, sizes = ngrams(texts)
-        codes, found = pd.factorize(grams)
-        sums = np.add.reduceat(self.logs(found)[codes], np.cumsum(sizes) - sizes)
-        return np.exp(-sums / sizes)
-
-
-def scored(docs: DataFrame, model: tuple[str, float] | None) -> DataFrame:
-    """doc_id, lang, chars and perplexity of every row. No shuffle."""
-
-    def each(batches):
-        scorer = Scorer(*model) if model else None
-        for batch in batches:
-            texts = strings(batch.column("text"))
-            for a, b in slices([len(t) for t in texts], STEP):
-                values = pa.array(scorer.perplexities(texts[a:b]), pa.float64()) if scorer else pa.nulls(b - a, pa.float64())
-                columns = [batch.column("doc_id")[a:b], batch.column("lang")[a:b], pa.array([len(t) for t in texts[a:b]], pa.int64()), values]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "chars", "perplexity"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, lang string, chars long, perplexity double")
+CALIBRATE, QUANTILE, FEW = 5, 0.995, 50
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, perplexity, threshold and keep of every row."""
-    from . import wordgrams  # which takes the discounts from here
-
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("marked_id")).agg(F.min("quality").alias("good"), F.max("toxic").alias("bad"))
     good = marks.where("good = 1 and coalesce(bad, 0) = 0 and marked_id is not null").select("marked_id")
     fold = F.pmod(F.xxhash64("marked_id"), F.lit(CALIBRATE))

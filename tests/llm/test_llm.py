@@ -584,55 +584,34 @@ def test_zip_directories(tmp_path):
         assert len(found) == 66_001 and f.read(n) == b"stored" and "packed" not in found
 
 
-def plain_kneser_ney(texts, order=4):
-    """ln p by the textbook's formulas, over dictionaries."""
-    from collections import Counter, defaultdict
-
-    counts = [Counter() for _ in range(order + 1)]
-    for t in texts:
-        s = "\x02" * (order - 1) + t.lower() + "\x03"
-        counts[order].update(s[i : i + order] for i in range(len(s) - order + 1))
-    for k in range(order - 1, 0, -1):
-        counts[k].update(g[1:] for g in counts[k + 1])
-    models = []
-    for k in range(1, order + 1):
-        n = [sum(c == j for c in counts[k].values()) for j in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if all(n) else 0
-        d = [min(max(j + 1 - (j + 2) * y * n[j + 1] / n[j], 0.05), j + 0.95) for j in range(3)] if all(n) else [0.5] * 3
-        total, spare = defaultdict(float), defaultdict(float)
-        for g, c in counts[k].items():
-            total[g[:-1]] += c
-            spare[g[:-1]] += d[min(c, 3) - 1]
-        models.append((counts[k], d, total, spare))
-
-    def p(gram, k):
-        if k == 0:
-            return 1 / 65536
-        own, d, total, spare = models[k - 1]
-        h = gram[-k:-1] if k > 1 else ""
-        if h not in total:
-            return p(gram, k - 1)
-        c = own.get(gram[-k:], 0)
-        return (max(c - (d[min(c, 3) - 1] if c else 0), 0) + spare[h] * p(gram, k - 1)) / total[h]
-
-    def perplexity_of(t):
-        s = "\x02" * (order - 1) + t.lower() + "\x03"
-        logs = [np.log(p(s[i : i + order], order)) for i in range(len(s) - order + 1)]
-        return float(np.exp(-np.mean(logs)))
-
-    return perplexity_of
-
-
-def test_kneser_ney(spark, docs, monkeypatch):
-    trusted = [r["text"] for r in docs.where("doc_id < 12").collect()]
-    monkeypatch.setattr(perplexity, "SHARD_ROWS", 1000)
-    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(trusted + ["unseen щ 漢 text", "", None])], "doc_id long, text string, lang string")
-    plain, model = plain_kneser_ney(trusted), perplexity.build(frame.where(f"doc_id < {len(trusted)}"))
-    for kept in (4_000_000, 10):
-        monkeypatch.setattr(perplexity, "IN_MEMORY", kept)
-        found = {r["doc_id"]: r["perplexity"] for r in perplexity.scored(frame, model).collect()}
-        for r in frame.collect():
-            assert found[r["doc_id"]] == pytest.approx(plain(r["text"] or ""), rel=1e-4)
+def test_quality_thresholds(spark):
+    """Fold, quantile, drawing towards the general limit and verdict, from the perplexities by plain Python."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    marks = {}
+    for r in labels.collect():
+        marks.setdefault(r["doc_id"], []).append((r["quality"], r["toxic"] or 0))
+    good = {i for i, m in marks.items() if min(q for q, _ in m) == 1 and max(t for _, t in m) == 0}
+    fold = lambda i: (xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42) + 2**63) % 2**64 - 2**63
+    found = {r["doc_id"]: r for r in perplexity.classify(docs, labels).collect()}
+    held = [r for i, r in found.items() if i in good and fold(i) % perplexity.CALIBRATE == 0]
+    quantile = lambda x: sorted(x)[max(0, int(np.ceil(perplexity.QUANTILE * len(x))) - 1)]
+    general = quantile([r["perplexity"] for r in held])
+    assert len(found) == docs.count() and len(held) > 3
+    for r in docs.collect():
+        own = [h["perplexity"] for h in held if h["lang"] == r["lang"]]
+        want = np.exp((len(own) * np.log(quantile(own)) + perplexity.FEW * np.log(general)) / (len(own) + perplexity.FEW)) if own else general
+        got_ = found[r["doc_id"]]
+        assert got_["threshold"] == pytest.approx(want) and got_["keep"] == (bool(r["text"]) and got_["perplexity"] <= got_["threshold"])
+
+
+def test_quality_on_documents_that_did_not_train(spark):
+    """Of the labelled documents, trained on none of these: bad ones mostly go, good ones stay."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    found = perplexity.classify(docs, labels).join(labels, "doc_id").where("toxic = 0").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(perplexity.CALIBRATE))).collect()
+    bad, good = [r["keep"] for r in found if not r["quality"]], [r["keep"] for r in found if r["quality"] and r["fold"] == 0]
+    assert len(bad) > 30 and len(good) > 30 and np.mean(bad) < 0.4 and np.mean(good) > 0.95
 
 
 def test_quality_odd(spark, odd, empty):
