@@ -103,7 +103,7 @@ def relevance(text: Column, words: list[str]) -> Column:
 
 def word_set(text) -> Column:
     """Distinct lower-cased words without stopwords."""
-    return F.array_except(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")), F.array(*map(F.lit, SIMILARITY_STOPWORDS)))
+    return F.array_except(F.split(F.lower(text), r"\s+"), F.array(*map(F.lit, ("", *SIMILARITY_STOPWORDS))))
 
 
 def anchors(text) -> Column:

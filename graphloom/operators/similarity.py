@@ -219,27 +219,29 @@ def tension_pairs(graph: Graph, low: float = 0.30, high: float = 0.70, k: int =
     return found.select("a", "b", F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score")).orderBy("score", "a", "b").limit(k)
 
 
+def _word_sets(docs: DataFrame) -> DataFrame:
+    """(id, words, k1, k2): the words as ascending hashes, and what names the set; rows without words are left out."""
+    words = F.sort_array(F.transform(word_set("content"), lambda w: F.xxhash64(w)))
+    sets = cut(docs.select("id", words.alias("words")))  # written once: a filter on the words would find them twice
+    return sets.where(F.size("words") > 0).withColumns({"k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit(1), "words")})
+
+
 def word_classes(docs: DataFrame) -> DataFrame:
     """(id, class): rows with equal word sets are in one class, named by its smallest id; rows without words are in none."""
-    named = _word_keys(docs)
+    named = _word_sets(docs).select("id", "k1", "k2")
     least = cut(named.groupBy("k1", "k2").agg(F.min("id").alias("class")))
     return named.join(least, ["k1", "k2"]).select("id", "class")
 
 
-def _word_keys(docs: DataFrame) -> DataFrame:
-    sets = docs.select("id", F.array_sort(word_set("content")).alias("words")).where(F.size("words") > 0)
-    return sets.select("id", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"))
-
-
 def jaccard_pairs(docs: DataFrame, least: float) -> DataFrame:
     """(a, b, sim) for a < b, of (id, content): the classes of word_classes() whose word sets are that alike. Exact.
 
     A class is its smallest id; its copies are not expanded. Words are 64-bit hashes. A word of very many prefixes makes a
     hot key of a plain join of two scans, which Spark's skew join splits.
     """
-    reps = _word_keys(docs).groupBy("k1", "k2").agg(F.min("id").alias("id")).select("id")
-    sets = docs.join(reps, "id", "left_semi").select("id", F.transform(word_set("content"), lambda w: F.xxhash64(w)).alias("words"))
-    words = cut(sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word")))
+    sets = _word_sets(docs)
+    reps = sets.groupBy("k1", "k2").agg(F.min("id").alias("id")).select("id")
+    words = sets.join(reps, "id", "left_semi").select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
     freq = cut(words.groupBy("word").agg(F.count("*").alias("df")))
     ranked = words.join(freq, "word").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
     ranked = cut(ranked.select("id", "n", F.col("w.word").alias("w")))
