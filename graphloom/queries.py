@@ -689,7 +689,7 @@ def brain_stats(g):
     return stats.brain_stats(g, "insight", 0.38)
 
 
-@query("SELECT 'without_embedding' AS state, id FROM live WHERE id NOT IN (SELECT node_id FROM emb)")
+@query("SELECT 'without_embedding' AS state, id FROM live WHERE id NOT IN (SELECT node_id FROM emb) UNION ALL SELECT 'without_node', node_id FROM emb WHERE node_id NOT IN (SELECT id FROM nodes)")
 def integrity_ids(g):
     return stats.integrity_ids(g, 64)
 
