@@ -101,7 +101,7 @@ def _best(least: float, others: bool):
 
     def one(batch, r):
         a, b, strips = _strips(batch, r)
-        place = pc.array_sort_indices(b, order="descending").to_numpy()
+        place = pc.array_sort_indices(b, order="descending").to_numpy().astype(np.int64)
         own = {x: k for k, x in enumerate(b.to_pylist())} if others else {}
         for at, sims in strips:
             if others:

@@ -35,7 +35,7 @@ def cycle(
     links = cut(c.new_links(graph, profile, cross_source_only, most_links, vectors))
     report["links"] = links.count()
     graph = _settled(c.linked(graph, links))
-    pairs = cut(cosine_pairs(vectors, profile.dedup))
+    pairs = cut(cosine_pairs(vectors, profile.dedup, dim=profile.dim))
     clusters = cut(c.cliques(pairs))
     report["clusters"] = clusters.select("cluster").distinct().count()
     graph, losers = c.merged(graph, c.keepers(graph, clusters))

@@ -263,7 +263,7 @@ _SIMS = ", sims AS (SELECT a.node_id AS a, b.node_id AS b, list_cosine_similarit
  (SELECT c.node_id AS cand_id, list_cosine_similarity(c.vector, e.vector) AS s FROM emb c JOIN emb e ON e.node_id IN (SELECT id FROM live)) GROUP BY 1""")
 def novelty_check(g):
     cand = g.emb.select(F.col("node_id").alias("cand_id"), "vector")
-    return search.novelty(g, cand, P.novelty).select("cand_id", F.round("max_sim", 6).alias("max_sim"), "is_novel")
+    return search.novelty(g, cand, P.novelty, P.dim).select("cand_id", F.round("max_sim", 6).alias("max_sim"), "is_novel")
 
 
 _ASKED = """, asked AS (SELECT a.node_id AS a, b.node_id AS b, list_cosine_similarity(a.vector, b.vector) AS sim FROM emb a JOIN emb b ON a.node_id <> b.node_id
@@ -277,7 +277,7 @@ def _queries(g):
 
 @query(_ASKED + "SELECT a, b, round(sim, 6) AS sim FROM asked WHERE sim >= 0.3 QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 3")
 def extraction_links(g):
-    return search.similar_links(g, _queries(g)).select("a", "b", F.round("sim", 6).alias("sim"))
+    return search.similar_links(g, _queries(g), dim=P.dim).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query(_ASKED + "SELECT a AS cand_id FROM asked GROUP BY 1 HAVING max(sim) <= 0.38")
@@ -287,7 +287,7 @@ def diversity_gate(g):
 
 @query(_SIMS + "SELECT node_id, round(max(sim), 6) AS max_sim FROM (SELECT a AS node_id, sim FROM sims UNION ALL SELECT b, sim FROM sims) GROUP BY 1")
 def nn_per_node(g):
-    return search.nearest(g.emb).select("node_id", F.round("max_sim", 6).alias("max_sim"))
+    return search.nearest(g.emb, P.dim).select("node_id", F.round("max_sim", 6).alias("max_sim"))
 
 
 @query("SELECT id, 1.0::DOUBLE AS score FROM live WHERE content ILIKE '%the %' ORDER BY id LIMIT 10")
@@ -435,22 +435,22 @@ def cycles(g):
 
 @query(_SIMS + "SELECT a, b, round(sim, 6) AS sim FROM lsims WHERE sim >= 0.35 AND sim < 0.45")
 def cross_link_pairs(g):
-    return similarity.cosine_pairs(similarity.live_vectors(g), P.cross_link, P.dedup).select("a", "b", F.round("sim", 6).alias("sim"))
+    return similarity.cosine_pairs(similarity.live_vectors(g), P.cross_link, P.dedup, P.dim).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query(_SIMS + "SELECT a, b, round(sim, 6) AS sim FROM lsims WHERE sim >= 0.45")
 def dedup_pairs(g):
-    return similarity.cosine_pairs(similarity.live_vectors(g), P.dedup).select("a", "b", F.round("sim", 6).alias("sim"))
+    return similarity.cosine_pairs(similarity.live_vectors(g), P.dedup, dim=P.dim).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query(_SIMS + "SELECT count(*) AS n FROM lsims WHERE sim > 0.4")
 def near_duplicate_count(g):
-    return similarity.pair_count(similarity.live_vectors(g), 0.4)
+    return similarity.pair_count(similarity.live_vectors(g), 0.4, P.dim)
 
 
 @query(_SIMS + "SELECT a, b, CASE WHEN sim >= 0.45 THEN 'merge' ELSE 'link' END AS action FROM lsims WHERE sim >= 0.35")
 def labelled_pairs(g):
-    return similarity.banded(similarity.cosine_pairs(similarity.live_vectors(g), P.cross_link), P.cross_link, P.dedup).select("a", "b", "action")
+    return similarity.banded(similarity.cosine_pairs(similarity.live_vectors(g), P.cross_link, dim=P.dim), P.cross_link, P.dedup).select("a", "b", "action")
 
 
 @query(_SIMS + """SELECT a, b, round(sim, 6) AS sim, round(CASE WHEN x.node_type <> y.node_type THEN 0.05 ELSE 0 END + CASE WHEN x.meta_domain <> y.meta_domain THEN 0.05 ELSE 0 END - abs(sim - 0.5), 6) AS score
@@ -482,7 +482,7 @@ def word_classes(g):
   (SELECT round(quantile_cont(sim, 0.25), 3) AS nn_p25, round(quantile_cont(sim, 0.5), 3) AS nn_p50, round(quantile_cont(sim, 0.9), 3) AS nn_p90, round(quantile_cont(sim, 0.99), 3) AS nn_p99 FROM n))
  SELECT *, round(cross_link + 0.04, 2) AS dedup, round(greatest(round(cross_link + 0.04, 2) + 0.01, nn_p50 + 0.03), 2) AS novelty FROM r""")
 def calibration(g):
-    return similarity.calibration(g.emb)
+    return similarity.calibration(g.emb, dim=P.dim)
 
 
 # Consolidation and lifecycle
@@ -556,13 +556,13 @@ def permanent_nodes(g):
 @query()
 def dedup_clusters(g):
     """Maximal cliques over the merge threshold; tests/test_oracles.py has them from a sequential version."""
-    return consolidate.cliques(similarity.cosine_pairs(similarity.live_vectors(g), P.dedup))
+    return consolidate.cliques(similarity.cosine_pairs(similarity.live_vectors(g), P.dedup, dim=P.dim))
 
 
 @query()
 def link_clusters(g):
     """The same over the link threshold, where cliques are larger and overlap."""
-    return consolidate.cliques(similarity.cosine_pairs(similarity.live_vectors(g), P.cross_link))
+    return consolidate.cliques(similarity.cosine_pairs(similarity.live_vectors(g), P.cross_link, dim=P.dim))
 
 
 @query(", w AS (SELECT DISTINCT parent_id, child_id FROM (SELECT parent_id, child_id FROM edges UNION ALL SELECT child_id, parent_id FROM edges)) SELECT parent_id, child_id, 0.8::DOUBLE AS weight, 'extracted_from - both ways' AS reasoning FROM w WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.parent_id = w.parent_id AND e.child_id = w.child_id)")
