@@ -11,6 +11,9 @@ from .stats import endpoints
 from .walk import ancestors
 
 
+STEPS = 2  # of an iteration between two lineage cuts
+
+
 def roots(graph: Graph) -> DataFrame:
     return graph.nodes.select("id").join(graph.edges.select(F.col("child_id").alias("id")), "id", "left_anti")
 
@@ -78,8 +81,10 @@ def trimmed(edges: DataFrame) -> DataFrame:
     """The edges that are left when nodes without a parent or without a child have gone, as long as there are any."""
     edges, n = cut(edges.where("parent_id is not null and child_id is not null").select("parent_id", "child_id").distinct()), -1
     while n != (n := edges.count()):
-        kept = edges.join(edges.select(F.col("child_id").alias("x")).distinct(), F.col("parent_id") == F.col("x"), "left_semi")
-        edges = cut(kept.join(kept.select(F.col("parent_id").alias("y")).distinct(), F.col("child_id") == F.col("y"), "left_semi"))
+        for _ in range(STEPS if n else 0):
+            kept = edges.join(edges.select(F.col("child_id").alias("x")).distinct(), F.col("parent_id") == F.col("x"), "left_semi")
+            edges = kept.join(kept.select(F.col("parent_id").alias("y")).distinct(), F.col("child_id") == F.col("y"), "left_semi")
+        edges = cut(edges)
     return edges
 
 
@@ -96,8 +101,11 @@ def cyclic(graph: Graph) -> DataFrame:
     while edges.take(1):
         colour = cut(endpoints(edges).distinct().withColumn("c", F.col("id")))
         while True:
-            above = edges.join(colour, F.col("parent_id") == F.col("id")).groupBy("child_id").agg(F.max("c").alias("up"))
-            spread = cut(colour.join(above, F.col("id") == F.col("child_id"), "left").select("id", F.greatest("c", "up").alias("c")))
+            spread = colour
+            for _ in range(STEPS):
+                above = edges.join(spread, F.col("parent_id") == F.col("id")).groupBy("child_id").agg(F.max("c").alias("up"))
+                spread = spread.join(above, F.col("id") == F.col("child_id"), "left").select("id", F.greatest("c", "up").alias("c"))
+            spread = cut(spread)
             moved = spread.join(colour, ["id", "c"], "left_anti").take(1)
             colour = spread
             if not moved:
@@ -105,7 +113,9 @@ def cyclic(graph: Graph) -> DataFrame:
         inside = cut(edges.join(colour.toDF("parent_id", "cp"), "parent_id").join(colour.toDF("child_id", "cc"), "child_id").where("cp = cc").select("parent_id", "child_id", F.col("cp").alias("c")))
         frontier = reached = cut(colour.where("id = c").select("id", "c"))
         while True:
-            back = inside.join(frontier.toDF("child_id", "c"), ["child_id", "c"]).select(F.col("parent_id").alias("id"), "c").distinct()
+            back = frontier
+            for _ in range(STEPS):
+                back = back.unionByName(inside.join(back.toDF("child_id", "c"), ["child_id", "c"]).select(F.col("parent_id").alias("id"), "c")).distinct()
             frontier = cut(back.join(reached, ["id", "c"], "left_anti"))
             if not frontier.take(1):
                 break
