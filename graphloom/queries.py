@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import fixtures as fx
 from .config import profile
 from .functions import text as tx
-from .operators import audit, consolidate, ingest, lifecycle, lineage, metrics, recover, search, similarity, stats, walk
+from .operators import audit, consolidate, embed, ingest, lifecycle, lineage, metrics, recover, search, similarity, stats, walk
 from .plans import retrieve
 from .schema import domain_of, live
 
@@ -734,3 +734,79 @@ def token_budget_prefix(g):
 def signal_gate(g):
     ends = stats.endpoints(g.edges).distinct().withColumn("linked", F.lit(True))
     return live(g.nodes).join(ends, "id", "left").where("access_count > 0 OR linked").select(domain_of().alias("domain"), "id")
+
+
+# States after a change, and small columns
+
+
+@query("SELECT id FROM live WHERE trim(content) <> '' AND id NOT IN (SELECT node_id FROM emb)")
+def unembedded_nodes(g):
+    return embed.unembedded(g).select("id")
+
+
+@query("SELECT id, access_count + CASE WHEN domain = 'de' THEN 1 ELSE 0 END AS access_count FROM nodes")
+def access_tracking(g):
+    return lifecycle.touched(g.nodes, g.nodes.where("domain = 'de'").select("id"), fx.as_of()).select("id", "access_count")
+
+
+@query("SELECT id, CASE WHEN id IN ('d1', 'd2') THEN 2 ELSE permanent END AS permanent FROM nodes")
+def pinned_nodes(g):
+    return lifecycle.pinned(g.nodes, ["d1", "d2"]).select("id", "permanent")
+
+
+@query("SELECT id, array_to_string(list_sort(list_distinct(list_concat(['aa', 'zz'], list_filter(list_transform(string_split(coalesce(tags, ''), ','), lambda t: trim(t)), lambda t: t <> '')))), ',') AS tags FROM nodes")
+def merged_tags(g):
+    return g.nodes.select("id", tx.merged_tags("tags", F.lit("zz, aa")).alias("tags"))
+
+
+@query(_SIMS + """, l AS (SELECT a, b, round(sim, 6) AS weight FROM lsims WHERE sim >= 0.35 AND sim < 0.45 AND NOT EXISTS (SELECT 1 FROM sym WHERE sym.a = lsims.a AND sym.b = lsims.b))
+ SELECT parent_id, child_id, weight FROM edges UNION ALL SELECT a, b, weight FROM l UNION ALL SELECT b, a, weight FROM l""")
+def linked_state(g):
+    return consolidate.linked(g, consolidate.new_links(g, P).withColumn("sim", F.round("sim", 6))).edges.select("parent_id", "child_id", "weight")
+
+
+_GC = _FIT + f""", gone AS (SELECT id FROM fit JOIN nodes USING (id) WHERE permanent = 0 AND (last_accessed IS NULL OR last_accessed <= {_AS} - to_days(7))
+ AND fitness < CASE WHEN contains(source_file, 'think_cycle') THEN 0.075 ELSE 0.05 END) """
+
+
+@query(_GC + "SELECT id, CASE WHEN id IN (SELECT id FROM gone) THEN 1 ELSE coalesce(decayed, 0) END AS decayed FROM nodes")
+def soft_collected(g):
+    return lifecycle.collected(g, lifecycle.gc_candidates(g, fx.as_of())).nodes.select("id", F.coalesce("decayed", F.lit(0)).alias("decayed"))
+
+
+@query(_GC + "SELECT parent_id, child_id FROM edges WHERE parent_id NOT IN (SELECT id FROM gone) AND child_id NOT IN (SELECT id FROM gone)")
+def hard_collected(g):
+    return lifecycle.collected(g, lifecycle.gc_candidates(g, fx.as_of()), "hard").edges.select("parent_id", "child_id")
+
+
+@query(_FIT + """, should AS (SELECT id FROM fit ORDER BY fitness DESC, id LIMIT (SELECT CAST(floor(sqrt(count(*))) AS INT) FROM fit))
+ SELECT id, CASE WHEN coalesce(decayed, 0) <> 0 THEN node_type WHEN id IN (SELECT id FROM should) THEN 'core_memory' WHEN node_type = 'core_memory' THEN 'derived' ELSE node_type END AS node_type,
+ CASE WHEN coalesce(decayed, 0) = 0 AND node_type <> 'core_memory' AND permanent = 0 AND id IN (SELECT id FROM should) THEN 1 ELSE permanent END AS permanent FROM nodes""")
+def core_memory_state(g):
+    return lifecycle.with_core_memories(g.nodes, lifecycle.core_memory(g)).select("id", "node_type", "permanent")
+
+
+@query("SELECT id, substr(replace(trim(content), chr(10), ' '), 1, 80) AS summary FROM nodes")
+def summaries(g):
+    return g.nodes.select("id", tx.summary("content").alias("summary"))
+
+
+@query(f"""SELECT id, CASE WHEN id LIKE '%3' THEN 'insight' ELSE {_kinds_sql(tx.STATEMENT_KINDS)} END AS kind FROM nodes""")
+def typed_lines(g):
+    line = F.when(F.col("id").endswith("3"), F.concat(F.lit("[Insight] "), F.regexp_replace("content", "\\n", " "))).otherwise(F.col("content"))
+    return g.nodes.select("id", tx.typed_statement(line, ("fact", "insight"), tx.statement_kind)[0].alias("kind"))
+
+
+@query("SELECT conv_id, turn, 'talk (' || CASE role WHEN 'user' THEN 'human' ELSE 'assistant' END || '): ' || substr(t, 1, 500) AS content FROM (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM conversations WHERE role IN ('user', 'assistant')) WHERE length(t) >= 50", raw=True)
+def archive_turns(spark, sf_dir):
+    """Every third turn with a mark that a tool's block left."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role in ('user', 'assistant')")
+    text = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(tx.TOOL_MARKS[1]))).otherwise(F.col("text"))
+    turns = c.select(F.col("conv_id").alias("uuid"), F.col("turn").alias("ordinal"), F.lit("talk").alias("name"), F.when(F.col("role") == "user", "human").otherwise("assistant").alias("sender"), text.alias("text"))
+    return ingest.simple_archive(turns).select(F.col("uuid").alias("conv_id"), F.col("ordinal").alias("turn"), "content")
+
+
+@query("SELECT * FROM (VALUES (0, 'd0'), (1, 'd1'), (2, 'd3'), (3, 'd9')) AS p(distance, id) JOIN (SELECT id, node_type FROM nodes) USING (id)")
+def how_path(g):
+    """A path that the edges c -> c div 3 fix: d0, d1, d3, d9."""
+    return walk.how(g.with_(edges=g.edges.where("child_id in ('d1', 'd3', 'd9')").unionByName(g.nodes.sparkSession.createDataFrame([("d0", "d1")], "parent_id string, child_id string"), allowMissingColumns=True)), "d0", "d9").select("distance", "id", "node_type")
