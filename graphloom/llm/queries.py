@@ -1,10 +1,10 @@
-"""The queries op1 to op10: each operator over its whole table, and the digests that their contracts name."""
+"""The queries op1 to op13: each operator over its whole table, and the digests that their contracts name."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, fingerprints, language, lines, perplexity, sharding, simhash, tokencounts, warc
+from . import bpe, decontaminate, fingerprints, language, lines, perplexity, resampling, sharding, simhash, tokencounts, warc
 from .common import table
 
 
@@ -61,7 +61,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language, op3_simhash, op4_bpe, op5_lines, op6_decontaminate, op7_shards, op8_token_counts, op9_warc, op10_quality)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language, op3_simhash, op4_bpe, op5_lines, op6_decontaminate, op7_shards, op8_token_counts, op9_warc, op10_quality, op11_resampling)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _KEY = f"translate(trim(line, {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -112,4 +116,28 @@ f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.h AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id > first THEN first END AS refers_to
 FROM p LEFT JOIN f ON p.h = f.h AND p.n >= 100""",
+    "op11_resampling": r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+d AS (SELECT k, unnest(w) AS f FROM dw),
+b AS (SELECT unnest(w) AS f FROM bw),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+bytes AS (SELECT f, list_transform(range(octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS own FROM (SELECT f FROM d UNION SELECT f FROM b)),
+bucket AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, own), lambda c, x: xor(t[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8))) % 10000 AS n FROM bytes, crc),
+s AS (SELECT n, count(*) AS s FROM d JOIN bucket USING (f) GROUP BY n),
+t AS (SELECT n, count(*) AS t FROM b JOIN bucket USING (f) GROUP BY n),
+gain AS (
+  SELECT n, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)))) AS BIGINT) AS g
+  FROM s FULL JOIN t USING (n)),
+sums AS (SELECT k, CAST(count(*) AS BIGINT) AS n_features, CAST(sum(g) AS BIGINT) AS weight FROM d JOIN bucket USING (f) JOIN gain USING (n) GROUP BY k),
+scored AS (
+  SELECT k, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM dw LEFT JOIN sums USING (k)),
+ranked AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT count(*) FROM ranked) * 10 // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (k)""",
 }
