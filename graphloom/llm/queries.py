@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, fingerprints, language, lines, perplexity, resampling, sharding, simhash, tokencounts, warc
+from . import bpe, decontaminate, fingerprints, language, lines, perplexity, resampling, sharding, simhash, tokencounts, vectorpasses, warc
 from .common import table
 
 
@@ -65,7 +65,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language, op3_simhash, op4_bpe, op5_lines, op6_decontaminate, op7_shards, op8_token_counts, op9_warc, op10_quality, op11_resampling)}
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorpasses.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language, op3_simhash, op4_bpe, op5_lines, op6_decontaminate, op7_shards, op8_token_counts, op9_warc, op10_quality, op11_resampling, op13_embedding_dedup)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _KEY = f"translate(trim(line, {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -140,4 +144,17 @@ scored AS (
 ranked AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT count(*) FROM ranked) * 10 // 100 THEN r END AS rank
 FROM scored LEFT JOIN ranked USING (k)""",
+    "op13_embedding_dedup": f"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS k, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sound AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (
+  SELECT a.k AS x, b.k AS y FROM sound a JOIN sound b ON a.label = b.label AND len(a.e) = len(b.e) AND a.k <> b.k
+  WHERE list_cosine_similarity(a.e, b.e) >= {vectorpasses.LIMIT}),
+reach AS (SELECT k AS x, k AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+component AS (SELECT r.x AS k, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.k = r.y GROUP BY r.x),
+n AS (SELECT x AS k, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN component USING (k) LEFT JOIN n USING (k)""",
 }
