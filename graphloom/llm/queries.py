@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, fingerprints, language, lines, perplexity, resampling, sharding, simhash, tokencounts, vectorpasses, warc
+from . import bpe, collocations, decontaminate, fingerprints, language, lines, perplexity, resampling, sharding, simhash, tokencounts, vectorpasses, warc
 from .common import table
 
 
@@ -65,11 +65,15 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorpasses.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language, op3_simhash, op4_bpe, op5_lines, op6_decontaminate, op7_shards, op8_token_counts, op9_warc, op10_quality, op11_resampling, op13_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language, op3_simhash, op4_bpe, op5_lines, op6_decontaminate, op7_shards, op8_token_counts, op9_warc, op10_quality, op11_resampling, op12_collocations, op13_embedding_dedup)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _KEY = f"translate(trim(line, {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -144,6 +148,27 @@ scored AS (
 ranked AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT count(*) FROM ranked) * 10 // 100 THEN r END AS rank
 FROM scored LEFT JOIN ranked USING (k)""",
+    "op12_collocations": r"""
+WITH p AS (
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+s AS (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS a FROM s GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT lang, phrase, k, a, w, unnest(generate_series(1, k - 1)) AS at FROM c),
+scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, at, l.a AS l, r.a AS r, n, CAST((1000::HUGEINT * cut.a * n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM cut JOIN n USING (lang) JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(cut.w[1 : at], ' ')
+           JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(cut.w[at + 1 : cut.k], ' ')),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+size AS (SELECT lang, k, a, w, unnest(generate_series(2, k - 1)) AS m FROM c WHERE k > 2),
+start AS (SELECT lang, a, w, m, unnest(generate_series(1, k - m + 1)) AS i FROM size),
+longer AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS b FROM start GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM low LEFT JOIN longer USING (lang, phrase) WHERE b IS NULL OR 100 * b < 100 * a
+QUALIFY rank <= 2000""",
     "op13_embedding_dedup": f"""
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS k, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
