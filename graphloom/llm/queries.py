@@ -157,12 +157,12 @@ n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
 s AS (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k),
 f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS a FROM s GROUP BY ALL HAVING count(*) >= 100),
 c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
-cut AS (SELECT lang, phrase, k, a, w, unnest(generate_series(1, k - 1)) AS at FROM c),
+cut AS (SELECT lang, phrase, k, a, w, unnest(generate_series(1, k - 1)) AS j FROM c),
 scored AS (
-  SELECT cut.lang, cut.phrase, cut.a, at, l.a AS l, r.a AS r, n, CAST((1000::HUGEINT * cut.a * n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
-  FROM cut JOIN n USING (lang) JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(cut.w[1 : at], ' ')
-           JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(cut.w[at + 1 : cut.k], ' ')),
-low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+  SELECT cut.lang, cut.phrase, cut.a, j, l.a AS l, r.a AS r, n, CAST((1000::HUGEINT * cut.a * n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM cut JOIN n USING (lang) JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(cut.w[1 : cut.j], ' ')
+           JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(cut.w[cut.j + 1 : cut.k], ' ')),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 size AS (SELECT lang, k, a, w, unnest(generate_series(2, k - 1)) AS m FROM c WHERE k > 2),
 start AS (SELECT lang, a, w, m, unnest(generate_series(1, k - m + 1)) AS i FROM size),
 longer AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS b FROM start GROUP BY ALL)
