@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import fixtures as fx
 from .config import profile
 from .functions import text as tx
-from .operators import audit, consolidate, embed, ingest, lifecycle, lineage, metrics, recover, search, similarity, stats, walk
+from .operators import audit, consolidate, embed, ingest, lifecycle, lineage, metrics, recover, search, similarity, stats, vector_index, walk
 from .plans import retrieve
 from .schema import domain_of, live
+from .shared import new_folder
 
 P = profile("test-64")
 QUERIES: dict = {}
@@ -280,6 +281,22 @@ def extraction_links(g):
     return search.similar_links(g, _queries(g), dim=P.dim).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
+def _index(g):
+    return vector_index.build(g.emb, new_folder(g.emb.sparkSession, "vector-index"), dim=P.dim)
+
+
+@query()
+def indexed_topk(g):
+    """A few cells of the index; its recall against the next query is measured by a test."""
+    return vector_index.search(_index(g), _queries(g)).withColumn("sim", F.round("sim", 6))
+
+
+@query(""", found AS (SELECT a.node_id AS q, b.node_id AS node_id, list_cosine_similarity(a.vector, b.vector) AS sim FROM emb a JOIN emb b ON a.node_id <> b.node_id
+ WHERE CAST(substr(a.node_id, 2) AS INT) % 20 = 0) SELECT q, node_id, round(sim, 6) AS sim FROM found QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, node_id) <= 10""")
+def indexed_topk_exact(g):
+    return vector_index.search(_index(g), _queries(g), probes=0).withColumn("sim", F.round("sim", 6))
+
+
 @query(_ASKED + "SELECT a AS cand_id FROM asked GROUP BY 1 HAVING max(sim) <= 0.38")
 def diversity_gate(g):
     return search.diverse(g, _queries(g).select(F.col("node_id").alias("cand_id"), "vector"), 0.38).select("cand_id")
