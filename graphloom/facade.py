@@ -26,6 +26,11 @@ class Brain:
     def graph(self) -> Graph:
         return store.load(self.spark, self.folder)
 
+    def state(self) -> tuple[int, Graph]:
+        """The number of the newest entry and its graph."""
+        number = store.entry(self.spark, self.folder).number
+        return number, store.load(self.spark, self.folder, number)
+
     def _kept(self, graph: Graph) -> None:
         store.save(graph, self.folder)
 
@@ -93,10 +98,11 @@ class Brain:
 
     def pin(self, ids: list[str], level: int = 2) -> int:
         """Pins (2) or releases (0) nodes; how many there are of them."""
-        graph = self.graph()
-        n = graph.nodes.where(F.col("id").isin(ids)).count()
-        if n:
-            self._kept(graph.with_(nodes=lifecycle.pinned(graph.nodes, ids, level)))
+        read, graph = self.state()
+        own = graph.nodes.where(F.col("id").isin(ids))
+        n = own.count()
+        if n:  # only these rows are written
+            store.commit(self.spark, self.folder, read, {"nodes": lifecycle.pinned(own, ids, level)})
         return n
 
     def prune(self, as_of, apply: bool = False, days: int = 14) -> int:
