@@ -17,7 +17,7 @@ from .operators import audit, consolidate, lifecycle, lineage, metrics, stats, w
 from .plans import context, retrieve, session
 from .queries import QUERIES
 from .sources import files
-from .sources.registry import Archive, Notes, Registry, Sessions, Vault
+from .sources.registry import Archive, Notes, Registry, Sessions, StateFolder, Vault
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -74,7 +74,7 @@ def main(args: list[str]) -> int:
         _shown(QUERIES[a.name](spark, a.sf_dir), a.rows)
         return 0
     settings = config.load(a.config)
-    registry = Registry()
+    registry = Registry(StateFolder(spark, f"{config.graph_path(a.graph, settings)}/_sources"))
     for source in (Notes(), Vault(), Sessions(), Archive()):
         registry.register(source)
     brain = facade.Brain(spark, settings, registry=registry, folder=config.graph_path(a.graph, settings))

@@ -13,6 +13,7 @@ from ..functions.text import paragraphs, relation, wikilinks, without_front_matt
 from ..operators import metrics, stats
 from ..operators.ingest import archive_turns
 from ..schema import Graph, live, live_edges
+from . import readers
 
 MESSAGE = T.StructType([T.StructField(c, T.StringType()) for c in ("role", "content", "timestamp")])
 ARCHIVE = "uuid string, name string, updated_at string, created_at string, chat_messages array<struct<sender string, text string, created_at string, content array<struct<type string, text string>>>>"
@@ -92,20 +93,20 @@ def wikilink_edges(found: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def session_lines(spark: SparkSession, folder: str, seen: DataFrame | None = None) -> DataFrame:
-    """(path, line, role, content, timestamp) of JSON line files, from the line on that `seen` (path, lines) has for each; lines that are no objects are
-    dropped. A file is one row until its lines are numbered, so one that grows without end belongs to the stream of streaming.ingest.
+    """(path, at, role, content, timestamp) of JSON line files, behind the line that `seen` (path, at) has for each; lines that are no objects are
+    dropped, and a half-written last line waits until it is whole. Long files are read by many tasks.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    each = raw.select("path", F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    readers.register(spark)
+    each = spark.read.format("session_lines").load(folder)
     if seen is not None:
-        each = each.join(seen.toDF("_p", "_n"), F.col("path") == F.col("_p"), "left").where("_n is null or line >= _n").drop("_p", "_n")
-    return each.select("path", "line", F.from_json("value", MESSAGE).alias("m")).select("path", "line", "m.*").where("role is not null")
+        each = each.join(seen.toDF("_p", "_at"), F.col("path") == F.col("_p"), "left").where("_at is null or at > _at").drop("_p", "_at")
+    return each.select("path", "at", F.from_json("value", MESSAGE).alias("m")).select("path", "at", "m.*").where("role is not null")
 
 
 def session_state(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, lines): how many lines each file has, to be kept once what was read is stored."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return raw.select("path", F.size(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("lines"))
+    """(path, at): where each file's last whole line begins, to be kept once what was read is stored."""
+    readers.register(spark)
+    return spark.read.format("session_lines").load(folder).groupBy("path").agg(F.max("at").alias("at"))
 
 
 def chat_archive(spark: SparkSession, path: str, state: DataFrame | None = None) -> DataFrame:

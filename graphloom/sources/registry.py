@@ -6,14 +6,14 @@ A plug-in's state is saved only after its rows are in the graph, so a run that f
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable
+from collections.abc import Callable, MutableMapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.embed import Encoder, embed_missing
 from ..operators.ingest import ingested, relevant_turns, simple_archive
 from ..schema import Graph
-from ..shared import cut
+from ..shared import cut, file_system
 from . import files
 
 
@@ -25,11 +25,11 @@ class Source(ABC):
     @abstractmethod
     def found(self, spark: SparkSession, path: str, model_fn: Callable[[str], str] | None) -> DataFrame: ...
 
-    def state(self) -> dict:
-        """What has been read, as JSON values."""
-        return {}
+    def state(self) -> DataFrame | None:
+        """What has been read, as a table."""
+        return None
 
-    def restore(self, state: dict) -> None:
+    def restore(self, state: DataFrame | None) -> None:
         pass
 
     def after(self, graph: Graph, path: str) -> Graph:
@@ -43,19 +43,18 @@ class Notes(Source):
     name = "notes"
 
     def __init__(self, ignore: list[str] = ()):
-        self.ignore, self.seen, self.last = list(ignore), {}, {}
+        self.ignore, self.seen, self.last = list(ignore), None, None
 
     def found(self, spark, path, model_fn=None):
         every = files.notes(spark, path, self.ignore)
-        self.last = {r["path"]: r["mtime"].isoformat() for r in every.select("path", "mtime").collect()}  # paths, not texts
-        old = [(p,) for p, t in self.last.items() if self.seen.get(p) == t]
-        return files.note_paragraphs(every.join(spark.createDataFrame(old, "path string"), "path", "left_anti"))
+        self.last = cut(every.select("path", "mtime"))
+        return files.note_paragraphs(every if self.seen is None else every.join(self.seen, ["path", "mtime"], "left_anti"))
 
     def state(self):
-        return self.seen | self.last
+        return _newest(self.seen, self.last, "path")
 
     def restore(self, state):
-        self.seen = dict(state)
+        self.seen = state
 
 
 class Vault(Notes):
@@ -75,19 +74,20 @@ class Sessions(Source):
     name = "sessions"
 
     def __init__(self):
-        self.lines, self.last = {}, {}
+        self.seen, self.last = None, None
 
     def found(self, spark, path, model_fn=None):
-        seen = spark.createDataFrame(list(self.lines.items()), "path string, lines int")
-        self.last = {r["path"]: r["lines"] for r in files.session_state(spark, path).collect()}
-        rows = relevant_turns(files.session_lines(spark, path, seen), 100, "content")
+        self.last = cut(files.session_state(spark, path))
+        upto = self.last.toDF("_path", "_last")  # lines that are written from now on wait for the next run
+        lines = files.session_lines(spark, path, self.seen).join(upto, F.col("path") == F.col("_path")).where("at <= _last")
+        rows = relevant_turns(lines, 100, "content")
         return rows.selectExpr("concat(role, ': ', content) AS content", "'conversations' AS domain", "concat('extractor:session:', regexp_extract(path, '([^/]+)[.]jsonl$', 1)) AS source_file", "timestamp AS referent_time")
 
     def state(self):
-        return self.lines | self.last
+        return _newest(self.seen, self.last, "path")
 
     def restore(self, state):
-        self.lines = dict(state)
+        self.seen = state
 
 
 class Archive(Source):
@@ -96,25 +96,69 @@ class Archive(Source):
     name = "archive"
 
     def __init__(self):
-        self.updated, self.last = {}, {}
+        self.seen, self.last = None, None
 
     def found(self, spark, path, model_fn=None):
-        state = spark.createDataFrame(list(self.updated.items()), "uuid string, updated_at string")
-        stamps = spark.read.schema(files.ARCHIVE).option("multiLine", "true").json(path).select("uuid", "updated_at")
-        self.last = {r["uuid"]: r["updated_at"] for r in stamps.collect()}  # a stamp for each conversation
-        return simple_archive(files.chat_archive(spark, path, state)).selectExpr("content", "'conversations' AS domain", "concat('extractor:archive:', uuid) AS source_file")
+        stamps = spark.read.schema(files.ARCHIVE).option("multiLine", "true").json(path).where("uuid is not null")
+        self.last = cut(stamps.groupBy("uuid").agg(F.max("updated_at").alias("updated_at")))
+        return simple_archive(files.chat_archive(spark, path, self.seen)).selectExpr("content", "'conversations' AS domain", "concat('extractor:archive:', uuid) AS source_file")
 
     def state(self):
-        return self.updated | self.last
+        return _newest(self.seen, self.last, "uuid")
 
     def restore(self, state):
-        self.updated = dict(state)
+        self.seen = state
+
+
+def _newest(before: DataFrame | None, now: DataFrame | None, key: str) -> DataFrame | None:
+    """The state now, and what only the state before knows."""
+    if before is None or now is None:
+        return now if before is None else before
+    return now.unionByName(before.join(now.select(key), key, "left_anti").select(*now.columns))
+
+
+class StateFolder(MutableMapping):
+    """States kept in a folder: each a table of its own, in numbered versions of which the greatest whole one counts."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _versions(self, name: str) -> list[int]:
+        made, store = file_system(self.spark, f"{self.folder}/{name}")
+        found = [x.getPath().getName() for x in store.listStatus(made)] if store.exists(made) else []
+        whole = lambda v: store.exists(file_system(self.spark, f"{self.folder}/{name}/{v}/_SUCCESS")[0])
+        return sorted(int(v) for v in found if v.isdigit() and whole(v))
+
+    def __getitem__(self, name):
+        found = self._versions(name)
+        if not found:
+            raise KeyError(name)
+        return self.spark.read.parquet(f"{self.folder}/{name}/{found[-1]:08}")
+
+    def __setitem__(self, name, state):
+        found = self._versions(name)
+        state.write.mode("overwrite").parquet(f"{self.folder}/{name}/{(found[-1] if found else 0) + 1:08}")
+        for old in found[:-1]:
+            made, store = file_system(self.spark, f"{self.folder}/{name}/{old:08}")
+            store.delete(made, True)
+
+    def __delitem__(self, name):
+        made, store = file_system(self.spark, f"{self.folder}/{name}")
+        if not store.delete(made, True):
+            raise KeyError(name)
+
+    def __iter__(self):
+        made, store = file_system(self.spark, self.folder)
+        return iter(sorted(x.getPath().getName() for x in store.listStatus(made)) if store.exists(made) else [])
+
+    def __len__(self):
+        return len(list(iter(self)))
 
 
 class Registry:
-    """Sources by name; `states` is where their states are kept, a dictionary or anything that works like one."""
+    """Sources by name; `states` is where their states, tables, are kept: a dictionary, a StateFolder or anything that works like one."""
 
-    def __init__(self, states: dict[str, dict] | None = None):
+    def __init__(self, states: MutableMapping[str, DataFrame] | None = None):
         self.sources: dict[str, Source] = {}
         self.states = {} if states is None else states
 
@@ -124,7 +168,7 @@ class Registry:
         if not source.name or source.name in self.sources:
             raise ValueError(f"a source needs a name of its own: {source.name!r}")
         self.sources[source.name] = source
-        source.restore(self.states.get(source.name, {}))
+        source.restore(self.states.get(source.name))
 
     def unregister(self, name: str) -> None:
         del self.sources[name]
@@ -149,8 +193,9 @@ class Registry:
         except Exception as failed:
             return graph, {"created": 0, "errors": [str(failed)]}
         state = source.state()
-        source.restore(state)
-        self.states[name] = state
+        if state is not None:
+            self.states[name] = cut(state)
+            source.restore(self.states[name])
         return after, {"created": created, "errors": []}
 
     def run_all(self, graph: Graph, path: str, as_of, **about) -> tuple[Graph, dict]:

@@ -1,20 +1,65 @@
-"""Incremental ingestion as streams: sessions, exact-content deduplication, windowed metrics."""
+"""Incremental ingestion as streams: sessions that grow, conversations that change, exact-content deduplication, windowed metrics."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.text import content_id
 from ..operators.ingest import relevant_turns
-from ..sources.files import MESSAGE
+from ..sources import readers
+from ..sources.files import ARCHIVE, MESSAGE
 
 
 def session_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages of JSON line files as they arrive, by the rule of the batch source; the checkpoint remembers the files."""
-    raw = spark.readStream.text(folder).select(F.from_json("value", MESSAGE).alias("m")).select("m.*")
+    """Messages of JSON line files as they are written, by the rule of the batch source; the checkpoint has how much of each file was read, so
+    a line that is appended comes once, also after a restart.
+    """
+    readers.register(spark)
+    raw = spark.readStream.format("session_lines").load(folder).select("path", "at", F.from_json("value", MESSAGE).alias("m")).select("path", "at", "m.*")
     return relevant_turns(raw, text="content")
 
 
+class _Newest(StatefulProcessor):
+    """Keeps each key's newest stamp and lets the newest row through, if it is newer than that."""
+
+    def init(self, handle) -> None:
+        self.newest = handle.getValueState("newest", "updated_at string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best, before = None, self.newest.get()[0] if self.newest.exists() else None
+        for some in rows:
+            some = some.assign(_stamp=some["updated_at"].fillna("")).sort_values(["_stamp", "conversation"], kind="stable")
+            if len(some) and (best is None or tuple(some.iloc[-1][["_stamp", "conversation"]]) > tuple(best.iloc[0][["_stamp", "conversation"]])):
+                best = some.iloc[-1:]
+        if best is not None and (before is None or best.iloc[0]["_stamp"] > before):
+            self.newest.update((best.iloc[0]["_stamp"],))
+            yield best[["uuid", "updated_at", "conversation"]]
+
+    def close(self) -> None:
+        pass
+
+
+def changed_conversations(stream: DataFrame) -> DataFrame:
+    """Of a stream of (uuid, updated_at, conversation) the rows that are newer than all before of their uuid, each micro-batch's newest.
+
+    The stamps are keyed state in RocksDB, on the executors; stamps are compared as texts (ISO times). Rows that come late with an
+    older stamp, or again with the same one, are dropped; one without a stamp is older than any. Rows without a uuid are left out.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    some = stream.where("uuid is not null").select("uuid", "updated_at", "conversation")
+    return some.groupBy("uuid").transformWithStateInPandas(_Newest(), "uuid string, updated_at string, conversation string", "Append", "None")
+
+
+def archive_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """(uuid, updated_at, conversation) of archives that are put into a folder, one JSON array or one object a line to a file."""
+    raw = spark.readStream.schema(ARCHIVE).option("multiLine", "true").option("pathGlobFilter", "*.json").json(folder)
+    return raw.select("uuid", "updated_at", F.to_json(F.struct("*")).alias("conversation"))
+
+
 def ingest(stream: DataFrame, nodes_path: str, checkpoint: str, buckets: int = 256):
     """Appends contents that no node has, in folders by the first bits of their ids; a batch looks only into those that its own ids
     are in, and one that runs again adds nothing.
