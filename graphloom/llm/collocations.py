@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import cut, mix64, new_folder, parts as parts_of, strings
 
 LEAST, LONGEST, TOP, ABSORBED = 100, 5, 2000, 100
-SHARD = 1 << 22
+SHARD, SALTS = 1 << 22, 64
 _MARKS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
 
 
@@ -350,6 +350,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     inner = inner.select("lang", "a", "w", "size", F.explode(F.sequence(F.lit(1), F.col("k") - F.col("size") + 1)).alias("start"))
     inner = inner.select("lang", part(F.col("start"), F.col("size")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = lowest.join(inner, ["lang", "phrase"], "left").where(f"longer IS NULL OR 100 * longer < {int(absorbed)} * a")
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
+    order = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
+    # a language's first ones are among the first ones of each of SALTS shares of it, so the last task has a bounded number of rows
+    kept = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    order = Window.partitionBy("lang").orderBy(*order)
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
