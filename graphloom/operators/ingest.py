@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.clock import event_time
 from ..functions.text import content_id, stripped, token_estimate, without_tool_marks
 from ..schema import normalize_nodes
+from .ordered import running_total
 
 
 def relevant_turns(messages: DataFrame, least: int = 50, text: str = "text") -> DataFrame:
@@ -62,10 +63,10 @@ def new_edges(wanted: DataFrame, edges: DataFrame, weight: float = 0.8) -> DataF
     return fresh.select("parent_id", "child_id", F.lit(weight).alias("weight"), F.concat(F.lit("extracted_from - "), "reasoning").alias("reasoning"))
 
 
-def within_budget(rows: DataFrame, budget: int, rank: str = "rank") -> DataFrame:
-    """Rows in rank order up to the first that overflows the budget; rows are a ranked result, so few."""
-    total = F.sum("tokens").over(Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("tokens", token_estimate("content")).withColumn("total", total).where(F.col("total") <= budget)
+def within_budget(rows: DataFrame, budget: int, *rank: str) -> DataFrame:
+    """Rows in rank order up to the first that overflows the budget, with their tokens and the running total; any number of rows."""
+    counted = rows.withColumn("tokens", token_estimate("content").cast("long"))
+    return running_total(counted, "tokens", *(rank or ("rank",))).where(F.col("total") <= budget)
 
 
 def archive_turns(archive: DataFrame) -> DataFrame:

@@ -21,9 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import word_set
-from ..functions.vector import sound
+from ..functions.vector import cosine, sound
 from ..schema import Graph, live
 from ..shared import cut
+from .ordered import exact_quantiles, numbered
 
 BLOCK, ROWS = 4096, 512
 PAIRS = "a string, b string, sim double"
@@ -259,23 +260,34 @@ def jaccard_pairs(docs: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("sim")).where(F.col("sim") >= least)
 
 
-def calibration(emb: DataFrame, pairs: int = 40_000, queries: int = 2_000, seed: str = "0", dim: int | None = None) -> DataFrame:
-    """One row: quantiles of the cosines of about `pairs` pairs, those of as many nodes by the order of a seeded hash as have
-    that many pairs; quantiles of the largest cosine to another node, of at most `queries` nodes against all; and the
-    thresholds that follow. Both samples are parameters, so the driver and any one task see a bounded number of values.
+def drawn_pairs(numbered_rows: DataFrame, n: int, pairs: int, seed: str) -> DataFrame:
+    """(sim) of pairs of two different rows (k from 1 to n, vector): both ends are drawn from all rows by a hash of the pair's number."""
+    end = lambda side: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{side}:"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long") % n
+    some = numbered_rows.sparkSession.range(pairs).select("id", (end("a") + 1).alias("a"), (end("b") + 1).alias("b"))
+    some = some.withColumn("b", F.when(F.col("a") == F.col("b"), F.col("b") % n + 1).otherwise(F.col("b")))
+    one, two = (numbered_rows.select(F.col("k").alias(c), F.col("vector").alias(f"v{c}")) for c in "ab")
+    return some.join(one, "a").join(two, "b").select(cosine("va", "vb").alias("sim"))
+
+
+def calibration(emb: DataFrame, pairs: int | None = 40_000, queries: int | None = None, seed: str = "0", dim: int | None = None) -> DataFrame:
+    """One row: exact quantiles of the cosines of `pairs` pairs drawn from all nodes (of all pairs if there are no more, or with None) and of the largest cosine of
+    each node to another (of the first `queries` nodes by a seeded hash, if that is given); and the thresholds that follow.
+    Without two sound vectors the quantiles are null.
     """
-    emb = sound(emb, dim).select("node_id", "vector")
     order = [F.md5(F.concat(F.lit(seed), "node_id")), F.col("node_id")]
-    some = cut(emb.orderBy(*order).limit(math.isqrt(2 * pairs) + 1))
-    asked = cut(emb.orderBy(*order).limit(queries))
-    q = lambda *at: F.percentile("sim", F.array(*map(F.lit, at)))
-    unrelated = cosine_pairs(some, -2.0, dim=dim).agg(F.count("*").alias("pairs"), F.round(F.avg("sim"), 3).alias("mean"), q(0.5, 0.95, 0.99).alias("q"))
-    nearest = best_at_least(asked, emb, -1.5, dim, True).agg(q(0.25, 0.5, 0.9, 0.99).alias("nn"))
-    r3 = lambda c, i: F.round(F.col(c)[i], 3)
-    row = unrelated.join(nearest).select(  # two single rows
-        "pairs", "mean", r3("q", 0).alias("p50"), r3("q", 1).alias("p95"), r3("q", 2).alias("p99"),
-        r3("nn", 0).alias("nn_p25"), r3("nn", 1).alias("nn_p50"), r3("nn", 2).alias("nn_p90"), r3("nn", 3).alias("nn_p99"),
-    )
+    rows = cut(numbered(sound(emb, dim).select("node_id", "vector"), *order))
+    n = rows.count()
+    asked = rows if queries is None else rows.where(F.col("k") <= queries)
+    if n < 2:
+        unrelated = rows.select(F.lit(None).cast("double").alias("sim")).limit(0)
+    else:
+        unrelated = cosine_pairs(rows, -2.0, dim=dim).select("sim") if pairs is None or n * (n - 1) // 2 <= pairs else drawn_pairs(rows, n, pairs, seed)
+    unrelated = cut(unrelated)
+    nearest = cut(best_at_least(asked, rows, -1.5, dim, True).select("sim"))
+    about = unrelated.agg(F.count("*").alias("pairs"), F.round(F.avg("sim"), 3).alias("mean"))
+    told = dict(zip(("p50", "p95", "p99"), exact_quantiles(unrelated, "sim", [0.5, 0.95, 0.99]), strict=True))
+    told |= dict(zip(("nn_p25", "nn_p50", "nn_p90", "nn_p99"), exact_quantiles(nearest, "sim", [0.25, 0.5, 0.9, 0.99]), strict=True))
+    row = about.select("pairs", "mean", *[F.round(F.lit(x).cast("double"), 3).alias(c) for c, x in told.items()])
     cross = F.greatest(F.round(F.col("p99") + 0.03, 2), F.round(F.col("p95") + 0.05, 2))
     row = row.withColumn("cross_link", cross).withColumn("dedup", F.round(F.col("cross_link") + 0.04, 2))
     return row.withColumn("novelty", F.round(F.greatest(F.col("dedup") + 0.01, F.col("nn_p50") + 0.03), 2))

@@ -492,8 +492,9 @@ def word_classes(g):
 
 
 @query(""", o AS (SELECT node_id, vector, row_number() OVER (ORDER BY md5('0' || node_id), node_id) AS k FROM emb),
- s AS (SELECT list_cosine_similarity(a.vector, b.vector) AS sim FROM o a JOIN o b ON a.node_id < b.node_id WHERE a.k <= 283 AND b.k <= 283),
- n AS (SELECT a.node_id, max(list_cosine_similarity(a.vector, b.vector)) AS sim FROM o a JOIN o b ON a.node_id <> b.node_id WHERE a.k <= 2000 GROUP BY 1),
+ ends AS (SELECT CAST('0x' || substr(md5('0:a:' || i), 1, 15) AS BIGINT) % (SELECT count(*) FROM o) + 1 AS a, CAST('0x' || substr(md5('0:b:' || i), 1, 15) AS BIGINT) % (SELECT count(*) FROM o) + 1 AS b FROM range(40000) t(i)),
+ s AS (SELECT list_cosine_similarity(x.vector, y.vector) AS sim FROM (SELECT a, CASE WHEN a = b THEN b % (SELECT count(*) FROM o) + 1 ELSE b END AS b FROM ends) e JOIN o x ON x.k = e.a JOIN o y ON y.k = e.b),
+ n AS (SELECT a.node_id, max(list_cosine_similarity(a.vector, b.vector)) AS sim FROM o a JOIN o b ON a.node_id <> b.node_id GROUP BY 1),
  r AS (SELECT *, greatest(round(p99 + 0.03, 2), round(p95 + 0.05, 2)) AS cross_link FROM
   (SELECT count(*) AS pairs, round(avg(sim), 3) AS mean, round(quantile_cont(sim, 0.5), 3) AS p50, round(quantile_cont(sim, 0.95), 3) AS p95, round(quantile_cont(sim, 0.99), 3) AS p99 FROM s),
   (SELECT round(quantile_cont(sim, 0.25), 3) AS nn_p25, round(quantile_cont(sim, 0.5), 3) AS nn_p50, round(quantile_cont(sim, 0.9), 3) AS nn_p90, round(quantile_cont(sim, 0.99), 3) AS nn_p99 FROM n))
@@ -740,6 +741,12 @@ def ingest_dedup(spark, sf_dir):
     return ingest.new_nodes(n.where(odd == 1).select("content"), n.where(odd == 0))
 
 
+@query("""SELECT id, length(content) // 3 AS tokens, CAST(sum(length(content) // 3) OVER (ORDER BY ts, id) AS BIGINT) AS total FROM live QUALIFY total <= 60000""")
+def token_budget_oldest(g):
+    """The oldest nodes that fit a budget, out of all nodes: no rank is cut off before."""
+    return ingest.within_budget(live(g.nodes), 60_000, "ts", "id").select("id", "tokens", "total")
+
+
 @query("""SELECT id, tokens, total FROM (SELECT id, length(content) // 3 AS tokens, CAST(sum(length(content) // 3) OVER (ORDER BY rank) AS BIGINT) AS total FROM
  (SELECT id, content, row_number() OVER (ORDER BY ts DESC, id) AS rank FROM live QUALIFY rank <= 50)) WHERE total <= 2000""")
 def token_budget_prefix(g):
