@@ -38,18 +38,24 @@ def cascade(graph: Graph, dead: DataFrame, as_of, days: int = 30) -> DataFrame:
     may = live(graph.nodes).where(_spared() & (F.col("access_count") == 0) & (age_days("ts", as_of) >= days)).select("id")
     may = cut(may.join(dead.select("id"), "id", "left_anti"))
     gone = cut(graph.nodes.where(~is_live()).select("id").union(dead.select("id")).distinct())
-    alive = cut(graph.nodes.select("id").join(gone, "id", "left_anti"))
-    new, out, n = dead.select("id"), None, 0
+    known = graph.nodes.select("id", F.lit(True).alias("there"))
+    # the edges that matter: into what may decay. Those from parents that are alive hold it until the parent goes
+    into = graph.edges.join(may.withColumnRenamed("id", "child_id"), "child_id", "left_semi").select("parent_id", "child_id").distinct()
+    into = into.join(known, F.col("parent_id") == F.col("id"), "left").drop("id").join(gone.withColumn("gone", F.lit(True)), F.col("parent_id") == F.col("id"), "left").drop("id")
+    into = cut(into.select("parent_id", "child_id", (F.coalesce("there", F.lit(False)) & F.col("gone").isNull()).alias("holds")))
+    new, died, out, n = dead.select("id").distinct(), None, None, 0
     while True:
         n += 1
-        touched_now = graph.edges.join(new, F.col("parent_id") == F.col("id"), "left_semi").select(F.col("child_id").alias("id")).distinct().join(may, "id", "left_semi")
-        held = graph.edges.join(touched_now, F.col("child_id") == F.col("id"), "left_semi").join(alive, F.col("parent_id") == F.col("id"), "left_semi").select(F.col("child_id").alias("id"))
-        new = cut(touched_now.join(held, "id", "left_anti").join(alive, "id", "left_semi"))
+        touched_now = into.join(new, F.col("parent_id") == F.col("id"), "left_semi").select("child_id").distinct()
+        held = into.where("holds").join(touched_now, "child_id", "left_semi")
+        if died is not None:
+            touched_now = touched_now.join(died, F.col("child_id") == F.col("id"), "left_anti")
+            held = held.join(died, F.col("parent_id") == F.col("id"), "left_anti")
+        new = cut(touched_now.join(held, "child_id", "left_anti").select(F.col("child_id").alias("id")))
         if not new.take(1):
             return out if out is not None else new.withColumn("round", F.lit(0))
         named = new.withColumn("round", F.lit(n))
-        out = named if out is None else out.unionByName(named)
-        alive = cut(alive.join(new, "id", "left_anti"))
+        out, died = (named, new) if out is None else (out.unionByName(named), died.unionByName(new))
 
 
 def decayed(graph: Graph, ids: DataFrame) -> Graph:

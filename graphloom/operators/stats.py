@@ -99,6 +99,23 @@ def embedding_stats(graph: Graph) -> DataFrame:
     return graph.emb.groupBy("model").agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("dim_low"), F.max(F.size("vector")).alias("dim_high"))
 
 
+def embedding_overview(graph: Graph) -> DataFrame:
+    """One row: nodes (live, with text), how many of them have a vector, how many lack one, the share in per cent and the last update, if vectors have a time."""
+    own = live(graph.nodes).where("content is not null and trim(content) <> ''").select("id")
+    time = F.max("updated_at") if "updated_at" in graph.emb.columns else F.max(F.lit(None).cast("timestamp"))
+    have = graph.emb.join(own, F.col("node_id") == F.col("id"), "left_semi").agg(F.count("*").alias("embedded"), time.alias("last_updated"))
+    n = F.greatest(F.col("nodes"), F.lit(1))
+    both = own.agg(F.count("*").alias("nodes")).join(have)  # two single rows
+    return both.select("nodes", "embedded", (F.col("nodes") - F.col("embedded")).alias("missing"), F.round(F.col("embedded") * 100 / n, 4).alias("coverage_percent"), "last_updated")
+
+
+def degrees_without(edges: DataFrame) -> DataFrame:
+    """(parent_id, child_id, rest): for each edge how many other edges its child has at either end, as if the edge were gone; 0 would be an orphan."""
+    ends = edges.select(F.explode(F.array_distinct(F.array("parent_id", "child_id"))).alias("child_id")).groupBy("child_id").agg(F.count("*").alias("n"))
+    same = edges.groupBy("parent_id", "child_id").agg(F.count("*").alias("own"))
+    return same.join(ends, "child_id").select("parent_id", "child_id", (F.col("n") - F.col("own")).alias("rest"))
+
+
 def degrees(graph: Graph) -> DataFrame:
     """out_degree and in_degree of every node."""
     out = graph.edges.groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("out_degree"))

@@ -834,3 +834,6 @@ def archive_turns(spark, sf_dir):
 def how_path(g):
     """A path that the edges c -> c div 3 fix: d0, d1, d3, d9."""
     return walk.how(g.with_(edges=g.edges.where("child_id in ('d1', 'd3', 'd9')").unionByName(g.nodes.sparkSession.createDataFrame([("d0", "d1")], "parent_id string, child_id string"), allowMissingColumns=True)), "d0", "d9").select("distance", "id", "node_type")
+
+
+from . import state_queries  # noqa: E402, F401  the rest of the catalogue

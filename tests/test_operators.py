@@ -260,3 +260,18 @@ def test_cosine_pairs_meet_once(spark, block):
     sims = {(a, b): sum(x * y for x, y in zip(v, w, strict=True)) / size(v) / size(w) for a, v in vectors for b, w in vectors if a < b}
     want = sorted((a, b, round(s, 6)) for (a, b), s in sims.items() if 0.2 <= s < 0.9)
     assert sorted((x.a, x.b, round(x.sim, 6)) for x in similarity.cosine_pairs(emb, 0.2, 0.9, block=block).collect()) == want
+
+
+def test_metadata_of_a_cluster_is_merged_with_the_keeper_last(spark):
+    rows = [("c", "a", "b", '{"x": 1, "y": {"z": [1, "q"]}, "a\\"b": null}'), ("c", "b", "b", '{"x": "own", "n": true}'), ("c", "d", "b", '{"y": 2, "n": false}'), ("c", "e", "b", "no json"), ("c", "f", "b", "[1]"), ("d", "g", "g", None)]
+    got = {r["cluster"]: json.loads(r["metadata"]) for r in consolidate.merged_metadata(spark.createDataFrame(rows, "cluster string, id string, keeper string, metadata string")).collect()}
+    assert got == {"c": {"x": "own", "y": 2, "n": True, 'a"b': None}, "d": {}}
+
+
+def test_moods_and_edges_that_are_left_out(spark):
+    g = graph(spark, [{"id": i, "content": i} for i in "abc"], [("a", "b", 1.0), ("b", "b", 1.0), ("c", "b", 1.0), ("b", "a", 1.0)])
+    g = g.with_(nodes=g.nodes.withColumn("mood_state", F.when(F.col("id") != "c", "calm")))
+    clusters = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", "c")], "cluster string, id string")
+    assert consolidate.cluster_properties(g, clusters).first()["mood_state"] == "calm"
+    assert ids(stats.degrees_without(g.edges), "parent_id", "child_id", "rest") == [("a", "b", 3), ("b", "a", 1), ("b", "b", 3), ("c", "b", 3)]
+    assert stats.embedding_overview(g).first()["coverage_percent"] == 0.0
