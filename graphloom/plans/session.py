@@ -11,13 +11,15 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..config import Knobs
 from ..functions.clock import event_time
 from ..functions.text import content_id, domain_of_text, extracted, merged_tags, normal_tags, statement_kind, statement_lines, stripped, typed_statement
 from ..operators.embed import Encoder, encoded
+from ..operators import metrics
 from ..operators.ingest import new_edges
+from ..operators.observed import counted_cut
 from ..operators.search import diverse, novelty, similar_links
 from ..operators.similarity import tension_pairs
 from ..operators.stats import endpoints
@@ -255,21 +257,54 @@ def ingest_answer(graph: Graph, answer: str, as_of, user: str = "user", assistan
     return graph, [r["id"] for r in new.select("id").orderBy("id").collect()]
 
 
-def told_by_model(rows: DataFrame, model_fn: Model, kinds: tuple[str, ...], least: int = 20, default: str = "observation", classifier: Callable[[Column], Column] | None = statement_kind) -> DataFrame:
+def told_by_model(rows: DataFrame, model_fn: Model, kinds: tuple[str, ...], least: int = 20, default: str = "observation", classifier: Callable[[Column], Column] | None = statement_kind, usage: Observation | None = None) -> DataFrame:
     """(source_file, domain, referent_time, content, node_type): a model's statements about each source (source_file, domain, text,
-    referent_time), asked where the rows are. `[type] text` names its type; another line is classified.
+    referent_time), asked where the rows are. `[type] text` names its type; another line is classified. `usage` gets calls, input_tokens and
+    output_tokens out of the job that the first action on the result runs.
     """
 
     def each(parts):
         for p in parts:
-            yield p.assign(answer=[model_fn(f"Extract distinct statements worth remembering, one a line, each as [type] text:\n{t}") for t in p["text"]]).drop(columns="text")
+            prompts = [f"Extract distinct statements worth remembering, one a line, each as [type] text:\n{t}" for t in p["text"]]
+            yield p.assign(asked=[len(x) // 4 for x in prompts], answer=[model_fn(x) for x in prompts]).drop(columns="text")
 
-    asked = rows.select("source_file", "domain", F.col("referent_time").cast("string").alias("referent_time"), "text").mapInPandas(each, "source_file string, domain string, referent_time string, answer string")
+    asked = rows.select("source_file", "domain", F.col("referent_time").cast("string").alias("referent_time"), "text").mapInPandas(each, "source_file string, domain string, referent_time string, asked long, answer string")
+    if usage is not None:
+        told = F.sum(F.coalesce(F.length("answer"), F.lit(0)).cast("long").bitwiseAND(F.lit(-4)) / 4).cast("long")
+        asked = asked.observe(usage, F.count(F.lit(1)).alias("calls"), F.sum("asked").alias("input_tokens"), told.alias("output_tokens"))
     lines = asked.select("source_file", "domain", "referent_time", F.explode(statement_lines("answer")).alias("line"))
     kind, content = typed_statement("line", kinds, classifier, default)
     return lines.select("source_file", "domain", "referent_time", content.alias("content"), kind.alias("node_type")).where(F.length("content") > least)
 
 
+def usage_row(spark, path: str, operation: str, duration_ms: float, as_of, usage: dict) -> None:
+    """Appends a row of token use to the recorded metrics, as `token_usage:<operation>`."""
+    metrics.record(spark, path, f"token_usage:{operation}", duration_ms, as_of, **{k: int(usage.get(k) or 0) for k in ("calls", "input_tokens", "output_tokens")})
+
+
+def migrated_by_model(graph: Graph, files: DataFrame, model_fn: Model, as_of, kinds: tuple[str, ...] = ("fact", "observation", "insight", "decision", "commitment", "belief"), encoder: Encoder | None = None, model: str = "hashing", novelty_at: float = 0.82, user: str = "user", assistant: str = "ai") -> tuple[Graph, dict]:
+    """The model path of migrated(): its statements about each file that no node is from; with an encoder, those that a live node is at
+    least as similar to as `novelty_at` are left out. Returns the state and a report: nodes, dropped as known, and the model's use.
+    """
+    usage = Observation()
+    source = F.concat(F.lit("migration:"), "path")
+    fresh = files.where(F.length("text") >= 100).withColumn("source_file", source).join(graph.nodes.select("source_file").distinct(), "source_file", "left_anti")
+    told = told_by_model(fresh.select("source_file", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("referent_time"), "text"), model_fn, kinds, usage=usage)
+    told = cut(told.withColumn("id", content_id("content")))
+    rows = told.groupBy("id").agg(F.min(F.struct("source_file", "content", "node_type")).alias("f")).select("id", "f.*").withColumn("domain", domain_of_text(F.col("content"), user, assistant))
+    rows, seen = counted_cut(rows.join(graph.nodes.select("id"), "id", "left_anti"))
+    if encoder:
+        vectors = cut(encoded(rows, encoder, model)).select(F.col("node_id").alias("cand_id"), "vector")
+        rows = rows.join(novelty(graph, vectors, novelty_at).where("is_novel").select(F.col("cand_id").alias("id")), "id", "left_semi")
+    now = F.lit(as_of).cast("timestamp")
+    made = rows.withColumns({"ts": now, "access_count": F.lit(0), "decayed": F.lit(0), "permanent": F.lit(0), "metadata": F.lit("{}")})
+    graph, new = _added(graph, normalize_nodes(made))
+    new, kept = counted_cut(new)
+    if encoder:
+        graph, _ = _embedded(graph, new, encoder, model)
+    return graph, {"nodes": kept["n"], "known": seen["n"] - kept["n"], **{k: int(v or 0) for k, v in usage.get.items()}}
+
+
 def migrated(graph: Graph, files: DataFrame, as_of, user: str = "user", assistant: str = "ai", most: int = 20, least: int = 50, length: int = 500) -> tuple[Graph, int]:
     """Takes in files (path, text) that no node is from, of 100 characters or more: their first paragraphs over `least` characters
     without fences, rules and tables, white space collapsed and cut to `length`. Returns the state and how many nodes are new.

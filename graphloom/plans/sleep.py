@@ -11,6 +11,7 @@ from ..functions.text import content_id
 from ..operators import consolidate as c, lifecycle as life
 from ..operators.audit import kept, rows
 from ..operators.embed import Encoder, encoded, unembedded
+from ..operators.observed import counted_cut
 from ..operators.similarity import cosine_pairs, jaccard_pairs, word_classes
 from ..schema import Graph, live
 from ..shared import cut
@@ -30,26 +31,31 @@ def cycle(
     `audit` is the log given, within its retention, with a row for each node that a merge or the collection flagged. `limit`: only
     the oldest nodes are linked and merged.
     """
-    vectors = cut(c.oldest_vectors(graph, limit))
-    report = {"nodes_selected": vectors.count()}
-    links = cut(c.new_links(graph, profile, cross_source_only, most_links, vectors))
-    report["links"] = links.count()
+    report: dict = {}
+
+    def kept_and_counted(rows: DataFrame, name: str, count=F.count(F.lit(1))) -> DataFrame:
+        """The rows, written; their number goes to the report out of the job that writes them."""
+        rows, seen = counted_cut(rows, n=count)
+        report[name] = seen["n"]
+        return rows
+
+    vectors = kept_and_counted(c.oldest_vectors(graph, limit), "nodes_selected")
+    links = kept_and_counted(c.new_links(graph, profile, cross_source_only, most_links, vectors), "links")
     graph = _settled(c.linked(graph, links))
     pairs = cut(cosine_pairs(vectors, profile.dedup, dim=profile.dim))
-    clusters = cut(c.cliques(pairs))
-    report["clusters"] = clusters.select("cluster").distinct().count()
+    clusters = kept_and_counted(c.cliques(pairs), "clusters", F.count_if(F.col("cluster") == F.col("id")))  # a cluster is named by one of its ids
     graph, losers = c.merged(graph, c.keepers(graph, clusters))
-    report["merged"] = losers.count()
+    losers = kept_and_counted(losers, "merged")
     log = cut(rows(graph, losers.withColumn("reason", F.lit("dedup_merge")), as_of))
     graph = _settled(graph)
     core = cut(life.core_memory(graph))
-    gone = cut(life.gc_candidates(graph, as_of, knobs.gc_threshold, knobs.grace_days, knobs.think_penalty, probes))
-    report["collected"] = 0 if gc_mode == "off" else gone.count()
-    if gc_mode != "off":
+    gone = kept_and_counted(life.gc_candidates(graph, as_of, knobs.gc_threshold, knobs.grace_days, knobs.think_penalty, probes), "collected")
+    if gc_mode == "off":
+        report["collected"] = 0
+    else:
         log = cut(log.unionByName(rows(graph, gone.select("id", F.lit("gc_fitness").alias("reason")), as_of)))
     graph = _settled(life.collected(graph, gone, gc_mode))
-    up = cut(life.promotion_candidates(graph, knobs.promote_at))
-    report["permanent"] = up.count()
+    up = kept_and_counted(life.promotion_candidates(graph, knobs.promote_at), "permanent")
     marked = graph.nodes.join(up.select(F.col("id").alias("up")), F.col("id") == F.col("up"), "left")
     graph = graph.with_(nodes=marked.withColumn("permanent", F.when(F.col("up").isNotNull(), 1).otherwise(F.col("permanent"))).select(*graph.nodes.columns))
     core = core.join(gone.select("id"), "id", "left_anti") if gc_mode != "off" else core
@@ -57,8 +63,7 @@ def cycle(
     graph = _settled(graph.with_(nodes=life.with_core_memories(graph.nodes, core)))
     graph, report["dream"] = dream(graph, links, as_of, model_fn)
     if encoder:
-        new = cut(encoded(unembedded(graph), encoder, model))
-        report["embedded"] = new.count()
+        new = kept_and_counted(encoded(unembedded(graph), encoder, model), "embedded")
         graph = graph.with_(emb=graph.emb.select("node_id", "vector", "model").unionByName(new))
     report["audit"] = log if audit is None else cut(kept(audit, F.lit(as_of)).unionByName(log, allowMissingColumns=True))
     return graph, report

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx, store
 from .functions import clock, text as tx
-from .operators import consolidate, ingest, lifecycle, recover, similarity, stats, vector_index, walk
+from .operators import consolidate, ingest, lifecycle, lsh, recover, similarity, stats, vector_index, walk
 from .plans import sleep
 from .queries import _AS, _SIMS, P, _cascade_sql, _queries, query
 from .schema import normalize_nodes
@@ -102,6 +102,12 @@ def dream_pair(g):
     return consolidate.dream_pair(g, consolidate.new_links(g, P)).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
+@query()
+def lsh_pairs(g):
+    """dedup_pairs by random hyperplanes; a test has its recall."""
+    return lsh.lsh_pairs(similarity.live_vectors(g), P.dedup, dim=P.dim).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
 @query("SELECT id AS node_id FROM live JOIN emb ON node_id = id ORDER BY ts, id LIMIT 100")
 def oldest_vectors(g):
     return consolidate.oldest_vectors(g, 100).select("node_id")
