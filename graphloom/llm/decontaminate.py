@@ -9,7 +9,7 @@ are mapped to word ranges, and these to offsets of the original text.
 A word of an item takes about 2 KB of automaton, so an automaton is built from at most BLOCK words and BLOCK_BYTES bytes.
 The benchmark's size is looked at first: up to that bound, which real test sets of any usual size keep, its items come to
 the driver and are broadcast, a worker process builds the automaton once, and no shuffle precedes. A larger benchmark is cut into pieces that overlap by WINDOW - 1
-words and dealt over blocks by hash; each block is a scan of its own over all texts, builds its automaton once in a
+words, of which equal ones are one, and dealt over blocks by running size; each block is a scan of its own over all texts, builds its automaton once in a
 process and writes what it hits, by text hash; the hits are joined with the texts at the end. Both ways find the same.
 
 Defined results: null has no words; a text without words has no hits; an item without words has no window; items
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..operators.ordered import running_total
 from .common import cut, free_name, new_folder, strings
 
 WINDOW, SHARE = 13, 20
@@ -214,7 +215,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, block_byte
     if blocks == 1:
         out = docs.mapInArrow(_scanned(sent(pieces), added), schema)
     else:
-        out = _by_blocks(docs, pieces, 2 * blocks, sent).mapInArrow(_joined(added, len(docs.columns), *_spare(docs)[2:]), schema)
+        out = _by_blocks(docs, pieces, block, block_bytes, sent).mapInArrow(_joined(added, len(docs.columns), *_spare(docs)[2:]), schema)
     hit, words = F.col(names["n_hit"]), F.col(names["n_words"])
     return out.withColumn(names["contaminated"], (hit > 0) & (SHARE * hit >= words)), names
 
@@ -223,21 +224,31 @@ def _spare(docs: DataFrame) -> list[str]:
     return [free_name(n, docs.columns) for n in ("text_key", "text_key_2", "found_spans", "found_items")]
 
 
-def _by_blocks(docs: DataFrame, pieces: DataFrame, blocks: int, sent) -> DataFrame:
-    """The rows with the word ranges and items that all blocks found. `blocks` is twice what fits exactly, so that hashing
-    leaves no block over its size.
+def _by_blocks(docs: DataFrame, pieces: DataFrame, block: int, block_bytes: int, sent) -> DataFrame:
+    """The rows with the word ranges and items that all blocks found.
+
+    Equal pieces of any number of items are one class, which is sent once; the items come back by a join. Blocks are filled in the order of the
+    classes' hashes by their running size, so each has at most its words and bytes, and one piece more.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     k1, k2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
-    dealt = cut(pieces.withColumn("block", F.pmod(F.xxhash64("piece"), F.lit(blocks))))
+    named = pieces.withColumn("class", F.sha2("piece", 256))
+    members = cut(named.select("class", "item").distinct())
+    share = F.ceil((F.col("n") / block + F.octet_length("piece") / block_bytes) * 1_000_000).cast("long")
+    classes = named.groupBy("class").agg(F.first("piece").alias("piece"), F.first("n").alias("n"))
+    dealt = running_total(classes.withColumn("share", share), "share", "class")
+    dealt = cut(dealt.select(F.col("class").alias("item"), "piece", F.floor((F.col("total") - F.col("share")) / 1_000_000).cast("long").alias("block")))
     folder = new_folder(spark, "benchmark-hits")
-    for k in range(blocks):
+    for k in range(dealt.agg(F.max("block")).first()[0] + 1):
         some = sent(dealt.where(F.col("block") == k))
         rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
         rows.mapInArrow(_hits(some), "k1 long, k2 long, spans array<long>, items array<string>").dropDuplicates(["k1", "k2"]).write.mode("append").parquet(folder)
         some.destroy()
-    every = spark.read.parquet(folder).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i"))
+    found = spark.read.parquet(folder)
+    spans_of = found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("s"))
+    items_of = found.select("k1", "k2", F.explode("items").alias("class")).join(members, "class").groupBy("k1", "k2").agg(F.collect_set("item").alias("i"))
+    every = spans_of.join(items_of, ["k1", "k2"]).select("k1", "k2", "s", "i")
     a, b, spans, items = _spare(docs)
     return docs.withColumns({a: k1, b: k2}).join(cut(every).toDF(a, b, spans, items), [a, b], "left").select(*[F.col(f"`{c}`") for c in docs.columns], spans, items)
 

@@ -1,7 +1,7 @@
 """Token counts of flat token files by a separator scan.
 
-A file is nothing but token identifiers (16 bits, little-endian); a document ends with the end-of-document
-identifier. Files are read in blocks of BLOCK bytes, each its own row for the executors, made from the files' sizes there. In a block, one vectorised
+A file is nothing but token identifiers (little-endian, of 16 bits if the vocabulary has no larger one, else of 32); a document
+ends with the end-of-document identifier, the vocabulary's own. Files are read in blocks of BLOCK bytes, each its own row for the executors, made from the files' sizes there. In a block, one vectorised
 comparison finds all separators; documents between two of them are counted at once. What a block has before its
 first and after its last separator is stitched by a prefix scan over the blocks of a file: separators before a
 block give its documents their numbers, and the tokens since the last separator are added to the first one.
@@ -13,6 +13,7 @@ ignored; repeated rows are documents of their own. A document that the scan does
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -24,7 +25,25 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .bpe import codec
 from .common import cut, dealt_evenly, files_of, make_folder, new_folder, opened, remove, slices, strings
 
-EOD, BLOCK = 50256, 4 << 20
+EOD, BLOCK = 50256, 4 << 20  # the end of the vocabulary that the tests use
+#: Names of end-of-document tokens.
+ENDS = ("<|endoftext|>", "<|end_of_text|>", "</s>", "<eos>", "[SEP]")
+
+
+def separator(tokenizer: str) -> tuple[int, int]:
+    """The end-of-document identifier of a tokenizer file, and how many bytes its identifiers need: 2 or 4. An error if it names no end."""
+    with open(tokenizer, encoding="utf-8") as f:
+        told = json.load(f)
+    vocab = told["model"]["vocab"]
+    ids = dict(vocab) if isinstance(vocab, dict) else {x[0]: i for i, x in enumerate(vocab)}
+    ids |= {t["content"]: t["id"] for t in told.get("added_tokens", [])}
+    ends = [ids[name] for name in ENDS if name in ids]
+    if not ends:
+        raise ValueError(f"{tokenizer} names no end-of-document token")
+    largest = max(ids.values())
+    if largest >= 1 << 32:
+        raise ValueError(f"identifiers up to {largest} don't fit 32 bits")
+    return ends[0], 2 if largest < 1 << 16 else 4
 
 
 def settle(store: fs.FileSystem, draft: str, final: str) -> None:
@@ -35,11 +54,14 @@ def settle(store: fs.FileSystem, draft: str, final: str) -> None:
         store.delete_file(draft)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, eod: int = EOD) -> tuple[DataFrame, DataFrame]:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, eod: int | None = None, width: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Each task writes one flat file. Returns (file, ordinal, doc_id) of every document and (file, path, bytes) of every file.
 
-    A file gets its name only when it is whole, and a task that runs again writes the same bytes to the same name.
+    A file gets its name only when it is whole, and a task that runs again writes the same bytes to the same name. An identifier that
+    the width can't hold is an error.
     """
+    own_end, own_width = separator(tokenizer)
+    eod, width = own_end if eod is None else eod, own_width if width is None else width
 
     def each(batches):
         own, task = codec(tokenizer), TaskContext.get()
@@ -59,7 +81,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, eod: int = EOD) -
                 texts = strings(batch.column("text"))
                 for a, b in slices([len(t) for t in texts], 1 << 20):
                     ids = own.encode(texts[a:b], special=False)
-                    data = np.frombuffer(end.join([*ids, b""]), "<u4").astype("<u2").tobytes()
+                    whole = np.frombuffer(end.join([*ids, b""]), "<u4")
+                    if width == 2 and len(whole) and whole.max() >= 1 << 16:
+                        raise ValueError(f"identifier {whole.max()} doesn't fit 16 bits")
+                    data = whole.astype(f"<u{width}").tobytes()
                     out.write(data)
                     size += len(data)
                     yield told(np.arange(n, n + b - a), batch.column("doc_id")[a:b], pa.nulls(b - a, pa.int64()))
@@ -87,7 +112,7 @@ def blocks(files: DataFrame, size: int = BLOCK) -> DataFrame:
     return dealt_evenly(each.select("path", "file", "block", at.alias("at"), F.least(F.lit(size).cast("long"), F.col("bytes") - at).alias("bytes")), total)
 
 
-def _scan(eod: int):
+def _scan(eod: int, width: int):
     """kind 0: document inside a block; 1: first to end in a block; 2: the block's separators (k) and last tokens (n)."""
 
     def each(batches):
@@ -96,7 +121,7 @@ def _scan(eod: int):
                 store, path = opened(r["path"])
                 with store.open_input_file(path) as f:
                     f.seek(r["at"])
-                    tokens = np.frombuffer(f.read(r["bytes"]), "<u2")
+                    tokens = np.frombuffer(f.read(r["bytes"]), f"<u{width}")
                 ends = np.nonzero(tokens == eod)[0]
                 sizes = np.diff(ends, prepend=-1) - 1
                 tail = len(tokens) - (int(ends[-1]) + 1 if len(ends) else 0)
@@ -110,9 +135,9 @@ def _scan(eod: int):
     return each
 
 
-def count_tokens(files: DataFrame, eod: int = EOD, size: int = BLOCK) -> DataFrame:
-    """(file, ordinal, n_tokens, ended) of every document of token files (file, path, bytes)."""
-    found = blocks(files, size).mapInArrow(_scan(eod), "file long, block long, kind int, k long, n long")
+def count_tokens(files: DataFrame, eod: int = EOD, size: int = BLOCK, width: int = 2) -> DataFrame:
+    """(file, ordinal, n_tokens, ended) of every document of token files (file, path, bytes) with identifiers of `width` bytes."""
+    found = blocks(files, max(width, size - size % width)).mapInArrow(_scan(eod, width), "file long, block long, kind int, k long, n long")
     found = cut(found)
     line = Window.partitionBy("file").orderBy("block")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
@@ -132,8 +157,9 @@ def documents_token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     folder = make_folder(spark, new_folder(spark, "tokens"))
     try:
-        names, files = write_tokens(docs, folder, tokenizer)
-        counts = cut(count_tokens(files))
+        eod, width = separator(tokenizer)
+        names, files = write_tokens(docs, folder, tokenizer, eod, width)
+        counts = cut(count_tokens(files, eod, width=width))
     finally:
         remove(spark, folder)
     lost = F.raise_error(F.concat(F.lit("no tokens found of document "), F.col("ordinal"), F.lit(" of file "), F.col("file"))).cast("long")
