@@ -64,9 +64,14 @@ def new_edges(wanted: DataFrame, edges: DataFrame, weight: float = 0.8) -> DataF
 
 
 def within_budget(rows: DataFrame, budget: int, *rank: str) -> DataFrame:
-    """Rows in rank order up to the first that overflows the budget, with their tokens and the running total; any number of rows."""
-    counted = rows.withColumn("tokens", token_estimate("content").cast("long"))
-    return running_total(counted, "tokens", *(rank or ("rank",))).where(F.col("total") <= budget)
+    """Rows in rank order up to the first that overflows the budget, with their tokens and the running total; any number of rows.
+
+    Rows need an `id` of their own: only ids, ranks and token counts are ordered, and the few that fit are looked up by id.
+    """
+    rank = rank or ("rank",)
+    counted = rows.select("id", *[c for c in rank if c != "id"], token_estimate("content").cast("long").alias("tokens"))
+    few = running_total(counted, "tokens", *rank).where(F.col("total") <= budget).select("id", "tokens", "total")
+    return rows.join(few, "id")
 
 
 def archive_turns(archive: DataFrame) -> DataFrame:
