@@ -124,7 +124,7 @@ def main(args: list[str]) -> int:
         _shown(lineage.contradictions(g))
         _shown(lineage.audit_orphans(g))
         _shown(lineage.weak_chains(g))
-        print(json.dumps(lineage.cycle_paths(g)))
+        _shown(lineage.cycle_lists(g).orderBy("length", "cycle"))
     elif a.command == "why":
         print(json.dumps(lineage.why_tree(g, a.id), indent=2))
     elif a.command == "how":

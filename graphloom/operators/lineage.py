@@ -88,16 +88,15 @@ def trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def cyclic(graph: Graph) -> DataFrame:
-    """Nodes on a cycle: those of strongly connected components of two or more nodes, and those with an edge to themselves.
+def strong_components(graph: Graph) -> DataFrame:
+    """(id, c): the nodes of strongly connected components of two or more nodes, each with the greatest id of its own.
 
     What trimming leaves is coloured: the largest id spreads along the edges, and a node that keeps its own colour leads a
     component, which is what reaches it within its colour. These go, and the rest is trimmed and coloured again. Rounds follow
     distances; nothing grows with the square of the nodes.
     """
-    edges = trimmed(graph.edges)
-    found = edges.where("parent_id = child_id").select(F.col("parent_id").alias("id"))
-    edges = trimmed(edges.where("parent_id <> child_id"))
+    found = graph.nodes.sparkSession.createDataFrame([], "id string, c string")
+    edges = trimmed(graph.edges.where("parent_id <> child_id"))
     while edges.take(1):
         colour = cut(endpoints(edges).distinct().withColumn("c", F.col("id")))
         while True:
@@ -121,46 +120,55 @@ def cyclic(graph: Graph) -> DataFrame:
                 break
             reached = cut(reached.unionByName(frontier))
         several = cut(reached.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"))
-        found = found.unionByName(reached.join(several, "c").select("id"))
+        found = found.unionByName(reached.join(several, "c").select("id", "c"))
         done = reached.select("id")
         rest = edges.join(done.toDF("parent_id"), "parent_id", "left_anti").join(done.toDF("child_id"), "child_id", "left_anti")
         edges = trimmed(rest)
-    return found.distinct()
+    return found
 
 
-def cycle_paths(graph: Graph, most_edges: int = 100_000) -> list[list[str]]:
-    """One cycle for each edge back to a node on the path of a depth-first walk, ids in ascending order: [a, b, ..., a].
+def cyclic(graph: Graph) -> DataFrame:
+    """Nodes on a cycle: those of strongly connected components of two or more nodes, and those with an edge to themselves."""
+    loops = graph.edges.where("parent_id = child_id").select(F.col("parent_id").alias("id"))
+    return loops.unionByName(strong_components(graph).select("id")).distinct()
+
 
-    The walk is sequential; what trimming leaves of the graph comes to the driver, and is an error if it has more edges than that.
+def cycle_lists(graph: Graph) -> DataFrame:
+    """(cycle, length): cycles as lists of ids, first and last the same; at least one for each strongly connected component, and one for
+    each edge to itself.
+
+    From the leader of each component a breadth-first tree grows by frontier joins; a node hangs on the smallest id of the layer before. Every
+    edge that leads back to a node above it in the tree closes a cycle, which is read back up the tree, all at once, one step a
+    round. Nothing comes to the driver; a round follows a step of the tree.
     """
-    rows = trimmed(graph.edges).limit(most_edges + 1).collect()
-    if len(rows) > most_edges:
-        raise ValueError(f"cycles are spread over more than {most_edges} edges; cyclic() names their nodes")
-    near: dict[str, list[str]] = {}
-    for p, c in sorted((r["parent_id"], r["child_id"]) for r in rows):
-        near.setdefault(p, []).append(c)
-    found, done = [], set()
-    for start in sorted(near):
-        path, waiting = [], [(start, iter(near[start]))] if start not in done else []
-        place: dict[str, int] = {}
-        if waiting:
-            done.add(start)
-            place[start] = 0
-            path.append(start)
-        while waiting:
-            node, children = waiting[-1]
-            child = next(children, None)
-            if child is None:
-                waiting.pop()
-                del place[path.pop()]
-            elif child in place:
-                found.append([*path[place[child] :], child])
-            elif child not in done:
-                done.add(child)
-                place[child] = len(path)
-                path.append(child)
-                waiting.append((child, iter(near.get(child, []))))
-    return found
+    own = cut(strong_components(graph))
+    edges = graph.edges.where("parent_id <> child_id").select("parent_id", "child_id").distinct()
+    inside = edges.join(own.toDF("parent_id", "c"), "parent_id").join(own.toDF("child_id", "cc"), "child_id").where("c = cc").select("parent_id", "child_id", "c")
+    inside = cut(inside)
+    frontier = tree = cut(own.where("id = c").select("id", F.lit(None).cast("string").alias("up"), "c"))
+    while True:
+        for _ in range(STEPS):
+            near = inside.join(frontier.select(F.col("id").alias("parent_id")), "parent_id").groupBy(F.col("child_id").alias("id"), "c").agg(F.min("parent_id").alias("up"))
+            frontier = near.join(tree.select("id"), "id", "left_anti").select("id", "up", "c")
+            tree = tree.unionByName(frontier)
+        frontier = cut(frontier)
+        if not frontier.take(1):
+            break
+        tree = cut(tree)
+    tree = cut(tree)
+    up = tree.select(F.col("id").alias("at"), "up")
+    back = cut(inside.select(F.col("child_id").alias("to"), F.col("parent_id").alias("at"), F.array("parent_id", "child_id").alias("cycle")))
+    done = None
+    while back.take(1):
+        for _ in range(STEPS):
+            arrived = back.where("at = to")
+            done = arrived if done is None else done.unionByName(arrived)
+            above = back.where("at <> to").join(up, "at").where("up is not null")  # what comes to the root without its end closes nothing
+            back = above.select("to", F.col("up").alias("at"), F.concat(F.array("up"), "cycle").alias("cycle"))
+        back, done = cut(back), cut(done)
+    loops = graph.edges.where("parent_id = child_id").select(F.array("parent_id", "child_id").alias("cycle")).distinct()
+    every = loops if done is None else done.select("cycle").unionByName(loops)
+    return every.select("cycle", (F.size("cycle") - 1).alias("length"))
 
 
 def parent_chain(graph: Graph, steps: int = 3) -> DataFrame:

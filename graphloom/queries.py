@@ -447,6 +447,13 @@ def cycles(g):
     return lineage.cyclic(g.with_(edges=g.edges.unionByName(extra, allowMissingColumns=True)))
 
 
+@query()
+def cycle_lists(g):
+    """The cycles as lists; tests/test_oracles.py has them from sequential trees."""
+    extra = g.nodes.sparkSession.createDataFrame([("d9", "d1"), ("d40", "d4")], "parent_id string, child_id string")
+    return lineage.cycle_lists(g.with_(edges=g.edges.unionByName(extra, allowMissingColumns=True)))
+
+
 # Similarity
 
 

@@ -145,8 +145,46 @@ def test_cycles_by_components(spark, seed):
     g = graph(spark, [], [(a, b, 1.0) for a, b in edges])
     want = sorted(n for n in {x for e in edges for x in e} if n in reach(n))
     assert sorted(x["id"] for x in lineage.cyclic(g).collect()) == want
-    paths = lineage.cycle_paths(g)
-    assert all(p[0] == p[-1] and all((a, b) in edges for a, b in zip(p, p[1:])) for p in paths)
-    assert ["r0", "r1", "r2", "r0"] in paths and ["loop", "loop"] in paths and {x for p in paths for x in p} <= set(want)
-    with pytest.raises(ValueError):
-        lineage.cycle_paths(g, 1)
+    paths = [r["cycle"] for r in lineage.cycle_lists(g).collect()]
+    assert all(p[0] == p[-1] and len(set(p[1:])) == len(p) - 1 and all((a, b) in edges for a, b in zip(p, p[1:])) for p in paths)
+    assert ["r2", "r0", "r1", "r2"] in paths and ["loop", "loop"] in paths and {x for p in paths for x in p} <= set(want)
+    assert len({tuple(p) for p in paths}) == len(paths)
+    # the same closing edges from breadth-first trees, one component after another
+    component = {a: max(b for b in reach(a) if a in reach(b)) for a in want if any(a != b and a in reach(b) for b in reach(a))}
+    closing = {(a, a) for a, b in edges if a == b}
+    for leader in set(component.values()):
+        above, layer, seen = {leader: ()}, [leader], {leader}
+        while layer:
+            new = {}
+            for a in sorted(layer):
+                for b in near[a]:
+                    if component.get(b) == leader and b not in seen:
+                        new.setdefault(b, a)
+            for b, a in new.items():
+                above[b] = (*above[a], a)
+            seen |= set(new)
+            layer = list(new)
+        closing |= {(a, b) for a in above for b in near[a] if a != b and b in above[a]}
+    assert {(p[-2], p[-1]) for p in paths} == closing
+
+
+def test_cliques_around_a_hub(spark):
+    """A node that all others are linked with, and every maximal clique by the plain rule."""
+    r = random.Random(4)
+    edges = {("hub", f"n{i:03}") for i in range(120)} | {tuple(sorted((f"n{r.randrange(40):03}", f"n{r.randrange(40):03}"))) for _ in range(220)}
+    edges = {(a, b) for a, b in edges if a != b} | {("x", "y")}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, todo = set(), [(frozenset(), frozenset(near), frozenset())]
+    while todo:
+        chosen, may, out = todo.pop()
+        if not may and not out:
+            want.add(chosen)
+        while may:
+            v = min(may)
+            todo.append((chosen | {v}, may & near[v], out & near[v]))
+            may, out = may - {v}, out | {v}
+    got = consolidate.maximal_cliques(spark.createDataFrame(sorted(edges), "a string, b string")).collect()
+    assert len(got) == len(want) and {frozenset(x["members"]) for x in got} == want and all(x["size"] == len(x["members"]) for x in got)
