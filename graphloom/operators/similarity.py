@@ -2,8 +2,9 @@
 
 Cosine: vectors are packed into blocks, each pair of blocks meets once by an equi-join on its name, and one matrix
 product per pair is reduced to what the operator asks for (pairs over a threshold, each row's best, a count, the k
-lowest scores) before anything leaves the worker. All vectors have to meet, so the shuffle has as many copies of a block as there are blocks;
-a block holds BLOCK vectors to keep these few. Vectors of another dimension, with NaN or infinite values or without a
+lowest scores) before anything leaves the worker. The shuffle has as many copies of a block as there are blocks that it meets; a block holds
+BLOCK vectors to keep these few. Joins with a least cosine put vectors into blocks by where they lie and leave out pairs of blocks that are too
+far apart for it, up to MOST_BLOCKS blocks; vectors without any structure still all meet. Vectors of another dimension, with NaN or infinite values or without a
 norm take no part.
 
 Jaccard: equal word sets are folded into one class first; then prefix filtering over words ordered from rare to
@@ -25,8 +26,9 @@ from ..functions.vector import cosine, sound
 from ..schema import Graph, live
 from ..shared import cut
 from .ordered import exact_quantiles, numbered
+from .vector_index import assigned, clustered
 
-BLOCK, ROWS = 4096, 512
+BLOCK, ROWS, MOST_BLOCKS = 4096, 512, 2048
 PAIRS = "a string, b string, sim double"
 
 
@@ -153,16 +155,71 @@ def _met(left: DataFrame, right: DataFrame, block: int, reduce, schema: str) ->
     return one.join(two, ["i", "j"]).select("i", "j", "ids_a", "flat_a", "ids_b", "flat_b").mapInArrow(reduce, schema)
 
 
-def _met_once(rows: DataFrame, block: int, reduce, schema: str, labels: tuple[str, ...] = ()) -> DataFrame:
-    """Every unordered pair of blocks of a table, a block with itself too."""
+def _met_once(rows: DataFrame, block: int, reduce, schema: str, labels: tuple[str, ...] = (), least: float = -2.0) -> DataFrame:
+    """Every unordered pair of blocks of a table, a block with itself too, but those that can have no cosine of at least `least`."""
     n = _blocks(rows, block)
-    packed = _packed(rows, "k", n, labels)
     parts = ("ids", "flat", *labels)
-    one = packed.select(F.col("k").alias("i"), F.explode(F.sequence("k", F.lit(n - 1).cast("long"))).alias("j"), *[F.col(c).alias(f"{c}_a") for c in parts])
-    two = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), "k")).alias("i"), F.col("k").alias("j"), *[F.col(c).alias(f"{c}_b") for c in parts])
+    if n == 1 or n > MOST_BLOCKS or least <= -1:
+        packed = _packed(rows, "k", n, labels)
+        above, below = F.sequence("k", F.lit(n - 1).cast("long")), F.sequence(F.lit(0).cast("long"), "k")
+    else:
+        packed, balls = near_blocks(rows, n, block, labels)
+        met = may_meet(balls, least)
+        partners = [(k, [j for j in row if j >= k], [j for j in row if j <= k]) for k, row in met.items()]
+        packed = packed.join(F.broadcast(packed.sparkSession.createDataFrame(partners, "k long, above array<long>, below array<long>")), "k")
+        above, below = F.col("above"), F.col("below")
+    one = packed.select(F.col("k").alias("i"), F.explode(above).alias("j"), *[F.col(c).alias(f"{c}_a") for c in parts])
+    two = packed.select(F.explode(below).alias("i"), F.col("k").alias("j"), *[F.col(c).alias(f"{c}_b") for c in parts])
     return one.join(two, ["i", "j"]).mapInArrow(reduce, schema)
 
 
+def near_blocks(rows: DataFrame, n: int, block: int, labels: tuple[str, ...] = ()) -> tuple[DataFrame, dict[int, tuple[np.ndarray, float]]]:
+    """Blocks of vectors that lie near each other, and for each the unit vector of its middle and the largest angle to it.
+
+    About n cells around centres of a bounded sample; a cell of more than `block` vectors is several blocks. The driver has one
+    row for each block.
+    """
+    draw = F.pmod(F.xxhash64("node_id", F.lit(3)), F.lit(n * block))
+    sample = np.array([r["vector"] for r in rows.where(draw < 32 * n).select("vector").limit(64 * n).collect()] or [r["vector"] for r in rows.select("vector").limit(1).collect()], np.float64)
+    centres = clustered(sample / np.linalg.norm(sample, axis=1, keepdims=True), min(n, len(sample)))
+    placed = assigned(rows, centres)
+    if labels:  # they are joined again; an id that is there twice may lie in either cell
+        placed = rows.join(placed.groupBy("node_id").agg(F.min("cell").alias("cell")), "node_id")
+    placed = cut(placed)
+    first, plan = 0, []
+    for r in sorted(placed.groupBy("cell").count().collect()):
+        m = -(-r["count"] // block)
+        plan.append((r["cell"], first, m))
+        first += m
+    sizes = F.broadcast(rows.sparkSession.createDataFrame(plan, "cell int, first long, m long"))
+    placed = placed.join(sizes, "cell").withColumn("k", F.col("first") + F.pmod(F.xxhash64("node_id"), F.col("m")))
+    lists = [F.collect_list("node_id").alias("ids"), F.flatten(F.collect_list("vector")).alias("flat"), *[F.collect_list(c).alias(c) for c in labels]]
+    packed = cut(placed.select("k", "node_id", F.col("vector").cast("array<double>").alias("vector"), *labels).groupBy("k").agg(*lists))
+
+    def ball(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                m = _unit(batch, "flat", r, len(_part(batch, "ids", r)))
+                middle = m.mean(0)
+                middle = middle / max(float(np.linalg.norm(middle)), 1e-300)
+                angle = float(np.arccos(np.clip(m @ middle, -1, 1)).max())
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(r, 1), pa.array([middle.tolist()]), pa.array([angle])], names=["k", "middle", "angle"])
+
+    found = packed.select("k", "ids", "flat").mapInArrow(ball, "k long, middle array<double>, angle double").collect()
+    return packed, {r["k"]: (np.array(r["middle"]), r["angle"]) for r in found}
+
+
+def may_meet(balls: dict[int, tuple[np.ndarray, float]], least: float) -> dict[int, list[int]]:
+    """For each block those that can have a pair of that cosine: by the triangle inequality of angles, two vectors are no nearer than their
+    middles less both radii."""
+    names = sorted(balls)
+    middles, radii = np.array([balls[k][0] for k in names]), np.array([balls[k][1] for k in names])
+    apart = np.arccos(np.clip(middles @ middles.T, -1, 1)) - radii[:, None] - radii[None, :]
+    near = apart <= math.acos(min(1.0, least)) + 1e-6
+    np.fill_diagonal(near, True)
+    return {k: [names[j] for j in np.nonzero(near[i])[0].tolist()] for i, k in enumerate(names)}
+
+
 def best_at_least(left: DataFrame, right: DataFrame, least: float, dim: int | None = None, others: bool = False, block: int = BLOCK) -> DataFrame:
     """(a, b, sim): each left row's best row of the right side, of equal ones the last id, if its cosine is at least `least`."""
     near = _met(sound(left, dim), sound(right, dim), block, _best(least, others), PAIRS)
@@ -195,12 +252,12 @@ def top_each(left: DataFrame, right: DataFrame, k: int, least: float, dim: int |
 
 def cosine_pairs(emb: DataFrame, least: float, below: float = 2.0, dim: int | None = None, block: int = BLOCK) -> DataFrame:
     """Each unordered pair (a < b) with least <= cosine < below."""
-    return _met_once(sound(emb, dim), block, _pairs(least, below), PAIRS)
+    return _met_once(sound(emb, dim), block, _pairs(least, below), PAIRS, least=least)
 
 
 def pair_count(emb: DataFrame, least: float, dim: int | None = None, block: int = BLOCK) -> DataFrame:
     """(n): the number of pairs with a cosine over `least`."""
-    return _met_once(sound(emb, dim), block, _number(least), "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return _met_once(sound(emb, dim), block, _number(least), "n long", least=least).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def banded(pairs: DataFrame, cross_link: float, dedup: float) -> DataFrame:
@@ -216,7 +273,7 @@ def tension_pairs(graph: Graph, low: float = 0.30, high: float = 0.70, k: int =
     """Pairs of moderate similarity, lowest score first; another type or domain adds to the score."""
     n = live(graph.nodes).select("id", F.col("node_type").alias("kind"), F.coalesce(F.get_json_object("metadata", "$.domain"), F.lit("unknown")).alias("domain"))
     rows = sound(graph.emb).join(n, F.col("node_id") == F.col("id")).select("node_id", "vector", F.coalesce("kind", F.lit("")).alias("kind"), "domain")
-    found = _met_once(rows, block, _lowest(low, high, k, 0.05), f"{PAIRS}, score double", ("kind", "domain"))
+    found = _met_once(rows, block, _lowest(low, high, k, 0.05), f"{PAIRS}, score double", ("kind", "domain"), low)
     return found.select("a", "b", F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score")).orderBy("score", "a", "b").limit(k)
 
 
