@@ -13,7 +13,7 @@ import sys
 from pyspark.sql import SparkSession, functions as F
 
 from . import config, facade, store
-from .operators import audit, consolidate, lifecycle, lineage, metrics, stats, walk
+from .operators import audit, consolidate, lifecycle, lineage, metrics, search, stats, vector_index, walk
 from .plans import context, retrieve, session
 from .queries import QUERIES
 from .sources import files
@@ -53,6 +53,11 @@ def _parser() -> argparse.ArgumentParser:
     command("prune", apply=False, days=14)
     command("compact", threshold=0.9)
     command("embed")
+    command("embedding-stats")
+    command("search", "hints", k=10, indexed=False)
+    command("index", rebuild=False)
+    command("content", "id")
+    command("related", "id", k=5)
     command("migrate-files", "path")
     command("metrics", hours=24)
     command("export", "path")
@@ -138,6 +143,18 @@ def main(args: list[str]) -> int:
         store.save(after, brain.folder)
     elif a.command == "embed":
         print(brain.embed())
+    elif a.command == "embedding-stats":
+        _shown(stats.embedding_overview(g))
+        _shown(stats.embedding_stats(g))
+    elif a.command == "search":
+        found = brain.index() if a.indexed else None
+        _shown(search.top_k(g, vector(), a.k) if found is None else vector_index.top_k(found, g, vector(), a.k), a.k)
+    elif a.command == "index":
+        print(json.dumps(brain.indexed(a.rebuild)))
+    elif a.command == "content":
+        print((store.node(g, a.id, ["content"]) or {}).get("content"))
+    elif a.command == "related":
+        _shown(search.related(g, a.id).limit(a.k), a.k)
     elif a.command == "dimensions":
         _shown(store.dimensions(g))
     elif a.command == "migrate-files":

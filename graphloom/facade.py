@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession, functions as F
 
 from . import store
 from .config import Settings, profile
-from .operators import lifecycle
+from .operators import lifecycle, vector_index
 from .operators.embed import Encoder, embed_missing, hashing_encoder
 from .plans import context, session, sleep
 from .schema import Graph
+from .shared import file_system, written_text
 from .sources import files
 from .sources.registry import Registry
 
@@ -122,6 +124,22 @@ class Brain:
             self._kept(after)
         return n
 
+    def index(self) -> vector_index.Index | None:
+        """The vector index that was built last, if there is one."""
+        made, there = file_system(self.spark, f"{self.folder}/_index/current.json")
+        if not there.exists(made):
+            return None
+        return vector_index.opened(self.spark, self.spark.read.text(f"{self.folder}/_index/current.json", wholetext=True).first()[0])
+
+    def indexed(self, rebuild: bool = False) -> dict:
+        """Builds the index of all vectors, or adds to the one that is there what it lacks."""
+        graph, found = self.graph(), self.index()
+        if found is not None and not rebuild:
+            return {"added": vector_index.backfill(found, graph.emb), "cells": len(found.centres), "probes": found.probes}
+        new = vector_index.build(graph.emb, f"{self.folder}/_index/{uuid.uuid4().hex}")
+        written_text(self.spark, f"{self.folder}/_index/current.json", new.folder)
+        return {"added": graph.emb.count(), "cells": len(new.centres), "probes": new.probes}
+
     def backup(self, now: str) -> bool:
         from .config import retention_hours
 

@@ -58,7 +58,7 @@ def audit_orphans(graph: Graph) -> DataFrame:
 
 def weak_chains(graph: Graph, below: float = 0.5) -> DataFrame:
     """(id, mean_weight): mean weight of the edges into a node and into all its ancestors, where it is low."""
-    above = ancestors(graph.edges).select("id", F.col("ancestor").alias("child_id"))
+    above = ancestors(graph.edges, None).select("id", F.col("ancestor").alias("child_id"))
     into = graph.edges.groupBy("child_id").agg(F.sum("weight").alias("w"), F.count("weight").alias("n"))
     every = above.where("id <> child_id").union(graph.edges.select(F.col("child_id").alias("id"), "child_id").distinct())
     mean = every.join(into, "child_id").groupBy("id").agg((F.sum("w") / F.sum("n")).alias("m"))

@@ -97,14 +97,14 @@ def ancestors(edges: DataFrame, most: int | None = 50, nodes: DataFrame | None =
     return seen
 
 
-def _layers(graph: Graph, a: str, b: str, most: int) -> list[DataFrame]:
+def _layers(graph: Graph, a: str, b: str, most: int | None) -> list[DataFrame]:
     """(to, at, weight, reasoning, direction) of each layer of nodes around a, until b is in one; [] if it never is. Each node
     has the neighbour of the smallest id in the layer before and the heaviest edge to it.
     """
     spark = graph.nodes.sparkSession
     layers: list[DataFrame] = []
     frontier = known = spark.createDataFrame([(a,)], "id string")
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         first = F.struct("at", (-F.coalesce("weight", F.lit(0.0))).alias("order"), "direction", "weight", "reasoning")
         step = steps(graph.edges, frontier).groupBy("to").agg(F.min(first).alias("m")).select("to", "m.at", "m.weight", "m.reasoning", "m.direction")
         layers.append(cut(step.join(known, F.col("to") == F.col("id"), "left_anti")))
@@ -117,14 +117,14 @@ def _layers(graph: Graph, a: str, b: str, most: int) -> list[DataFrame]:
     return []
 
 
-def distance(graph: Graph, a: str, b: str, most: int = 50) -> DataFrame:
-    """(hops): the shortest undirected path between two nodes, decayed ones included; no row if there is none."""
+def distance(graph: Graph, a: str, b: str, most: int | None = None) -> DataFrame:
+    """(hops): the shortest undirected path between two nodes, decayed ones included; no row if there is none (or none of up to `most` hops)."""
     spark = graph.nodes.sparkSession
     hops = 0 if a == b else len(_layers(graph, a, b, most)) or None
     return spark.createDataFrame([] if hops is None else [(hops,)], "hops int")
 
 
-def how(graph: Graph, a: str, b: str, most: int = 50) -> DataFrame:
+def how(graph: Graph, a: str, b: str, most: int | None = None) -> DataFrame:
     """(distance, id, content, node_type, weight, reasoning, direction): the nodes of a shortest path from a to b, each with the
     edge that leads to it; of several paths the one whose nodes, from the end, have the smallest ids. Empty if there is none.
     """

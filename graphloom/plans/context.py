@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import Knobs
 from ..functions.text import summary
-from ..operators import lineage, search, stats, walk
+from ..operators import audit, lineage, metrics, search, stats, walk
 from ..operators.lifecycle import touched
 from ..schema import Graph, domain_of, live
 from . import retrieve
@@ -165,3 +165,35 @@ def summary_report(graph: Graph) -> str:
         lines += ["", "Hub Nodes (most connected):", *[f"  [{r['degree']}] {r['content']} ({r['node_type']})" for r in hubs]]
     sources = stats.source_counts(graph).orderBy(F.desc("n"), "source_file").limit(50).collect()
     return "\n".join([*lines, "", "Source Files (the 50 largest):", *[f"  {r['source_file']}: {r['n']} nodes" for r in sources]])
+
+
+def trend_report(history: DataFrame, as_of, days: int = 7) -> str:
+    """A metrics history as text: the last measurement, each series' change, and what is an anomaly or a concern."""
+    last = history.orderBy(F.desc("ts")).limit(1).collect()
+    if not last:
+        return "METRICS REPORT\n" + "=" * 50 + "\nNo historical data available."
+    latest = last[0].asDict()
+    lines = ["METRICS REPORT", "=" * 50, f"Latest measurement: {latest.pop('ts')}", f"Data points: {history.count()} total", "", "Latest values:"]
+    lines += [f"  {k}: {v}" for k, v in latest.items() if v is not None]
+    rows = metrics.trends(history, as_of, days).orderBy("series").collect()
+    lines += ["", f"Trends (last {days} days):"]
+    if not rows:
+        return "\n".join([*lines, "  Fewer than two points."])
+    for r in rows:
+        change = "stable" if abs(r["change_pct"]) < 1 else f"{'up' if r['change_pct'] > 0 else 'down'} {abs(r['change_pct']):.1f}%"
+        lines.append(f"  {r['series']}: {change}{', an anomaly' if r['anomaly'] else ''}{', a concern' if r['concern'] else ''}")
+    return "\n".join(lines)
+
+
+def audit_report(log: DataFrame, as_of, days: int = 7) -> str:
+    """The decay log of the last days as text."""
+    rows = audit.rollup(log, as_of, days).orderBy("measure", F.desc("n"), "key").collect()
+    of = lambda name: [(r["key"], int(r["n"])) for r in rows if r["measure"] == name]
+    total = {r["key"]: r["n"] for r in rows if r["measure"] == "total"}
+    lines = [f"DECAY AUDIT (last {days} days)", "=" * 50, f"Total events: {int(total.get('events', 0))}", f"Today: {int(total.get('today', 0))}, daily mean {total.get('daily_mean', 0.0):.2f}"]
+    if total.get("anomaly"):
+        lines.append("Today has over twice the daily mean.")
+    for title, name in (("By reason", "reason"), ("By type", "node_type"), ("By source", "source_file")):
+        if of(name):
+            lines += ["", f"{title}:", *[f"  {k}: {n}" for k, n in of(name)]]
+    return "\n".join(lines)

@@ -366,6 +366,16 @@ def hybrid_retrieve(spark, sf_dir):
     return retrieve.hybrid(fx.graph(spark, sf_dir), fx.query_vector(spark, sf_dir), fx.as_of())
 
 
+@query(raw=True)
+def hybrid_indexed(spark, sf_dir):
+    """The same with seeds from the vector index, all of whose cells are probed."""
+    g = fx.graph(spark, sf_dir)
+    return retrieve.hybrid(g, fx.query_vector(spark, sf_dir), fx.as_of(), index=_index(g), probes=0)
+
+
+ORACLES["hybrid_indexed"] = ORACLES["hybrid_retrieve"]
+
+
 @query(raw=True)
 def beam_bfs(spark, sf_dir):
     return retrieve.beam(fx.graph(spark, sf_dir), fx.query_vector(spark, sf_dir))

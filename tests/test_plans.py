@@ -237,8 +237,22 @@ def test_command_line(spark, tmp_path, small, capsys):
         assert main([*at, *args]) == 0
     out = capsys.readouterr().out
     assert "Total nodes: 5" in out and '"operation": "think"' in out and "| pinned" in out.replace("|pinned", "| pinned")
+    for args in (["embed"], ["embedding-stats"], ["index"], ["index"], ["search", "parser", "--indexed"], ["search", "parser"], ["content", "a"], ["related", "b"]):
+        assert main([*at, *args]) == 0
+    told = capsys.readouterr().out
+    assert '"added": ' in told and "the parser a keeps tokens" in told and "coverage_percent" in told
     assert main(["query", "nothing", "x"]) == 2
     brain = facade.Brain(spark, config.Settings(), folder=folder, encoder=lambda t: np.ones((len(t), 3)))
     assert brain.extract("We will extend the parser next week.", NOW)["nodes"] and "=== RELEVANT CONTEXT ===" in brain.operate("context", NOW, hints=["parser"])
     with pytest.raises(ValueError):
         brain.operate("fly", NOW)
+
+
+def test_reports_as_text(spark, small):
+    history = spark.createDataFrame([(NOW - dt.timedelta(days=2), 10.0, 100.0, 1.0, 2.0), (NOW, 20.0, 100.0, 2.0, 2.0)], "ts timestamp, avg_nodes double, avg_tokens double, avg_latency_ms double, orphan_count double")
+    text = context.trend_report(history, F.lit(NOW))
+    assert "Data points: 2 total" in text and "  avg_nodes: up 100.0%, an anomaly" in text and "  avg_tokens: stable" in text and "  avg_latency_ms: up 100.0%, an anomaly, a concern" in text
+    assert context.trend_report(history.limit(0), F.lit(NOW)).endswith("No historical data available.") and "Fewer than two points" in context.trend_report(history.limit(1), F.lit(NOW))
+    log = audit.rows(small, spark.createDataFrame([("a", "direct"), ("b", "cascade"), ("c", "cascade")], "id string, reason string"), NOW)
+    said = context.audit_report(log, F.lit(NOW))
+    assert "Total events: 3" in said and "  cascade: 2" in said and said.index("cascade: 2") < said.index("direct: 1")
