@@ -180,7 +180,10 @@ def near_blocks(rows: DataFrame, n: int, block: int, labels: tuple[str, ...] = (
     row for each block.
     """
     draw = F.pmod(F.xxhash64("node_id", F.lit(3)), F.lit(n * block))
-    sample = np.array([r["vector"] for r in rows.where(draw < 32 * n).select("vector").limit(64 * n).collect()] or [r["vector"] for r in rows.select("vector").limit(1).collect()], np.float64)
+    vectors = rows.select("node_id", F.col("vector").cast("array<double>").alias("vector"))
+    some = vectors.where(draw < 32 * n).select("vector").limit(min(64 * n, 1 << 15)).toArrow()
+    some = some if some.num_rows else vectors.select("vector").limit(1).toArrow()
+    sample = some.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1)
     centres = clustered(sample / np.linalg.norm(sample, axis=1, keepdims=True), min(n, len(sample)))
     placed = assigned(rows, centres)
     if labels:  # they are joined again; an id that is there twice may lie in either cell

@@ -1,7 +1,7 @@
 """An inverted-file index over embeddings: vectors lie in cells by their nearest centre, a search looks into a few cells and ranks
 what is there by the exact cosine.
 
-Centres are fitted by spherical k-means on a bounded sample (at most SAMPLE vectors, those of the smallest id hashes); every
+Centres are fitted by spherical k-means on a bounded sample (at most SAMPLE vectors and VALUES numbers, those of the smallest id hashes); every
 sound vector is indexed, partitioned by cell, so a search reads only the folders of the cells that it probes. How many
 that are is measured: `fit` takes the fewest that find RECALL of the true neighbours within its own sample. Probing all
 cells is the exact search.
@@ -23,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.vector import cosine, literal, sound
+from ..functions.vector import cosine, literal, sound, usual_dim
 from ..schema import Graph, live
 from ..shared import cut, file_system, written_text
 
-SAMPLE, RECALL, ROUNDS, ASKED, BLOCK = 1 << 16, 0.95, 8, 256, 4096
+SAMPLE, VALUES, RECALL, ROUNDS, ASKED, BLOCK = 1 << 16, 1 << 22, 0.95, 8, 256, 4096
+STRIP = 1 << 22  # cosines that are held at once while fitting
 ROWS = "node_id string, vector array<double>, cell int"
 
 
@@ -51,47 +52,62 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
 
 
+def _nearest_centres(unit: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the nearest centre, cosine to it) of each row, strip by strip."""
+    own, near = np.zeros(len(unit), np.int64), np.zeros(len(unit))
+    step = max(1, STRIP // len(centres))
+    for at in range(0, len(unit), step):
+        sims = unit[at : at + step] @ centres.T
+        own[at : at + step], near[at : at + step] = sims.argmax(1), sims.max(1)
+    return own, near
+
+
 def clustered(unit: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
     """Centres of norm 1 by spherical k-means; an empty cell takes the vector that is farthest from its own centre."""
     rng = np.random.default_rng(seed)
     centres = unit[rng.choice(len(unit), cells, replace=False)]
     for _ in range(rounds):
-        near = unit @ centres.T
-        own = near.argmax(1)
+        own, near = _nearest_centres(unit, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, unit)
         empty = np.nonzero(np.bincount(own, minlength=cells) == 0)[0]
         if len(empty):
-            sums[empty] = unit[near.max(1).argsort()[: len(empty)]]
+            sums[empty] = unit[near.argsort()[: len(empty)]]
         centres = _unit(sums)
     return centres
 
 
 def fewest_probes(unit: np.ndarray, centres: np.ndarray, k: int, recall: float) -> int:
-    """The fewest cells that hold this share of the k nearest of ASKED of the vectors."""
-    asked = unit[:: max(1, len(unit) // ASKED)]
-    near = asked @ unit.T
-    near[np.arange(len(asked)), np.arange(len(asked)) * max(1, len(unit) // ASKED)] = -2.0
+    """The fewest cells that hold this share of the k nearest of about ASKED of the vectors."""
     k = min(k, len(unit) - 1)
     if k < 1:
         return 1
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    cell = (unit @ centres.T).argmax(1)[best]
-    place = (-(asked @ centres.T)).argsort(1).argsort(1)  # of each cell in the query's order
-    needed = np.sort(np.take_along_axis(place, cell, 1), axis=None)
+    cell, _ = _nearest_centres(unit, centres)
+    asked = np.arange(0, len(unit), max(1, len(unit) // ASKED))
+    needed, step = [], max(1, STRIP // len(unit))
+    for at in range(0, len(asked), step):
+        some = asked[at : at + step]
+        near = unit[some] @ unit.T
+        near[np.arange(len(some)), some] = -2.0
+        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        place = (-(unit[some] @ centres.T)).argsort(1).argsort(1)  # of each cell in the query's order
+        needed.append(np.take_along_axis(place, cell[best], 1).ravel())
+    needed = np.sort(np.concatenate(needed))
     return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1
 
 
 def fit(emb: DataFrame, cells: int | None = None, k: int = 10, recall: float = RECALL, most: int = SAMPLE, dim: int | None = None) -> tuple[np.ndarray, int, int]:
     """(centres, dim, probes) from at most `most` vectors; about sqrt(n) cells, each with 16 of the sample at least."""
+    dim = usual_dim(emb) if dim is None else dim
     rows = sound(emb, dim).select("node_id", "vector")
-    n = rows.count()
+    n, most = rows.count(), min(most, max(1, VALUES // max(dim, 1)))
     share = min(1.0, 1.05 * most / max(n, 1))
     draw = F.pmod(F.xxhash64("node_id"), F.lit(1 << 30))
-    some = rows.where(draw < int(share * (1 << 30))).select(draw.alias("draw"), "node_id", "vector").orderBy("draw", "node_id").limit(most).collect()
-    if not some:
-        return np.zeros((0, dim or 0)), dim or 0, 0
-    unit = _unit(np.array([r["vector"] for r in some], np.float64))
+    some = rows.where(draw < int(share * (1 << 30))).select(draw.alias("draw"), "node_id", F.col("vector").cast("array<double>").alias("vector")).orderBy("draw", "node_id").limit(most)
+    some = some.select("vector").toArrow()
+    if not some.num_rows:
+        return np.zeros((0, dim)), dim, 0
+    unit = _matrix(some.column("vector"), dim)
     cells = max(1, min(cells or math.isqrt(n), max(1, len(unit) // 16)))
     centres = clustered(unit, cells)
     return centres, unit.shape[1], fewest_probes(unit, centres, k, recall)
