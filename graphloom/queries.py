@@ -513,8 +513,8 @@ def word_classes(g):
  s AS (SELECT list_cosine_similarity(x.vector, y.vector) AS sim FROM (SELECT a, CASE WHEN a = b THEN b % (SELECT count(*) FROM o) + 1 ELSE b END AS b FROM ends) e JOIN o x ON x.k = e.a JOIN o y ON y.k = e.b),
  n AS (SELECT a.node_id, max(list_cosine_similarity(a.vector, b.vector)) AS sim FROM o a JOIN o b ON a.node_id <> b.node_id GROUP BY 1),
  r AS (SELECT *, greatest(round(p99 + 0.03, 2), round(p95 + 0.05, 2)) AS cross_link FROM
-  (SELECT count(*) AS pairs, round(avg(sim), 3) AS mean, round(quantile_cont(sim, 0.5), 3) AS p50, round(quantile_cont(sim, 0.95), 3) AS p95, round(quantile_cont(sim, 0.99), 3) AS p99 FROM s),
-  (SELECT round(quantile_cont(sim, 0.25), 3) AS nn_p25, round(quantile_cont(sim, 0.5), 3) AS nn_p50, round(quantile_cont(sim, 0.9), 3) AS nn_p90, round(quantile_cont(sim, 0.99), 3) AS nn_p99 FROM n))
+  (SELECT count(*) AS pairs, round(avg(sim), 3) + 0.0::DOUBLE AS mean, round(quantile_cont(sim, 0.5), 3) + 0.0::DOUBLE AS p50, round(quantile_cont(sim, 0.95), 3) + 0.0::DOUBLE AS p95, round(quantile_cont(sim, 0.99), 3) + 0.0::DOUBLE AS p99 FROM s),
+  (SELECT round(quantile_cont(sim, 0.25), 3) + 0.0::DOUBLE AS nn_p25, round(quantile_cont(sim, 0.5), 3) + 0.0::DOUBLE AS nn_p50, round(quantile_cont(sim, 0.9), 3) + 0.0::DOUBLE AS nn_p90, round(quantile_cont(sim, 0.99), 3) + 0.0::DOUBLE AS nn_p99 FROM n))
  SELECT *, round(cross_link + 0.04, 2) AS dedup, round(greatest(round(cross_link + 0.04, 2) + 0.01, nn_p50 + 0.03), 2) AS novelty FROM r""")
 def calibration(g):
     return similarity.calibration(g.emb, dim=P.dim)
