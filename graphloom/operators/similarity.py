@@ -1,11 +1,11 @@
 """Similarity self-joins.
 
-Cosine: vectors are packed into blocks, each pair of blocks meets once by an equi-join on its name, and one matrix
-product per pair is reduced to what the operator asks for (pairs over a threshold, each row's best, a count, the k
-lowest scores) before anything leaves the worker. The shuffle has as many copies of a block as there are blocks that it meets; a block holds
-BLOCK vectors to keep these few. Joins with a least cosine put vectors into blocks by where they lie and leave out pairs of blocks that are too
-far apart for it, up to MOST_BLOCKS blocks; vectors without any structure still all meet. Vectors of another dimension, with NaN or infinite values or without a
-norm take no part.
+Cosine: vectors are packed into blocks of BLOCK, and blocks into about SIDE sides, which grow with the table as far as MOST_BYTES allows. Each
+pair of sides is one group (a tile), in which every pair of blocks is one matrix product that is reduced (pairs, best, count, the k lowest
+scores, links enough for the same components) before anything leaves the worker. So the shuffle has about SIDE copies of a vector, whatever
+the table's size, and a worker holds two sides. Joins with a least cosine put vectors into blocks by where they lie and leave out pairs of
+blocks that are too far apart for it, up to MOST_BLOCKS blocks; vectors without any structure still all meet. Vectors of another dimension,
+with NaN or infinite values or without a norm take no part.
 
 Jaccard: equal word sets are folded into one class first; then prefix filtering over words ordered from rare to
 frequent with length and position filters, then the exact test.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from .ordered import exact_quantiles, numbered
 from .vector_index import assigned, clustered
 
 BLOCK, ROWS, MOST_BLOCKS = 4096, 512, 2048
+SIDE, MOST_BYTES = 8, 1 << 26
 PAIRS = "a string, b string, sim double"
 
 
@@ -37,6 +39,12 @@ def _packed(emb: DataFrame, name: str, n: int, labels: tuple[str, ...] = ()) ->
     return placed.groupBy(name).agg(F.collect_list("node_id").alias("ids"), F.flatten(F.collect_list("vector")).alias("flat"), *[F.collect_list(c).alias(c) for c in labels])
 
 
+def _kept(batch: pa.RecordBatch, name: str, row: int) -> pa.Array:
+    """A row's list as an array of its own, which doesn't hold the batch."""
+    part = _part(batch, name, row)
+    return part.take(pa.array(np.arange(len(part))))
+
+
 def _part(batch: pa.RecordBatch, name: str, row: int) -> pa.Array:
     """A row's list as an array, without a copy."""
     column = batch.column(name)
@@ -48,129 +56,237 @@ def _unit(batch: pa.RecordBatch, name: str, row: int, n: int) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _strips(batch: pa.RecordBatch, r: int) -> tuple[pa.Array, pa.Array, Iterator[tuple[int, np.ndarray]]]:
-    """The ids of both sides, and the products of ROWS rows of the left side with all of the right one."""
-    a, b = _part(batch, "ids_a", r), _part(batch, "ids_b", r)
-    one, two = _unit(batch, "flat_a", r, len(a)), _unit(batch, "flat_b", r, len(b))
-    return a, b, ((at, one[at : at + ROWS] @ two.T) for at in range(0, len(a), ROWS))
+class Block(NamedTuple):
+    """A block's vectors, normed; `near`: the blocks that it can have pairs with, None for all."""
+
+    k: int
+    left: bool
+    ids: pa.Array
+    unit: np.ndarray
+    labels: dict[str, pa.Array]
+    near: frozenset | None
+
 
+def _read(batches: Iterator[pa.RecordBatch], labels: tuple[str, ...] = ()) -> list[Block]:
+    """The blocks of a tile, by number."""
+    out = []
+    for batch in batches:
+        for r in range(batch.num_rows):
+            ids = _kept(batch, "ids", r)
+            near = batch.column("near")[r].as_py()
+            own = {c: _kept(batch, c, r) for c in labels}
+            out.append(Block(batch.column("k")[r].as_py(), batch.column("left")[r].as_py(), ids, _unit(batch, "flat", r, len(ids)), own, None if near is None else frozenset(near)))
+    return sorted(out, key=lambda b: b.k)
 
-def _same(batch: pa.RecordBatch, r: int) -> bool:
-    return batch.column("i")[r].as_py() == batch.column("j")[r].as_py()
 
+def _strips(a: Block, b: Block) -> Iterator[tuple[int, np.ndarray]]:
+    """The products of some rows of one block with all of the other: a strip has as many cells as ROWS rows of a whole block."""
+    rows = max(1, ROWS * BLOCK // max(BLOCK, len(b.ids)))
+    return ((at, a.unit[at : at + rows] @ b.unit.T) for at in range(0, len(a.ids), rows))
 
-def _upper(sims: np.ndarray, at: int, same: bool) -> np.ndarray:
+
+def _upper(sims: np.ndarray, at: int, same: bool) -> np.ndarray | bool:
     """Which cells stand for a pair: of a block with itself those above the diagonal."""
-    return np.arange(sims.shape[1])[None, :] > np.arange(at, at + len(sims))[:, None] if same else np.ones(sims.shape, bool)
+    return np.arange(sims.shape[1])[None, :] > np.arange(at, at + len(sims))[:, None] if same else True
 
 
-def _each(f: Callable[[pa.RecordBatch, int], Iterator[pa.RecordBatch]]):
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                yield from f(batch, r)
+def _couples(blocks: list[Block], same: bool) -> Iterator[tuple[Block, Block]]:
+    """The pairs of blocks that a tile stands for: of one side all, a block with itself too, else those across."""
+    for x, a in enumerate(blocks):
+        for b in blocks[x:]:
+            if (same or a.left != b.left) and (a.near is None or b.k in a.near):
+                yield a, b
+
+
+def _each(f: Callable[[Block, Block], Iterator[pa.RecordBatch]], labels: tuple[str, ...] = ()):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in _couples(_read(batches, labels), key[0].as_py() == key[1].as_py()):
+            yield from f(a, b)
+
+    return run
+
+
+def _across(f: Callable[[Block, Block], Iterator[pa.RecordBatch]]):
+    """Each block of the left table with all that the tile has of the right one, ids of which come in descending order."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _read(batches)
+        rights = [b for b in blocks if not b.left]
+        blocks = [b for b in blocks if b.left]
+        if blocks and rights:
+            ids, unit = pa.concat_arrays([b.ids for b in rights]), np.concatenate([b.unit for b in rights])
+            rights.clear()
+            place = pc.array_sort_indices(ids, order="descending").to_numpy().astype(np.int64)
+            other = Block(0, False, ids.take(pa.array(place)), unit[place], {}, None)
+            del unit
+            for a in blocks:
+                yield from f(a, other)
 
     return run
 
 
+def _without_own(a: Block, b: Block) -> Callable[[int, np.ndarray], None]:
+    """Takes a row's own id out of the cosines of a strip."""
+    both = pa.concat_arrays([a.ids, b.ids]).dictionary_encode().indices.to_numpy()
+    mine, others = both[: len(a.ids)], both[len(a.ids) :]
+    order = np.argsort(others, kind="stable")
+    first, end = (np.searchsorted(others[order], mine, side) for side in ("left", "right"))
+
+    def clear(at: int, sims: np.ndarray) -> None:
+        low, high = first[at : at + len(sims)], end[at : at + len(sims)]
+        while (some := np.nonzero(low < high)[0]).size:
+            sims[some, order[low[some]]] = -2.0
+            low = low + 1
+
+    return clear
+
+
 def _ordered(x: pa.Array, y: pa.Array, sim: np.ndarray) -> pa.RecordBatch:
     first = pc.less(x, y)
     return pa.RecordBatch.from_arrays([pc.if_else(first, x, y).cast(pa.string()), pc.if_else(first, y, x).cast(pa.string()), pa.array(sim)], names=["a", "b", "sim"])
 
 
-def _pairs(least: float, below: float):
-    def one(batch, r):
-        a, b, strips = _strips(batch, r)
-        for at, sims in strips:
-            i, j = np.nonzero((sims >= least) & (sims < below) & _upper(sims, at, _same(batch, r)))
-            yield _ordered(a.take(pa.array(at + i)), b.take(pa.array(j)), sims[i, j])
+def _codes(a: Block, b: Block, label: str) -> tuple[np.ndarray, np.ndarray, list]:
+    """The values of a label in both blocks as numbers, and what these stand for."""
+    both = pa.concat_arrays([a.labels[label], b.labels[label]]).dictionary_encode()
+    codes = both.indices.to_numpy()
+    return codes[: len(a.ids)], codes[len(a.ids) :], both.dictionary.to_pylist()
 
-    return _each(one)
+
+def _pairs(least: float, below: float, apart: str | None):
+    def one(a, b):
+        if apart:
+            x, y, names = _codes(a, b, apart)
+            named = np.array([n != "" for n in names])
+        for at, sims in _strips(a, b):
+            i, j = np.nonzero((sims >= least) & (sims < below) & _upper(sims, at, a is b))
+            if apart:
+                some = (x[at + i] != y[j]) | ~named[x[at + i]]
+                i, j = i[some], j[some]
+            if len(i):
+                yield _ordered(a.ids.take(pa.array(at + i)), b.ids.take(pa.array(j)), sims[i, j])
+
+    return _each(one, (apart,) if apart else ())
 
 
 def _number(least: float):
     """How many pairs of two blocks are over `least`."""
 
-    def one(batch, r):
-        _, _, strips = _strips(batch, r)
-        n = sum(int(((sims > least) & _upper(sims, at, _same(batch, r))).sum()) for at, sims in strips)
+    def one(a, b):
+        n = sum(int(((sims > least) & _upper(sims, at, a is b)).sum()) for at, sims in _strips(a, b))
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return _each(one)
 
 
+def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels (each row's smallest known one of its group) after the groups of linked rows have become one."""
+    while True:
+        x, y = label[i], label[j]
+        some = x != y
+        if not some.any():
+            return label
+        i, j, x, y = i[some], j[some], x[some], y[some]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _forest(least: float):
+    """Of each group that a tile's links make, a link of every row to the first."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _read(batches)
+        ids = pa.concat_arrays([b.ids for b in blocks])
+        starts = np.cumsum([0, *[len(b.ids) for b in blocks]])
+        place = {(b.k, b.left): int(s) for b, s in zip(blocks, starts)}
+        label = np.arange(len(ids))
+        for a, b in _couples(blocks, key[0].as_py() == key[1].as_py()):
+            for at, sims in _strips(a, b):
+                i, j = np.nonzero((sims >= least) & _upper(sims, at, a is b))
+                label = _united(label, place[a.k, a.left] + at + i, place[b.k, b.left] + j)
+        rows = np.nonzero(label != np.arange(len(label)))[0]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(label[rows])).cast(pa.string()), ids.take(pa.array(rows)).cast(pa.string())], names=["a", "b"])
+
+    return run
+
+
 def _best(least: float, others: bool):
     """Of each row of the left block the largest cosine, if it is at least `least`; of equal ones the last id. `others`: not its own."""
 
-    def one(batch, r):
-        a, b, strips = _strips(batch, r)
-        place = pc.array_sort_indices(b, order="descending").to_numpy().astype(np.int64)
-        own = {x: k for k, x in enumerate(b.to_pylist())} if others else {}
-        for at, sims in strips:
-            if others:
-                for i, x in enumerate(a.slice(at, len(sims)).to_pylist()):
-                    if x in own:
-                        sims[i, own[x]] = -2.0
-            k = place[sims[:, place].argmax(1)]
+    def one(a, b):
+        clear = _without_own(a, b) if others else None
+        for at, sims in _strips(a, b):
+            if clear:
+                clear(at, sims)
+            k = sims.argmax(1)
             sim = sims[np.arange(len(k)), k]
             some = np.nonzero(sim >= least)[0]
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(at + some)).cast(pa.string()), b.take(pa.array(k[some])).cast(pa.string()), pa.array(sim[some])], names=["a", "b", "sim"])
+            yield pa.RecordBatch.from_arrays([a.ids.take(pa.array(at + some)).cast(pa.string()), b.ids.take(pa.array(k[some])).cast(pa.string()), pa.array(sim[some])], names=["a", "b", "sim"])
 
-    return _each(one)
+    return _across(one)
 
 
 def _lowest(low: float, high: float, k: int, bonus: float):
     """The pairs with the k lowest scores in the band, and those that equal the last of them."""
 
-    def one(batch, r):
-        a, b, strips = _strips(batch, r)
-        codes = []
-        for label in ("kind", "domain"):
-            x = pa.concat_arrays([_part(batch, f"{label}_a", r), _part(batch, f"{label}_b", r)]).dictionary_encode().indices.to_numpy()
-            codes.append((x[: len(a)], x[len(a) :]))
-        for at, sims in strips:
+    def one(a, b):
+        codes = [_codes(a, b, label)[:2] for label in ("kind", "domain")]
+        for at, sims in _strips(a, b):
             score = -np.abs(sims - 0.5)
             for x, y in codes:
                 score = score + bonus * (x[at : at + len(sims), None] != y[None, :])
-            score[~((sims >= low) & (sims <= high) & _upper(sims, at, _same(batch, r)))] = np.inf
+            score[~((sims >= low) & (sims <= high) & _upper(sims, at, a is b))] = np.inf
             found = np.isfinite(score).sum()
             if found:
                 last = np.partition(score, min(k, found) - 1, axis=None)[min(k, found) - 1]
                 i, j = np.nonzero(score <= last + 1e-6)
-                pairs = _ordered(a.take(pa.array(at + i)), b.take(pa.array(j)), sims[i, j])
+                pairs = _ordered(a.ids.take(pa.array(at + i)), b.ids.take(pa.array(j)), sims[i, j])
                 yield pa.RecordBatch.from_arrays([*pairs.columns, pa.array(score[i, j])], names=["a", "b", "sim", "score"])
 
-    return _each(one)
+    return _each(one, ("kind", "domain"))
+
 
+def _size(rows: DataFrame, block: int) -> tuple[int, int]:
+    """How many blocks a table makes, and how many vectors of its dimension fit in MOST_BYTES."""
+    r = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    return max(1, math.ceil(r["n"] / block)), max(1, MOST_BYTES // (8 * max(1, r["dim"] or 1) * block))
 
-def _blocks(rows: DataFrame, block: int) -> int:
-    return max(1, math.ceil(rows.count() / block))
+
+def _side(n: int, most: int) -> int:
+    """How many of n blocks one side of a tile has."""
+    return max(1, min(math.ceil(n / SIDE), most))
 
 
 def _met(left: DataFrame, right: DataFrame, block: int, reduce, schema: str) -> DataFrame:
     """Every block of one side with every block of the other."""
-    n, m = _blocks(left, block), _blocks(right, block)
-    one = _packed(left, "i", n).select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("j"), F.col("ids").alias("ids_a"), F.col("flat").alias("flat_a"))
-    two = _packed(right, "j", m).select("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"), F.col("ids").alias("ids_b"), F.col("flat").alias("flat_b"))
-    return one.join(two, ["i", "j"]).select("i", "j", "ids_a", "flat_a", "ids_b", "flat_b").mapInArrow(reduce, schema)
+    (n, most), (m, _) = _size(left, block), _size(right, block)
+    p, q = _side(n, most), _side(m, most)
+    sides = lambda n, p: F.sequence(F.lit(0).cast("long"), F.lit(-(-n // p) - 1).cast("long"))
+    near = F.lit(None).cast("array<long>").alias("near")
+    one = _packed(left, "k", n).select(F.floor(F.col("k") / p).alias("i"), F.explode(sides(m, q)).alias("j"), "k", F.lit(True).alias("left"), "ids", "flat", near)
+    two = _packed(right, "k", m).select(F.explode(sides(n, p)).alias("i"), F.floor(F.col("k") / q).alias("j"), "k", F.lit(False).alias("left"), "ids", "flat", near)
+    return one.unionByName(two).groupBy("i", "j").applyInArrow(reduce, schema)
 
 
 def _met_once(rows: DataFrame, block: int, reduce, schema: str, labels: tuple[str, ...] = (), least: float = -2.0) -> DataFrame:
     """Every unordered pair of blocks of a table, a block with itself too, but those that can have no cosine of at least `least`."""
-    n = _blocks(rows, block)
-    parts = ("ids", "flat", *labels)
+    rows = cut(rows)
+    n, most = _size(rows, block)
     if n == 1 or n > MOST_BLOCKS or least <= -1:
-        packed = _packed(rows, "k", n, labels)
-        above, below = F.sequence("k", F.lit(n - 1).cast("long")), F.sequence(F.lit(0).cast("long"), "k")
+        side = _side(n, most)
+        packed = _packed(rows, "k", n, labels).withColumn("near", F.lit(None).cast("array<long>"))
+        others = F.sequence(F.lit(0).cast("long"), F.lit(-(-n // side) - 1).cast("long"))
     else:
         packed, balls = near_blocks(rows, n, block, labels)
         met = may_meet(balls, least)
-        partners = [(k, [j for j in row if j >= k], [j for j in row if j <= k]) for k, row in met.items()]
-        packed = packed.join(F.broadcast(packed.sparkSession.createDataFrame(partners, "k long, above array<long>, below array<long>")), "k")
-        above, below = F.col("above"), F.col("below")
-    one = packed.select(F.col("k").alias("i"), F.explode(above).alias("j"), *[F.col(c).alias(f"{c}_a") for c in parts])
-    two = packed.select(F.explode(below).alias("i"), F.col("k").alias("j"), *[F.col(c).alias(f"{c}_b") for c in parts])
-    return one.join(two, ["i", "j"]).mapInArrow(reduce, schema)
+        side = _side(len(balls), most)
+        partners = [(k, row, sorted({j // side for j in row})) for k, row in met.items()]
+        packed = packed.join(F.broadcast(packed.sparkSession.createDataFrame(partners, "k long, near array<long>, others array<long>")), "k")
+        others = F.col("others")
+    tiles = packed.withColumn("own", F.floor(F.col("k") / side)).withColumn("other", F.explode(others))
+    tiles = tiles.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k", (F.col("own") <= F.col("other")).alias("left"), "ids", "flat", "near", *labels)
+    return tiles.groupBy("i", "j").applyInArrow(reduce, schema)
 
 
 def near_blocks(rows: DataFrame, n: int, block: int, labels: tuple[str, ...] = ()) -> tuple[DataFrame, dict[int, tuple[np.ndarray, float]]]:
@@ -232,19 +348,16 @@ def best_at_least(left: DataFrame, right: DataFrame, least: float, dim: int | No
 def _top(least: float, k: int):
     """Of each row of the left block the k largest cosines of at least `least` to rows with another id; of equal ones all."""
 
-    def one(batch, r):
-        a, b, strips = _strips(batch, r)
-        own = {x: i for i, x in enumerate(b.to_pylist())}
-        for at, sims in strips:
-            for i, x in enumerate(a.slice(at, len(sims)).to_pylist()):
-                if x in own:
-                    sims[i, own[x]] = -2.0
+    def one(a, b):
+        clear = _without_own(a, b)
+        for at, sims in _strips(a, b):
+            clear(at, sims)
             m = min(k, sims.shape[1])
             last = np.partition(sims, -m, axis=1)[:, -m]
             i, j = np.nonzero((sims >= last[:, None] - 1e-12) & (sims >= least))
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(at + i)).cast(pa.string()), b.take(pa.array(j)).cast(pa.string()), pa.array(sims[i, j])], names=["a", "b", "sim"])
+            yield pa.RecordBatch.from_arrays([a.ids.take(pa.array(at + i)).cast(pa.string()), b.ids.take(pa.array(j)).cast(pa.string()), pa.array(sims[i, j])], names=["a", "b", "sim"])
 
-    return _each(one)
+    return _across(one)
 
 
 def top_each(left: DataFrame, right: DataFrame, k: int, least: float, dim: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -253,14 +366,21 @@ def top_each(left: DataFrame, right: DataFrame, k: int, least: float, dim: int |
     return near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= k).drop("r")
 
 
-def cosine_pairs(emb: DataFrame, least: float, below: float = 2.0, dim: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Each unordered pair (a < b) with least <= cosine < below."""
-    return _met_once(sound(emb, dim), block, _pairs(least, below), PAIRS, least=least)
+def cosine_pairs(emb: DataFrame, least: float, below: float = 2.0, dim: int | None = None, block: int = BLOCK, apart: str | None = None) -> DataFrame:
+    """Each unordered pair (a < b) with least <= cosine < below. `apart` names a column of strings: two rows with the same one, if it is not
+    empty, make no pair."""
+    columns = ["node_id", "vector", *([F.coalesce(apart, F.lit("")).alias(apart)] if apart else [])]
+    return _met_once(sound(emb, dim).select(*columns), block, _pairs(least, below, apart), PAIRS, (apart,) if apart else (), least)
+
+
+def link_forest(emb: DataFrame, least: float, dim: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b): links with the same components as all pairs of at least that cosine, for each row no more than it is in tiles."""
+    return _met_once(sound(emb, dim).select("node_id", "vector"), block, _forest(least), "a string, b string", least=least)
 
 
 def pair_count(emb: DataFrame, least: float, dim: int | None = None, block: int = BLOCK) -> DataFrame:
     """(n): the number of pairs with a cosine over `least`."""
-    return _met_once(sound(emb, dim), block, _number(least), "n long", least=least).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return _met_once(sound(emb, dim).select("node_id", "vector"), block, _number(least), "n long", least=least).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def banded(pairs: DataFrame, cross_link: float, dedup: float) -> DataFrame:
