@@ -99,7 +99,7 @@ def capped_links(g):
 
 @query(_LINKS + "SELECT a, b, round(sim, 6) AS sim FROM l JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE x.source_file <> y.source_file ORDER BY l.sim DESC, a, b LIMIT 1")
 def dream_pair(g):
-    return consolidate.dream_pair(g, consolidate.new_links(g, P)).select("a", "b", F.round("sim", 6).alias("sim"))
+    return consolidate.dream_link(g, P).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query()
@@ -116,7 +116,7 @@ def oldest_vectors(g):
 @query(_SIMS + """, l AS (SELECT a, b FROM lsims WHERE sim >= 0.35 UNION SELECT b, a FROM lsims WHERE sim >= 0.35), r AS (SELECT a AS id, a AS y FROM l UNION SELECT id, b FROM r JOIN l ON a = y)
  SELECT id, min(y) AS component FROM r GROUP BY 1""", recursive=True)
 def link_components(g):
-    return consolidate.components(similarity.cosine_pairs(similarity.live_vectors(g), P.cross_link, dim=P.dim))
+    return consolidate.linked_components(similarity.live_vectors(g), P.cross_link, P.dim)
 
 
 # Decay
