@@ -57,12 +57,20 @@ def audit_orphans(graph: Graph) -> DataFrame:
 
 
 def weak_chains(graph: Graph, below: float = 0.5) -> DataFrame:
-    """(id, mean_weight): mean weight of the edges into a node and into all its ancestors, where it is low."""
+    """(id, mean_weight): mean weight of the edges into a node and into all its ancestors, where it is low.
+
+    Weights are added as decimals of 18 places, so the mean doesn't hang on the order in which rows arrive: one of exactly `below` is not low, and
+    a half at the seventh place is rounded up. Only where a weight is no such decimal (NaN, infinite, 10^12 or more) doubles are added.
+    """
     above = ancestors(graph.edges, None).select("id", F.col("ancestor").alias("child_id"))
-    into = graph.edges.groupBy("child_id").agg(F.sum("weight").alias("w"), F.count("weight").alias("n"))
+    exact = F.when(F.abs("weight") < 1e12, F.col("weight")).try_cast("decimal(38,18)")
+    parts = [F.sum("weight").alias("w"), F.sum(exact).alias("x"), (F.count("weight") - F.count(exact)).alias("odd"), F.count("weight").alias("n")]
+    into = graph.edges.groupBy("child_id").agg(*parts)
     every = above.where("id <> child_id").union(graph.edges.select(F.col("child_id").alias("id"), "child_id").distinct())
-    mean = every.join(into, "child_id").groupBy("id").agg((F.sum("w") / F.sum("n")).alias("m"))
-    return mean.where(F.col("m") < below).select("id", F.round("m", 6).alias("mean_weight"))
+    mean = every.join(into, "child_id").groupBy("id").agg(*[F.sum(c).alias(c) for c in ("w", "x", "odd", "n")]).where("n > 0")
+    low = F.when(F.col("odd") == 0, F.col("x") < F.col("n") * F.lit(str(below)).cast("decimal(18,17)")).otherwise(F.col("w") / F.col("n") < below)
+    rounded = F.when(F.col("odd") == 0, F.round(F.col("x") / F.col("n"), 6).cast("double")).otherwise(F.round(F.col("w") / F.col("n"), 6))
+    return mean.where(low).select("id", rounded.alias("mean_weight"))
 
 
 def depth(graph: Graph, most: int = 20) -> DataFrame:

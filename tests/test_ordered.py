@@ -2,12 +2,14 @@
 
 import itertools
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import ordered, similarity
+from graphloom.operators import lineage, ordered, similarity
+from graphloom.schema import Graph
 
 
 @pytest.mark.parametrize("kind", ["even", "heavy", "ties", "one", "two", "wide"])
@@ -51,3 +53,21 @@ def test_calibration_takes_all_nodes(spark):
     assert some["pairs"] == 3000 and some["nn_p50"] == row["nn_p50"] and some["p50"] == pytest.approx(row["p50"], abs=0.05)
     none = similarity.calibration(emb.where("node_id = 'odd'"), dim=6).first()
     assert none["pairs"] == 0 and none["p50"] is None and none["cross_link"] is None
+
+
+def test_weak_chains_do_not_hang_on_the_order_of_sums(spark):
+    """Many means of exactly the limit, and of a half at the seventh place, whose sums of doubles are often a little off; weights that are no decimals."""
+    r = random.Random(5)
+    weights = {"low": [0.49], "nan": [float("nan"), 0.1], "huge": [1e300, 1.0], "minus": [float("-inf")], "none": [None]}
+    for i in range(40):
+        some = [r.randrange(100) for _ in range(15)]
+        weights[f"even{i}"] = [w / 100 for w in some] + [(100 - w) / 100 for w in some]
+        low = [r.randrange(45) for _ in range(31)]
+        weights[f"tie{i}"] = [w / 100 for w in [*low, 2 - sum(low) % 2 + 1]]
+    edges = [(f"{n}-{i}", n, w) for n, ws in weights.items() for i, w in enumerate(ws)]
+    r.shuffle(edges)
+    g = Graph(None, spark.createDataFrame(edges, "parent_id string, child_id string, weight double"), None, None)
+    ties = {n: sum(Decimal(str(w)) for w in ws) / 32 for n, ws in weights.items() if n.startswith("tie")}
+    assert all((m * 10**6) % 1 == Decimal("0.5") for m in ties.values())
+    got = {tuple(r) for r in lineage.weak_chains(g).collect()}
+    assert got == {(n, float(round(m + Decimal("1e-9"), 6))) for n, m in ties.items()} | {("low", 0.49), ("minus", float("-inf"))}
