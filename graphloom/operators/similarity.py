@@ -20,6 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import word_set
@@ -31,6 +32,7 @@ from .vector_index import assigned, clustered
 
 BLOCK, ROWS, MOST_BLOCKS = 4096, 512, 2048
 SIDE, MOST_BYTES = 8, 1 << 26
+FREQUENT, LOOKED_UP, NARROW, WIDE = 1 << 18, 200_000, 8, 32
 PAIRS = "a string, b string, sim double"
 
 
@@ -400,6 +402,11 @@ def tension_pairs(graph: Graph, low: float = 0.30, high: float = 0.70, k: int =
     return found.select("a", "b", F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score")).orderBy("score", "a", "b").limit(k)
 
 
+def _looked_up(ids: DataFrame) -> DataFrame:
+    """Ids that are broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= LOOKED_UP else ids
+
+
 def _word_sets(docs: DataFrame) -> DataFrame:
     """(id, words, k1, k2): the words as ascending hashes, and what names the set; rows without words are left out."""
     words = F.sort_array(F.transform(word_set("content"), lambda w: F.xxhash64(w)))
@@ -414,27 +421,69 @@ def word_classes(docs: DataFrame) -> DataFrame:
     return named.join(least, ["k1", "k2"]).select("id", "class")
 
 
+def _signed(least: float, order: Broadcast):
+    """(id, n, prefix, short, long) of (id, words): the rarest words, of which two sets that are that alike share one, and signatures of 512 and 2,048 bits.
+
+    Words are ordered by their place among the frequent ones, all others come before, by hash. A bit of a signature is 1 if an odd number
+    of words falls on it, so two sets differ in at least as many words as their signatures in bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place = order.value
+        for batch in batches:
+            lists = batch.column("words")
+            ends = lists.offsets.to_numpy()
+            flat, n = lists.values.to_numpy()[ends[0] : ends[-1]], np.diff(ends)
+            row = np.repeat(np.arange(len(n)), n)
+            rank = np.zeros(len(flat), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                rank = np.where(known[at] == flat, place[at] + 1, 0)
+            by = np.lexsort((flat, rank, row))
+            first = np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], n)
+            size = n - np.ceil(n * least - 1e-9).astype(np.int64) + 1
+            prefix = flat[by][first < np.repeat(size, n)]
+            bits = np.zeros((len(n), 64 * WIDE), np.uint8)
+            np.bitwise_xor.at(bits, (row, (flat.view(np.uint64) >> np.uint64(64 - 11)).astype(np.int64)), 1)
+            folded = np.bitwise_xor.reduce(bits.reshape(len(n), 64 * NARROW, -1), axis=2)
+            starts = pa.array(np.concatenate([[0], np.cumsum(np.minimum(size, n))]).astype(np.int32))
+            signs = [pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(x, axis=1).view(np.int64).reshape(-1)), w).cast(pa.list_(pa.int64())) for x, w in ((folded, NARROW), (bits, WIDE))]
+            columns = [batch.column("id"), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(starts, pa.array(prefix)), *signs]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "prefix", "short", "long"])
+
+    return run
+
+
 def jaccard_pairs(docs: DataFrame, least: float) -> DataFrame:
     """(a, b, sim) for a < b, of (id, content): the classes of word_classes() whose word sets are that alike. Exact.
 
-    A class is its smallest id; its copies are not expanded. Words are 64-bit hashes. A word of very many prefixes makes a
-    hot key of a plain join of two scans, which Spark's skew join splits.
+    A class is its smallest id; its copies are not expanded. Words are 64-bit hashes. Any order of words will do for the prefixes, so that only of the
+    FREQUENT most frequent words is known to the tasks. Two sets that meet at a word are dropped there if their sizes or signatures
+    differ by too much, then if longer signatures do; the few that are left are compared. A word of very many prefixes makes a hot key of a plain join of two scans, which Spark's
+    skew join splits.
     """
+    spark = docs.sparkSession
     sets = _word_sets(docs)
-    reps = sets.groupBy("k1", "k2").agg(F.min("id").alias("id")).select("id")
-    words = sets.join(reps, "id", "left_semi").select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    freq = cut(words.groupBy("word").agg(F.count("*").alias("df")))
-    ranked = words.join(freq, "word").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
-    ranked = cut(ranked.select("id", "n", F.col("w.word").alias("w")))
-    prefix = F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
-    keys = ranked.select("id", "n", F.posexplode(prefix).alias("p", "word"))
-    a, b = keys.toDF("a", "na", "pa", "word"), keys.toDF("b", "nb", "pb", "word")
+    reps = cut(sets.groupBy("k1", "k2").agg(F.min("id").alias("id")).select("id"))
+    sets = cut(sets.select("id", "words").join(_looked_up(reps), "id", "left_semi"))
+    often = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")).where("df > 1")
+    often = often.orderBy(F.desc("df"), "word").limit(FREQUENT).select("word").toArrow().column("word").to_numpy()
+    by = np.argsort(often)
+    order = spark.sparkContext.broadcast((often[by], (len(often) - by).astype(np.int64)))
+    signed = cut(sets.mapInArrow(_signed(least, order), f"id {docs.schema['id'].dataType.simpleString()}, n int, prefix array<long>, short array<long>, long array<long>"))
+    parts = [f"s{i}" for i in range(NARROW)]
+    keys = signed.select("id", "n", F.explode("prefix").alias("word"), *[F.col("short")[i].alias(c) for i, c in enumerate(parts)])
+    a, b = (keys.select("word", *[F.col(c).alias(f"{c}{side}") for c in ("id", "n", *parts)]) for side in "ab")
     size = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
-    # from the first common word on, at most this many are common
-    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9
-    first = a.join(b, "word").where((F.col("a") < F.col("b")) & size).groupBy("a", "b").agg(F.min(F.struct("pa", "pb", "na", "nb")).alias("m")).select("a", "b", "m.*")
-    found = first.where(reach).select("a", "b")
-    full = ranked.select("id", "w")
+    differ = lambda x, y: sum((F.bit_count(p.bitwiseXOR(q)) for p, q in zip(x[1:], y[1:], strict=True)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    most = (F.col("na") + F.col("nb")) * ((1 - least) / (1 + least)) + 1e-9  # words that are in one alone, of two sets that are that alike
+    found = a.join(b, "word").where((F.col("ida") < F.col("idb")) & size & (differ([F.col(f"{c}a") for c in parts], [F.col(f"{c}b") for c in parts]) <= most))
+    found = cut(found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct())
+    for end in ("a", "b"):
+        found = found.join(signed.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("long").alias(f"l{end}")), end)
+    found = cut(found.where(differ([F.col("la")[i] for i in range(WIDE)], [F.col("lb")[i] for i in range(WIDE)]) <= most).select("a", "b"))
+    wanted = cut(found.select(F.col("a").alias("id")).union(found.select("b")).distinct())
+    full = cut(sets.join(_looked_up(wanted), "id", "left_semi"))
     both = found.join(full.toDF("a", "wa"), "a").join(full.toDF("b", "wb"), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     return both.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("sim")).where(F.col("sim") >= least)
