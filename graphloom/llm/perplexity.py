@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import wordgrams
 from .common import cut
 
-CALIBRATE, QUANTILE, FEW = 5, 0.995, 50
+CALIBRATE, QUANTILE, FEW, FEW_IDS = 5, 0.995, 50, 1 << 22
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -26,9 +26,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     good = marks.where("good = 1 and coalesce(bad, 0) = 0 and marked_id is not null").select("marked_id")
     fold = F.pmod(F.xxhash64("marked_id"), F.lit(CALIBRATE))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    trained = good.where(fold != 0).hint("shuffle_hash")  # the texts move once at any size, and are not sorted
-    model = wordgrams.build(texts.join(trained, F.col("doc_id") == F.col("marked_id"), "left_semi"))
-    rows = cut(wordgrams.scored(docs, model))
+    trained = cut(good.where(fold != 0))
+    trained = F.broadcast(trained) if trained.count() <= FEW_IDS else trained.hint("shuffle_hash")  # beyond, the texts move once and are not sorted
+    rows = wordgrams.scored(docs, texts.join(trained, F.col("doc_id") == F.col("marked_id"), "left_semi"))
     held = rows.join(good.where(fold == 0), F.col("doc_id") == F.col("marked_id"), "left_semi").where("chars > 0")
     pick = F.percentile_approx("perplexity", quantile, 10_000).alias("limit")
     every = held.agg(pick).select(F.col("limit").alias("general"))
