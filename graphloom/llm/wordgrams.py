@@ -15,8 +15,8 @@ dealt by all three words, so no pair of every document lands in one task.
 
 What moves is a row for each slice of text and part, its words by their rank among the CODES most frequent ones (rank
 and frequency are of a sample of about SAMPLE stored bytes; a rarer word is its hash, so nothing hangs on the sample),
-byte planes packed. Texts are asked for in BATCHES, and a step's shuffle files go when its rows are written, so the
-disk holds the model and one batch. A part's model and its questions are in one task; parts follow the input.
+byte planes packed. The model is dealt in TURNS of parts and asked in BATCHES of texts, and a step's shuffle files go
+when its rows are written, so the disk holds the model and one batch. A part's model and its questions are in one task; parts follow the input.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, mix64, new_folder, opened, parts as parts_of, remove, size_hint, slices, strings
 
-ORDER, HEAVY, STEP = 3, 1 << 16, 1 << 22
-CODES, SAMPLE, PART, BATCHES, SMALL = (1 << 16) - 1, 8 << 20, 32 << 20, 4, 32 << 20
+ORDER, HEAVY, STEP = 3, 1 << 16, 1 << 21
+CODES, SAMPLE, PART, TURNS, BATCHES, SMALL = (1 << 16) - 1, 8 << 20, 12 << 20, 4, 5, 32 << 20
 START, END = 0x5BD1E995A7C3F021, 0x27D4EB2F165667C5
 SALT, TURN = (0, 0x1B873593CC9E2D51, 0x38B34AE5A1E38B93, 0x52DCE729D2A98B26), 21
 _WORD = re.compile("[぀-ヿ㐀-鿿]|[^\\W぀-ヿ㐀-鿿]+|[^\\w\\s]+")
@@ -101,6 +101,18 @@ def _restored(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(wide, -1).T).reshape(-1).view(kind)
 
 
+def _few(x: np.ndarray) -> bytes:
+    """Numbers of which few are different: these, then which one each is."""
+    at, own = pd.factorize(x)
+    head = _squeezed(own)
+    return len(head).to_bytes(8, "little") + head + _squeezed(at.astype(np.uint32))
+
+
+def _few_restored(blob: bytes) -> np.ndarray:
+    end = 8 + int.from_bytes(blob[:8], "little")
+    return _restored(blob[8:end], float)[_restored(blob[end:], np.uint32)]
+
+
 def _rows(n: int, **known) -> pa.RecordBatch:
     own = [pa.array([known[f.name]] * n if isinstance(known[f.name], str | int) else known[f.name], f.type) if f.name in known else pa.nulls(n, f.type) for f in _SCHEMA]
     return pa.RecordBatch.from_arrays(own, schema=_SCHEMA)
@@ -154,7 +166,8 @@ class Coding:
         own = [order[edges[p] : edges[p + 1]] for p in at]
         spelled = [codes[:, o] for o in own]
         rare = [_squeezed(some[:, o][c == CODES]) for o, c in zip(own, spelled, strict=True)]
-        rest = [_squeezed(np.diff(more[o], prepend=more.dtype.type(0)) if steps else more[o]) for o in own]
+        pack = _few if more.dtype == float else _squeezed
+        rest = [pack(np.diff(more[o], prepend=more.dtype.type(0)) if steps else more[o]) for o in own]
         return _rows(len(at), kind="grams", part=at, size=[len(o) for o in own], codes=[_squeezed(c.ravel()) for c in spelled], rare=rare, more=rest, **known)
 
     def read(self, rows: list[dict], kind) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +181,7 @@ class Coding:
             found.append(some.reshape(ORDER, -1))
         if not found:
             return np.empty((ORDER, 0), np.uint64), np.empty(0, kind)
-        return np.concatenate(found, axis=1), np.concatenate([_restored(r["more"], kind) for r in rows])
+        return np.concatenate(found, axis=1), np.concatenate([_few_restored(r["more"]) if kind is float else _restored(r["more"], kind) for r in rows])
 
     def words(self, source: int, one: np.ndarray, two: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         """What a source's pairs with their counts say of their words, a row for each part of words."""
@@ -237,6 +250,7 @@ def coded(docs: DataFrame, folder: str) -> Coding:
     found = docs.sparkSession.read.parquet(f"{folder}/sample")
     top = lambda some, n: found.where(some).orderBy(F.desc("n"), "w1", "w2").limit(n).toPandas()
     word, pair = top("w1 = 0", CODES - 1)["w2"], top("w1 <> 0", HEAVY)
+    remove(docs.sparkSession, f"{folder}/sample")
     unsigned = lambda x: x.to_numpy(np.int64).view(np.uint64)
     return Coding(np.concatenate([np.zeros(1, np.uint64), unsigned(word)]), np.stack([unsigned(pair["w1"]), unsigned(pair["w2"])]), parts_of(docs, PART))
 
@@ -317,10 +331,10 @@ def _ratios(coding: Coding, d: np.ndarray, spare: np.ndarray, turn: int):
                 some, ratio, *_ = _contexts(coding, [r], d, spare)
                 pair = gram(*some[1:])
                 part = coding.keyed(pair, some, coding.spot(pair))
-                take = part % BATCHES == turn
+                take = part % TURNS == turn
                 yield coding.blobs(part[take], some[:, take], ratio[take])
-                if r["part"] % BATCHES == turn:
-                    yield _rows(1, kind="grams", part=r["part"], size=[0], codes=[_squeezed(np.empty(0, np.uint16))], rare=[_squeezed(np.empty(0, np.uint64))], more=[_squeezed(np.empty(0))])
+                if r["part"] % TURNS == turn:
+                    yield _rows(1, kind="grams", part=r["part"], size=[0], codes=[_squeezed(np.empty(0, np.uint16))], rare=[_squeezed(np.empty(0, np.uint64))], more=[_few(np.empty(0))])
 
     return each
 
@@ -335,7 +349,7 @@ def _placed(coding: Coding, folder: str, d: np.ndarray, spare: np.ndarray):
         some, ratio = coding.read(table.to_pylist(), float)
         before, _, pair, start, mass = _contexts(coding, _part_rows(folder, "grams", part), d, spare)
         end = gram(*some[1:])
-        lone = start[~np.isin(pair[start], end)]
+        lone = start[~pd.Index(pair[start]).isin(end)]
         some = np.concatenate([some, np.stack([np.zeros(len(lone), np.uint64), *before[:2, lone]])], axis=1)
         ratio, end = np.append(ratio, np.zeros(len(lone))), np.append(end, pair[lone])
         spot = coding.spot(end)
@@ -400,7 +414,7 @@ def build(trusted: DataFrame, coding: Coding, folder: str) -> Model | None:
     d, ends = discounts(sizes.iloc[0][four].astype(int).tolist()), _totals(counts, "pairs", "total", "c1", "c2", "c3")
     spare, total = sum(_dense(ends, f"c{k + 1}", heavy) * d[k] for k in range(3)), _dense(ends, "total", heavy)
     backs = np.log(np.divide(spare, total, out=np.ones(heavy), where=total > 0))
-    for turn in range(BATCHES):
+    for turn in range(TURNS):
         rows = counts.where("kind = 'grams'").select(*_BLOBS).mapInArrow(_ratios(coding, d, spare, turn), _ROWS)
         placed = _written(rows.select(*_BLOBS).groupBy("part").applyInArrow(_placed(coding, f"{folder}/counts", d, spare), _ROWS), f"{folder}/grams")
     remove(spark, f"{folder}/counts")
