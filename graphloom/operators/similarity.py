@@ -31,7 +31,7 @@ from .ordered import exact_quantiles, numbered
 from .vector_index import assigned, clustered
 
 BLOCK, ROWS, MOST_BLOCKS = 4096, 512, 2048
-SIDE, MOST_BYTES = 8, 1 << 26
+SIDE, MOST_BYTES, MOST_LINKS = 8, 1 << 26, 1 << 22
 FREQUENT, LOOKED_UP, NARROW, WIDE = 1 << 18, 200_000, 8, 32
 PAIRS = "a string, b string, sim double"
 
@@ -213,6 +213,34 @@ def _forest(least: float):
     return run
 
 
+def _neighbours(least: float):
+    """(v, ws): of each row of a tile, whose ids are numbers, the rows that it is linked with there, in lists of bounded size."""
+
+    def made(ends):
+        v, w = np.concatenate(ends), np.concatenate([ends[i ^ 1] for i in range(len(ends))])
+        order = np.argsort(v, kind="stable")
+        v, at = np.unique(v[order], return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(w)).astype(np.int32)), pa.array(w[order]))
+        return pa.RecordBatch.from_arrays([pa.array(v), lists], names=["v", "ws"])
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _read(batches)
+        numbers = {(b.k, b.left): b.ids.cast(pa.int32()).to_numpy() for b in blocks}
+        ends, n = [], 0
+        for a, b in _couples(blocks, key[0].as_py() == key[1].as_py()):
+            for at, sims in _strips(a, b):
+                i, j = np.nonzero((sims >= least) & _upper(sims, at, a is b))
+                ends += [numbers[a.k, a.left][at + i], numbers[b.k, b.left][j]]
+                n += len(i)
+                if n > MOST_LINKS:
+                    yield made(ends)
+                    ends, n = [], 0
+        if n:
+            yield made(ends)
+
+    return run
+
+
 def _best(least: float, others: bool):
     """Of each row of the left block the largest cosine, if it is at least `least`; of equal ones the last id. `others`: not its own."""
 
@@ -380,6 +408,11 @@ def link_forest(emb: DataFrame, least: float, dim: int | None = None, block: int
     return _met_once(sound(emb, dim).select("node_id", "vector"), block, _forest(least), "a string, b string", least=least)
 
 
+def link_lists(emb: DataFrame, least: float, dim: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(v, ws): for rows whose node_id is a number (as a string), the numbers of those that have at least that cosine, for each row a list or more a tile."""
+    return _met_once(sound(emb, dim).select("node_id", "vector"), block, _neighbours(least), "v int, ws array<int>", least=least)
+
+
 def pair_count(emb: DataFrame, least: float, dim: int | None = None, block: int = BLOCK) -> DataFrame:
     """(n): the number of pairs with a cosine over `least`."""
     return _met_once(sound(emb, dim).select("node_id", "vector"), block, _number(least), "n long", least=least).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

@@ -591,13 +591,13 @@ def permanent_nodes(g):
 @query()
 def dedup_clusters(g):
     """Maximal cliques over the merge threshold; tests/test_oracles.py has them from a sequential version."""
-    return consolidate.cliques(similarity.cosine_pairs(similarity.live_vectors(g), P.dedup, dim=P.dim))
+    return consolidate.cosine_cliques(similarity.live_vectors(g), P.dedup, P.dim)
 
 
 @query()
 def link_clusters(g):
     """The same over the link threshold, where cliques are larger and overlap."""
-    return consolidate.cliques(similarity.cosine_pairs(similarity.live_vectors(g), P.cross_link, dim=P.dim))
+    return consolidate.cosine_cliques(similarity.live_vectors(g), P.cross_link, P.dim)
 
 
 @query(", w AS (SELECT DISTINCT parent_id, child_id FROM (SELECT parent_id, child_id FROM edges UNION ALL SELECT child_id, parent_id FROM edges)) SELECT parent_id, child_id, 0.8::DOUBLE AS weight, 'extracted_from - both ways' AS reasoning FROM w WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.parent_id = w.parent_id AND e.child_id = w.child_id)")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import fixtures, queries
+from graphloom import fixtures, queries, shared
 from graphloom.functions import text as tx
 from graphloom.operators import consolidate, lineage
 from tests.test_operators import graph
@@ -224,3 +224,24 @@ def test_cliques_of_near_copies_move_no_triangles(spark):
             want += [(left[0], v) for v in left]
     assert sorted(map(tuple, consolidate.cliques(links).collect())) == sorted(want)
     assert sorted(sorted(x["members"]) for x in consolidate.maximal_cliques(links).collect()) == sorted(best)
+
+
+@pytest.mark.parametrize(("band", "room"), [(400, 1 << 12), (1 << 22, 1 << 27)])
+def test_clusters_of_vectors_keep_cliques_packed(spark, monkeypatch, band, room):
+    """Overlapping cliques, band by band and in more groups; what is written for them are blocks, neither pairs nor rounds of a row for each member."""
+    rng = np.random.default_rng(7)
+    middles = rng.standard_normal((3, 12))
+    m = np.concatenate([rng.standard_normal((120, 12)), *[c + 0.75 * rng.standard_normal((9, 12)) for c in middles]])
+    names = [f"n{i * 7919 % 997:03}" for i in range(len(m))]
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.35, 1))
+    pairs = [tuple(sorted((names[a], names[b]))) for a, b in zip(i, j)]
+    rows = [(n, v.tolist()) for n, v in zip(names, m)] + [(names[0], m[0].tolist()), (None, m[1].tolist()), ("odd", [0.0] * 12)]
+    monkeypatch.setattr(consolidate, "BAND", band)
+    monkeypatch.setattr(consolidate, "GROUP_BYTES", room)
+    written = []
+    monkeypatch.setattr(consolidate, "cut", lambda df: written.append(df.schema.names) or shared.cut(df))
+    vectors = spark.createDataFrame(rows, "node_id string, vector array<double>")
+    assert sorted(map(tuple, consolidate.cosine_cliques(vectors, 0.35, 12).collect())) == greedy_cliques(pairs)
+    assert ["size", "members"] in written and not [names for names in written if {"a", "b"} <= set(names) or names == ["c", "members"]]
+    assert sorted(map(tuple, consolidate.cliques(spark.createDataFrame(pairs, "a string, b string")).collect())) == greedy_cliques(pairs)
