@@ -36,8 +36,13 @@ FREQUENT, LOOKED_UP, NARROW, WIDE = 1 << 18, 200_000, 8, 32
 PAIRS = "a string, b string, sim double"
 
 
-def _packed(emb: DataFrame, name: str, n: int, labels: tuple[str, ...] = ()) -> DataFrame:
-    placed = emb.select("node_id", F.col("vector").cast("array<double>").alias("vector"), *labels).withColumn(name, F.pmod(F.xxhash64("node_id"), F.lit(n)))
+def _kind(rows: DataFrame) -> str:
+    """The type that vectors move as: floats, if none loses anything by it."""
+    return "double" if rows.where(F.exists("vector", lambda x: x.cast("double") != x.cast("float").cast("double"))).take(1) else "float"
+
+
+def _packed(emb: DataFrame, name: str, n: int, labels: tuple[str, ...] = (), kind: str = "double") -> DataFrame:
+    placed = emb.select("node_id", F.col("vector").cast(f"array<{kind}>").alias("vector"), *labels).withColumn(name, F.pmod(F.xxhash64("node_id"), F.lit(n)))
     return placed.groupBy(name).agg(F.collect_list("node_id").alias("ids"), F.flatten(F.collect_list("vector")).alias("flat"), *[F.collect_list(c).alias(c) for c in labels])
 
 
@@ -54,7 +59,7 @@ def _part(batch: pa.RecordBatch, name: str, row: int) -> pa.Array:
 
 
 def _unit(batch: pa.RecordBatch, name: str, row: int, n: int) -> np.ndarray:
-    m = _part(batch, name, row).to_numpy(zero_copy_only=False).reshape(n, -1)
+    m = _part(batch, name, row).to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, -1)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -299,16 +304,18 @@ def _met(left: DataFrame, right: DataFrame, block: int, reduce, schema: str) ->
     return one.unionByName(two).groupBy("i", "j").applyInArrow(reduce, schema)
 
 
-def _met_once(rows: DataFrame, block: int, reduce, schema: str, labels: tuple[str, ...] = (), least: float = -2.0) -> DataFrame:
-    """Every unordered pair of blocks of a table, a block with itself too, but those that can have no cosine of at least `least`."""
+def _met_once(rows: DataFrame, block: int, reduce, schema: str, labels: tuple[str, ...] = (), least: float = -2.0, narrow: bool = False) -> DataFrame:
+    """Every unordered pair of blocks of a table, a block with itself too, but those that can have no cosine of at least `least`. `narrow`: vectors move as floats where
+    these are exact."""
     rows = cut(rows)
+    kind = _kind(rows) if narrow else "double"
     n, most = _size(rows, block)
     if n == 1 or n > MOST_BLOCKS or least <= -1:
         side = _side(n, most)
-        packed = _packed(rows, "k", n, labels).withColumn("near", F.lit(None).cast("array<long>"))
+        packed = _packed(rows, "k", n, labels, kind).withColumn("near", F.lit(None).cast("array<long>"))
         others = F.sequence(F.lit(0).cast("long"), F.lit(-(-n // side) - 1).cast("long"))
     else:
-        packed, balls = near_blocks(rows, n, block, labels)
+        packed, balls = near_blocks(rows, n, block, labels, kind)
         met = may_meet(balls, least)
         side = _side(len(balls), most)
         partners = [(k, row, sorted({j // side for j in row})) for k, row in met.items()]
@@ -319,7 +326,7 @@ def _met_once(rows: DataFrame, block: int, reduce, schema: str, labels: tuple[st
     return tiles.groupBy("i", "j").applyInArrow(reduce, schema)
 
 
-def near_blocks(rows: DataFrame, n: int, block: int, labels: tuple[str, ...] = ()) -> tuple[DataFrame, dict[int, tuple[np.ndarray, float]]]:
+def near_blocks(rows: DataFrame, n: int, block: int, labels: tuple[str, ...] = (), kind: str = "double") -> tuple[DataFrame, dict[int, tuple[np.ndarray, float]]]:
     """Blocks of vectors that lie near each other, and for each the unit vector of its middle and the largest angle to it.
 
     About n cells around centres of a bounded sample; a cell of more than `block` vectors is several blocks. The driver has one
@@ -343,7 +350,7 @@ def near_blocks(rows: DataFrame, n: int, block: int, labels: tuple[str, ...] = (
     sizes = F.broadcast(rows.sparkSession.createDataFrame(plan, "cell int, first long, m long"))
     placed = placed.join(sizes, "cell").withColumn("k", F.col("first") + F.pmod(F.xxhash64("node_id"), F.col("m")))
     lists = [F.collect_list("node_id").alias("ids"), F.flatten(F.collect_list("vector")).alias("flat"), *[F.collect_list(c).alias(c) for c in labels]]
-    packed = cut(placed.select("k", "node_id", F.col("vector").cast("array<double>").alias("vector"), *labels).groupBy("k").agg(*lists))
+    packed = cut(placed.select("k", "node_id", F.col("vector").cast(f"array<{kind}>").alias("vector"), *labels).groupBy("k").agg(*lists))
 
     def ball(batches):
         for batch in batches:
@@ -410,7 +417,7 @@ def link_forest(emb: DataFrame, least: float, dim: int | None = None, block: int
 
 def link_lists(emb: DataFrame, least: float, dim: int | None = None, block: int = BLOCK) -> DataFrame:
     """(v, ws): for rows whose node_id is a number (as a string), the numbers of those that have at least that cosine, for each row a list or more a tile."""
-    return _met_once(sound(emb, dim).select("node_id", "vector"), block, _neighbours(least), "v int, ws array<int>", least=least)
+    return _met_once(sound(emb, dim).select("node_id", "vector"), block, _neighbours(least), "v int, ws array<int>", least=least, narrow=True)
 
 
 def pair_count(emb: DataFrame, least: float, dim: int | None = None, block: int = BLOCK) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +246,15 @@ def test_clusters_of_vectors_keep_cliques_packed(spark, monkeypatch, band, room)
     assert sorted(map(tuple, consolidate.cosine_cliques(vectors, 0.35, 12).collect())) == greedy_cliques(pairs)
     assert ["size", "members"] in written and not [names for names in written if {"a", "b"} <= set(names) or names == ["c", "members"]]
     assert sorted(map(tuple, consolidate.cliques(spark.createDataFrame(pairs, "a string, b string")).collect())) == greedy_cliques(pairs)
+
+
+def test_sorted_lists_as_gaps():
+    """Also lists of one number, parts of a batch, and gaps of more than two bytes."""
+    near, far = [[5], [1, 2, 70_000 - 5_000], [9, 65_544]], [[1, 1 << 30], [7, 8]]
+    for lists, wide in ((near, False), (far, True), (near + far, True)):
+        whole = pa.array([[3, 4], *lists], pa.list_(pa.int32())).slice(1)
+        v = pa.array(range(len(lists)), pa.int32())
+        (got,) = consolidate._gaps([pa.RecordBatch.from_arrays([v, whole, whole], names=["v", "ws", "gs"])])
+        rows = zip(got.column("first").to_pylist(), got.column("wide").to_pylist(), got.column("gaps").to_pylist(), strict=True)
+        assert [list(itertools.accumulate(np.frombuffer(g, np.uint32 if w else np.uint16).tolist(), initial=f)) for f, w, g in rows] == lists
+        assert set(got.column("wide").to_pylist()) == {wide}
